@@ -1,11 +1,13 @@
 """Quality rules whose cutoffs are chosen under a bound on false rejections.
 
-Every rule rejects a document when one of its signals is above a cutoff. For each stratum and rule the labelled good
-documents are a holdout: with k of n of them above a cutoff, the null hypothesis "more than alpha_r of the good
-documents are above it" is tested with the exact binomial tail P(Bin(n, alpha_r) <= k). Cutoffs are tested from the most
-lenient to the strictest and the walk stops at the first that is not significant (a fixed sequence needs no further
-correction); strata and rules are corrected by Bonferroni. With alpha_r = alpha / rules, with probability
-1 - delta no stratum loses more than alpha of its good documents to all rules together.
+A rule rejects a document when its signal is above a cutoff. Severity levels give all rules their cutoffs at once and are
+nested: a higher level rejects what a lower one rejects and more. For each stratum the labelled good documents are the
+holdout: with k of n of them rejected at a level, the null hypothesis "more than alpha of the good documents of this
+stratum are rejected" is tested with the exact binomial tail P(Bin(n, alpha) <= k). Levels are tested from the most
+lenient on and the walk stops before the first that is not significant (a fixed sequence needs no further correction);
+strata are corrected for by Bonferroni. With probability 1 - delta, no stratum loses more than alpha of its good
+documents to all rules together. One rule's signal is the share of words that begin like toxic words, which are learned
+from a bounded part of the labels that is left out of the holdout.
 
 Null and empty texts have no words, zero counts and fail the base rule; a null stratum is a stratum of its own. Without
 labels, or with too few of them, no cutoff is significant and only the base rule rejects. Repeated rows get equal results.
@@ -18,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import lexicon
 from .common import let, saved, words_of
 
 #: Fixed word list of insults for the toxicity signal.
@@ -27,17 +30,28 @@ INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum",
 @dataclass(frozen=True)
 class QualityConfig:
     stratum: str = "lang"
-    alpha: float = 0.05
+    alpha: float = 0.02
     delta: float = 0.05
-    #: Cutoffs of each signal, the most lenient first.
-    grids: tuple[tuple[str, tuple[float, ...]], ...] = (
-        ("symbol_ratio", (2.0, 1.0, 0.5, 0.3, 0.2, 0.1, 0.05)),
-        ("bang_ratio", (2.0, 1.0, 0.5, 0.3, 0.2, 0.1)),
-        ("upper_ratio", (0.9, 0.7, 0.5, 0.4, 0.3)),
-        ("dup_line_ratio", (0.9, 0.7, 0.6, 0.5, 0.4)),
-        ("repeat_ratio", (0.19, 0.17, 0.15)),
-        ("insult_ratio", (0.05, 0.02, 0.01, 0.003, 0.001, 0.0)),
+    #: Signals, and their cutoffs at each level of severity, the most lenient first. Levels are nested.
+    rules: tuple[str, ...] = ("symbol_ratio", "bang_ratio", "upper_ratio", "dup_line_ratio", "repeat_ratio", "insult_ratio", "stem_ratio")
+    levels: tuple[tuple[float, ...], ...] = (
+        (2.0, 1.5, 0.70, 0.95, 0.20, 0.050, 0.500),
+        (1.0, 1.0, 0.60, 0.90, 0.20, 0.020, 0.200),
+        (0.5, 0.5, 0.50, 0.85, 0.20, 0.005, 0.100),
+        (0.3, 0.3, 0.40, 0.80, 0.20, 0.000, 0.050),
+        (0.2, 0.2, 0.35, 0.75, 0.20, 0.000, 0.030),
+        (0.1, 0.1, 0.30, 0.70, 0.20, 0.000, 0.020),
+        (0.1, 0.1, 0.30, 0.70, 0.20, 0.000, 0.015),
+        (0.1, 0.1, 0.30, 0.65, 0.20, 0.000, 0.010),
+        (0.1, 0.1, 0.30, 0.65, 0.20, 0.000, 0.007),
+        (0.1, 0.1, 0.30, 0.60, 0.20, 0.000, 0.005),
+        (0.1, 0.1, 0.30, 0.60, 0.19, 0.000, 0.003),
+        (0.1, 0.1, 0.30, 0.60, 0.18, 0.000, 0.002),
+        (0.1, 0.1, 0.30, 0.60, 0.18, 0.000, 0.001),
+        (0.1, 0.1, 0.30, 0.60, 0.18, 0.000, 0.000),
     )
+    #: Labelled documents (in expectation, and at most 30 % of them) from which beginnings of toxic words are learned; they are no holdout.
+    lexicon_rows: int = 4_000
     #: Up to so many strata the thresholds are broadcast; beyond, they are joined by shuffle.
     broadcast_strata: int = 10_000
 
@@ -61,9 +75,10 @@ def _repeat_words(words: Column, n: Column) -> Column:
     return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
 
 
-def signals(text: Column) -> Column:
-    """A struct of the base counts and the signals of a whole text."""
+def signals(text: Column, stems: tuple[str, ...] = ()) -> Column:
+    """A struct of the base counts and the signals of a whole text. stems: beginnings of toxic words."""
     whole = F.coalesce(text, F.lit(""))
+    begins = rf"(?iu)(?<![\p{{L}}\p{{N}}])({'|'.join(stems)})"
     insults = rf"(?i)(?<![\p{{L}}\p{{N}}])({'|'.join(INSULTS)})(?![\p{{L}}\p{{N}}])"
 
     def of_words(w: Column) -> Column:
@@ -82,17 +97,18 @@ def signals(text: Column) -> Column:
             b["n_dup_lines"].alias("n_dup_lines"), a["n_repeat_words"].alias("n_repeat_words"), b["n_lines"].alias("n_lines"),
             F.regexp_count(whole, F.lit("!")).cast("long").alias("n_bangs"), F.regexp_count(whole, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
             F.regexp_count(whole, F.lit(insults)).cast("long").alias("n_insults"),
+            (F.regexp_count(whole, F.lit(begins)).cast("long") if stems else F.lit(0).cast("long")).alias("n_stems"),
         ))
 
     return let(let(words_of(text), of_words), out)
 
 
-def with_signals(docs: DataFrame, into: str = "_q") -> DataFrame:
+def with_signals(docs: DataFrame, stems: tuple[str, ...] = (), into: str = "_q") -> DataFrame:
     """docs with a struct column of counts, ratios, base_failed."""
-    s = docs.withColumn(into, signals(F.col("text")))
+    s = docs.withColumn(into, signals(F.col("text"), stems))
     q = lambda k: F.col(into)[k]
     ratio = lambda a, b: F.when(q(b) > 0, q(a) / q(b)).otherwise(F.lit(0.0))
-    ratios = {"symbol_ratio": ("n_symbols", "n_words"), "bang_ratio": ("n_bangs", "n_words"), "upper_ratio": ("n_upper", "word_chars"), "dup_line_ratio": ("n_dup_lines", "n_lines"), "repeat_ratio": ("n_repeat_words", "n_words"), "insult_ratio": ("n_insults", "n_words")}
+    ratios = {"symbol_ratio": ("n_symbols", "n_words"), "bang_ratio": ("n_bangs", "n_words"), "upper_ratio": ("n_upper", "word_chars"), "dup_line_ratio": ("n_dup_lines", "n_lines"), "repeat_ratio": ("n_repeat_words", "n_words"), "insult_ratio": ("n_insults", "n_words"), "stem_ratio": ("n_stems", "n_words")}
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     failed = (q("n_words") < 10) | (100 * q("n_repeat_words") > 20 * q("n_words"))
     return s.withColumn(into, F.struct(*[q(c).alias(c) for c in counts], *[ratio(a, b).alias(k) for k, (a, b) in ratios.items()], failed.alias("base_failed")))
@@ -112,52 +128,63 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.least(F.lit(1.0), F.exp(F.aggregate(terms, start, add)["s"]))
 
 
+def learned(docs: DataFrame, labels: DataFrame, cfg: QualityConfig) -> tuple[tuple[str, ...], DataFrame]:
+    """Beginnings of toxic words, and the labels that were not used to find them."""
+    share = lexicon.sample_share(labels, cfg.lexicon_rows)
+    return tuple(lexicon.learn_stems(docs.select("doc_id", "text"), labels, share)), labels.filter(~F.coalesce(lexicon.in_sample(F.col("doc_id"), share), F.lit(False)))
+
+
 def thresholds(measured: DataFrame, labels: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
-    """A row for each stratum with one cutoff for each rule (null: the rule rejects nothing there).
+    """A row for each stratum with one cutoff for each rule (null: no level is significant there).
 
     measured: doc_id, _stratum and the signals in _q. labels: doc_id, quality, toxic; good is quality 1 and not toxic.
     A document with several labels counts once and is good only if all of them say so.
     """
     good = labels.groupBy("doc_id").agg(F.min((F.coalesce(F.col("quality"), F.lit(0)) == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("good")).filter("good").select("doc_id")
     held = measured.filter(~F.col("_q.base_failed")).join(good, "doc_id", "left_semi")
-    counts = held.groupBy("_stratum").agg(F.count(F.lit(1)).alias("n"), *[F.array(*[F.sum((F.col(f"_q.{rule}") > c).cast("long")) for c in grid]).alias(rule) for rule, grid in cfg.grids])
-    counts = saved(counts, "quality-counts")
-    tests = max(1, counts.count()) * len(cfg.grids)
-    chosen = []
-    for rule, grid in cfg.grids:
-        p = F.transform(F.col(rule), lambda k: binomial_tail(k, F.col("n"), cfg.alpha / len(cfg.grids)))
-        passed = F.transform(p, lambda v: v <= cfg.delta / tests)
-        run = F.coalesce(F.array_position(passed, F.lit(False)), F.lit(0))
-        at = F.when(run == 0, F.lit(len(grid))).otherwise(run - 1).cast("int")
-        chosen.append(F.get(F.array(*[F.lit(float(c)) for c in grid]), at - 1).alias(rule))
-    return saved(counts.select("_stratum", F.struct(*chosen).alias("_cut")), "quality-cuts")
-
-
-def verdicts(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = QualityConfig(), measured: DataFrame | None = None) -> DataFrame:
-    """docs with _q (counts, signals), _cut and kept. measured: docs' signals if they are already stored."""
-    have = docs.columns
-    stratum = F.col(cfg.stratum) if cfg.stratum in have else F.lit(None).cast("string")
-    full = measured if measured is not None else with_signals(docs.withColumn("_stratum", stratum))
-    base = measured if measured is not None else saved(full.select("doc_id", "_stratum", "_q"), "quality-signals")
-    cuts = thresholds(base, labels, cfg)
+    rejected = [F.sum(_above(cfg, [F.lit(float(c)) for c in level]).cast("long")) for level in cfg.levels]
+    counts = saved(held.groupBy("_stratum").agg(F.count(F.lit(1)).alias("n"), F.array(*rejected).alias("k")), "quality-counts")
+    strata = max(1, counts.count())
+    passed = F.transform("k", lambda k: binomial_tail(k, F.col("n"), cfg.alpha) <= cfg.delta / strata)
+    stop = F.coalesce(F.array_position(passed, F.lit(False)), F.lit(0))
+    level = F.when(stop == 0, F.lit(len(cfg.levels))).otherwise(stop - 1).cast("int")
+    cuts = [F.get(F.array(*[F.lit(float(row[i])) for row in cfg.levels]), F.col("level") - 1).alias(rule) for i, rule in enumerate(cfg.rules)]
+    return saved(counts.withColumn("level", level).select("_stratum", F.struct(*cuts).alias("_cut")), "quality-cuts")
+
+
+def _above(cfg: QualityConfig, cuts: list[Column]) -> Column:
+    """Whether any signal is above its cutoff (null: none)."""
+    above = F.lit(False)
+    for rule, cut in zip(cfg.rules, cuts):
+        above = above | F.coalesce(F.col(f"_q.{rule}") > cut, F.lit(False))
+    return above
+
+
+def verdicts(full: DataFrame, measured: DataFrame, holdout: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
+    """full (rows with _stratum, _q) with _cut and kept; the cutoffs come from measured (doc_id, _stratum, _q) and the holdout labels."""
+    cuts = thresholds(measured, holdout, cfg)
     if cuts.count() <= cfg.broadcast_strata:
         cuts = F.broadcast(cuts)
     cuts = cuts.withColumnRenamed("_stratum", "_s")
     out = full.join(cuts, F.col("_stratum").eqNullSafe(F.col("_s")), "left").drop("_s")
-    above = F.lit(False)
-    for rule, _ in cfg.grids:
-        above = above | F.coalesce(F.col(f"_q.{rule}") > F.col(f"_cut.{rule}"), F.lit(False))
-    return out.withColumn("kept", ~F.col("_q.base_failed") & ~above)
+    return out.withColumn("kept", ~F.col("_q.base_failed") & ~_above(cfg, [F.col(f"_cut.{rule}") for rule in cfg.rules]))
+
+
+def _stratum(docs: DataFrame, cfg: QualityConfig) -> Column:
+    return (F.col(cfg.stratum) if cfg.stratum in docs.columns else F.lit(None).cast("string")).alias("_stratum")
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept and the signals: each text is read once, verdicts come from stored signals."""
-    stratum = F.col(cfg.stratum) if cfg.stratum in docs.columns else F.lit(None).cast("string")
-    measured = saved(with_signals(docs.select("doc_id", "text", stratum.alias("_stratum"))).select("doc_id", "_stratum", "_q"), "quality-signals")
-    v = verdicts(measured, labels, cfg, measured)
-    return v.select("doc_id", *[F.col(f"_q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], "kept", *[F.col(f"_q.{r}").alias(r) for r, _ in cfg.grids])
+    """doc_id, the base counts, base_failed, kept and the signals: each text is measured once, verdicts come from stored signals."""
+    stems, holdout = learned(docs, labels, cfg)
+    measured = saved(with_signals(docs.select("doc_id", "text", _stratum(docs, cfg)), stems).select("doc_id", "_stratum", "_q"), "quality-signals")
+    v = verdicts(measured, measured, holdout, cfg)
+    return v.select("doc_id", *[F.col(f"_q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], "kept", *[F.col(f"_q.{r}").alias(r) for r in cfg.rules])
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
-    """docs without those that the rules reject; its columns stay as they are."""
-    return verdicts(docs, labels, cfg).filter("kept").select(*docs.columns)
+    """docs without those that the rules reject; its columns stay as they are. Texts are measured twice rather than shuffled."""
+    stems, holdout = learned(docs, labels, cfg)
+    full = with_signals(docs.withColumn("_stratum", _stratum(docs, cfg)), stems)
+    measured = saved(full.select("doc_id", "_stratum", "_q"), "quality-signals")
+    return verdicts(full, measured, holdout, cfg).filter("kept").select(*docs.columns)

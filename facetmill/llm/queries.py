@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, media, mixing, near, packing, quality, suffixes, tokens
+from . import html_text, lm, media, mixing, near, packing, quality, suffixes, tokens, weak
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents")).drop("archive", "member_offset")
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.language_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"), near.NearConfig(shingle=2))
 
@@ -34,6 +38,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeat_report(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -47,8 +55,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
     "op3_html_text": op3_html_text,
     "op4_media_columns": op4_media_columns,
+    "op5_language_model": op5_language_model,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_token_counts": op7_token_counts,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }

@@ -29,9 +29,9 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import partitions, release, saved, small_batches
+from .common import release, saved, small_batches
 
 _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0xFF51AFD7ED558CCD)
@@ -44,6 +44,7 @@ class SuffixConfig:
     #: Bytes of an anchor; a multiple of 8.
     anchor: int = 24
     bytes_per_shard: int = 8_000_000
+    least_shards: int = 48
     flush: int = 3_000_000
 
     @property
@@ -86,13 +87,30 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (width - s)], x[width - s :]) if s < width else x
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, cfg: SuffixConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text number, place in its text) of the anchors of texts that lie one after the other in data."""
+def anchors(data: np.ndarray, offsets: np.ndarray, cfg: SuffixConfig, piece: int = 1_500_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text number, place in its text) of the anchors of texts that lie one after the other in data.
+
+    Works on pieces that overlap by less than a string, so that each string lies in a piece, whatever a text's length.
+    """
+    found = []
+    for start in range(0, max(1, len(data) - cfg.length + 1), piece):
+        end = min(len(data), start + piece + cfg.length - 1)
+        own = offsets[(offsets > start) & (offsets < end)] - start
+        h, at = _piece_anchors(data[start:end], np.concatenate(([0], own, [end - start])), cfg)
+        found.append((h, at + start))
+    h, at = (np.concatenate(x) for x in zip(*found))
+    if len(found) > 1:
+        at, first = np.unique(at, return_index=True)
+        h = h[first]
+    doc = np.searchsorted(offsets, at, side="right") - 1
+    return h, doc, at - offsets[doc]
+
+
+def _piece_anchors(data: np.ndarray, offsets: np.ndarray, cfg: SuffixConfig) -> tuple[np.ndarray, np.ndarray]:
     w = cfg.reach + 1
     m = len(data) - cfg.anchor + 1
-    none = (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
     if len(data) < cfg.length:
-        return none
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     h = gram_hashes(_words(data), m, cfg.anchor)
     least = _slide(h, w, np.minimum)
     # Strings must lie in one text: blank those that start less than `length` bytes before a text's end.
@@ -103,8 +121,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, cfg: SuffixConfig) -> tuple[n
     least[np.cumsum(inside[:-1]) == 0] = 0
     pad = np.zeros(w - 1, np.uint64)
     at = np.flatnonzero(_slide(np.concatenate((pad, least, pad)), w, np.maximum)[:m] == h)
-    doc = np.searchsorted(offsets, at, side="right") - 1
-    return h[at], doc, at - offsets[doc]
+    return h[at], at
 
 
 def _shard(ids: np.ndarray, n: int) -> np.ndarray:
@@ -132,11 +149,11 @@ def _tags(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(hashlib.sha256(raw[a:z]).digest()[:16] for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist())), "<u8").reshape(-1, 2)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
+def _pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     import zstandard
 
     parts = [np.array([len(arrays), *[a.nbytes for a in arrays]], "<i8").tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
 
 
 def _unpack(block: bytes, *kinds) -> list[np.ndarray]:
@@ -177,7 +194,8 @@ def _anchor_blocks(docs: DataFrame, buckets: int, cfg: SuffixConfig) -> DataFram
                 if len(i):
                     used, number = np.unique(doc[i], return_inverse=True)
                     where.append(k)
-                    blocks.append(_pack(h[i], number.astype("<u4"), at[i].astype("<u4"), ids[used], tags[used]))
+                    low = h[i] & _U(0xFFFFFFFFFFFF)  # 48 bits: a chance meeting only costs a comparison
+                    blocks.append(_pack(low.astype("<u4"), (low >> _U(32)).astype("<u2"), number.astype("<u4"), at[i].astype("<u4"), ids[used], tags[used]))
             return _rows(where, blocks, "bucket")
 
         n = seen = 0
@@ -215,8 +233,8 @@ def _shared(shards: int):
 
         parts, base = [], 0
         for block in t.column("block").to_pylist():
-            h, number, at, ids, tags = _unpack(block, "<u8", "<u4", "<u4", "<i8", "<u8")
-            parts.append((h, number.astype(np.int64) + base, at, ids, tags.reshape(-1, 2)))
+            low, high, number, at, ids, tags = _unpack(block, "<u4", "<u2", "<u4", "<u4", "<i8", "<u8")
+            parts.append((low.astype(np.uint64) | high.astype(np.uint64) << _U(32), number.astype(np.int64) + base, at, ids, tags.reshape(-1, 2)))
             base += len(ids)
         h, number, at, ids, tags = (np.concatenate(x) for x in zip(*parts))
         text = _number(tags)
@@ -258,7 +276,7 @@ def _sharded(docs: DataFrame, shards: int) -> DataFrame:
         for b in batches:
             data, offsets = _texts(b.column(len(names)))
             ids = _ids(b.column(len(names) + 1))
-            press, raw = zstandard.ZstdCompressor(level=1), data.tobytes()
+            press, raw = zstandard.ZstdCompressor(level=6), data.tobytes()
             blobs = [press.compress(raw[a:z]) for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             tags = np.ascontiguousarray(_tags(data, offsets)[:, 0]).view(np.int64)
             more = [pa.array(_shard(ids, shards).astype(np.int32)), pa.array(ids), pa.array(tags), pa.array(blobs, pa.binary())]
@@ -331,7 +349,7 @@ def _cut_runs(buckets: int, cfg: SuffixConfig):
             if z > a:
                 same, rest = front_code(right[a:z])
                 where.append(k)
-                blocks.append(_pack(same, rest, left[a:z], room[a:z].astype(np.uint8), ids[rows[a:z]], tags[rows[a:z]], at[rows[a:z]].astype("<u4")))
+                blocks.append(_pack(same, rest, left[a:z], room[a:z].astype(np.uint8), ids[rows[a:z]], tags[rows[a:z]], at[rows[a:z]].astype("<u4"), level=5))
         return pa.table({"bucket": pa.array(where, pa.int32()), "block": pa.array(blocks, pa.binary())})
 
     return run
@@ -515,15 +533,15 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start[at], reach[np.append(at[1:] - 1, len(end) - 1)]
 
 
-def remove_repeats(docs: DataFrame, cfg: SuffixConfig = SuffixConfig()) -> DataFrame:
-    """docs with _kept (the remaining bytes), _n_bytes, _n_removed and _spans (removed runs as [start, end]) in place of text."""
+def remove_repeats(docs: DataFrame, cfg: SuffixConfig = SuffixConfig(), as_text: bool = False) -> DataFrame:
+    """docs with _kept (the remaining bytes, or the characters that are whole in them), _n_bytes, _n_removed and _spans (removed runs as [start, end]) in place of text."""
     spark = docs.sparkSession
     small_batches(spark)
     text = F.coalesce("text", F.lit(""))
     oid = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     facts = saved(docs.select(oid.alias("_id"), F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("sig"), F.octet_length(text).cast("long").alias("n_bytes")), "suffix-facts")
     total = facts.agg(F.sum("n_bytes")).first()[0] or 0
-    shards = max(2 * partitions(spark), -(-total // cfg.bytes_per_shard))
+    shards = max(cfg.least_shards, -(-total // cfg.bytes_per_shard))
     near = saved(_anchor_blocks(docs, shards, cfg).groupBy("bucket").applyInArrow(_shared(shards), "shard int, block binary"), "suffix-places")
     release(spark)
     runs = near.groupBy("shard").cogroup(_sharded(docs.select("doc_id", "text"), shards).groupBy("_shard")).applyInArrow(_cut_runs(shards, cfg), "bucket int, block binary")
@@ -531,7 +549,7 @@ def remove_repeats(docs: DataFrame, cfg: SuffixConfig = SuffixConfig()) -> DataF
     release(spark)
     others = [f for f in docs.schema.fields if f.name != "text"]
     schema = StructType([*others, StructField("_n_bytes", LongType()), StructField("_n_removed", LongType())])
-    schema = schema.add("_spans", ArrayType(ArrayType(LongType()))).add("_kept", BinaryType())
+    schema = schema.add("_spans", ArrayType(ArrayType(LongType()))).add("_kept", StringType() if as_text else BinaryType())
     names = [f.name for f in others]
 
     def cut(spans, texts):
@@ -554,7 +572,7 @@ def remove_repeats(docs: DataFrame, cfg: SuffixConfig = SuffixConfig()) -> DataF
             size.append(len(data))
             gone.append(len(data) - len(kept[-1]))
             where.append(np.stack((start, end), axis=1).tolist())
-        more = {"_n_bytes": pa.array(size, pa.int64()), "_n_removed": pa.array(gone, pa.int64()), "_spans": pa.array(where, pa.list_(pa.list_(pa.int64()))), "_kept": pa.array(kept, pa.binary())}
+        more = {"_n_bytes": pa.array(size, pa.int64()), "_n_removed": pa.array(gone, pa.int64()), "_spans": pa.array(where, pa.list_(pa.list_(pa.int64()))), "_kept": pa.array([x.decode(errors="ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())}
         return pa.table({**{n: texts.column(n) for n in names}, **more})
 
     return spans.groupBy("shard").cogroup(_sharded(docs, shards).groupBy("_shard")).applyInArrow(cut, schema)
@@ -568,9 +586,7 @@ def repeat_report(docs: DataFrame, cfg: SuffixConfig = SuffixConfig()) -> DataFr
 
 def strip_repeats(docs: DataFrame, cfg: SuffixConfig = SuffixConfig()) -> DataFrame:
     """docs with the remaining text (bytes of cut characters go too); n_chars follows the text; texts of which nothing remains go."""
-    out = remove_repeats(docs, cfg)
-    text = F.when(F.col("_n_removed") > 0, F.decode(F.col("_kept"), F.lit("UTF-8"))).otherwise(F.decode(F.col("_kept"), F.lit("UTF-8")))
-    out = out.filter("_n_removed = 0 or _n_removed < _n_bytes").withColumn("text", text)
+    out = remove_repeats(docs, cfg, True).filter("_n_removed = 0 or _n_removed < _n_bytes").withColumnRenamed("_kept", "text")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

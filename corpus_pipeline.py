@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetmill.llm import mixing, quality
+from facetmill.llm import mixing, near, packing, quality, suffixes
 from facetmill.llm.common import saved, table
 
 
@@ -14,13 +14,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality_filter(docs, table(spark, sf_dir, "labels"))
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near.keep_one(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffixes.strip_repeats(docs)
+
+
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs)
 
 
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
     ("source_mixing", source_mixing),
+    ("best_fit_packing", best_fit_packing),
 ]
 
 #: Not expressible in SQL (shingle components, suffix matches, tokenization): tests hold it against brute force.

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import release, saved, small_batches
 from .components import components
+from .suffixes import _pack, _unpack
 
 _U = np.uint64
 #: Odd multipliers of the hashes.
@@ -74,8 +75,26 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def word_hashes(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of several texts that lie one after the other in data, and the number of the text of each word."""
+def word_hashes(data: bytes, offsets: np.ndarray, piece: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of several texts that lie one after the other in data, and the number of the text of each word.
+
+    Works on pieces of some 2 MB that end at white space, so a very long text needs no more memory than others.
+    """
+    hashes, at, start = [], [], 0
+    while start < len(data):
+        end = min(len(data), start + piece)
+        while end < len(data) and data[end] not in b" \t\n\x0b\x0c\r":
+            end += 1
+        own = offsets[(offsets > start) & (offsets < end)] - start
+        h, where = _piece_hashes(data[start:end], np.concatenate(([0], own, [end - start])))
+        hashes.append(h)
+        at.append(np.searchsorted(offsets, where + start, side="right") - 1)
+        start = end
+    return (np.concatenate(hashes), np.concatenate(at)) if hashes else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+def _piece_hashes(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the words."""
     low = np.frombuffer(data.lower(), np.uint8)  # bytes.lower changes A-Z alone
     n = len(low)
     if not n:
@@ -90,14 +109,14 @@ def word_hashes(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_letters()[low] * power[:n], out=sums[1:])
     h = _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _K1)
-    return h, np.searchsorted(offsets, starts, side="right") - 1
+    return h, starts
 
 
 def shingle_sets(column, size: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text of an Arrow string column (nulls: none)."""
     import pyarrow.compute as pc
 
-    column = pc.fill_null(column, "").cast("large_binary")
+    column = column if column.type == "large_binary" else pc.fill_null(column, "").cast("large_binary")
     at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2].to_pybytes()[at[0] : at[-1]] if at[-1] > at[0] else b""
     words, doc = word_hashes(data, at - at[0])
@@ -134,27 +153,100 @@ def sketch_table(docs: DataFrame, cfg: NearConfig) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, sig binary, sketch binary")
 
 
-def _runs(classes: DataFrame) -> DataFrame:
-    """(key, doc, keys): a row for each run of retained values; keys is the document's number of runs of three."""
+def run_keys(sketch: np.ndarray) -> np.ndarray:
+    """The distinct keys of a sketch's runs."""
+    v = sketch
+    if 4 <= len(v) <= 5:
+        return np.unique(np.concatenate((_mix(v[:-2] * _P + v[1:-1] * _K2 + v[2:] * _K3), _mix(v[:-1] * _K2 + v[1:] * _K1 + _U(2)))))
+    return np.unique(_mix(v[:-2] * _P + v[1:-1] * _K2 + v[2:] * _K3)) if len(v) > 2 else np.empty(0, np.uint64)
+
+
+def _run_blocks(classes: DataFrame, buckets: int, cfg: NearConfig) -> DataFrame:
+    """(bucket, block): keys with documents; a key that more than `crowd` documents of a block have goes to bucket -1, and one line for it to its own bucket."""
+    crowd = 2 * cfg.wide
 
     def run(batches):
         import pyarrow as pa
 
+        held: list[tuple[np.ndarray, int]] = []
+        n = 0
+
+        def out():
+            key = np.concatenate([k for k, _ in held])
+            doc = np.repeat(np.array([d for _, d in held], np.int64), [len(k) for k, _ in held])
+            many = np.repeat(np.array([len(k) for k, _ in held], np.int32), [len(k) for k, _ in held])
+            held.clear()
+            _, number, count = np.unique(key, return_inverse=True, return_counts=True)
+            hot = count[number] > crowd
+            where, blocks = [], []
+            if hot.any():
+                where.append(-1)
+                blocks.append(_pack(key[hot], doc[hot], many[hot], np.zeros(0, np.int64)))
+                order = np.lexsort((doc[hot], key[hot]))
+                k, d = key[hot][order], doc[hot][order]
+                first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+                key, doc, many = np.concatenate((key[~hot], k[first])), np.concatenate((doc[~hot], d[first])), np.concatenate((many[~hot], np.zeros(len(first), np.int32)))
+                extra = np.concatenate((np.zeros((~hot).sum(), np.int64), np.diff(np.append(first, len(k)))))
+            else:
+                extra = np.zeros(len(key), np.int64)
+            bucket = ((key >> _U(24)) % _U(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in range(buckets):
+                i = order[bounds[b] : bounds[b + 1]]
+                if len(i):
+                    where.append(b)
+                    blocks.append(_pack(key[i], doc[i], many[i], extra[i]))
+            return pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "block"])
+
+        for b in batches:
+            for d, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held.append((run_keys(np.frombuffer(s, np.uint64)), d))
+                n += len(held[-1][0])
+            if n >= 1_000_000:
+                yield out()
+                n = 0
+        if n:
+            yield out()
+
+    return classes.select("doc_id", "sketch").mapInArrow(run, "bucket int, block binary")
+
+
+def _common_keys(t):
+    """Per bucket: rows (key, doc, keys, n, pivot) of keys that several documents have; rows with hot set stand for keys of bucket -1."""
+    import pyarrow as pa
+
+    key, doc, many, extra = (np.concatenate(x) for x in zip(*[_unpack(b, "<u8", "<i8", "<i4", "<i8") for b in t.column("block").to_pylist()]))
+    order = np.lexsort((doc, key))
+    key, doc, many, extra = key[order], doc[order], many[order], extra[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(first, len(key)))
+    n = np.repeat(np.add.reduceat(np.maximum(extra, 1), first), size)
+    pivot = np.repeat(doc[first], size)
+    keep = n > 1
+    # One hot row for a key is enough.
+    again = np.concatenate(([False], (key[1:] == key[:-1]) & (extra[1:] > 0) & (np.maximum.accumulate(np.where(extra > 0, np.arange(len(key)), -1))[:-1] >= np.repeat(first, size)[1:])))
+    keep &= ~again
+    return pa.table({"key": pa.array(key[keep].view(np.int64)), "doc": pa.array(doc[keep]), "keys": pa.array(many[keep]), "n": pa.array(n[keep]), "pivot": pa.array(pivot[keep]), "hot": pa.array(extra[keep] > 0)})
+
+
+def _lists(classes: DataFrame, cfg: NearConfig) -> DataFrame:
+    """(key, doc, keys, n, pivot): the inverted lists of keys that several documents have; keys is the document's number of keys."""
+    buckets = max(48, classes.count() * cfg.k // 500_000)
+    blocks = saved(_run_blocks(classes, buckets, cfg), "near-keys")
+    found = saved(blocks.filter("bucket >= 0").groupBy("bucket").applyInArrow(_common_keys, "key long, doc long, keys int, n long, pivot long, hot boolean"), "near-found")
+
+    def rows(batches):
+        import pyarrow as pa
+
         for b in batches:
-            key, doc, many = [], [], []
-            for d, s in zip(b.column(0).to_numpy(), b.column(1).to_pylist()):
-                v = np.frombuffer(s, np.uint64)
-                x = [_mix(v[:-2] * _P + v[1:-1] * _K2 + v[2:] * _K3)] if len(v) > 2 else []
-                if 4 <= len(v) <= 5:
-                    x.append(_mix(v[:-1] * _K2 + v[1:] * _K1 + _U(2)))
-                for y in x:
-                    key.append(np.unique(y))
-                    doc.append(np.full(len(key[-1]), d, np.int64))
-                    many.append(np.full(len(key[-1]), len(v) - 2, np.int32))
-            if key:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(many))], ["key", "doc", "keys"])
-
-    return classes.select("doc_id", "sketch").mapInArrow(run, "key long, doc long, keys int")
+            for block in b.column(0).to_pylist():
+                key, doc, many, _ = _unpack(block, "<u8", "<i8", "<i4", "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(many)], ["key", "doc", "keys"])
+
+    cold = found.filter("not hot").drop("hot")
+    crowded = blocks.filter("bucket < 0").select("block").mapInArrow(rows, "key long, doc long, keys int")
+    return cold.unionByName(crowded.join(found.filter("hot").select("key", "n", "pivot"), "key").select("key", "doc", "keys", "n", "pivot"))
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, cfg: NearConfig) -> DataFrame:
@@ -214,13 +306,28 @@ def full_sets(docs: DataFrame, ids: DataFrame, cfg: NearConfig) -> DataFrame:
     """doc_id, values (sorted hashes) of the documents in ids."""
     size = cfg.shingle
 
+    def press(batches):
+        import pyarrow as pa
+        import zstandard
+
+        for b in batches:
+            z = zstandard.ZstdCompressor(level=6)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress((t or "").encode()) for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "text"])
+
     def run(batches):
         import pyarrow as pa
+        import zstandard
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1), size)], pa.binary())], ["doc_id", "values"])
+            z = zstandard.ZstdDecompressor()
+            for a in range(0, b.num_rows, 200):  # compressed rows grow
+                part = b.slice(a, 200)
+                texts = pa.array([z.decompress(t) for t in part.column(1).to_pylist()], pa.large_binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(texts, size)], pa.binary())], ["doc_id", "values"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, values binary")
+    # Compressed texts make the shuffle of the join a third of what it would be.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(press, "doc_id long, text binary")
+    return texts.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, values binary")
 
 
 def block_links(ids: list[np.ndarray], sets: list[list[np.ndarray]], comps: list[np.ndarray], percent: int, columns: int = 4096) -> list[tuple[int, int]]:
@@ -296,9 +403,7 @@ def near_duplicates(docs: DataFrame, cfg: NearConfig = NearConfig()) -> DataFram
     first = all_docs.filter("n_shingles > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     members = saved(all_docs.join(first, "sig", "left").select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")), "near-classes")
     classes = members.filter("sketch is not null").select("doc_id", "sketch")
-    runs = _runs(classes)
-    lists = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("pivot")).filter("n > 1")
-    rows = saved(runs.join(lists, "key"), "near-lists")
+    rows = saved(_lists(classes, cfg), "near-lists")
     release(spark)
     wide = F.col("n") > cfg.wide
     spare = rows.filter(wide).groupBy("doc").agg(F.count(F.lit(1)).alias("w"), F.max("keys").alias("keys")).filter(F.col("keys") - F.col("w") >= cfg.enough).select("doc")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from facetmill.llm import bpe, html_text, lm, media, mixing, near, packing, quality, suffixes, tokens, weak
 
@@ -227,6 +228,42 @@ def test_chain_is_a_distribution():
         assert p.sum() == pytest.approx(1)
 
 
+def test_chain_keeps_every_entry(spark, sample):
+    path, cfg = bpe.default_path(), lm.LmConfig()
+    enc = bpe.load(path)
+    size = max(max(enc.whole.values()), enc.bpe.max_token_value) + 1
+    docs = sample.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_row"))
+    texts = {r["_row"]: lm.split_words(r["text"]) for r in rows(docs)}
+    train = collections.Counter(w for r in rows(docs) if not lm.is_held_out(r["doc_id"]) for w in lm.split_words(r["text"]))
+    tables, share = lm.seed_tables([], size, cfg, path)
+    learnt = docs.filter(F.col("doc_id").isin([r["doc_id"] for r in rows(docs) if not lm.is_held_out(r["doc_id"])])).select("doc_id", "text")
+    tables, chain, one, _ = lm._slices(learnt, spark.sparkContext.broadcast(tables), share, size, cfg, path, 3)
+    sums, _, _ = lm.document_sums(docs, 1_000_000, chain, 3, one, cfg, path)
+    ids, n = lm.subwords(list(train), path)
+    before, last, new, word = lm.chain_keys(ids, n, size)
+    times = np.array(list(train.values()), float)[word]
+    every = lm.Chain(*lm._summed([lm.Chain.key2(last, new), lm.Chain.key3(before, last, new)], [times, times]), one)
+    words = sorted({w for t in texts.values() for w in t})
+    logs = dict(zip(words, lm.chain_logs(*lm.subwords(words, path), one, every.found)))
+    for r in rows(sums):
+        assert r["chain"] == pytest.approx(sum(logs[w] for w in texts[r["_row"]]), rel=1e-9)
+
+
+def test_entry_seen_once_counts(spark):
+    """A held-out word scores better where training has it once than where training has its subwords in another order once."""
+    word, other = "xq4z7x", "x4qx7z"
+    x, y = (lm.subwords([w.encode()], bpe.default_path())[0].tolist() for w in (word, other))
+    assert x[0] == y[0] and sorted(x) == sorted(y) and not set(zip(x, x[1:])) & set(zip(y, y[1:]))
+    held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    names = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 10][:20]
+    score = {}
+    for w in (word, other):
+        docs = [(i, f"document {i} has a few plain words") for i in names[1:]] + [(names[0], f"a document that ends in {w}"), (held, word)]
+        got = rows(lm.language_scores(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)))
+        score[w] = next(r["score"] for r in got if r["doc_id"] == held)
+    assert score[word] > score[other] + 0.5
+
+
 # ---- 6 near duplicates
 
 

@@ -264,6 +264,23 @@ def test_entry_seen_once_counts(spark):
     assert score[word] > score[other] + 0.5
 
 
+def test_attention_learns_from_every_document(spark):
+    path, cfg = bpe.default_path(), lm.LmConfig()
+    enc = bpe.load(path)
+    size = max(max(enc.whole.values()), enc.bpe.max_token_value) + 1
+    texts = [f"document {i} has {'some plain ' * (i % 4)}words" for i in range(40)]
+    tables, share = lm.seed_tables(texts, size, cfg, path)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = lm._averaged(docs, spark.sparkContext.broadcast(tables), share, cfg, path, "test")
+    model, blocks = lm.Attention(cfg.classes), lm.Blocks(tables, share, cfg, path)
+    x, e, real, _ = blocks.of([lm.split_words(t) for t in texts])
+    assert real.sum() == sum(len(t.split()) + 1 for t in texts)
+    start = {n: a.copy() for n, a in model.w.items()}
+    model.train(x, e, real)
+    assert all(np.allclose(got[n], model.w[n]) for n in got)
+    assert any(not np.allclose(got[n], start[n]) for n in got)
+
+
 # ---- 6 near duplicates
 
 

@@ -6,8 +6,9 @@ menu, header, footer, sidebar, notice, advert, form or reader comment (by elemen
 marks its article (article or main), outside of it; else its weight is its text's length. Weights are summed over
 sliding windows of lines. In a page with a marked article the distribution surges from zero at the article's first
 line and dives to zero after its last, and every line between that has weight is kept. In other pages lines of mere
-links have no weight, a surge must reach `surge` characters, a region ends where the window is empty, and the
-region with most text is kept.
+links have no weight, a surge must reach `surge` characters, a region ends where the window is empty, and all
+lines with weight from the first surge to the last dive are kept: an advert or a list of links inside the text divides it
+into regions, and nothing between is lost. Short lines before the first surge or after the last dive are no main text.
 
 Null or empty html gives an empty text. White space inside a block becomes one space; blocks join by one space. Rows are
 independent, repeated rows get equal results, columns other than page_id, url and html are ignored.
@@ -137,7 +138,7 @@ def main_text(page: str | None, width: int = 3, surge: int = 80) -> str:
             regions.append((start, i))  # the dive point
             start = None
     if not marked:
-        regions = [max(regions, key=lambda r: sum(weights[r[0] : r[1]]))] if regions else [(0, len(lines))]
+        regions = [(regions[0][0], regions[-1][1])] if regions else [(0, len(lines))]
     return " ".join(lines[i][0] for a, z in regions for i in range(a, z) if weights[i])
 
 

@@ -121,6 +121,15 @@ def test_html():
     assert html_text.window_sums([1, 2, 3, 4], 2) == [3, 5, 7, 4]
 
 
+def test_html_keeps_every_region():
+    """Without article or main, a list of links or an advert inside the text divides it and costs nothing of it."""
+    part = [f"{'long sentence of the text ' * n}{n}" for n in (4, 8, 1, 6)]
+    links = "<ul>" + "".join(f"<li><a href={i}>related story {i}</a></li>" for i in range(4)) + "</ul>"
+    advert = "<div class=ad>" + "<p>buy now</p>" * 3 + "</div>"
+    page = f"<body><div><a href=1>home</a></div><p>{part[0]}</p>{links}<p>{part[1]}</p>{advert}<p>{part[2]}</p>{links}<p>{part[3]}</p></body>"
+    assert html_text.main_text(page) == " ".join(part)
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", "<p>Some words</p>", 1), (1, None, None, 2), (None, "v", "<<<", 3)], "page_id long, url string, html string, n_chars int")
     got = rows(html_text.extract(df))

@@ -9,7 +9,7 @@ first k places of their union with probability 0.8 or more, so that k = 64 place
 cut the rest into shorter runs; sets of up to five values also list runs of two). Lists are worked off in two rounds:
 
 1. Stars: each list gives the pairs of its smallest document with the others. Pairs whose union sketch estimates a
-   similarity of 0.6 or more are verified on full sets; links join components.
+   similarity of 0.4 or more are verified on full sets; links join components.
 2. The rest: what is left to decide are pairs of one list in different components. Lists of up to `wide` documents give
    these pairs directly. Of wider lists, a document needs none if it has `enough` narrow ones (a pair of it that has no
    narrow list in common has a probability of 4e-8); the others are compared on full sets in blocks against blocks of
@@ -47,7 +47,7 @@ class NearConfig:
     wide: int = 32
     enough: int = 48
     block: int = 256
-    estimate: float = 0.6
+    estimate: float = 0.4
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -407,7 +407,8 @@ def near_duplicates(docs: DataFrame, cfg: NearConfig = NearConfig()) -> DataFram
     release(spark)
     wide = F.col("n") > cfg.wide
     spare = rows.filter(wide).groupBy("doc").agg(F.count(F.lit(1)).alias("w"), F.max("keys").alias("keys")).filter(F.col("keys") - F.col("w") >= cfg.enough).select("doc")
-    rows = saved(rows.filter(~wide).unionByName(rows.filter(wide).join(spare, "doc", "left_anti")), "near-kept-lists")
+    narrow, spared = rows.filter(~wide).join(spare.withColumn("off", F.lit(True)), "doc", "left"), rows.filter(wide).join(spare, "doc", "left_anti")
+    rows = saved(narrow.withColumn("off", F.coalesce("off", F.lit(False))).unionByName(spared.withColumn("off", F.lit(False))), "near-kept-lists")
     sets = saved(full_sets(docs, rows.select(F.col("doc").alias("doc_id")).unionByName(rows.select(F.col("pivot").alias("doc_id"))).distinct(), cfg), "near-sets")
     release(spark)
 
@@ -420,10 +421,10 @@ def near_duplicates(docs: DataFrame, cfg: NearConfig = NearConfig()) -> DataFram
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     rest = saved(placed.join(mixed, "key", "left_semi"), "near-rest")
     narrow = rest.filter(~wide)
-    x, y = narrow.select("key", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("keys").alias("ka")), narrow.select("key", F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("keys").alias("kb"))
-    pairs = x.join(y, "key").filter("a < b and ca <> cb").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("ka", "kb")).alias("keys"))
-    # Pairs with full sketches have fewer than three runs in common with a probability of 1.4e-8.
-    pairs = pairs.filter((F.col("n") >= 3) | (F.col("keys") < cfg.k - 2)).select("a", "b")
+    x, y = narrow.select("key", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("keys").alias("ka"), F.col("off").alias("oa")), narrow.select("key", F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("keys").alias("kb"), F.col("off").alias("ob"))
+    pairs = x.join(y, "key").filter("a < b and ca <> cb").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("ka", "kb")).alias("keys"), F.max(F.col("oa") | F.col("ob")).alias("off"))
+    # Pairs with full sketches have fewer than three runs in common with a probability of 1.4e-8; documents off their wide lists have more often.
+    pairs = pairs.filter((F.col("n") >= 3) | (F.col("keys") < cfg.k - 2) | F.col("off")).select("a", "b")
     more = saved(_verified(_estimated(pairs, classes, cfg), sets, cfg.percent), "near-links")
     if rest.filter(wide).limit(1).count():
         more = more.unionByName(saved(_wide_links(rest.filter(wide), comps, sets, cfg), "near-links"))

@@ -293,6 +293,15 @@ def test_attention_learns_from_every_document(spark):
 # ---- 6 near duplicates
 
 
+def test_unlucky_sketches_are_verified(spark):
+    """Half of the first 64 places of the union in common: seen at a similarity of 80 %, if seldom, so the pair goes on to its full sets."""
+    shared, x, y = ([v for v in range(86) if v % 4 in r] for r in ((0, 2), (1,), (3,)))
+    sketches = [(i, np.array(sorted(shared + own)[:64], np.uint64).tobytes()) for i, own in ((1, x), (2, y))]
+    classes = spark.createDataFrame(sketches, "doc_id long, sketch binary")
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert rows(near._estimated(pairs, classes, near.NearConfig())) == [{"a": 1, "b": 2}]
+
+
 def components_by_force(docs, size, percent=80):
     sets, parent = {}, {}
     for r in docs:

@@ -1,4 +1,4 @@
-"""Classifiers on selected features, and their metrics. Nearest neighbours compare test rows against a bounded training table."""
+"""Classifiers on selected features, and their metrics. Nearest neighbours compare test rows with the training table in blocks."""
 
 from __future__ import annotations
 
@@ -20,17 +20,17 @@ def metrics(predicted: DataFrame) -> DataFrame:
     return each.agg((F.sum("hit") / F.sum("t")).alias("accuracy"), F.avg(F.when(F.col("t") > 0, F.col("hit") / F.col("t"))).alias("balanced_accuracy"), F.avg(f1).alias("macro_f1"))
 
 
-def nearest(train: DataFrame, test: DataFrame, features: list[int], k: int = 5, most: int = 100_000) -> DataFrame:
+def nearest(train: DataFrame, test: DataFrame, features: list[int], k: int = 5, block: int = 4096) -> DataFrame:
     """row_id, y, pred: majority of the k nearest training rows (ties: smaller id, smaller class).
 
-    The training table is the bounded side and is broadcast; more than `most` rows are refused.
+    Each test row meets blocks of some `block` training rows and keeps the k best of each; the best of those are the nearest.
     """
-    if train.count() > most:
-        raise ValueError(f"nearest neighbours take at most {most} training rows")
     pick = F.array(*[F.col("x")[j] for j in features])
-    t = F.broadcast(train.select(F.col("row_id").alias("n_id"), F.col("y").alias("n_y"), pick.alias("v")))
-    d = F.aggregate(F.zip_with("u", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    near = test.select("row_id", "y", pick.alias("u")).crossJoin(t).select("row_id", "y", "n_id", "n_y", F.round(d, 9).alias("d"))
+    blocks = max(1, -(-train.count() // block))
+    t = train.groupBy(F.pmod(F.xxhash64("row_id"), F.lit(blocks)).alias("_b")).agg(F.collect_list(F.struct(F.col("row_id").alias("n_id"), F.col("y").alias("n_y"), pick.alias("v"))).alias("t")).select("t")
+    far = lambda r: F.aggregate(F.zip_with("u", r["v"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+    best = F.slice(F.array_sort(F.transform("t", lambda r: F.struct(F.round(far(r), 9).alias("d"), r["n_id"].alias("n_id"), r["n_y"].alias("n_y")))), 1, k)
+    near = test.select("row_id", "y", pick.alias("u")).crossJoin(t).select("row_id", "y", F.explode(best).alias("b")).select("row_id", "y", "b.*")
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("row_id").orderBy("d", "n_id"))).filter(F.col("r") <= k)
     votes = near.groupBy("row_id", "y", "n_y").agg(F.count(F.lit(1)).alias("v"))
     return votes.groupBy("row_id", "y").agg(F.max_by("n_y", F.struct("v", -F.col("n_y"))).alias("pred"))

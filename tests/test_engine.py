@@ -1,3 +1,4 @@
+import collections
 import itertools
 import math
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 
 from facetmill import config
-from facetmill.operators import discretize, groups, information, objective, reporting, screening, selectors, stability, statistics
+from facetmill.operators import discretize, evaluation, groups, information, objective, reporting, screening, selectors, stability, statistics
 from facetmill.plans import selector
 from facetmill.sources import tables
 
@@ -181,3 +182,10 @@ def test_sources(spark, tmp_path):
     assert [(r["k"], r["v"]) for r in rows(tables.append_new(stored, batch, ["k"], batch["at"]))] == [(2, "z")]
     with pytest.raises(Exception, match="NaN"):
         tables.no_nan(spark.createDataFrame([([1.0, float("nan")],)], "x array<double>")).collect()
+
+
+def test_nearest_takes_any_number_of_training_rows(spark):
+    train = spark.range(100_001).selectExpr("id AS row_id", "CAST(id % 3 AS INT) AS y", "array(CAST(id AS DOUBLE)) AS x")
+    test = spark.createDataFrame([(1, 0, [50_000.0]), (2, 1, [100_000.0])], "row_id long, y int, x array<double>")
+    want = {i: sorted(collections.Counter(j % 3 for j in sorted(range(100_001), key=lambda j: (abs(j - v), j))[:5]).items(), key=lambda c: (-c[1], c[0]))[0][0] for i, v in ((1, 50_000), (2, 100_000))}
+    assert {r["row_id"]: r["pred"] for r in rows(evaluation.nearest(train, test, [0]))} == want

@@ -31,10 +31,12 @@ def learn_stems(docs: DataFrame, labels: DataFrame, share: int, shortest: int =
     totals = marks.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     if not totals["t"] or totals["t"] == totals["n"]:
         return []
+    # The sampled texts are written first: a filter on their words would else move below the join and split every text.
+    texts = saved(docs.join(F.broadcast(marks), "doc_id").select("toxic", "text"), "stem-texts")
     low = F.array_distinct(F.transform(words_of(F.col("text")), lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+", ""))))
-    words = docs.join(F.broadcast(marks), "doc_id").select("toxic", low.alias("w")).filter(F.size("w") > 0)
+    words = saved(texts.select("toxic", low.alias("w")), "stem-words").filter(F.size("w") > 0)
     # Copies count once: texts are told apart by the smallest hash of their words, which near copies mostly share.
-    words = saved(words.withColumn("text", F.array_min(F.transform("w", lambda w: F.xxhash64(w)))), "stem-words")
+    words = words.withColumn("text", F.array_min(F.transform("w", lambda w: F.xxhash64(w))))
 
     def starts(df: DataFrame) -> DataFrame:
         cut = F.explode("w")

@@ -1,15 +1,17 @@
 """Quality classifier from weak labels: heuristic labellers, expectation-maximisation, and a hashed linear scorer.
 
 Every labeller votes bad, good or abstains on a whole text; several of them look at the same kind of fault in different
-ways. Votes are counted by pattern (at most 3 ** labellers of them, whatever the input), and
-expectation-maximisation estimates from the counts how often each labeller votes what on good and on bad texts and the
-posterior of each pattern. The posteriors are the soft labels on which a logistic scorer over hashed features (presence of
-words, and levels of measures) is fitted; it is fitted on a sample of `sample` documents in expectation, chosen by a hash
-of doc_id, and scores every document. A labelled table
-only teaches one labeller the beginnings of toxic words, from a bounded sample (see lexicon).
+ways.
+ways. One pass over the texts writes each document's votes, as a pattern, and its hashed features (presence of words, and
+levels of measures); no text is read after it. Votes are counted by pattern (at most 3 ** labellers of them, whatever the
+input), and expectation-maximisation estimates from the counts how often each labeller votes what on good and on bad texts
+and the posterior of each pattern. The posteriors are the soft labels on which a logistic scorer over the features is
+fitted: on a sample chosen by a hash of doc_id, of `sample` documents and `sample_places` features in expectation at most.
+It scores every document from the written features. A labelled table only teaches one measure the beginnings of toxic
+words, from a bounded sample (see lexicon).
 
 Null and empty texts abstain everywhere, keep the class prior as posterior and are scored like others. Repeated rows get
-equal results.
+equal results. No labels: that measure is 0 everywhere.
 """
 
 from __future__ import annotations
@@ -24,28 +26,28 @@ from pyspark.sql import functions as F
 
 from . import lexicon
 from .common import saved, small_batches
-from .quality import INSULTS
 
 _WORD = re.compile(r"[^\W_]+")
 _UPPER = re.compile(r"[^\W\d_a-zß-öø-ÿ]")
-_INSULTS = frozenset(INSULTS)
 BAD, GOOD, NONE = 0, 1, 2
 #: Measure -> (lower bounds of levels). A measure's level is a feature; labellers cut at two of its values.
-LEVELS = {"symbols": (0.02, 0.1, 0.3, 1.0), "bangs": (0.02, 0.1, 0.3, 1.0), "upper": (0.1, 0.2, 0.3, 0.5), "marked": (0.05, 0.2, 0.5), "length": (3.5, 4.0, 4.5, 5.7, 6.2, 7.0), "again": (0.02, 0.1, 0.2, 0.4), "words": (0.1, 0.3, 0.45, 0.6), "pairs": (0.3, 0.5, 0.8), "lines": (0.1, 0.3, 0.6), "insults": (1.0, 2.0), "insult_share": (0.001, 0.01, 0.03), "stems": (0.001, 0.003, 0.006, 0.01, 0.02, 0.04), "stem_hits": (1.0, 2.0, 3.0, 5.0)}
+LEVELS = {"symbols": (0.02, 0.1, 0.3, 1.0), "bangs": (0.02, 0.1, 0.3, 1.0), "upper": (0.1, 0.2, 0.3, 0.5), "marked": (0.05, 0.2, 0.5), "length": (3.5, 4.0, 4.5, 5.7, 6.2, 7.0), "again": (0.02, 0.1, 0.2, 0.4), "words": (0.1, 0.3, 0.45, 0.6), "pairs": (0.3, 0.5, 0.8), "lines": (0.1, 0.3, 0.6), "stems": (0.001, 0.003, 0.006, 0.01, 0.02, 0.04), "stem_hits": (1.0, 2.0, 3.0, 5.0)}
 #: Labeller -> (measure, votes bad from, votes good below); negative: bad below, good from.
-LABELLERS = {"symbols": (0.2, 0.05), "bangs": (0.2, 0.05), "upper": (0.3, 0.15), "marked": (0.2, 0.05), "again": (0.15, 0.05), "words": (-0.25, -0.35), "pairs": (-0.45, -0.7), "lines": (0.5, 0.3), "insults": (1.0, 0.5), "insult_share": (0.0005, 0.0001), "stems": (0.01, 0.003)}
+LABELLERS = {"symbols": (0.2, 0.05), "bangs": (0.2, 0.05), "upper": (0.3, 0.15), "marked": (0.2, 0.05), "again": (0.15, 0.05), "words": (-0.25, -0.35), "pairs": (-0.45, -0.7), "lines": (0.5, 0.3), "stems": (0.01, 0.003), "stem_hits": (2.0, 0.5)}
 
 
 @dataclass(frozen=True)
 class WeakConfig:
     bits: int = 18
-    #: Expected number of documents on which the scorer is fitted.
+    #: Expected number of documents on which the scorer is fitted, and of features that they have together.
     sample: int = 12_000
+    sample_places: int = 8_000_000
     #: Labelled documents from which the stem labeller learns (at most 30 % of them).
     lexicon_rows: int = 6_000
     #: A word that fewer sampled documents have gets no weight.
     least: int = 12
     rounds: int = 200
+    em_rounds: int = 200
     decay: float = 1e-4
     cut: float = 0.5
 
@@ -60,7 +62,6 @@ def measures(text: str, stems: dict[int, frozenset[str]]) -> tuple[dict[str, flo
     low = _WORD.findall(text.lower())
     n = max(1, len(raw))
     lines = [x for x in text.split("\n") if x and not x.isspace()]
-    insults = sum(map(_INSULTS.__contains__, low))
     toxic = sum(sum(map(known.__contains__, map(operator.itemgetter(slice(k)), low))) for k, known in stems.items())
     return {
         "symbols": sum(map(text.count, "#*$%&|<>")) / n,
@@ -72,8 +73,6 @@ def measures(text: str, stems: dict[int, frozenset[str]]) -> tuple[dict[str, flo
         "words": len(set(low)) / max(1, len(low)) ** 0.85,
         "pairs": len(set(zip(low, low[1:]))) / max(1, len(low) - 1),
         "lines": 1 - len(set(lines)) / max(1, len(lines)),
-        "insults": float(insults),
-        "insult_share": insults / n,
         "stems": toxic / n,
         "stem_hits": float(toxic),
     }, low
@@ -101,7 +100,7 @@ def pattern(v: list[int]) -> int:
 class Features(dict):
     """word -> its place in the weights; remembers up to `limit` words."""
 
-    def __init__(self, bits: int, limit: int = 300_000):
+    def __init__(self, bits: int, limit: int = 150_000):
         super().__init__()
         self.size, self.limit = 1 << bits, limit
 
@@ -172,55 +171,40 @@ def classify(docs: DataFrame, labels: DataFrame, cfg: WeakConfig = WeakConfig())
     texts = docs.select("doc_id", "text")
     stems = by_length(lexicon.learn_stems(texts, labels, lexicon.sample_share(labels, cfg.lexicon_rows)))
 
-    def vote(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            found = []
-            for t in b.column(1).to_pylist():
-                m, low = measures(t or "", stems)
-                found.append(pattern(votes(m, len(low))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int32())], ["doc_id", "pattern"])
-
-    voted = saved(texts.mapInArrow(vote, f"doc_id {kind}, pattern int"), "weak-votes")
-    seen = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** labellers rows
-    patterns, counts = np.array([r["pattern"] for r in seen], np.int64), np.array([r["n"] for r in seen], float)
-    bad, _, _ = estimate(patterns, counts)
-    posterior = dict(zip(patterns.tolist(), (1 - bad).tolist()))
-    total = int(counts.sum())
     bits = cfg.bits
 
-    def features(batches):
+    def read(batches):
         import pyarrow as pa
 
         places = Features(bits)
         for b in batches:
-            rows, good = [], []
-            for t in b.column(0).to_pylist():
+            found, rows = [], []
+            for t in b.column(1).to_pylist():
                 m, low = measures(t or "", stems)
-                rows.append(np.array(sorted(places.of(m, low)), np.int32).tobytes())
-                good.append(posterior[pattern(votes(m, len(low)))])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(good, pa.float64())], ["places", "good"])
-
-    share = 1_000_000 if total <= cfg.sample else int(1_000_000 * cfg.sample / total) + 1
-    sample = texts.filter(F.pmod(F.xxhash64("doc_id", F.lit("weak")), F.lit(1_000_000)) < share).select("text").mapInArrow(features, "places binary, good double").collect()
+                found.append(pattern(votes(m, len(low))))
+                rows.append(np.fromiter(places.of(m, low), np.int32))
+                rows[-1].sort()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int32()), pa.array([len(r) for r in rows], pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "pattern", "n", "places"])
+
+    facts = saved(texts.mapInArrow(read, f"doc_id {kind}, pattern int, n int, places binary"), "weak-facts")
+    seen = facts.groupBy("pattern").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n")).collect()  # at most 3 ** labellers rows
+    patterns, counts = np.array([r["pattern"] for r in seen], np.int64), np.array([r["docs"] for r in seen], float)
+    bad, _, _ = estimate(patterns, counts, cfg.em_rounds)
+    posterior = dict(zip(patterns.tolist(), (1 - bad).tolist()))
+    share = min(1.0, cfg.sample / max(1.0, counts.sum()), cfg.sample_places / max(1, sum(r["n"] for r in seen)))
+    sample = facts.filter(F.pmod(F.xxhash64("doc_id", F.lit("weak")), F.lit(1_000_000)) < int(1_000_000 * share)).select("places", "pattern").collect()
     sample.sort()
-    weights = spark.sparkContext.broadcast(fit([np.frombuffer(r["places"], np.int32) for r in sample], np.array([r["good"] for r in sample]), cfg))
+    weights = spark.sparkContext.broadcast(fit([np.frombuffer(r["places"], np.int32) for r in sample], np.array([posterior[r["pattern"]] for r in sample]), cfg))
     cut = cfg.cut
 
     def score(batches):
         import pyarrow as pa
 
-        places, w = Features(bits), weights.value
+        w = weights.value
         for b in batches:
-            good, scores = [], []
-            for t in b.column(1).to_pylist():
-                m, low = measures(t or "", stems)
-                at = np.fromiter(places.of(m, low), np.int64)
-                good.append(posterior[pattern(votes(m, len(low)))])
-                z = float(np.sort(w[at].astype(np.float64)).sum() + w[-1])
-                scores.append(1 / (1 + np.exp(-z)) if z > -500 else 0.0)
-            kept = [s >= cut for s in scores]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(good, pa.float64()), pa.array(scores, pa.float64()), pa.array(kept, pa.bool_())], ["doc_id", "posterior", "score", "kept"])
-
-    return texts.mapInArrow(score, f"doc_id {kind}, posterior double, score double, kept boolean")
+            good = [posterior[p] for p in b.column(1).to_pylist()]
+            z = np.array([w[np.frombuffer(x, np.int32)].sum(dtype=np.float64) + w[-1] for x in b.column(2).to_pylist()])
+            scores = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(good, pa.float64()), pa.array(scores, pa.float64()), pa.array(scores >= cut, pa.bool_())], ["doc_id", "posterior", "score", "kept"])
+
+    return facts.select("doc_id", "pattern", "places").mapInArrow(score, f"doc_id {kind}, posterior double, score double, kept boolean")

@@ -58,11 +58,23 @@ def test_binomial_tail(spark):
         assert r["p"] == pytest.approx(min(1, sum(math.comb(40, i) * 0.1**i * 0.9 ** (40 - i) for i in range(r["id"] + 1))), rel=1e-9)
     deep = spark.range(1).select(quality.binomial_tail(F.lit(1000).cast("long"), F.lit(200_000).cast("long"), 0.02).alias("p")).first()["p"]
     assert 0 <= deep < 1e-200
+    for k, n, p in ((900, 50_000, 0.02), (1000, 50_000, 0.02), (1100, 50_000, 0.02), (0, 30, 0.02), (21, 2000, 0.02)):
+        log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)  # noqa: B023, E731
+        got = spark.range(1).select(quality.binomial_tail(F.lit(k), F.lit(n), p).alias("p")).first()["p"]
+        assert got == pytest.approx(math.fsum(math.exp(log(i)) for i in range(k + 1)), rel=1e-8)
+
+
+def test_copies_are_one_trial(spark):
+    """500 rows of one good text are one trial of the holdout: not enough for any cutoff."""
+    text = "plain words that make up a good document of more than ten words in all"
+    docs = spark.createDataFrame([(i, text, "en") for i in range(500)] + [(1000, "$$$ %%% " + text, "en")], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, 1, 0) for i in range(500)], "doc_id long, quality int, toxic int")
+    assert all(r["kept"] for r in rows(quality.quality_report(docs, marks)))
 
 
 def test_thresholds_stop_at_risk(spark):
     text = "plain words that make up a good document of more than ten words in all"
-    docs = spark.createDataFrame([(i, text + (" $$" if i % 20 == 0 else ""), "en") for i in range(800)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(i, f"{text} {i}" + (" $$" if i % 20 == 0 else ""), "en") for i in range(800)], "doc_id long, text string, lang string")
     marks = spark.createDataFrame([(i, 1, 0) for i in range(800)], "doc_id long, quality int, toxic int")
     assert all(r["kept"] for r in rows(quality.quality_report(docs, marks)))  # 5 % of good documents have symbols: no level may reject them
     bad = docs.unionByName(spark.createDataFrame([(1000 + i, "$$$ %%% " + text.replace(" ", " ### "), "en") for i in range(50)], docs.schema))
@@ -463,6 +475,52 @@ def test_em_recovers_rates():
     assert share == pytest.approx(0.3, abs=0.02) and np.allclose(rates[:, 0, weak.BAD], 0.7, atol=0.03)
 
 
+def test_em_by_force():
+    """Votes of single documents, one at a time and without patterns, give the posteriors that counted patterns give."""
+    rng = np.random.default_rng(6)
+    m, n = len(weak.LABELLERS), 150
+    v = rng.integers(0, 3, (n, m))
+    v[:50] = np.where(v[:50] == weak.BAD, weak.GOOD, v[:50])
+    bad = [0.95 if weak.BAD in row else 0.02 for row in v.tolist()]
+    for _ in range(7):
+        total = [[[2.0, 2.0, 1.0], [0.2, 20.0, 1.0]] for _ in range(m)]
+        for row, b in zip(v.tolist(), bad):
+            for i, x in enumerate(row):
+                total[i][0][x] += b
+                total[i][1][x] += 1 - b
+        share = (sum(bad) + 1) / (n + 2)
+        new = []
+        for row in v.tolist():
+            p = [share, 1 - share]
+            for i, x in enumerate(row):
+                p = [p[c] * total[i][c][x] / sum(total[i][c]) for c in (0, 1)]
+            new.append(p[0] / sum(p))
+        bad = new
+    patterns, at, counts = np.unique([weak.pattern(row) for row in v.tolist()], return_inverse=True, return_counts=True)
+    got, _, _ = weak.estimate(patterns, counts.astype(float), 7)
+    assert np.allclose(got[at], bad, atol=1e-9)
+
+
+def test_scores_by_force(spark, sample, labels):
+    """The registered scores are those of whole texts measured, voted and scored one by one."""
+    cfg = weak.WeakConfig()
+    got = {r["doc_id"]: r for r in rows(weak.classify(sample, labels, cfg))}
+    stems = weak.by_length(weak.lexicon.learn_stems(sample.select("doc_id", "text"), labels, weak.lexicon.sample_share(labels, cfg.lexicon_rows)))
+    places, read = weak.Features(cfg.bits), []
+    for r in rows(sample):
+        m, low = weak.measures(r["text"] or "", stems)
+        read.append((r["doc_id"], weak.pattern(weak.votes(m, len(low))), np.array(sorted(places.of(m, low)), np.int32)))
+    patterns, counts = np.unique([p for _, p, _ in read], return_counts=True)
+    bad, _, _ = weak.estimate(patterns, counts.astype(float))
+    good = dict(zip(patterns.tolist(), (1 - bad).tolist()))
+    order = sorted(read, key=lambda x: (x[2].tobytes(), x[1]))
+    w = weak.fit([x[2] for x in order], np.array([good[x[1]] for x in order]), cfg)
+    for d, p, at in read:
+        z = sum(float(w[i]) for i in at) + float(w[-1])
+        assert got[d]["posterior"] == pytest.approx(good[p], abs=1e-9) and got[d]["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+        assert got[d]["kept"] == (got[d]["score"] >= 0.5)
+
+
 # ---- 9 suffixes
 
 

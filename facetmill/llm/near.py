@@ -16,7 +16,7 @@ cut the rest into shorter runs; sets of up to five values also list runs of two)
    their cluster of lists, with no cap, except blocks within one component. Blocks multiply 0/1 matrices of the values.
 
 Null and empty texts have no shingles, n_shingles 0 and are linked with nothing. Rows with a null doc_id are kept and have
-no component. Repeated doc_ids are one node.
+no component. Repeated doc_ids are one node: what any of their rows is linked with, all of them are.
 """
 
 from __future__ import annotations
@@ -69,13 +69,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         _POWERS[:] = []
         for base in (int(_P), pow(int(_P), -1, 1 << 64)):
-            x = np.full(max(n, 1 << 20), base, np.uint64)
+            x = np.full(max(n, 1 << 19), base, np.uint64)
             x[0] = 1
             _POWERS.append(np.multiply.accumulate(x))
     return _POWERS[0], _POWERS[1]
 
 
-def word_hashes(data: bytes, offsets: np.ndarray, piece: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: bytes, offsets: np.ndarray, piece: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of several texts that lie one after the other in data, and the number of the text of each word.
 
     Works on pieces of some 2 MB that end at white space, so a very long text needs no more memory than others.
@@ -203,7 +203,7 @@ def _run_blocks(classes: DataFrame, buckets: int, cfg: NearConfig) -> DataFrame:
             for d, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 held.append((run_keys(np.frombuffer(s, np.uint64)), d))
                 n += len(held[-1][0])
-            if n >= 1_000_000:
+            if n >= 400_000:
                 yield out()
                 n = 0
         if n:
@@ -399,9 +399,15 @@ def near_duplicates(docs: DataFrame, cfg: NearConfig = NearConfig()) -> DataFram
     """doc_id, n_shingles, component_id (smallest doc_id that is reachable), kept: a row for each row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    all_docs = saved(sketch_table(docs, cfg), "near-sketches")
-    first = all_docs.filter("n_shingles > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    members = saved(all_docs.join(first, "sig", "left").select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")), "near-classes")
+    all_docs = saved(sketch_table(docs, cfg).withColumn("uid", F.monotonically_increasing_id()), "near-sketches")
+    known = all_docs.filter("n_shingles > 0 and doc_id is not null")
+    # Equal sets: their table is written, so that the join with it is a plain one whose crowded classes are dealt to many tasks.
+    first = saved(known.groupBy("sig").agg(F.min(F.struct("doc_id", "uid")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("sig"), F.col("f.doc_id").alias("rep"), F.col("f.uid").alias("first")), "near-copies")
+    sketch = F.when(F.col("uid") == F.col("first"), F.col("sketch"))
+    same = known.join(first, "sig", "left").withColumn("first", F.coalesce("first", "uid")).select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), sketch.alias("sketch"), "sig")
+    other = all_docs.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("binary").alias("sketch"), "sig")
+    members = saved(same.unionByName(other), "near-classes")
+    twice = _one_node(members)
     classes = members.filter("sketch is not null").select("doc_id", "sketch")
     rows = saved(_lists(classes, cfg), "near-lists")
     release(spark)
@@ -413,8 +419,10 @@ def near_duplicates(docs: DataFrame, cfg: NearConfig = NearConfig()) -> DataFram
     release(spark)
 
     stars = rows.filter("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-    links = saved(_verified(_estimated(stars, classes, cfg), sets, cfg.percent), "near-links")
-    comps = saved(components(links), "near-components")
+    links = _verified(_estimated(stars, classes, cfg), sets, cfg.percent)
+    if twice is not None:  # the sets of one doc_id are one node
+        links = links.unionByName(twice.filter("rep is not null").select(F.col("rep").alias("a"), F.col("least").alias("b")))
+    comps = saved(components(saved(links, "near-links")), "near-components")
     release(spark)
 
     placed = rows.join(comps, F.col("doc") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "doc")).drop("node", "root")
@@ -436,16 +444,32 @@ def near_duplicates(docs: DataFrame, cfg: NearConfig = NearConfig()) -> DataFram
         every = c.unionByName(over.select(F.col("root").alias("node"), "root").join(c, "node", "left_anti")).join(over, "root", "left")
         comps = saved(every.select("node", F.coalesce("top", "root").alias("root")), "near-components")
     comps = comps.select(F.col("node").alias("rep"), "root")
+    if twice is not None:  # rows without words are the node of the doc_id's other rows
+        have = twice.filter("least is not null").select("doc_id", "least").distinct()
+        members = members.join(have, "doc_id", "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "least")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
     out = members.join(comps, "rep", "left").select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
+def _one_node(members: DataFrame) -> DataFrame | None:
+    """doc_id, rep, least of the doc_ids whose rows have different sets: each class's rep and the least of them; None if there are none."""
+    several = members.filter("doc_id is not null").groupBy("doc_id").agg(F.min("sig").alias("x"), F.max("sig").alias("y"), F.min("rep").alias("least")).filter("x <> y").select("doc_id", "least")
+    several = saved(several, "near-repeated")
+    return saved(members.join(several, "doc_id").select("doc_id", "rep", "least").distinct(), "near-repeated") if several.limit(1).count() else None
+
+
 def keep_one(docs: DataFrame, cfg: NearConfig = NearConfig()) -> DataFrame:
-    """docs with one document of each component (the smallest doc_id); its columns stay as they are."""
+    """docs with one document of each component (the smallest doc_id); its columns stay as they are, whatever their names.
+
+    Rows of one doc_id are one document: if it stays, every different text of it stays once, with the least row (as JSON).
+    """
     found = saved(near_duplicates(docs, cfg), "near-result")
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    if found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        left = left.filter("doc_id is null").unionByName(left.filter("doc_id is not null").dropDuplicates(["doc_id"]))
-    return left
+    row = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct("*").alias("_doc"))
+    left = row.join(found.filter("not kept").select(F.col("doc_id").alias("_id")).distinct(), "_id", "left_anti")
+    again = found.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1").select("_id")
+    again = saved(again, "near-again")
+    if again.limit(1).count():
+        least = left.join(again, "_id", "left_semi").groupBy("_id", F.col("_doc.text").alias("_t")).agg(F.min_by("_doc", F.to_json("_doc")).alias("_doc"))
+        left = left.join(again, "_id", "left_anti").unionByName(least.select("_id", "_doc"))
+    return left.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])

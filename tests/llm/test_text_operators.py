@@ -375,6 +375,14 @@ def test_near_crowded_keys(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in rows(near.near_duplicates(docs, cfg))} == want
 
 
+def test_repeated_ids_are_one_node(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (5, "a b c d"), (5, "x y z w"), (7, "x y z w"), (9, "k l m n"), (9, ""), (3, "k l m n"), (12, ""), (12, None), (20, "p q r"), (20, "s t u")], "doc_id long, text string")
+    got = rows(near.near_duplicates(docs, near.NearConfig(shingle=2)))
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (5, 1), (7, 1), (9, 3), (3, 3), (12, 12), (20, 20)} and len(got) == 11
+    kept = near.keep_one(docs, near.NearConfig(shingle=2))
+    assert sorted((r["doc_id"], r["text"] or "") for r in rows(kept)) == [(1, "a b c d"), (3, "k l m n"), (12, ""), (12, ""), (20, "p q r"), (20, "s t u")]
+
+
 def test_keep_one(awkward):
     kept = near.keep_one(awkward, near.NearConfig(shingle=2))
     ids = [r["doc_id"] for r in rows(kept)]

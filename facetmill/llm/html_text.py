@@ -1,12 +1,14 @@
 """Main text of web pages by the distribution of text over lines.
 
 Markup is stripped in one pass over the page: every block element and line break starts a line, inline elements do not,
-raw elements (scripts, styles) and comments vanish, character references are decoded. A line has no weight if it lies in a
-menu, header, footer, sidebar, notice, advert, form or reader comment (by element, role, class or id), or, where the page
-marks its article (article or main), outside of it; else its weight is its text's length. Weights are summed over
-sliding windows of lines. In a page with a marked article the distribution surges from zero at the article's first
-line and dives to zero after its last, and every line between that has weight is kept. In other pages lines of mere
-links have no weight, a surge must reach `surge` characters, a region ends where the window is empty, and all
+raw elements (scripts, styles) and comments vanish, character references are decoded. A line weighs its text's length;
+it weighs nothing in a menu, header, footer, sidebar, notice, advert, form or reader comment (by element, role, class or
+id), outside the article where the page marks one (article or main), and, where it marks none, if it is mostly links.
+Names of classes and ids count as parts ("main-nav") where no article is marked, inside a marked article as a whole only
+("comments", not "side-effects").
+
+Weights are summed over sliding windows of `width` lines. The distribution surges at the first window of at least `surge`
+characters (of any, where an article is marked: nothing else has weight there) and dives where a window is empty. All
 lines with weight from the first surge to the last dive are kept: an advert or a list of links inside the text divides it
 into regions, and nothing between is lost. Short lines before the first surge or after the last dive are no main text.
 
@@ -35,21 +37,31 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _DROP_TAGS = frozenset("nav header footer aside form button dialog menu head audio video".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
-#: Parts of class and id names that mark what is not main text.
-_DROP_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay"
-    r"|sidebar|side|aside|menu|nav|navbar|navigation|breadcrumbs?|footer|foot|header|masthead|topbar|comments?|commentlist|replies|reply|respond|discussion|disqus"
-    r"|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|widget|pagination|pager|toolbar)(?:$|[-_\s])",
-    re.I,
+#: Names of classes and ids that mark what is not main text: alone, and for the first group also as a part of a name.
+_DROP_PARTS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr popup modal overlay sidebar aside"
+    " menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist disqus newsletter subscribe signup login"
+    " pagination pager toolbar share sharing".split()
 )
+_DROP_NAMES = _DROP_PARTS | frozenset("notice notices alert side foot head replies reply respond discussion social related recommended search widget".split())
+_BETWEEN = re.compile(r"[-_]+")
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
 
+def _drops(names: str, whole: bool) -> bool:
+    """Whether a class or id attribute marks what is not main text; whole: parts of names do not count."""
+    for name in names.lower().split():
+        if name in _DROP_NAMES or not whole and not _DROP_PARTS.isdisjoint(_BETWEEN.split(name)):
+            return True
+    return False
+
+
 def lines_of(page: str) -> list[tuple[str, str, bool, bool]]:
     """(text, text inside links, dropped, inside the marked article) of each line with text, in page order."""
     lines, text, links = [], [], []
-    stack: list[tuple[str, bool, bool]] = []  # element, whether it drops, whether it is the article
-    drops = marks = anchors = 0
+    stack: list[tuple[str, bool, bool, int]] = []  # element, whether it drops, whether it is the article, inline elements on top before it
+    opened: dict[str, int] = {}
+    drops = marks = inline = 0
 
     def close() -> None:
         if text:
@@ -60,18 +72,18 @@ def lines_of(page: str) -> list[tuple[str, str, bool, bool]]:
             links.clear()
 
     def pop_to(tag: str) -> None:
-        nonlocal drops, marks, anchors
+        nonlocal drops, marks, inline
         while stack:
-            name, drop, mark = stack.pop()
+            name, drop, mark, inline = stack.pop()
             drops -= drop
             marks -= mark
-            anchors -= name == "a"
+            opened[name] -= 1
             if name == tag:
                 return
 
     def say(part: str) -> None:
         text.append(part)
-        if anchors:
+        if opened.get("a"):
             links.append(part)
 
     at = 0
@@ -85,26 +97,25 @@ def lines_of(page: str) -> list[tuple[str, str, bool, bool]]:
         if tag not in _INLINE:
             close()
         if m["end"]:
-            if any(name == tag for name, _, _ in stack):
+            if opened.get(tag):
                 pop_to(tag)
             continue
         if tag in _VOID or (m["attrs"] or "").endswith("/"):
             continue
-        if tag not in _INLINE and stack and stack[-1][0] == "p":
-            pop_to("p")
-        elif tag not in _INLINE and any(name == "p" for name, _, _ in stack) and all(name in _INLINE or name == "p" for name, _, _ in stack[[i for i, x in enumerate(stack) if x[0] == "p"][-1] :]):
-            pop_to("p")
+        if tag not in _INLINE and len(stack) > inline and stack[-1 - inline][0] == "p":
+            pop_to("p")  # a block ends a paragraph and what is inline in it
         if tag == "li" and stack and stack[-1][0] == "li":
             pop_to("li")
         named = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m["attrs"])}
         drop = tag in _DROP_TAGS or named.get("role", "").lower() in _DROP_ROLES
-        if not drop and tag not in ("html", "body", "main"):
-            drop = any(_DROP_NAMES.search(named.get(k, "")) for k in ("class", "id"))
+        if not drop and tag not in ("html", "body", "main", "article"):
+            drop = any(_drops(named.get(k, ""), marks > 0) for k in ("class", "id"))
         mark = not drop and (tag in ("article", "main") or named.get("role", "").lower() in ("main", "article"))
-        stack.append((tag, drop, mark))
+        stack.append((tag, drop, mark, inline))
+        opened[tag] = opened.get(tag, 0) + 1
+        inline = inline + 1 if tag in _INLINE else 0
         drops += drop
         marks += mark
-        anchors += tag == "a"
     if at < len(page):
         say(page[at:])
     close()
@@ -127,19 +138,21 @@ def main_text(page: str | None, width: int = 3, surge: int = 80) -> str:
     lines = lines_of(page)
     marked = any(mark and not drop for _, _, drop, mark in lines)
     if marked:
-        weights, surge, width = [0 if drop or not mark else len(t) for t, _, drop, mark in lines], 1, 1
+        weights, surge = [0 if drop or not mark else len(t) for t, _, drop, mark in lines], 1
     else:
         weights = [0 if drop or 2 * len(a) > len(t) else len(t) for t, a, drop, _ in lines]
-    sums, regions, start = window_sums(weights, width), [], None
-    for i, s in enumerate([*sums, 0]):
-        if start is None and s >= surge:
-            start = i  # the surge point
-        elif start is not None and s == 0:
-            regions.append((start, i))  # the dive point
-            start = None
-    if not marked:
-        regions = [(regions[0][0], regions[-1][1])] if regions else [(0, len(lines))]
-    return " ".join(lines[i][0] for a, z in regions for i in range(a, z) if weights[i])
+    start, end, inside = None, 0, False
+    for i, s in enumerate(window_sums(weights, width)):
+        if s >= surge:
+            inside = True  # a surge
+            start = i if start is None else start
+        elif not s:
+            inside = False  # a dive
+        if inside:
+            end = i + width
+    if start is None:
+        start, end = 0, len(lines)
+    return " ".join(t for (t, _, _, _), w in zip(lines[start:end], weights[start:end]) if w)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -142,6 +142,62 @@ def test_html_keeps_every_region():
     assert html_text.main_text(page) == " ".join(part)
 
 
+def test_names_inside_the_article():
+    page = '<body><article><div class="widget-text"><p>Body one.</p></div><section id="side-effects">Two.</section><div class="ad">Buy</div><p class="search-results">Three.</p><div id=comments>first!</div></article></body>'
+    assert html_text.main_text(page) == "Body one. Two. Three."
+
+
+def test_every_page_by_another_parser(spark):
+    """What a tree parser finds inside the article, block by block, on the whole table."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.blocks = 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            if tag not in ("b", "a", "i", "em", "strong", "span"):
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            if tag not in ("b", "a", "i", "em", "strong", "span"):
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1] += data
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {}
+    for r in rows(pages):
+        parser = Article()
+        parser.feed(r["html"])
+        parser.close()
+        blocks = [re.sub(r"[\x20\x09-\x0D]+", " ", b).strip(" ") for b in parser.blocks]
+        want[r["page_id"]] = (r["url"], " ".join(b for b in blocks if b))
+    got = rows(html_text.extract(pages))
+    assert {r["page_id"]: (r["url"], r["text"]) for r in got} == want and len(got) == len(want)
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<b>", "</b>", "<li>", "<br>", "word ", "&lt;", "<article>", "</article>", "<nav>", "</nav>", "<", "<!--", "-->"]), max_size=40))
+def test_no_page_breaks(parts):
+    page = "".join(parts)
+    text = html_text.main_text(page)
+    assert text == " ".join(text.split(" ")).strip(" ")
+    assert html_text.main_text(page + "<!-- x -->") == text or "<!--" in page
+
+
+def test_long_and_deep_pages(spark, empty):
+    deep = "<div><b>" * 20_000 + "<article>" + "<p>some words of the text" * 20_000 + "</article>"
+    assert html_text.main_text(deep).count("some words of the text") == 20_000
+    assert rows(html_text.extract(empty.selectExpr("doc_id AS page_id", "lang AS url", "text AS html"))) == []
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", "<p>Some words</p>", 1), (1, None, None, 2), (None, "v", "<<<", 3)], "page_id long, url string, html string, n_chars int")
     got = rows(html_text.extract(df))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -31,6 +32,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders that a run of `scope` has written, innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and a lost executor costs nothing of it.
 
@@ -38,7 +43,44 @@ def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """
     path = new_folder(df.sparkSession, name)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._saved_at = path
+    return back
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `saved` that no plan reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._saved_at)
+
+
+@contextlib.contextmanager
+def scope(before: list[str], docs: DataFrame):
+    """Collects in `before` the folders that are written inside.
+
+    What it held from an earlier run goes, but for folders that docs still reads: its result has been written by now.
+    """
+    spark, old = docs.sparkSession, list(before)
+    before.clear()
+    if old:
+        read = docs.inputFiles()
+        for path in old:
+            if any(f"{os.path.basename(path)}/" in f for f in read):
+                before.append(path)
+            else:
+                _delete(spark, path)
+    _SCOPES.append(before)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
 
 
 def release(spark: SparkSession) -> None:

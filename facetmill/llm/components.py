@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, saved
+from .common import discard, release, saved
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
@@ -23,7 +23,8 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         large = sym.filter("b > a").join(least, F.col("a") == F.col("u")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(low, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*").filter("a <> b").distinct()
-        e = saved(small, "links")
+        before, e = e, saved(small, "links")
+        discard(before)
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))).alias("h")).first()
         if last == (now["n"], now["h"]):
             break

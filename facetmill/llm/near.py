@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, saved, small_batches
+from .common import discard, release, saved, small_batches
 from .components import components
 from .suffixes import _pack, _unpack
 
@@ -231,7 +231,7 @@ def _common_keys(t):
 
 
 def _lists(classes: DataFrame, cfg: NearConfig) -> DataFrame:
-    """(key, doc, keys, n, pivot): the inverted lists of keys that several documents have; keys is the document's number of keys."""
+    """(key, doc, keys, n, pivot), written: the inverted lists of keys that several documents have; keys is the document's number of keys."""
     buckets = max(48, classes.count() * cfg.k // 500_000)
     blocks = saved(_run_blocks(classes, buckets, cfg), "near-keys")
     found = saved(blocks.filter("bucket >= 0").groupBy("bucket").applyInArrow(_common_keys, "key long, doc long, keys int, n long, pivot long, hot boolean"), "near-found")
@@ -246,7 +246,9 @@ def _lists(classes: DataFrame, cfg: NearConfig) -> DataFrame:
 
     cold = found.filter("not hot").drop("hot")
     crowded = blocks.filter("bucket < 0").select("block").mapInArrow(rows, "key long, doc long, keys int")
-    return cold.unionByName(crowded.join(found.filter("hot").select("key", "n", "pivot"), "key").select("key", "doc", "keys", "n", "pivot"))
+    lists = saved(cold.unionByName(crowded.join(found.filter("hot").select("key", "n", "pivot"), "key").select("key", "doc", "keys", "n", "pivot")), "near-lists")
+    discard(blocks, found)
+    return lists
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, cfg: NearConfig) -> DataFrame:
@@ -407,14 +409,16 @@ def near_duplicates(docs: DataFrame, cfg: NearConfig = NearConfig()) -> DataFram
     same = known.join(first, "sig", "left").withColumn("first", F.coalesce("first", "uid")).select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), sketch.alias("sketch"), "sig")
     other = all_docs.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("binary").alias("sketch"), "sig")
     members = saved(same.unionByName(other), "near-classes")
+    discard(all_docs, first)
     twice = _one_node(members)
     classes = members.filter("sketch is not null").select("doc_id", "sketch")
-    rows = saved(_lists(classes, cfg), "near-lists")
+    lists = rows = _lists(classes, cfg)
     release(spark)
     wide = F.col("n") > cfg.wide
     spare = rows.filter(wide).groupBy("doc").agg(F.count(F.lit(1)).alias("w"), F.max("keys").alias("keys")).filter(F.col("keys") - F.col("w") >= cfg.enough).select("doc")
     narrow, spared = rows.filter(~wide).join(spare.withColumn("off", F.lit(True)), "doc", "left"), rows.filter(wide).join(spare, "doc", "left_anti")
     rows = saved(narrow.withColumn("off", F.coalesce("off", F.lit(False))).unionByName(spared.withColumn("off", F.lit(False))), "near-kept-lists")
+    discard(lists)
     sets = saved(full_sets(docs, rows.select(F.col("doc").alias("doc_id")).unionByName(rows.select(F.col("pivot").alias("doc_id"))).distinct(), cfg), "near-sets")
     release(spark)
 
@@ -443,6 +447,7 @@ def near_duplicates(docs: DataFrame, cfg: NearConfig = NearConfig()) -> DataFram
         over = components(over.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
         every = c.unionByName(over.select(F.col("root").alias("node"), "root").join(c, "node", "left_anti")).join(over, "root", "left")
         comps = saved(every.select("node", F.coalesce("top", "root").alias("root")), "near-components")
+    discard(sets, rows)
     comps = comps.select(F.col("node").alias("rep"), "root")
     if twice is not None:  # rows without words are the node of the doc_id's other rows
         have = twice.filter("least is not null").select("doc_id", "least").distinct()

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import release, saved, small_batches
+from .common import discard, release, saved, small_batches
 
 _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0xFF51AFD7ED558CCD)
@@ -546,6 +546,7 @@ def remove_repeats(docs: DataFrame, cfg: SuffixConfig = SuffixConfig(), as_text:
     release(spark)
     runs = near.groupBy("shard").cogroup(_sharded(docs.select("doc_id", "text"), shards).groupBy("_shard")).applyInArrow(_cut_runs(shards, cfg), "bucket int, block binary")
     spans = saved(runs.groupBy("bucket").applyInArrow(_spans(shards, cfg), "shard int, block binary").unionByName(_copies(facts, shards, cfg)), "suffix-spans")
+    discard(near, facts)
     release(spark)
     others = [f for f in docs.schema.fields if f.name != "text"]
     schema = StructType([*others, StructField("_n_bytes", LongType()), StructField("_n_removed", LongType())])

@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences: each stage reads what its predecessor kept."""
+"""From raw documents to packed training sequences: each stage reads what its predecessor kept.
+
+Rows may have nulls in any column, repeated doc_ids and further columns of any name: what each stage does with them stands
+in its operator's docstring. Null and empty texts fail the base rule, so no stage but the first meets any of the input's;
+an empty table gives an empty result. Without labels only the base rule rejects.
+"""
 
 from __future__ import annotations
 
@@ -7,27 +12,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from facetmill.llm import mixing, near, packing, quality, suffixes
-from facetmill.llm.common import saved, table
+from facetmill.llm.common import saved, scope, table
+
+
+#: Folders that the stage before wrote for itself; they go when the next stage gets that stage's written result.
+_FOLDERS: list[str] = []
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.quality_filter(docs, table(spark, sf_dir, "labels"))
+    """Documents that the base rule or a cutoff rejects go."""
+    with scope(_FOLDERS, docs):
+        return quality.quality_filter(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near.keep_one(docs)
+    """One document of each group of near-duplicates stays."""
+    with scope(_FOLDERS, docs):
+        return near.keep_one(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffixes.strip_repeats(docs)
+    """Repeated strings go; so do documents of which nothing remains."""
+    with scope(_FOLDERS, docs):
+        return suffixes.strip_repeats(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(docs)
+    """A row for each copy of a document that the mix takes, in training order."""
+    with scope(_FOLDERS, docs):
+        return mixing.mix_documents(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    """Pieces of token sequences with their place in packed sequences."""
+    with scope(_FOLDERS, docs):
+        return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -38,7 +57,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Not expressible in SQL (shingle components, suffix matches, tokenization): tests hold it against brute force.
+#: Not expressible in SQL (learned stems, hashes of Spark, tokenization): tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

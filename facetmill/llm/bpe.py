@@ -5,9 +5,10 @@ vocabulary strings are a token by themselves. `whole_tokens` proves for every vo
 whether it is one pre-token that stays one token; those are counted and encoded by lookup from the start. Others are
 merged once by rank and remembered in a cache of bounded size.
 
-Texts of common Latin characters are split by a pattern of explicit classes that Python's `re` runs fast; any other text
-is split and merged whole by the library's own pattern. Strings of added special tokens inside a text are handled as the
-library does by default: each is one token and splits the text.
+Texts of common Latin characters are split by a pattern of explicit classes that Python's `re` runs fast, those of any
+other script by the vocabulary's own pattern; pre-tokens of both are looked up alike. Only a text with a character that
+Unicode has taken in of late, on whose class versions differ, is left to the library whole. Strings of added special
+tokens inside a text are handled as the library does by default: each is one token and splits the text.
 """
 
 from __future__ import annotations
@@ -29,6 +30,19 @@ _OTHER = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\x85 -ɏ‐-‧‰-⁞₠-₵←-
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+@functools.lru_cache(maxsize=1)
+def _patterns():
+    """The split pattern, and a pattern of the letters, digits and spaces that this Python's older Unicode tables do not know."""
+    import sys
+    import unicodedata
+
+    import regex
+
+    every = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)]))
+    new = [c for c in regex.findall(r"[\p{L}\p{N}\s]", every) if unicodedata.category(c) == "Cn"]
+    return regex.compile(PATTERN), regex.compile(f"[{''.join(map(regex.escape, new))}]") if new else None
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -60,7 +74,7 @@ class _Cache(dict):
 
 
 class WordBpe:
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 200_000):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -78,8 +92,15 @@ class WordBpe:
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.bpe = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.whole = self.whole_tokens(ranks)
-        self.counts = _Cache(dict.fromkeys(self.whole, 1), lambda w: len(self.bpe.encode_ordinary(w)), limit)
-        self.bytes = _Cache({w: np.uint32(i).astype("<u4").tobytes() for w, i in self.whole.items()}, lambda w: np.array(self.bpe.encode_ordinary(w), "<u4").tobytes(), limit)
+        self.limit = limit
+
+    @functools.cached_property
+    def counts(self) -> _Cache:
+        return _Cache(dict.fromkeys(self.whole, 1), lambda w: len(self.bpe.encode_ordinary(w)), self.limit)
+
+    @functools.cached_property
+    def bytes(self) -> _Cache:
+        return _Cache({w: np.uint32(i).astype("<u4").tobytes() for w, i in self.whole.items()}, lambda w: np.array(self.bpe.encode_ordinary(w), "<u4").tobytes(), self.limit)
 
     def whole_tokens(self, ranks: dict[bytes, int]) -> dict[str, int]:
         found = {}
@@ -88,10 +109,18 @@ class WordBpe:
                 word = token.decode()
             except UnicodeDecodeError:
                 continue
-            if not _OTHER.search(word) and _FAST.findall(word) == [word] and self.bpe.encode_ordinary(word) == [i]:
+            if self.pre_tokens(word) == [word] and self.bpe.encode_ordinary(word) == [i]:
                 found[word] = i
         return found
 
+    @staticmethod
+    def pre_tokens(text: str) -> list[str] | None:
+        """The parts that are merged by themselves; None if only the library can tell."""
+        if not _OTHER.search(text):
+            return _FAST.findall(text)
+        pattern, unsure = _patterns()
+        return None if unsure and unsure.search(text) else pattern.findall(text)
+
     def _parts(self, text: str):
         return self.split.split(text) if self.split and any(s in text for s in self.special) else (text,)
 
@@ -100,10 +129,10 @@ class WordBpe:
         for part in self._parts(text):
             if part in self.special:
                 n += 1
-            elif _OTHER.search(part):
+            elif (words := self.pre_tokens(part)) is None:
                 n += len(self.bpe.encode_ordinary(part))
             else:
-                n += sum(map(self.counts.__getitem__, _FAST.findall(part)))
+                n += sum(map(self.counts.__getitem__, words))
         return n
 
     def ids(self, text: str) -> bytes:
@@ -112,10 +141,10 @@ class WordBpe:
         for part in self._parts(text):
             if part in self.special:
                 out.append(np.array([self.special[part]], "<u4").tobytes())
-            elif _OTHER.search(part):
+            elif (words := self.pre_tokens(part)) is None:
                 out.append(np.array(self.bpe.encode_ordinary(part), "<u4").tobytes())
             else:
-                out.append(b"".join(map(self.bytes.__getitem__, _FAST.findall(part))))
+                out.append(b"".join(map(self.bytes.__getitem__, words)))
         return b"".join(out)
 
 

@@ -42,7 +42,8 @@ def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     by: a column of few values; rows of each are written to a folder of their own, so that a filter on it reads no others.
     """
     path = new_folder(df.sparkSession, name)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     if _SCOPES:
         _SCOPES[-1].append(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -61,6 +62,11 @@ def discard(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df._saved_at)
 
 
+def discard_part(df: DataFrame, part: str) -> None:
+    """Delete one folder (column=value) of a table that `saved` has written by this column."""
+    _delete(df.sparkSession, f"{df._saved_at}/{part}")
+
+
 @contextlib.contextmanager
 def scope(before: list[str], docs: DataFrame):
     """Collects in `before` the folders that are written inside.

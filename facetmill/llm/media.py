@@ -4,9 +4,10 @@ Writing: every task streams its rows into zip archives of bounded size (stored m
 under a temporary name that is renamed when it is complete. Only archives that a successful task reports go into the
 manifest, so what a lost or repeated task left behind is never read.
 
-Reading: the data source plans partitions as byte ranges over the archives of the manifest from their sizes alone. The
-reader of a range takes the members whose header starts in it, reads each by its offset, checks its checksum, and repeats
-a failed member by itself on a newly opened file. Results stream as Arrow batches of bounded bytes.
+Reading: the data source plans partitions as byte ranges over the archives' directories, from the manifest alone. The
+reader of a range reads its stretch of the directory, then each member by its offset, checks its checksum, and repeats a
+failed member by itself on a newly opened file. Payloads stream as a column in Arrow batches of bounded bytes; digests and
+the feature are computed from that column.
 
 The image is a PNG of 64 pixels of three 8-bit samples a row (192 bytes); the payload is padded with bytes 32 to full
 rows, one at least. Null text is empty. Equal texts give equal images; repeated rows are stored once each.
@@ -15,7 +16,6 @@ rows, one at least. Null text is empty. Equal texts give equal images; repeated
 from __future__ import annotations
 
 import hashlib
-import io
 import json
 import struct
 import time
@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .common import new_folder, small_batches
@@ -96,8 +97,12 @@ def open_fs(url: str):
     return fs.FileSystem.from_uri(url)
 
 
-def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 64_000_000) -> list[tuple[str, int]]:
-    """Store every text as an image; returns the manifest: (archive, bytes). Its length is the number of archives."""
+def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 256_000_000, range_bytes: int = 16_000_000) -> list[tuple]:
+    """Store every text as an image; returns the manifest: (archive, start, end, directory start, directory end) of each range.
+
+    docs: key (string) and text. A range holds whole members; its entries lie together in the archive's directory. The
+    manifest has as many rows as the job that reads it has tasks.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -108,18 +113,26 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 64_000_000
         made, stream, archive, name = [], None, None, ""
 
         def finish():
+            members = archive.infolist()
             archive.close()
             size = stream.tell()
             stream.close()
             store.move(f"{root}/{name}.tmp", f"{root}/{name}")
-            made.append((name, size))
+            at, start, entry = 0, archive.start_dir, archive.start_dir
+            for i, m in enumerate(members):
+                entry += 46 + len(m.filename.encode())
+                last = i + 1 == len(members)
+                end = size if last else members[i + 1].header_offset
+                if last or end - at >= range_bytes:
+                    made.append((name, at, end, start, entry))
+                    at, start = end, entry
 
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if archive is None:
                     name = f"{uuid.uuid4().hex}.zip"
                     stream = store.open_output_stream(f"{root}/{name}.tmp")
-                    archive = zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED)
+                    archive = zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED, allowZip64=False)
                 data = (text or "").encode()
                 member = zipfile.ZipInfo(f"{len(data)}/{urllib.parse.quote(json.dumps(key), safe='')}.png")
                 archive.writestr(member, encode_image(padded(data)))
@@ -128,27 +141,28 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 64_000_000
                     archive = None
         if archive is not None:
             finish()
-        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], ["archive", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], pa.int64() if i else pa.string()) for i in range(5)], ["archive", "start", "end", "first", "last"])
 
-    return [(r["archive"], r["bytes"]) for r in docs.select("doc_id", "text").mapInArrow(run, "archive string, bytes long").collect()]
+    rows = docs.select("key", "text").mapInArrow(run, "archive string, start long, end long, first long, last long").collect()
+    return [tuple(r) for r in rows]
 
 
 @dataclass
 class Range(InputPartition):
     archive: str
-    start: int
-    end: int
+    first: int
+    last: int
 
 
 class MediaSource(DataSource):
-    """Options: path (folder), manifest (JSON list of [archive, bytes] in a file), rangeBytes, keyType, retries."""
+    """Payloads of archives. Options: path (folder), manifest (JSON list of write_archives in a file), batchBytes, retries."""
 
     @classmethod
     def name(cls) -> str:
         return "media_archive"
 
     def schema(self) -> str:
-        return f"doc_id {self.options.get('keyType', 'bigint')}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, archive string, member_offset long"
+        return "key string, n_bytes long, payload binary, media_bytes long, media_sha256 string, archive string, member_offset long"
 
     def reader(self, schema) -> DataSourceReader:
         return MediaReader(dict(self.options))
@@ -156,17 +170,15 @@ class MediaSource(DataSource):
 
 class MediaReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.folder = options["path"]
-        self.manifest = options["manifest"]
-        self.step = int(options.get("rangebytes", options.get("rangeBytes", 16_000_000)))
-        self.kind = options.get("keytype", options.get("keyType", "bigint"))
-        self.retries = int(options.get("retries", 3))
+        options = {k.lower(): v for k, v in options.items()}
+        self.folder, self.manifest = options["path"], options["manifest"]
+        self.most, self.retries = int(options.get("batchbytes", 4_000_000)), int(options.get("retries", 3))
 
     def partitions(self):
         store, path = open_fs(self.manifest)
         with store.open_input_stream(path) as f:
-            archives = json.loads(f.read())
-        return [Range(name, a, min(a + self.step, size)) for name, size in archives for a in range(0, size, self.step)] or [Range("", 0, 0)]
+            ranges = json.loads(f.read())
+        return [Range(name, first, last) for name, _, _, first, last in ranges] or [Range("", 0, 0)]
 
     def read(self, part: Range):
         import pyarrow as pa
@@ -175,22 +187,22 @@ class MediaReader(DataSourceReader):
             return
         store, root = open_fs(self.folder)
         path = f"{root}/{part.archive}"
-        kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-        fields = [("doc_id", kinds.get(self.kind, pa.string())), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("archive", pa.string()), ("member_offset", pa.int64())]
-        with store.open_input_file(path) as f, zipfile.ZipFile(f) as z:
-            members = [(i.header_offset, i.filename, i.file_size, i.CRC) for i in z.infolist() if part.start <= i.header_offset < part.end]
-        rows: list[tuple] = []
+        kinds = [pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        names = ["key", "n_bytes", "payload", "media_bytes", "media_sha256", "archive", "member_offset"]
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+        rows, held = [], 0
         with Members(store, path, self.retries) as source:
-            for offset, name, size, crc in members:
+            for offset, name, size, crc in source.entries(part.first, part.last):
                 image = source.get(offset, size, crc)
                 n, key = name.removesuffix(".png").split("/", 1)
                 payload = decode_image(image)
-                rows.append((json.loads(urllib.parse.unquote(key)), int(n), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload), part.archive, offset))
-                if len(rows) == 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], [n for n, _ in fields])
-                    rows = []
+                rows.append((json.loads(urllib.parse.unquote(key)), int(n), payload, len(image), hashlib.sha256(image).hexdigest(), part.archive, offset))
+                held += len(payload)
+                if held >= self.most:
+                    yield out(rows)
+                    rows, held = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], [n for n, _ in fields])
+            yield out(rows)
 
 
 class Members:
@@ -206,19 +218,37 @@ class Members:
         if self.file is not None:
             self.file.close()
 
+    def entries(self, first: int, last: int) -> list[tuple[int, str, int, int]]:
+        """(offset, name, size, checksum) of the members whose directory entries lie in this stretch of the archive."""
+        data, at, out = self._tried(lambda f: f.read_at(last - first, first)), 0, []
+        while at < len(data):
+            if data[at : at + 4] != b"PK\x01\x02":
+                raise ValueError("no directory entry here")
+            crc, _, size, name, extra, comment = struct.unpack_from("<IIIHHH", data, at + 16)
+            (offset,) = struct.unpack_from("<I", data, at + 42)
+            out.append((offset, data[at + 46 : at + 46 + name].decode(), size, crc))
+            at += 46 + name + extra + comment
+        return out
+
     def get(self, offset: int, size: int, crc: int) -> bytes:
+        def read(f):
+            head = f.read_at(30, offset)
+            if head[:4] != b"PK\x03\x04":
+                raise OSError("no member at this offset")
+            name, extra = struct.unpack("<HH", head[26:30])
+            data = f.read_at(size, offset + 30 + name + extra)
+            if len(data) != size or zlib.crc32(data) != crc:
+                raise OSError("damaged member")
+            return data
+
+        return self._tried(read)
+
+    def _tried(self, read) -> bytes:
         for attempt in range(self.retries + 1):
             try:
                 if self.file is None:
                     self.file = self.store.open_input_file(self.path)
-                head = self.file.read_at(30, offset)
-                if head[:4] != b"PK\x03\x04":
-                    raise OSError("no member at this offset")
-                name, extra = struct.unpack("<HH", head[26:30])
-                data = self.file.read_at(size, offset + 30 + name + extra)
-                if len(data) != size or zlib.crc32(data) != crc:
-                    raise OSError("damaged member")
-                return data
+                return read(self.file)
             except OSError:
                 if self.file is not None:
                     self.file.close()
@@ -229,15 +259,33 @@ class Members:
         raise AssertionError
 
 
+def described(payloads: DataFrame) -> DataFrame:
+    """The source's rows with digests and the feature of each payload in place of it; payload batches stream through Arrow."""
+    small_batches(payloads.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            data = b.column(2).to_pylist()
+            more = [pa.array([len(x) for x in data], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in data], pa.string()), pa.array([zlib.crc32(x[-16:]) for x in data], pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *more, b.column(3), b.column(4), pa.array([feature(x) for x in data], pa.string()), b.column(5), b.column(6)], ["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "archive", "member_offset"])
+
+    return payloads.mapInArrow(run, "key string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, archive string, member_offset long")
+
+
 def media_columns(docs: DataFrame, folder: str | None = None, range_bytes: int = 16_000_000) -> DataFrame:
     """Store every text of docs as media in `folder` and read the columns back from what is stored."""
     spark: SparkSession = docs.sparkSession
     folder = folder or new_folder(spark, "media")
-    manifest = write_archives(docs, folder)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    key = F.base64("doc_id") if kind == "binary" else F.col("doc_id").cast("string")
+    manifest = write_archives(docs.select(key.alias("key"), "text"), folder, range_bytes=range_bytes)
     store, root = open_fs(folder)
     store.create_dir(root, recursive=True)
     with store.open_output_stream(f"{root}/manifest.json") as f:
-        f.write(io.BytesIO(json.dumps(manifest).encode()).getvalue())
+        f.write(json.dumps(manifest).encode())
     spark.dataSource.register(MediaSource)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return spark.read.format("media_archive").option("path", folder).option("manifest", f"{folder}/manifest.json").option("rangeBytes", str(range_bytes)).option("keyType", kind).load()
+    out = described(spark.read.format("media_archive").option("path", folder).option("manifest", f"{folder}/manifest.json").load())
+    own = F.unbase64("key") if kind == "binary" else F.col("key").cast(kind)
+    return out.select(own.alias("doc_id"), *out.columns[1:])

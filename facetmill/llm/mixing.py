@@ -3,13 +3,14 @@
 Sources in order of code points (null last) weigh 1, 2, 3, repeating, and share the words of all documents; a source
 gets at most `limit` times its own words and the excess is shared again by weight. Over training time t in [0, 1] the
 weight of a source moves linearly from `start` to `end` times its share; its cumulative demand is the integral of this
-schedule. The documents of a source stand in a random but fixed order (hash of id and text), are repeated in whole
+schedule. The documents of a source stand in a random but fixed order (MD5 of id, source and text), are repeated in whole
 passes of the source until its target is met, and each copy gets the time at which the demand reaches the copy's
 middle in the source's cumulative words. The plan is sorted by this position over ranges.
 
 Cumulative words are summed in two levels (hash buckets, then bucket totals), so a source with a third of all rows is
 spread over all tasks. Null text has size 0; documents of size 0 take nothing. Equal rows are told apart by a number,
-so the same input gives the same mix.
+so the same input gives the same mix. Rows equal in id, source and text are documents of their own, whose further columns
+are carried along, each with its copies.
 """
 
 from __future__ import annotations
@@ -62,14 +63,21 @@ def time_of(done: Column, rank: Column, cfg: MixConfig) -> Column:
     return 2 * need / (a + F.sqrt(F.greatest(F.lit(0.0), a * a + 2 * (b - a) * need)))
 
 
+def _order_key() -> Column:
+    """60 bits of the MD5 of id, source and text: equal on every engine and in every run."""
+    part = lambda c: F.coalesce(F.concat(F.col(c).cast("string"), F.lit("|")), F.lit("-|"))
+    return F.conv(F.substring(F.md5(F.concat(part("doc_id"), part("source"), F.coalesce("text", F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def mix_plan(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
-    """A row for each document: doc_id, source, size, source_size, target, copies, taken, positions (a time for each copy) and _h, a hash of id and text."""
+    """A row for each document: doc_id, source, size, source_size, target, copies, taken, positions (a time for each copy) and _h, a hash of id, source and text."""
     # The order key makes equal rows neighbours; which of them is first does not change the rows of the result.
-    sized = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("_h")), "mix-sizes")
+    sized = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _order_key().alias("_h")), "mix-sizes")
     rows = sized.count()
     buckets = max(cfg.least_buckets, rows // cfg.rows_per_bucket)
     want = saved(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cfg), "mix-targets")
-    sized = sized.withColumn("_b", F.pmod(F.shiftright("_h", 20), F.lit(buckets)).cast("int"))
+    # Buckets in the order of the hash, so that bucket by bucket is that order.
+    sized = sized.withColumn("_b", F.floor(F.col("_h") / float(1 << 60) * buckets).cast("int"))
     sums = sized.groupBy("source", "_b").agg(F.sum("size").alias("_n"))
     upto = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).join(want, sums["source"].eqNullSafe(want["source"])).select(sums["source"].alias("_s"), F.col("_b").alias("_b2"), "_before", "source_size", "rank", "target")
@@ -94,14 +102,13 @@ def mixed_order(plan: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     """The mixed training sequence: docs with a row for each taken copy, sorted by position; its columns stay as they are.
 
-    Rows are found again by doc_id and a hash of the text. Rows equal in both share their copies; where there are any,
-    one of them stands for all (they can only differ in further columns).
+    Rows are found again by the order key; rows that share it are numbered, in docs by a hash of all their columns.
     """
-    plan = mix_plan(docs, cfg).groupBy("doc_id", "_h").agg(F.flatten(F.collect_list("positions")).alias("_at"), F.count(F.lit(1)).alias("_same"))
-    plan = saved(plan, "mix-plan")
-    texts = docs.withColumn("_h", F.xxhash64("doc_id", "text"))
-    if plan.filter("_same > 1").limit(1).count():
-        texts = texts.dropDuplicates(["doc_id", "_h"])
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_h2"), "_at").filter(F.size("_at") > 0)
-    taken = texts.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_h2")))
-    return taken.withColumn("_at", F.explode("_at")).orderBy("_at", "doc_id").select(*docs.columns)
+    names = docs.columns
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("_i")
+    plan = mix_plan(docs, cfg).filter(F.size("positions") > 0).groupBy(own, "_h").agg(F.array_sort(F.collect_list("positions")).alias("_at"))
+    texts = docs.select(own, _order_key().alias("_h"), F.struct(*names).alias("_doc"), F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith("map")]).alias("_all"))
+    equal = Window.partitionBy("_i", "_h").orderBy("_all")  # a group is dealt like the join before it
+    taken = texts.join(saved(plan, "mix-plan"), ["_i", "_h"]).withColumn("_k", F.row_number().over(equal) - 1)
+    taken = taken.withColumn("_at", F.explode(F.get("_at", F.col("_k"))))
+    return taken.orderBy("_at", "_h").select(*[F.col("_doc")[c].alias(c) for c in names])

@@ -14,7 +14,7 @@ bytes occur in two different texts:
    the last winner; contenders of different lengths are decided without reading a byte, those of equal length are
    compared from that length on. Out come the suffixes in order with their common prefix lengths.
 4. Spans. A string at offset o before its anchor is equal for neighbours in that order with a common prefix of at least
-   50 - o, if the o bytes before the anchor are equal as well. The smallest doc_id of each such group decides, and the
+   50 - o, if the o bytes before the anchor are equal as well (grouped by hash, then compared). The smallest doc_id of each such group decides, and the
    covered bytes go back to the documents as intervals.
 
 Matches never cross documents, all strings are judged on the input. Null text is empty; a null doc_id counts as the
@@ -456,6 +456,18 @@ def _merged(blocks: list[bytes], cfg: SuffixConfig):
     return order, lcp, [np.concatenate(x) for x in zip(*parts)]
 
 
+def _masks(width: int) -> np.ndarray:
+    """masks[o]: of rows of bytes as big-endian numbers, the first o bytes."""
+    n = -(-width // 8)
+    keep = np.arange(8 * n)[None, :] < np.arange(width + 1)[:, None]
+    return (keep * np.uint8(255)).astype(np.uint8).view(">u8")
+
+
+def _exact(left: np.ndarray, o: int) -> np.ndarray:
+    """Numbers of the first o bytes of each row."""
+    return np.unique(left[:, :o], axis=0, return_inverse=True)[1].reshape(-1).astype(np.uint64)
+
+
 def _spans(shards: int, cfg: SuffixConfig):
     """Per bucket: merge the runs and find the covered bytes, addressed to their documents' shards."""
 
@@ -465,6 +477,9 @@ def _spans(shards: int, cfg: SuffixConfig):
         order, lcp, (left, room, ids, tags, at) = _merged(t.column("block").to_pylist(), cfg)
         left, room, ids, tags, at = left[order], room[order].astype(np.int64), ids[order], tags[order], at[order].astype(np.int64)
         n = len(order)
+        wide = np.zeros((n, 8 * (-(-cfg.reach // 8))), np.uint8)
+        wide[:, : cfg.reach] = left
+        wide, masks = wide.view(">u8"), _masks(cfg.reach)
         far, near = np.full(n, -1, np.int64), np.full(n, cfg.reach + 1, np.int64)  # largest and smallest offset of a covered string
         prefix = np.zeros(n, np.uint64)
         found = []
@@ -479,6 +494,11 @@ def _spans(shards: int, cfg: SuffixConfig):
             by = np.lexsort((ids[ok], key, group))
             g, k, i = group[by], key[by], ok[by]
             new = np.concatenate(([True], (g[1:] != g[:-1]) | (k[1:] != k[:-1])))
+            if o and (((wide[i][1:] ^ wide[i][:-1]) & masks[o]).any(axis=1) & ~new[1:]).any():  # different bytes of one hash: number them instead
+                key = _exact(left[ok], o)
+                by = np.lexsort((ids[ok], key, group))
+                g, k, i = group[by], key[by], ok[by]
+                new = np.concatenate(([True], (g[1:] != g[:-1]) | (k[1:] != k[:-1])))
             least = ids[i][np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))]
             hit = i[least < ids[i]]
             # Offsets come in runs; a run that ends is a span of its own.

@@ -28,3 +28,25 @@ def test_pipeline_end_to_end(spark, tmp_path):
         cut = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
         want.update((r["doc_id"], k, zlib.crc32(ids[a:z].tobytes())) for k, (a, z) in enumerate(zip(cut, cut[1:])))
     assert collections.Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in packed) == want
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, awkward, empty, labels, tmp_path):
+    for name, docs in (("awkward", awkward), ("empty", empty)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.filter("doc_id is not null" if name == "awkward" else "false").write.parquet(str(tmp_path / name / "labels.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert (name == "awkward") == bool(got)
+        fill = collections.Counter()
+        for r in got:
+            fill[r["sequence_id"]] += r["length"]
+        assert all(n <= 2048 for n in fill.values())
+    first = corpus_pipeline.run(spark, str(tmp_path / "awkward"))
+    corpus_pipeline.run(spark, str(tmp_path / "empty"))
+    assert first.count() == len(corpus_pipeline.run(spark, str(tmp_path / "awkward")).collect())  # a later run leaves earlier results alone
+
+
+def test_rejected_documents_are_those_of_the_report(spark, awkward, labels):
+    from facetmill.llm import quality
+
+    kept = collections.Counter(r["doc_id"] for r in quality.quality_report(awkward, labels).collect() if r["kept"])
+    assert collections.Counter(r["doc_id"] for r in quality.quality_filter(awkward, labels).collect()) == kept

@@ -113,6 +113,18 @@ def test_mixing_targets_and_positions(spark, awkward, sample, empty):
             assert abs(taken[s] - target[s]) <= max(r["size"] for r in plan if r["source"] == s)
 
 
+def test_equal_rows_are_mixed_apart(spark):
+    """Rows of one id and text whose other columns differ: each has its own copies, none is lost."""
+    docs = spark.createDataFrame([(1, "a b c", "s", i) for i in range(4)] + [(1, "a b c", "t", 9), (2, None, None, 1), (None, "x y", "s", 5), (3, "p q r s t u", "t", 6)], "doc_id long, text string, source string, _h int")
+    plan = collections.Counter()
+    for r in rows(mixing.mix_plan(docs.drop("_h"))):
+        plan[r["doc_id"], r["source"]] += r["copies"]
+    mixed = rows(mixing.mix_documents(docs))
+    assert collections.Counter((r["doc_id"], r["source"]) for r in mixed) == +plan
+    again = rows(mixing.mix_documents(docs.repartition(3)))
+    assert [tuple(r.values()) for r in mixed] == [tuple(r.values()) for r in again]
+
+
 def test_mixed_documents_are_copies(spark, sample):
     want = collections.Counter({r["doc_id"]: r["copies"] for r in rows(mixing.mix_plan(sample))})
     mixed = mixing.mix_documents(sample)
@@ -207,13 +219,50 @@ def test_html_table(spark):
 # ---- 4 media
 
 
-def test_media_round_trip(spark, awkward, empty):
+def media_by_force(key, text):
+    """Every column of the contract from a text, with the standard library and another reader of images' rows."""
+    data = (text or "").encode()
+    payload = data + b" " * (192 - len(data) % 192 if len(data) % 192 or not data else 0)
+    image = media.encode_image(payload)
+    x = list(payload)
+    means = [sum(x[c::3]) / (len(x) // 3) for c in range(3)]
+    cuts = [int(i * len(x) / 64) for i in range(65)]
+    bright = "".join("1" if sum(x[a:z]) / (z - a) > sum(x) / len(x) else "0" for a, z in zip(cuts, cuts[1:]))
+    return (key, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(image), hashlib.sha256(image).hexdigest(), ",".join(f"{m:.4f}" for m in means) + f";{int(bright, 2):016x}")
+
+
+MEDIA = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def test_media_round_trip(spark, awkward, empty, sample):
     assert rows(media.media_columns(empty)) == []
-    got = rows(media.media_columns(awkward, range_bytes=500))
-    want = sorted(((r["text"] or "").encode() for r in rows(awkward)))
-    assert sorted(r["payload_sha256"] for r in got) == sorted(hashlib.sha256(media.padded(b)).hexdigest() for b in want)
-    for r in got:
-        assert r["payload_bytes"] % 192 == 0 and r["payload_bytes"] > 0 and r["n_bytes"] <= r["payload_bytes"]
+    for docs, size in ((awkward, 500), (sample, 16_000_000)):
+        want = collections.Counter(media_by_force(r["doc_id"], r["text"]) for r in rows(docs))
+        assert collections.Counter(tuple(r[c] for c in MEDIA) for r in rows(media.media_columns(docs, range_bytes=size))) == want
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(12,2)", "date", "smallint", "binary", "double"])
+def test_media_keys_of_any_type(spark, kind):
+    value = "DATE'2024-02-29'" if kind == "date" else f"CAST('7' AS {kind})" if kind != "binary" else "X'00FF'"
+    docs = spark.sql(f"SELECT {value} AS doc_id, 'some text' AS text UNION ALL SELECT NULL, NULL")
+    got = media.media_columns(docs)
+    assert got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert {(r["doc_id"], r["n_bytes"]) for r in rows(got)} == {(r["doc_id"], len(r["text"] or "")) for r in rows(docs)}
+
+
+def test_payloads_stream_in_small_batches(spark, tmp_path):
+    docs = spark.createDataFrame([(str(i), "x" * 1000 * (i % 5)) for i in range(50)], "key string, text string").coalesce(1)
+    ranges = media.write_archives(docs, str(tmp_path), archive_bytes=6000, range_bytes=1000)
+    assert len({r[0] for r in ranges}) > 1 and len(ranges) > len({r[0] for r in ranges})
+    (tmp_path / "m.json").write_text(__import__("json").dumps(ranges))
+    reader = media.MediaReader({"path": str(tmp_path), "manifest": str(tmp_path / "m.json"), "batchBytes": "3000"})
+    keys = []
+    for part in reader.partitions():
+        for b in reader.read(part):
+            sizes = [len(x) for x in b.column("payload").to_pylist()]
+            assert sum(sizes[:-1]) < 3000
+            keys += b.column("key").to_pylist()
+    assert sorted(keys, key=int) == [str(i) for i in range(50)]
 
 
 @settings(max_examples=30, deadline=None)
@@ -427,7 +476,7 @@ def test_words_are_spelt_alike_whatever_is_remembered():
         assert (x[0] == y[0]).all() and (x[1] == y[1]).all()
         assert voc.encoding.decode_bytes(x[0].tolist()) == b" " + b" ".join(part)
         assert voc.starts[x[0]].sum() == len(part)
-    assert len(set(lm.word_hashes(*many.of(words)).tolist())) == 7
+    assert len(set(lm.word_hashes(*many.of(words)).tolist())) == 7 and (many.hash[many.places(words)] == lm.word_hashes(*many.of(words))).all()
 
 
 def test_sums_in_a_tree(spark):
@@ -578,8 +627,22 @@ def test_ids_are_those_of_the_library(text):
     assert np.frombuffer(b.ids(text), "<u4").tolist() == want and b.count(text) == len(want)
 
 
-def test_token_counts(awkward, empty, library):
+def test_every_script_is_split_like_the_library(library):
+    """Each character of the basic plane after a letter, a digit, a mark and a space: looked up or left to the library, the ids agree."""
+    b = bpe.load(bpe.default_path())
+    chars = [chr(c) for c in [*range(0x80, 0xD800), *range(0xE000, 0xFFFE), *range(0x1F300, 0x1F700), *range(0x10000, 0x10A00), 0x1FAE9]]
+    for a in range(0, len(chars), 200):
+        text = "".join(f"a{c}b 1{c}2 !{c}{c} {c}s\u0301" for c in chars[a : a + 200])
+        assert np.frombuffer(b.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    words = b.pre_tokens("Привет мир, 世界 123")
+    assert words == ["Привет", " мир", ",", " 世界", " 123"] and any(ord(w[-1]) > 0x400 for w in b.whole)
+
+
+def test_token_counts(spark, awkward, empty, library):
     assert rows(tokens.token_counts(empty)) == []
+    exact = spark.createDataFrame([(1, " a" * 1024), (2, " a" * 1025)], "doc_id long, text string")
+    assert [(r["n_tokens"], r["over_limit"]) for r in rows(tokens.token_counts(exact))] == [(1024, False), (1025, True)]
+    assert all(r["over_limit"] == (r["n_tokens"] > 1024) for r in rows(tokens.token_counts(awkward)))
     want = collections.Counter((r["doc_id"], len((r["text"] or "").encode()), len(library.encode(r["text"] or "", add_special_tokens=False).ids)) for r in rows(awkward))
     assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in rows(tokens.token_counts(awkward))) == want
 
@@ -729,6 +792,45 @@ def test_repeats_by_force(spark, awkward, empty, flush):
     assert collections.Counter(((1 << 63) - 1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == removed_by_force(rows(docs), 50)
 
 
+def test_bytes_before_the_anchor_are_compared(monkeypatch, spark, awkward):
+    """With a hash that takes all bytes before the anchor for one another, the result is the same."""
+    mix = suffixes._mix
+    monkeypatch.setattr(suffixes, "_mix", lambda x: mix(x) if len(x) > 3000 else mix(x) * np.uint64(0))
+    test_spans_by_force()
+
+
+def test_spans_by_force():
+    cfg = suffixes.SuffixConfig()
+    rng = np.random.default_rng(4)
+    core = bytes(rng.integers(97, 100, 60).tolist())
+    texts = [bytes(rng.integers(97, 99, 30).tolist())[-int(k):] + core for k in rng.integers(1, 30, 40)]
+    rows_of = []
+    for i, t in enumerate(texts):
+        p = len(t) - 60 + 5
+        wide = b"\0" * cfg.reach + t + b"\0" * cfg.length
+        rows_of.append((np.frombuffer(wide[p : p + cfg.reach], np.uint8)[::-1], np.frombuffer(wide[p + cfg.reach : p + cfg.reach + cfg.length], np.uint8), i, p, min(p, cfg.reach), min(len(t) - p, cfg.length)))
+    rows_of.sort(key=lambda r: r[1].tobytes())
+    same, rest = suffixes.front_code(np.stack([r[1] for r in rows_of]))
+    ids, at = np.array([r[2] for r in rows_of], "<i8"), np.array([r[3] for r in rows_of], "<u4")
+    block = suffixes._pack(same, rest, np.stack([r[0] for r in rows_of]), np.array([r[4:] for r in rows_of], np.uint8), ids, np.zeros(len(ids), "<u8"), at)
+    import pyarrow as pa
+
+    out = suffixes._spans(1, cfg)(pa.table({"block": pa.array([block], pa.binary())}))
+    got = collections.defaultdict(set)
+    for b in out.column("block").to_pylist():
+        i, _, a, z = suffixes._unpack(b, "<i8", "<u8", "<u4", "<u4")
+        for k, s, e in zip(i.tolist(), a.tolist(), z.tolist()):
+            got[k] |= set(range(s, e))
+    for i, t in enumerate(texts):
+        p = len(t) - 60 + 5
+        want = set()
+        for o in range(cfg.reach + 1):
+            s = t[p - o : p - o + 50]
+            if p >= o and len(s) == 50 and any(len(u) - 55 >= o and u[len(u) - 55 - o : len(u) - 5 - o] == s for u in texts[:i]):
+                want |= set(range(p - o, p - o + 50))
+        assert got[i] == want
+
+
 def test_stripped_documents(awkward):
     out = suffixes.strip_repeats(awkward)
     assert out.columns == awkward.columns and 2 not in [r["doc_id"] for r in rows(out)]

@@ -21,6 +21,7 @@ _FOLDERS: list[str] = []
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or a cutoff rejects go."""
+    _FOLDERS.clear()  # a new chain: results of an earlier one may still be read
     with scope(_FOLDERS, docs):
         return quality.quality_filter(docs, table(spark, sf_dir, "labels"))
 

@@ -1,49 +1,145 @@
-"""Exact quantile and uniform bins of feature arrays; one aggregation fits all features."""
+"""Exact quantile and uniform bins of feature arrays, without a place where all values of a feature meet."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+
+from .information import matrix
+
+#: Bits of a value that one pass over the data decides.
+STEP = 12
+
+
+def _keys(x: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned integers of the same order."""
+    bits = (x + 0.0).view(np.uint64)
+    return bits ^ np.where(bits >> np.uint64(63), np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(1 << 63))
+
+
+def _values(keys: np.ndarray) -> np.ndarray:
+    return (keys ^ np.where(keys >> np.uint64(63), np.uint64(1 << 63), np.uint64(0xFFFFFFFFFFFFFFFF))).view(np.float64)
+
+
+def order_statistics(df: DataFrame, features: list[int], ranks: list[int], few: int = 200_000) -> np.ndarray:
+    """[feature, rank]: the values at these ranks (from 0) of each feature of x, exactly.
+
+    A pass counts how many values fall into each interval of the next 12 bits of their keys, below the prefixes that hold
+    wanted ranks, and keeps the intervals that hold them. Once these hold `few` values together, they are fetched; at the
+    latest all bits are known after six passes. What reaches the driver is bounded by features, ranks and intervals.
+    """
+    d, done = len(features), 0
+    prefix = np.zeros((d, len(ranks)), np.uint64)
+    left = np.tile(np.array(ranks, np.int64), (d, 1))  # ranks within their prefix's interval
+    while done < 64:
+        bits = min(STEP, 64 - done)
+        slots = [np.unique(row) for row in prefix]
+
+        def inside(batches, slots=slots, done=done):
+            """(feature, slot, key) of all values below a prefix that is looked at."""
+            for b in batches:
+                x = _keys(matrix(b.column(0), np.float64)[:, features].T.copy()) if b.num_rows else np.zeros((d, 0), np.uint64)
+                for i in range(d):
+                    head = x[i] >> np.uint64(64 - done) if done else np.zeros(len(x[i]), np.uint64)
+                    at = np.minimum(np.searchsorted(slots[i], head), len(slots[i]) - 1)
+                    hit = slots[i][at] == head
+                    yield i, at[hit], x[i][hit]
+
+        def run(batches, slots=slots, done=done, bits=bits, inside=inside):
+            import pyarrow as pa
 
+            counts = [np.zeros(len(s) << bits, np.int64) for s in slots]
+            for i, slot, key in inside(batches):
+                place = key >> np.uint64(64 - done - bits) & np.uint64((1 << bits) - 1)
+                counts[i] += np.bincount((slot << bits) + place.astype(np.int64), minlength=len(counts[i]))
+            for i, c in enumerate(counts):
+                at = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at), pa.array(c[at])], ["i", "at", "c"])
 
-def fit(df: DataFrame, d: int, bins: int = 10, method: str = "quantile", row: str = "row_id") -> list[list[float]]:
+        got = df.select("x").mapInArrow(run, "i int, at long, c long").groupBy("i", "at").agg(F.sum("c").alias("c")).toPandas()
+        held = 0
+        for i, rows in got.sort_values(["i", "at"]).groupby("i"):
+            at, c = rows["at"].to_numpy(), rows["c"].to_numpy()
+            for r in range(len(ranks)):
+                slot = int(np.searchsorted(slots[i], prefix[i, r]))
+                own = (at >> bits) == slot
+                below = np.cumsum(c[own])
+                k = int(np.searchsorted(below, left[i, r], side="right"))
+                left[i, r] -= below[k] - c[own][k]
+                prefix[i, r] = prefix[i, r] << np.uint64(bits) | np.uint64(int(at[own][k]) & ((1 << bits) - 1))
+                held += int(c[own][k])
+        done += bits
+        if done < 64 and held <= few:
+            slots = [np.unique(row) for row in prefix]
+
+            def fetch(batches, slots=slots, done=done):
+                import pyarrow as pa
+
+                for b in batches:
+                    x = _keys(matrix(b.column(0), np.float64)[:, features].T.copy()) if b.num_rows else np.zeros((d, 0), np.uint64)
+                    for i in range(d):
+                        key = x[i][np.isin(x[i] >> np.uint64(64 - done), slots[i])]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), i, np.int32)), pa.array(key.view(np.int64))], ["i", "key"])
+
+            rows = df.select("x").mapInArrow(fetch, "i int, key long").toArrow()
+            feature, key = rows.column("i").to_numpy(), rows.column("key").to_numpy().view(np.uint64)
+            out = np.zeros((d, len(ranks)))
+            for i in range(d):
+                mine = np.sort(key[feature == i])
+                for r in range(len(ranks)):
+                    low = np.searchsorted(mine, prefix[i, r] << np.uint64(64 - done))
+                    out[i, r] = _values(mine[low + left[i, r] : low + left[i, r] + 1])[0]
+            return out
+    return _values(prefix)
+
+
+def fit(df: DataFrame, d: int, bins: int = 10, method: str = "quantile", row: str = "row_id", chunk: int = 256) -> list[list[float]]:
     """Inner edges of each of d features; a feature that is constant (by the first row's value) has this value as its edge."""
+    if method not in ("quantile", "uniform"):
+        raise ValueError(f"unknown discretizer {method!r}")
     bins = max(2, bins)
     inner = [i / bins for i in range(1, bins)]
-    x = [F.col("x")[j] for j in range(d)]
-    if method == "quantile":
-        edges = [F.percentile(v, F.array(*[F.lit(q) for q in inner])) for v in x]
-    elif method == "uniform":
-        edges = [F.array(F.min(v), F.max(v)) for v in x]
-    else:
-        raise ValueError(f"unknown discretizer {method!r}")
-    first = F.min_by("x", row)
-    got = df.agg(first.alias("f"), *[e.alias(f"e{j}") for j, e in enumerate(edges)], *[F.array(F.min(v), F.max(v)).alias(f"r{j}") for j, v in enumerate(x)]).first()  # one row
-    out = []
-    for j in range(d):
-        anchor, (low, high) = got["f"][j], got[f"r{j}"]
-        if max(abs(low - anchor), abs(high - anchor)) <= 1e-8 + 1e-5 * abs(anchor):
-            out.append([float(anchor)])
-        elif method == "uniform":
-            out.append(sorted({low + q * (high - low) for q in inner}))
-        else:
-            out.append(sorted(set(got[f"e{j}"])))
+    one = df.agg(F.min_by("x", row).alias("first"), F.count(F.lit(1)).alias("n"), F.min(F.size("x")).alias("least"), F.max(F.size("x")).alias("most")).first()  # one row
+    if not one["n"]:
+        raise ValueError("no rows to fit")
+    if (one["least"], one["most"]) != (d, d):
+        raise ValueError(f"rows have {one['least']} to {one['most']} features in place of {d}")
+    ends = {r["pos"]: (r["low"], r["high"]) for r in df.select(F.posexplode("x")).groupBy("pos").agg(F.min("col").alias("low"), F.max("col").alias("high")).collect()}  # a row for each feature
+    constant = [max(abs(ends[j][0] - a), abs(ends[j][1] - a)) <= 1e-8 + 1e-5 * abs(a) for j, a in enumerate(one["first"])]
+    out = [[float(one["first"][j])] if constant[j] else sorted({ends[j][0] + q * (ends[j][1] - ends[j][0]) for q in inner}) for j in range(d)]
+    vary = [j for j in range(d) if not constant[j]]
+    if method == "quantile" and vary:
+        spots = [(one["n"] - 1) * q for q in inner]
+        ranks = sorted({r for s in spots for r in (math.floor(s), math.ceil(s))})
+        for a in range(0, len(vary), chunk):
+            for j, values in zip(vary[a : a + chunk], order_statistics(df, vary[a : a + chunk], ranks)):
+                v = dict(zip(ranks, values.tolist()))
+                out[j] = sorted({v[math.floor(s)] if v[math.floor(s)] == v[math.ceil(s)] else (math.ceil(s) - s) * v[math.floor(s)] + (s - math.floor(s)) * v[math.ceil(s)] for s in spots})
     return out
 
 
-def code(x: Column, edges: list[float]) -> Column:
-    """Number of edges that are not above x: sums of comparisons stay inside generated code."""
-    total = F.lit(0)
-    for e in edges:
-        total = total + (x >= F.lit(float(e))).cast("int")
-    return total
-
-
 def encode(df: DataFrame, edges: list[list[float]], keep: list[int] | None = None) -> DataFrame:
-    """codes (array of int) in place of x; keep: which features, in this order."""
+    """codes (array of int: the number of edges that are not above a value) in place of x; keep: which features, in this order."""
     keep = list(range(len(edges))) if keep is None else keep
-    return df.withColumn("codes", F.array(*[code(F.col("x")[j], edges[j]) for j in keep])).drop("x")
+    others = [f for f in df.schema.fields if f.name != "x"]
+    d = len(edges)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            x = matrix(b.column(len(others)), np.float64) if b.num_rows else np.zeros((0, d))
+            if x.shape[1] != d:
+                raise ValueError(f"rows have {x.shape[1]} features in place of {d}")
+            codes = np.stack([searchsorted(x[:, j], edges[j]) for j in keep], axis=1).astype(np.int32) if keep else np.zeros((len(x), 0), np.int32)
+            lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * len(keep), pa.array(codes.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], lists], [*[f.name for f in others], "codes"])
+
+    return df.select(*[f.name for f in others], "x").mapInArrow(run, StructType([*others, StructField("codes", ArrayType(IntegerType()))]))
 
 
 def width(edges: list[list[float]]) -> int:

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import time
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .information import matrix
+
+#: Fixed classifiers, by the names of evaluate.
+CLASSIFIERS = ("forest", "linear_svm", "nearest", "logistic")
+
 
 def confusion(predicted: DataFrame) -> DataFrame:
     return predicted.groupBy("y", "pred").agg(F.count(F.lit(1)).alias("c"))
@@ -20,19 +28,52 @@ def metrics(predicted: DataFrame) -> DataFrame:
     return each.agg((F.sum("hit") / F.sum("t")).alias("accuracy"), F.avg(F.when(F.col("t") > 0, F.col("hit") / F.col("t"))).alias("balanced_accuracy"), F.avg(f1).alias("macro_f1"))
 
 
-def nearest(train: DataFrame, test: DataFrame, features: list[int], k: int = 5, block: int = 4096) -> DataFrame:
-    """row_id, y, pred: majority of the k nearest training rows (ties: smaller id, smaller class).
+def closest(train: DataFrame, test: DataFrame, features: list[int], k: int, by_class: bool = False, metric: str = "square", block: int = 1024) -> DataFrame:
+    """row_id, y, n_id, n_y, far: the k nearest training rows of each test row (ties by id); by_class: k of each class, itself left out.
 
-    Each test row meets blocks of some `block` training rows and keeps the k best of each; the best of those are the nearest.
+    Blocks of test rows meet blocks of training rows as two matrices in one task, which keeps the k best of each row; the
+    best of all blocks are the nearest. Distances are rounded to 9 digits.
     """
-    pick = F.array(*[F.col("x")[j] for j in features])
-    blocks = max(1, -(-train.count() // block))
-    t = train.groupBy(F.pmod(F.xxhash64("row_id"), F.lit(blocks)).alias("_b")).agg(F.collect_list(F.struct(F.col("row_id").alias("n_id"), F.col("y").alias("n_y"), pick.alias("v"))).alias("t")).select("t")
-    far = lambda r: F.aggregate(F.zip_with("u", r["v"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    best = F.slice(F.array_sort(F.transform("t", lambda r: F.struct(F.round(far(r), 9).alias("d"), r["n_id"].alias("n_id"), r["n_y"].alias("n_y")))), 1, k)
-    near = test.select("row_id", "y", pick.alias("u")).crossJoin(t).select("row_id", "y", F.explode(best).alias("b")).select("row_id", "y", "b.*")
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("row_id").orderBy("d", "n_id"))).filter(F.col("r") <= k)
-    votes = near.groupBy("row_id", "y", "n_y").agg(F.count(F.lit(1)).alias("v"))
+    sides = []
+    sizes = [max(1, -(-df.count() // block)) for df in (test, train)]
+    for side, df in enumerate((test, train)):
+        own, other = F.pmod(F.xxhash64("row_id"), F.lit(sizes[side])), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sizes[1 - side] - 1).cast("long")))
+        row = df.select(own.alias("a"), F.col("row_id").cast("long").alias("row_id"), F.col("y").cast("int").alias("y"), F.array(*[F.col("x")[j] for j in features]).alias("v"))
+        row = row.select("*", other.alias("b"))
+        sides.append((row if not side else row.select(F.col("b").alias("a"), "row_id", "y", "v", F.col("a").alias("b"))).groupBy("a", "b"))
+
+    def run(t, n):
+        import pyarrow as pa
+
+        ids, y, v = t.column("row_id").to_numpy(), t.column("y").to_numpy(), matrix(t.column("v").combine_chunks(), np.float64) if len(t) else None
+        order = np.argsort(n.column("row_id").to_numpy(), kind="stable")
+        n_ids, n_y, w = n.column("row_id").to_numpy()[order], n.column("y").to_numpy()[order], matrix(n.column("v").combine_chunks(), np.float64)[order] if len(n) else None
+        out = []
+        if v is not None and w is not None:
+            far = np.zeros((len(v), len(w)))
+            for j in range(v.shape[1]):
+                gap = v[:, j, None] - w[None, :, j]
+                far += gap * gap if metric == "square" else np.abs(gap)
+            far = np.round(far, 9)
+            if by_class:
+                far[ids[:, None] == n_ids[None, :]] = np.inf
+            for c in np.unique(n_y) if by_class else [None]:
+                pick = np.flatnonzero(n_y == c) if by_class else np.arange(len(w))
+                best = np.argsort(far[:, pick], axis=1, kind="stable")[:, :k]
+                i, j = np.repeat(np.arange(len(v)), best.shape[1]), pick[best.ravel()]
+                real = np.isfinite(far[i, j])
+                out.append((ids[i][real], y[i][real], n_ids[j][real], n_y[j][real], far[i, j][real]))
+        cols = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 5
+        return pa.table([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64()))], names=["row_id", "y", "n_id", "n_y", "far"])
+
+    near = sides[0].cogroup(sides[1]).applyInArrow(run, "row_id long, y int, n_id long, n_y int, far double")
+    best = Window.partitionBy("row_id", *(["n_y"] if by_class else [])).orderBy("far", "n_id")
+    return near.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r")
+
+
+def nearest(train: DataFrame, test: DataFrame, features: list[int], k: int = 5) -> DataFrame:
+    """row_id, y, pred: majority of the k nearest training rows (ties: smaller id, smaller class)."""
+    votes = closest(train, test, features, k).groupBy("row_id", "y", "n_y").agg(F.count(F.lit(1)).alias("v"))
     return votes.groupBy("row_id", "y").agg(F.max_by("n_y", F.struct("v", -F.col("n_y"))).alias("pred"))
 
 
@@ -55,3 +96,32 @@ def fitted(train: DataFrame, test: DataFrame, features: list[int], kind: str, se
     else:
         raise ValueError(f"unknown classifier {kind!r}")
     return model.fit(shape(train)).transform(shape(test)).select("row_id", "y", F.col("prediction").cast("int").alias("pred"))
+
+
+def scaled(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """x of both by mean and population deviation of the training rows."""
+    by = train.select(F.posexplode("x")).groupBy("pos").agg(F.avg("col").alias("m"), F.stddev_pop("col").alias("s")).orderBy("pos").collect()  # a row for each feature
+    mean, sd = F.array(*[F.lit(float(r["m"])) for r in by]), F.array(*[F.lit(float(r["s"] or 1.0)) for r in by])
+    scale = F.transform(F.arrays_zip(F.col("x").alias("v"), mean.alias("m"), sd.alias("s")), lambda z: (z["v"] - z["m"]) / z["s"])
+    return train.withColumn("x", scale), test.withColumn("x", scale)
+
+
+def evaluate(train: DataFrame, test: DataFrame, features: list[int], kind: str = "forest", seed: int = 42) -> dict[str, object]:
+    """classifier, accuracy, balanced_accuracy, macro_f1, eval_seconds, n_selected, error. Nothing selected: zeros; an error: no scores and its text."""
+    out: dict[str, object] = {"classifier": kind, "accuracy": 0.0, "balanced_accuracy": 0.0, "macro_f1": 0.0, "eval_seconds": 0.0, "n_selected": len(features), "error": None}
+    if not features:
+        return out
+    began = time.perf_counter()
+    try:
+        if kind == "nearest":
+            a, b = scaled(train, test)
+            got = metrics(nearest(a, b, features)).first()
+        else:
+            got = metrics(fitted(train, test, features, kind, seed)).first()
+    except Exception as e:  # noqa: BLE001  the record says what happened
+        return out | {"accuracy": None, "balanced_accuracy": None, "macro_f1": None, "error": f"{type(e).__name__}: {e}"[:500]}
+    return out | got.asDict() | {"eval_seconds": time.perf_counter() - began}
+
+
+def evaluate_all(train: DataFrame, test: DataFrame, features: list[int], kinds: tuple[str, ...] = CLASSIFIERS, seed: int = 42) -> list[dict[str, object]]:
+    return [evaluate(train, test, features, kind, seed) for kind in kinds]

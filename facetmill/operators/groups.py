@@ -17,39 +17,35 @@ def group_counts(f: int, largest: int) -> dict[int, int]:
     return {k: math.comb(f, k) if k <= f else 0 for k in range(2, max(2, largest) + 1)}
 
 
+def _draws(f: int, k: int, n: int, rng: np.random.Generator, tries: int) -> list[tuple[int, ...]]:
+    """Up to n different groups of k out of f features, in order."""
+    found: dict[tuple[int, ...], None] = {}
+    while tries and len(found) < n:
+        found[tuple(sorted(int(v) for v in rng.choice(f, size=k, replace=False)))] = None
+        tries -= 1
+    return sorted(found)
+
+
 def groups(f: int, largest: int, most: int, seed: int = 42, only_largest: bool = False) -> list[tuple[int, ...]]:
     """All groups of an order if its share of the budget holds them, else a seeded sample without repeats."""
-    if largest < 2 or f < 2 or most <= 0:
-        return []
-    orders = [k for k in ([largest] if only_largest else range(2, largest + 1)) if k <= f]
-    if not orders:
-        return []
-    each, rng, out = max(1, most // len(orders)), np.random.default_rng(seed), []
-    for k in orders:
-        if math.comb(f, k) <= each:
-            out += itertools.combinations(range(f), k)
-            continue
-        drawn: set[tuple[int, ...]] = set()
-        for _ in range(20 * each):
-            if len(drawn) == each:
-                break
-            drawn.add(tuple(sorted(rng.choice(f, size=k, replace=False).tolist())))
-        out += sorted(drawn)
-    return [tuple(map(int, g)) for g in out[:most]]
+    orders = range(largest if only_largest else 2, min(largest, f) + 1) if largest >= 2 and most > 0 else ()
+    share, rng = max(1, most // max(1, len(orders))), np.random.default_rng(seed)
+    every = (list(itertools.combinations(range(f), k)) if math.comb(f, k) <= share else _draws(f, k, share, rng, 20 * share) for k in orders)
+    return list(itertools.islice(itertools.chain.from_iterable(every), most))
 
 
 def vertex_degrees(relevance: DataFrame, redundancy: DataFrame, s: Settings = Settings()) -> DataFrame:
     """feature_id, relevance, redundancy, mu, nu, pi. relevance, redundancy: feature_id and the value."""
     v = relevance.join(redundancy, "feature_id")
-    against = F.col("redundancy") if s.nonmembership else F.lit(0.0)
-    mu, nu, pi = fuzzy(mapped(F.col("relevance"), s.evidence_map, *s.relevance_map), mapped(against, s.evidence_map, *s.redundancy_map))
+    against = F.col("redundancy") if s.maps.against else F.lit(0.0)
+    mu, nu, pi = fuzzy(mapped(F.col("relevance"), s.maps.kind, *s.maps.feature[0]), mapped(against, s.maps.kind, *s.maps.feature[1]))
     return v.withColumn("mu", mu).withColumn("nu", nu).withColumn("pi", pi)
 
 
 def independent_degrees(evidence: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Adds mu, nu, pi from a group's own nmi and redundancy."""
-    against = F.col("redundancy") if s.nonmembership else F.lit(0.0)
-    mu, nu, pi = fuzzy(mapped(F.col("nmi"), s.evidence_map, *s.group_relevance_map), mapped(against, s.evidence_map, *s.group_redundancy_map))
+    against = F.col("redundancy") if s.maps.against else F.lit(0.0)
+    mu, nu, pi = fuzzy(mapped(F.col("nmi"), s.maps.kind, *s.maps.group[0]), mapped(against, s.maps.kind, *s.maps.group[1]))
     return evidence.withColumn("mu", mu).withColumn("nu", nu).withColumn("pi", pi)
 
 
@@ -61,13 +57,13 @@ def strong_degrees(members: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def strong_audit(own: DataFrame, vertices: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """For each group how its own degrees stand to those its members allow."""
+    """For each group how far its own degrees are from those its members give; ok: equal within the tolerance."""
     e = own.select("subset_id", F.explode("members").alias("feature_id")).join(vertices.select("feature_id", F.col("mu").alias("vm"), F.col("nu").alias("vn")), "feature_id")
     e = e.groupBy("subset_id").agg(F.min("vm").alias("mu_strong"), F.max("vn").alias("nu_strong"))
     a = own.select("subset_id", "members", "order", F.col("mu").alias("mu_own"), F.col("nu").alias("nu_own"), F.col("pi").alias("pi_own")).join(e, "subset_id")
     a = a.withColumn("pi_strong", 1 - F.col("mu_strong") - F.col("nu_strong")).withColumn("abs_mu", F.abs(F.col("mu_own") - F.col("mu_strong"))).withColumn("abs_nu", F.abs(F.col("nu_own") - F.col("nu_strong")))
     a = a.withColumn("rel_mu", F.col("abs_mu") / (F.abs("mu_strong") + EPS)).withColumn("rel_nu", F.col("abs_nu") / (F.abs("nu_strong") + EPS))
-    return a.withColumn("ok_mu", F.col("mu_own") <= F.col("mu_strong") + tolerance).withColumn("ok_nu", F.col("nu_own") >= F.col("nu_strong") - tolerance).withColumn("ok", F.col("ok_mu") & F.col("ok_nu"))
+    return a.withColumn("ok_mu", F.col("abs_mu") <= tolerance).withColumn("ok_nu", F.col("abs_nu") <= tolerance).withColumn("ok", F.col("ok_mu") & F.col("ok_nu"))
 
 
 def audit_summary(audit: DataFrame) -> DataFrame:
@@ -76,7 +72,13 @@ def audit_summary(audit: DataFrame) -> DataFrame:
 
 
 def weights(degrees: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Adds w: membership less lam times non-membership, not below 0, lowered by hesitation."""
-    lam = s.lam if s.redundancy_penalty else 0.0
-    w = F.greatest(F.lit(0.0), F.col("mu") - lam * F.col("nu"))
-    return degrees.withColumn("w", w * (1 - F.col("pi")) if s.hesitation_weight else w)
+    """Adds w: membership less the penalty times non-membership, not below 0, lowered by hesitation."""
+    w = F.greatest(F.lit(0.0), F.col("mu") - s.groups.penalty * F.col("nu"))
+    return degrees.withColumn("w", w * (1 - F.col("pi")) if s.groups.hesitation else w)
+
+
+def valid_degrees(degrees: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """One row: whether mu, nu and pi are non-negative, mu + nu is at most 1, and all three add up to 1, in every row."""
+    mu, nu, pi = F.col("mu"), F.col("nu"), F.col("pi")
+    rules = {"mu_ge_0": mu >= -tolerance, "nu_ge_0": nu >= -tolerance, "pi_ge_0": pi >= -tolerance, "mu_nu_le_1": mu + nu <= 1 + tolerance, "sum_eq_1": F.abs(mu + nu + pi - 1) <= tolerance}
+    return degrees.agg(*[F.coalesce(F.bool_and(F.coalesce(rule, F.lit(False))), F.lit(True)).alias(name) for name, rule in rules.items()])

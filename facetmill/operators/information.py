@@ -4,38 +4,72 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import EPS, normalized
 
-#: Up to so many subsets the plan holds them itself; beyond, a table of them is broadcast (bounded by max_groups).
-INLINE = 64
+def joint_counts(df: DataFrame, subsets: list[tuple[int, ...]], width: int, rows: int = 200_000) -> DataFrame:
+    """s, k, y, c: how often each tuple of codes (packed to k) of each subset s meets each label.
+
+    Every task keeps the codes of some `rows` rows as one matrix and counts them subset by subset with a histogram; only
+    cells that occur leave the task, and equal cells of several tasks are added up.
+    """
+    if subsets and max(width, 1) ** max(map(len, subsets)) >= 1 << 62:
+        raise ValueError(f"tuples of {max(map(len, subsets))} codes below {width} have more values than 62 bits")
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def told():
+            codes, y = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            labels, y = np.unique(y, return_inverse=True)
+            for s, members in enumerate(subsets):
+                k = np.zeros(len(codes), np.int64)
+                for j in members:
+                    k = k * width + codes[:, j]
+                cells = width ** len(members) * len(labels)
+                if cells <= 4 * len(k) + 65_536:
+                    c = np.bincount(k * len(labels) + y, minlength=cells)
+                    at = np.flatnonzero(c)
+                    c = c[at]
+                else:
+                    seen, number = np.unique(k, return_inverse=True)
+                    at, c = np.unique(number * len(labels) + y, return_counts=True)
+                    at = seen[at // len(labels)] * len(labels) + at % len(labels)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), s, np.int32)), pa.array(at // len(labels)), pa.array(labels[at % len(labels)].astype(np.int32)), pa.array(c.astype(np.int64))], ["s", "k", "y", "c"])
+
+        n = 0
+        for b in batches:
+            if b.num_rows:
+                held.append((matrix(b.column(0), np.int32), b.column(1).to_numpy()))
+                n += b.num_rows
+            if n >= rows:
+                yield from told()
+                n = 0
+        if n:
+            yield from told()
+
+    cells = df.select("codes", F.col("y").cast("int")).mapInArrow(run, "s int, k long, y int, c long")
+    return cells.groupBy("s", "k", "y").agg(F.sum("c").alias("c"))
+
+
+def matrix(column, kind) -> np.ndarray:
+    """The rows of an Arrow column of lists of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1)
 
 
 def joint_entropies(df: DataFrame, subsets: list[tuple[int, ...]], width: int, estimator: str = "plugin") -> DataFrame:
     """subset_id, order, members, n, h_x, h_xy, h_y, k_x of every subset of codes and the label y.
 
-    Rows are expanded by subset to a packed key and counted with map-side combination; one tree of aggregations carries
-    counts and sums of c ln c from tuples with label to tuples to subsets.
+    One tree of aggregations carries counts and sums of c ln c from tuples with label to tuples to subsets.
     """
     spark = df.sparkSession
-    if len(subsets) <= INLINE:
-        def key(m: tuple[int, ...]):
-            k = F.lit(0).cast("long")
-            for j in m:
-                k = k * width + F.col("codes")[j]
-            return k
-
-        each = df.select("y", F.explode(F.array(*[F.struct(F.lit(i).alias("s"), key(m).alias("k")) for i, m in enumerate(subsets)])).alias("e")).select("e.s", "e.k", "y")
-    else:
-        most = max(map(len, subsets))
-        table = spark.createDataFrame([(i, *m, *[None] * (most - len(m))) for i, m in enumerate(subsets)], "s int, " + ", ".join(f"m{j} int" for j in range(most)))
-        k = F.col("codes")[F.col("m0")].cast("long")
-        for j in range(1, most):
-            k = F.when(F.col(f"m{j}").isNull(), k).otherwise(k * width + F.get("codes", F.coalesce(f"m{j}", F.lit(0))))
-        each = df.select("codes", "y").crossJoin(F.broadcast(table)).select("s", k.alias("k"), "y")
-    c = each.groupBy("s", "k", "y").agg(F.count(F.lit(1)).alias("c"))
+    c = joint_counts(df, subsets, width)
     by_key = c.groupBy("s", "k").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.ln("c")).alias("t"), F.count(F.lit(1)).alias("q"))
     per = by_key.groupBy("s").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.ln("c")).alias("a"), F.sum("t").alias("b"), F.count(F.lit(1)).alias("k_x"), F.sum("q").alias("k_xy"))
     label = df.groupBy("y").agg(F.count(F.lit(1)).alias("c")).agg(F.sum("c").alias("ny"), F.sum(F.col("c") * F.ln("c")).alias("ty"), F.count(F.lit(1)).alias("k_y"))
@@ -79,10 +113,31 @@ def pairwise_nmi_mean(h: DataFrame, d: int) -> DataFrame:
 
 def mean_correlation(df: DataFrame, d: int) -> DataFrame:
     """feature_id, redundancy: mean over all d features of |Pearson| of codes, the feature itself counting as 0."""
-    c = [F.coalesce(F.nanvl(F.corr(F.col("codes")[i].cast("double"), F.col("codes")[j].cast("double")), F.lit(0.0)), F.lit(0.0)) for i, j in pairs(d)]
-    row = df.agg(*[F.abs(v).alias(f"c{k}") for k, v in enumerate(c)])
-    both = [F.struct(F.lit(x).alias("feature_id"), F.col(f"c{k}").alias("v")) for k, (i, j) in enumerate(pairs(d)) for x in (i, j)]
-    return row.select(F.explode(F.array(*both)).alias("e")).select("e.*").groupBy("feature_id").agg((F.sum("v") / d).alias("redundancy"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        n, sums, products = 0, np.zeros(d), np.zeros((d, d))
+        for b in batches:
+            x = matrix(b.column(0), np.float64) if b.num_rows else np.zeros((0, d))
+            n, sums, products = n + len(x), sums + x.sum(axis=0), products + x.T @ x
+        i, j = (a.ravel() for a in np.indices((d, d)))
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(np.full(d * d, n)), pa.array(sums[i]), pa.array(sums[j]), pa.array(products.ravel()), pa.array(np.diag(products)[i]), pa.array(np.diag(products)[j])], ["i", "j", "n", "a", "b", "ab", "aa", "bb"])
+
+    # Sums of integer codes: exact, whatever the order.
+    t = df.select("codes").mapInArrow(run, "i long, j long, n long, a double, b double, ab double, aa double, bb double").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "ab", "aa", "bb")])
+    room = (F.col("n") * F.col("aa") - F.col("a") * F.col("a")) * (F.col("n") * F.col("bb") - F.col("b") * F.col("b"))
+    v = F.when((F.col("i") != F.col("j")) & (room > 0), F.abs(F.col("n") * F.col("ab") - F.col("a") * F.col("b")) / F.sqrt(room)).otherwise(0.0)
+    return t.groupBy(F.col("i").cast("int").alias("feature_id")).agg((F.sum(v) / d).alias("redundancy"))
+
+
+def marginal_association(df: DataFrame, feature: int, bins: int = 5) -> float:
+    """NMI of one feature's quantile codes with the label (row_id, x, y): near 0 where a feature matters in company only."""
+    from . import discretize
+
+    one = df.select("row_id", F.array(F.col("x")[feature]).alias("x"), "y")
+    edges = discretize.fit(one, 1, bins)
+    return with_nmi(joint_entropies(discretize.encode(one, edges), [(0,)], discretize.width(edges))).first()["nmi"]  # one row
 
 
 def group_evidence(h: DataFrame, tolerance: float = 1e-6) -> DataFrame:
@@ -98,4 +153,4 @@ def group_evidence(h: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     raw = F.when(room > EPS, tc / room).otherwise(F.lit(0.0))
     checked = F.when((raw < -tolerance) | (raw > 1 + tolerance), F.raise_error(F.lit("redundancy outside [0, 1]")).cast("double")).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)))
     legacy = F.least(F.lit(1.0), F.greatest(F.lit(0.0), tc / (F.col("h_sum") + EPS)))
-    return g.withColumn("tc", tc).withColumn("room", room).withColumn("redundancy", checked).withColumn("legacy", legacy)
+    return g.withColumn("tc", tc).withColumn("room", room).withColumn("clipped", (raw < 0) | (raw > 1)).withColumn("redundancy", checked).withColumn("legacy", legacy)

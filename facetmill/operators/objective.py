@@ -35,7 +35,7 @@ class Coverage:
     def __post_init__(self):
         if any(w < 0 for w in self.groups.values()):
             raise ValueError("group weights must not be negative")
-        self.g = gain_of(self.settings.coverage, self.settings.rho)
+        self.g = gain_of(self.settings.goal.coverage, self.settings.goal.rho)
         self.positive = [(e, w) for e, w in self.groups.items() if w > 0]
         self.touching: dict[int, list[int]] = {v: [] for v in self.mu}
         for i, (e, _) in enumerate(self.positive):
@@ -44,11 +44,11 @@ class Coverage:
 
     def value(self, chosen) -> float:
         s = set(chosen)
-        return self.settings.alpha * sum(self.mu[v] for v in s) + self.settings.beta * sum(w * self.g(len(s.intersection(e)), len(e)) for e, w in self.positive)
+        return self.settings.goal.features * sum(self.mu[v] for v in s) + self.settings.goal.groups * sum(w * self.g(len(s.intersection(e)), len(e)) for e, w in self.positive)
 
     def gain(self, v: int, covered: list[int]) -> float:
         add = sum(self.positive[i][1] * (self.g(covered[i] + 1, len(self.positive[i][0])) - self.g(covered[i], len(self.positive[i][0]))) for i in self.touching[v])
-        return self.settings.alpha * self.mu[v] + self.settings.beta * add
+        return self.settings.goal.features * self.mu[v] + self.settings.goal.groups * add
 
 
 @dataclass
@@ -97,18 +97,40 @@ def best_subset(c: Coverage, m: int) -> tuple[tuple[int, ...], float]:
     return max(((s, c.value(s)) for s in itertools.combinations(sorted(c.mu), m)), key=lambda x: x[1])
 
 
+def is_monotone(c: Coverage, tolerance: float = 1e-9) -> bool:
+    """No feature lowers the value of any set (tries all sets: for a few features only)."""
+    return all(c.value({*s, v}) >= c.value(s) - tolerance for s in _sets(c) for v in c.mu if v not in s)
+
+
+def is_submodular(c: Coverage, tolerance: float = 1e-9) -> bool:
+    """A feature adds no more to a set than to the set without one of its members."""
+    return all(c.value({*s, v}) - c.value(s) <= c.value({*s, v} - {u}) - c.value(s - {u}) + tolerance for s in _sets(c) for u in s for v in c.mu if v not in s)
+
+
+def _sets(c: Coverage):
+    if len(c.mu) > 12:
+        raise ValueError("too many features to try all subsets")
+    return [frozenset(s) for k in range(len(c.mu) + 1) for s in itertools.combinations(sorted(c.mu), k)]
+
+
+def greedy_ratio(c: Coverage, m: int) -> float:
+    """Value of the greedy selection over that of the best one (1 where both are 0)."""
+    best = best_subset(c, m)[1]
+    return c.value(greedy(c, m, stop=False).order) / best if best > 0 else 1.0
+
+
 def value_of(vertices: DataFrame, groups: DataFrame, chosen: list[int], kind: str, s: Settings = Settings()) -> DataFrame:
     """One row: value of a fixed selection, by aggregation of the tables of vertices (feature_id, mu) and groups (members, w)."""
     k = F.size(F.array_intersect("members", F.array(*[F.lit(v) for v in chosen])))
-    cover = groups.filter("w > 0").agg(F.coalesce(F.sum(F.col("w") * coverage(k, F.size("members"), kind, s.rho)), F.lit(0.0)).alias("c"))
+    cover = groups.filter("w > 0").agg(F.coalesce(F.sum(F.col("w") * coverage(k, F.size("members"), kind, s.goal.rho)), F.lit(0.0)).alias("c"))
     own = vertices.filter(F.col("feature_id").isin(chosen)).agg(F.coalesce(F.sum("mu"), F.lit(0.0)).alias("m"))
-    return own.crossJoin(cover).select((s.alpha * F.col("m") + s.beta * F.col("c")).alias("value"))  # one row each
+    return own.crossJoin(cover).select((s.goal.features * F.col("m") + s.goal.groups * F.col("c")).alias("value"))  # one row each
 
 
 def gains_of(vertices: DataFrame, groups: DataFrame, chosen: list[int], kind: str, s: Settings = Settings()) -> DataFrame:
     """feature_id, gain of every feature outside the selection."""
     k = F.size(F.array_intersect("members", F.array(*[F.lit(v) for v in chosen]))) if chosen else F.lit(0)
     n = F.size("members")
-    add = groups.filter("w > 0").select(F.explode("members").alias("feature_id"), (F.col("w") * (coverage(k + 1, n, kind, s.rho) - coverage(k, n, kind, s.rho))).alias("a")).groupBy("feature_id").agg(F.sum("a").alias("a"))
+    add = groups.filter("w > 0").select(F.explode("members").alias("feature_id"), (F.col("w") * (coverage(k + 1, n, kind, s.goal.rho) - coverage(k, n, kind, s.goal.rho))).alias("a")).groupBy("feature_id").agg(F.sum("a").alias("a"))
     out = vertices.filter(~F.col("feature_id").isin(chosen)) if chosen else vertices
-    return out.join(add, "feature_id", "left").select("feature_id", (s.alpha * F.col("mu") + s.beta * F.coalesce("a", F.lit(0.0))).alias("gain"))
+    return out.join(add, "feature_id", "left").select("feature_id", (s.goal.features * F.col("mu") + s.goal.groups * F.coalesce("a", F.lit(0.0))).alias("gain"))

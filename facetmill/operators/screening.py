@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .information import joint_entropies, singles, with_nmi
+from .evaluation import closest
+from .information import joint_entropies, matrix, singles, with_nmi
 
 
 def mi_scores(codes: DataFrame, d: int, width: int) -> DataFrame:
@@ -23,6 +25,36 @@ def anova_scores(df: DataFrame, d: int) -> DataFrame:
     return g.select("feature_id", F.when((F.col("c") > 1) & (within > 0), F.greatest(F.lit(0.0), between / within)).otherwise(0.0).alias("score"))
 
 
+def relieff_scores(df: DataFrame, d: int, k: int | None = None) -> DataFrame:
+    """feature_id, score: ReliefF over all rows. k nearest hits and k nearest misses of every other class by the sum of scaled gaps.
+
+    A feature gains by its gaps to misses (each class by its share among the other classes) and loses by its gaps to hits,
+    averaged over neighbours and rows; gaps are scaled by the feature's range. k: min(10, max(2, rows // 10)).
+    """
+    n = df.count()
+    k = k or min(10, max(2, n // 10))
+    ends = df.select(F.posexplode("x")).groupBy("pos").agg(F.min("col").alias("low"), F.max("col").alias("high")).orderBy("pos").collect()  # a row for each feature
+    unit = F.array(*[(F.col("x")[r["pos"]] - F.lit(r["low"])) / F.lit((r["high"] - r["low"]) or 1.0) for r in ends])
+    scaled = df.select("row_id", "y", unit.alias("x"))
+    share = df.groupBy("y").agg((F.count(F.lit(1)) / n).alias("p"))
+    near = closest(scaled, scaled, list(range(d)), k, by_class=True, metric="gap").drop("far")
+    weight = F.when(F.col("n_y") == F.col("y"), F.lit(-1.0)).otherwise(F.col("np") / (1 - F.col("p")))
+    near = near.join(F.broadcast(share), "y").join(F.broadcast(share.select(F.col("y").alias("n_y"), F.col("p").alias("np"))), "n_y")  # a row for each class
+    near = near.withColumn("w", weight / F.count(F.lit(1)).over(Window.partitionBy("row_id", "n_y")) / n)
+    both = near.join(scaled.select("row_id", F.col("x").alias("a")), "row_id").join(scaled.select(F.col("row_id").alias("n_id"), F.col("x").alias("b")), "n_id")
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = np.zeros(d)
+        for b in batches:
+            if b.num_rows:
+                total += b.column(0).to_numpy() @ np.abs(matrix(b.column(1), np.float64) - matrix(b.column(2), np.float64))
+        yield pa.RecordBatch.from_arrays([pa.array(range(d), pa.int32()), pa.array(total)], ["feature_id", "s"])
+
+    return both.select("w", "a", "b").mapInArrow(run, "feature_id int, s double").groupBy("feature_id").agg(F.sum("s").alias("score"))
+
+
 def top(scores: DataFrame, f: int, digits: int = 9) -> DataFrame:
     """The f best features (ties by id) with their rank; scores are compared rounded so that sums in another order don't matter."""
     order = Window.orderBy(F.round("score", digits).desc(), "feature_id")  # one row a feature
@@ -30,8 +62,8 @@ def top(scores: DataFrame, f: int, digits: int = 9) -> DataFrame:
 
 
 def union(first: DataFrame, second: DataFrame, f: int, share: float = 0.5) -> DataFrame:
-    """feature_id, score: the best share of f by the first score and the best rest by the second; 2 d - smallest rank."""
-    k = round(f * share)
-    a, b = top(first, k).select("feature_id", F.col("rank").alias("a")), top(second, f - k).select("feature_id", F.col("rank").alias("b"))
+    """feature_id, score: the best share of f by the first score and the best rest by the second; 2 d - smallest rank. At least one of each."""
+    k = max(1, round(f * share))
+    a, b = top(first, k).select("feature_id", F.col("rank").alias("a")), top(second, max(1, f - k)).select("feature_id", F.col("rank").alias("b"))
     d = first.count()
     return a.join(b, "feature_id", "full_outer").select("feature_id", (2.0 * d - F.least(F.coalesce("a", F.lit(2 * d)), F.coalesce("b", F.lit(2 * d)))).alias("score"))

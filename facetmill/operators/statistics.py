@@ -34,10 +34,12 @@ def descriptives(means: DataFrame, reference: str) -> DataFrame:
 
 
 def signed_ranks(means: DataFrame, reference: str, digits: int = 12) -> DataFrame:
-    """method, r_plus, r_minus, statistic (the smaller), n (non-zero differences), rank_biserial."""
+    """method, r_plus, r_minus, statistic (the smaller), n (non-zero differences), rank_biserial, ties (sum of t^3 - t over tied differences)."""
     d = pairs(means, reference).withColumn("m", F.round(F.abs("diff"), digits)).filter("m > 0")
     r = d.withColumn("r", average_rank(F.col("m"), ["method"]))
-    s = r.groupBy("method").agg(F.sum(F.when(F.col("diff") > 0, F.col("r")).otherwise(0.0)).alias("r_plus"), F.sum(F.when(F.col("diff") < 0, F.col("r")).otherwise(0.0)).alias("r_minus"), F.count(F.lit(1)).alias("n"), (F.count_distinct("m") < F.count(F.lit(1))).alias("tied"))
+    s = r.groupBy("method").agg(F.sum(F.when(F.col("diff") > 0, F.col("r")).otherwise(0.0)).alias("r_plus"), F.sum(F.when(F.col("diff") < 0, F.col("r")).otherwise(0.0)).alias("r_minus"), F.count(F.lit(1)).alias("n"))
+    t = d.groupBy("method", "m").agg(F.count(F.lit(1)).alias("t")).groupBy("method").agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    s = s.join(t, "method")
     return s.withColumn("statistic", F.least("r_plus", "r_minus")).withColumn("rank_biserial", (F.col("r_plus") - F.col("r_minus")) / (F.col("r_plus") + F.col("r_minus")))
 
 
@@ -50,14 +52,58 @@ def _sums(n: int) -> tuple[int, ...]:
     return tuple(ways)
 
 
-def signed_rank_p(statistic: float, n: int, tied: bool = False) -> float | None:
-    """Two-sided p of the smaller rank sum: exact without ties up to 50 differences, else by the normal curve."""
-    if n < 1:
+def signed_rank_p(statistic: float | None, n: int, pairs: int | None = None, ties: int = 0) -> float | None:
+    """Two-sided p of the smaller rank sum of n non-zero differences of `pairs` pairs.
+
+    None below two pairs, 1 if all differences are zero; exact up to 50 differences without ties and zeros, else by the
+    normal curve with the correction for ties.
+    """
+    pairs = n if pairs is None else pairs
+    if pairs < 2:
         return None
-    if not tied and n <= 50:
+    if n < 1 or statistic is None:
+        return 1.0
+    if not ties and pairs == n and n <= 50:
         return min(1.0, 2 * sum(_sums(n)[: int(statistic) + 1]) / 2**n)
-    mean, sd = n * (n + 1) / 4, math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
-    return math.erfc(abs(statistic - mean) / sd / math.sqrt(2))
+    mean, sd = n * (n + 1) / 4, math.sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24)
+    return math.erfc(abs(statistic - mean) / sd / math.sqrt(2)) if sd else 1.0
+
+
+def paired_tests(means: DataFrame, reference: str, alpha: float = 0.05, digits: int = 12) -> DataFrame:
+    """The paired comparison of every other method with the reference: descriptives, signed-rank test, effect, Holm's correction.
+
+    Tests and means use the datasets where both have a score; a method without such a dataset keeps its row, without values.
+    """
+    spark = means.sparkSession
+    every = means.filter(F.col("method") != reference).select("method").distinct()
+    t = every.join(descriptives(means, reference), "method", "left").join(signed_ranks(means, reference, digits).select("method", "statistic", "n", "rank_biserial", "ties"), "method", "left")
+    rows = t.select("method", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), "statistic", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ties", F.lit(0)).alias("ties")).collect()  # a row for each method
+    p = spark.createDataFrame([(r["method"], signed_rank_p(r["statistic"], r["n"], r["n_pairs"], r["ties"])) for r in rows], "method string, p_raw double")
+    p = holm(p, "p_raw").withColumn("significant", F.coalesce(F.col("p_holm") < alpha, F.lit(False)))
+    effect = F.when(F.col("n_pairs") > 0, F.coalesce("rank_biserial", F.lit(0.0)))
+    tested = F.when(F.col("n_pairs") >= 2, F.col("statistic"))
+    out = t.drop("n", "ties").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0).cast("long"))).withColumn("paired_datasets", F.coalesce("paired_datasets", F.lit(""))).withColumn("rank_biserial", effect).withColumn("statistic", tested)
+    return out.join(p, "method").withColumn("reference", F.lit(reference)).withColumn("alpha", F.lit(alpha))
+
+
+def run_statistics(runs: DataFrame, reference: str, digits: int = 12) -> dict[str, DataFrame]:
+    """The four tables of a comparison of methods over datasets: paired, friedman, ranks, means (dataset, method, score).
+
+    Without the named reference the first method (in order) whose name contains it stands in; without any: an error.
+    """
+    means = mean_scores(runs)
+    names = sorted(r["method"] for r in means.select("method").distinct().collect())  # a row for each method
+    if reference not in names:
+        near = [n for n in names if reference.split("_")[0] in n]
+        if not near:
+            raise ValueError(f"method {reference!r} has no scores")
+        reference = near[0]
+    one = friedman(means, digits)
+    at = one.first()
+    p = None if at["chi2"] is None else chi2_tail(at["chi2"], at["df"])
+    full = F.array_join(F.array_sort(F.collect_set("method")), ";")
+    inside = complete(means).agg(full.alias("complete_case_methods"))
+    return {"paired": paired_tests(means, reference, digits=digits), "friedman": one.filter("chi2 is not null").crossJoin(inside).withColumn("p_value", F.lit(p).cast("double")), "ranks": average_ranks(means, digits), "means": means}  # one row
 
 
 def holm(p: DataFrame, value: str = "p", key: str = "method") -> DataFrame:

@@ -64,8 +64,36 @@ GREEDY = H + ", p0 AS (SELECT 0 AS step, 0 AS mask, -1 AS f, CAST(0 AS DOUBLE) A
     f", p{i} AS (SELECT {i} AS step, p.mask | (1 << t.f) AS mask, t.f, x.val, x.val - p.val AS gain FROM p{i - 1} p, (SELECT unnest(range(4)) AS f) t, sets x WHERE (p.mask >> t.f) & 1 = 0 AND x.mask = p.mask | (1 << t.f) ORDER BY round(x.val - p.val, 12) DESC, t.f LIMIT 1)" for i in range(1, 5)
 ) + ", path AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4)"
 
-#: The label part of mean |correlation| of 16 embedding columns.
-CORR = f"ev AS (SELECT vec_id AS id, unnest(range(16)) AS f, unnest(CAST(embedding AS DOUBLE[])[1:16]) AS x FROM embeddings), ee AS (SELECT f, list_sort(list_distinct(quantile_cont(x, [{QS}]))) AS e FROM ev GROUP BY f), ec AS (SELECT id, f, len(list_filter(e, lambda v: v <= x)) AS c FROM ev JOIN ee USING (f)), cc AS (SELECT a.f AS a, b.f AS b, abs(corr(a.c, b.c)) AS v FROM ec a JOIN ec b ON a.id = b.id AND a.f <> b.f GROUP BY ALL)"
+#: Mean |correlation| of codes of all 64 embedding columns.
+CORR = f"ev AS (SELECT vec_id AS id, unnest(range(64)) AS f, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings), ee AS (SELECT f, list_sort(list_distinct(quantile_cont(x, [{QS}]))) AS e FROM ev GROUP BY f), ec AS (SELECT id, f, len(list_filter(e, lambda v: v <= x)) AS c FROM ev JOIN ee USING (f)), cc AS (SELECT a.f AS a, b.f AS b, coalesce(abs(corr(a.c, b.c)), 0) AS v FROM ec a JOIN ec b ON a.id = b.id AND a.f <> b.f GROUP BY ALL)"
+
+#: Greedy chains of three selectors on four features: relevance less mean redundancy, least conditional and least joint information.
+RANKED = H + """, rl AS (SELECT m.f, h.hx + h.hy - h.hxy AS rel FROM m JOIN h ON h.o = 1 AND CAST(h.members AS INTEGER) = m.f),
+one AS (SELECT CAST(members AS INTEGER) AS f, hx, hxy, hy FROM h WHERE o = 1),
+ps AS (SELECT p.j, p.c, x.hx + z.hx - p.hab AS red, p.hab + z.hxy - p.haby - z.hx AS giv, p.hab + z.hy - p.haby AS jnt FROM (SELECT a AS j, b AS c, hab, haby FROM pr UNION ALL SELECT b, a, hab, haby FROM pr) p JOIN one x ON x.f = p.j JOIN one z ON z.f = p.c),
+k0 AS (SELECT 0 AS step, method, 0 AS mask, -1 AS f FROM (VALUES ('mrmr'), ('cmim'), ('jmi_least')) t(method))""" + "".join(f""",
+k{i} AS (SELECT {i} AS step, method, mask | (1 << f) AS mask, f FROM (SELECT k.method, k.mask, rl.f, CASE WHEN k.mask = 0 THEN any_value(rl.rel) WHEN k.method = 'mrmr' THEN any_value(rl.rel) - avg(red) WHEN k.method = 'cmim' THEN least(any_value(rl.rel), min(giv)) ELSE min(jnt) END AS score
+  FROM k{i - 1} k JOIN rl ON (k.mask >> rl.f) & 1 = 0 LEFT JOIN ps ON ps.j = rl.f AND (k.mask >> ps.c) & 1 = 1 GROUP BY k.method, k.mask, rl.f) QUALIFY row_number() OVER (PARTITION BY method ORDER BY round(score, 12) DESC, f) = 1)""" for i in range(1, 5))
+
+#: Nearest hits and misses by the sum of scaled gaps, ten of each class.
+RELIEF = """rw AS (SELECT vec_id AS id, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS y, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+en AS (SELECT f, min(v) AS lo, max(v) AS hi FROM (SELECT unnest(range(64)) AS f, unnest(x) AS v FROM rw) GROUP BY f), el AS (SELECT list(lo ORDER BY f) AS lo, list(hi ORDER BY f) AS hi FROM en),
+un AS (SELECT id, y, list_transform(range(1, 65), lambda i: (x[i] - lo[i]) / CASE WHEN hi[i] > lo[i] THEN hi[i] - lo[i] ELSE 1 END) AS x FROM rw, el),
+cl AS (SELECT y, count(*) * 1.0 / (SELECT count(*) FROM rw) AS p FROM rw GROUP BY y),
+gp AS (SELECT a.id, a.y, b.id AS n_id, b.y AS n_y, list_transform(list_zip(a.x, b.x), lambda z: abs(z[1] - z[2])) AS g FROM un a JOIN un b ON a.id <> b.id),
+nb AS (SELECT * FROM gp QUALIFY row_number() OVER (PARTITION BY id, n_y ORDER BY round(list_sum(g), 9), n_id) <= (SELECT least(10, greatest(2, count(*) // 10)) FROM rw)),
+wt AS (SELECT nb.*, CASE WHEN n_y = nb.y THEN -1.0 ELSE q.p / (1 - c.p) END / count(*) OVER (PARTITION BY id, n_y) / (SELECT count(*) FROM rw) AS w FROM nb JOIN cl c ON c.y = nb.y JOIN cl q ON q.y = nb.n_y),
+sc AS (SELECT unnest(range(64)) AS f, unnest(g) * w AS v FROM wt)"""
+
+#: Exact two-sided signed-rank tests of five pairs, by counting the sign patterns.
+TESTS = ME + """, ab AS (SELECT method, diff, round(abs(diff), 9) AS m FROM pa), ra AS (SELECT *, rank() OVER (PARTITION BY method ORDER BY m) AS r FROM ab WHERE m > 0),
+su AS (SELECT method, count(*) AS n, sum(CASE WHEN diff > 0 THEN r ELSE 0 END) AS rp, sum(CASE WHEN diff < 0 THEN r ELSE 0 END) AS rm FROM ra GROUP BY method),
+pv AS (SELECT su.*, least(1.0, 2.0 * (SELECT count(*) FROM range(1 << su.n) t(k) WHERE (SELECT coalesce(sum(i + 1), 0) FROM range(su.n) u(i) WHERE (k >> i) & 1 = 1) <= least(rp, rm)) / (1 << su.n)) AS p FROM su),
+ho AS (SELECT method, max((c - rn + 1) * p) OVER (ORDER BY p, method ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h FROM (SELECT *, row_number() OVER (ORDER BY p, method) AS rn, count(*) OVER () AS c FROM pv)),
+ds AS (SELECT method, count(*) AS n_pairs, string_agg(dataset, ';' ORDER BY dataset) AS paired_datasets, avg(diff) AS d, quantile_cont(diff, 0.5) AS md FROM pa GROUP BY method)"""
+
+#: NMI with five bins.
+FIVE = RAW + ", edge AS (SELECT " + ", ".join(f"list_sort(list_distinct(quantile_cont(f{i}, [0.2, 0.4, 0.6, 0.8]))) AS e{i}" for i in range(4)) + " FROM raw), code AS (" + " UNION ALL ".join(f"SELECT {i} AS f, y, len(list_filter(e{i}, lambda v: v <= f{i})) AS c FROM raw, edge" for i in range(4)) + "), c1 AS (SELECT f, c, y, count(*) AS n FROM code GROUP BY ALL), c2 AS (SELECT f, c, sum(n) AS n FROM c1 GROUP BY ALL), hx AS (SELECT f, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS hx FROM c2 GROUP BY f), hz AS (SELECT f, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS hxy FROM c1 GROUP BY f), hy AS (SELECT ln(sum(n)) - sum(n * ln(n)) / sum(n) AS hy FROM (SELECT count(*) AS n FROM raw GROUP BY y))"
 
 EV = "ev AS (SELECT event_type AS scenario, CAST(ts AS DATE) AS seed, value FROM events)"
 
@@ -81,7 +109,7 @@ SQL: dict[str, str] = {
     "q09_mutual_information": _h("SELECT CAST(members AS INTEGER) AS feature_id, round(mi, 6) AS mi FROM h WHERE o = 1"),
     "q10_nmi": _w(ENMI, "SELECT CAST(f AS INTEGER) AS feature_id, round(nmi, 6) AS nmi FROM en"),
     "q11_pairwise_nmi": _h("SELECT f AS feature_id, round(red, 6) AS redundancy FROM red"),
-    "q12_mean_correlation": _w(CORR, "SELECT CAST(a AS INTEGER) AS feature_id, round(sum(v) / 16, 6) AS redundancy FROM cc GROUP BY a"),
+    "q12_mean_correlation": _w(CORR, "SELECT CAST(a AS INTEGER) AS feature_id, round(sum(v) / 64, 6) AS redundancy FROM cc GROUP BY a"),
     "q13_group_nmi": _h("SELECT members, round(nmi, 6) AS nmi FROM g"),
     "q14_total_correlation": _h("SELECT members, round(tc, 6) AS tc FROM g"),
     "q15_group_redundancy": _h("SELECT members, round(hs, 6) AS h_sum, round(hm, 6) AS h_max, round(hs - hm, 6) AS room, round(r, 6) AS redundancy FROM g"),
@@ -92,8 +120,8 @@ SQL: dict[str, str] = {
     "q20_exhaustive_groups": "WITH i AS (SELECT CAST(i AS INTEGER) AS i FROM range(10) t(i)) SELECT 2 AS \"order\", a.i || ';' || b.i AS members FROM i a, i b WHERE a.i < b.i UNION ALL SELECT 3, a.i || ';' || b.i || ';' || c.i FROM i a, i b, i c WHERE a.i < b.i AND b.i < c.i",
     "q21_group_degrees": _h("SELECT members, round(mu, 6) AS mu, round(nu, 6) AS nu, round(pi, 6) AS pi FROM gd"),
     "q22_strong_degrees": _h("SELECT members, round(smu, 6) AS mu, round(CASE WHEN smu + snu > 1 THEN greatest(0, 1 - smu) ELSE snu END, 6) AS nu, round(1 - smu - CASE WHEN smu + snu > 1 THEN greatest(0, 1 - smu) ELSE snu END, 6) AS pi FROM st JOIN g USING (s)"),
-    "q23_strong_audit": _h("SELECT members, round(abs(mu - smu), 6) AS abs_mu, round(abs(nu - snu), 6) AS abs_nu, round(abs(mu - smu) / (abs(smu) + 1e-12), 6) AS rel_mu, round(abs(nu - snu) / (abs(snu) + 1e-12), 6) AS rel_nu, mu <= smu + 1e-9 AS ok_mu, nu >= snu - 1e-9 AS ok_nu, mu <= smu + 1e-9 AND nu >= snu - 1e-9 AS ok FROM gd JOIN st USING (s)"),
-    "q24_audit_summary": _h("SELECT count(*) AS n_groups, round(100.0 * count(*) FILTER (mu <= smu + 1e-9) / count(*), 6) AS pct_mu, round(100.0 * count(*) FILTER (nu >= snu - 1e-9) / count(*), 6) AS pct_nu, round(100.0 * count(*) FILTER (mu <= smu + 1e-9 AND nu >= snu - 1e-9) / count(*), 6) AS pct_both, round(avg(abs(mu - smu)), 6) AS mean_abs_mu, round(avg(abs(nu - snu)), 6) AS mean_abs_nu, round(max(abs(mu - smu)), 6) AS max_abs_mu, round(max(abs(nu - snu)), 6) AS max_abs_nu, round(avg(abs(mu - smu) / (abs(smu) + 1e-12)), 6) AS mean_rel_mu, round(avg(abs(nu - snu) / (abs(snu) + 1e-12)), 6) AS mean_rel_nu FROM gd JOIN st USING (s)"),
+    "q23_strong_audit": _h("SELECT members, round(abs(mu - smu), 6) AS abs_mu, round(abs(nu - snu), 6) AS abs_nu, round(abs(mu - smu) / (abs(smu) + 1e-12), 6) AS rel_mu, round(abs(nu - snu) / (abs(snu) + 1e-12), 6) AS rel_nu, abs(mu - smu) <= 1e-9 AS ok_mu, abs(nu - snu) <= 1e-9 AS ok_nu, abs(mu - smu) <= 1e-9 AND abs(nu - snu) <= 1e-9 AS ok FROM gd JOIN st USING (s)"),
+    "q24_audit_summary": _h("SELECT count(*) AS n_groups, round(100.0 * count(*) FILTER (abs(mu - smu) <= 1e-9) / count(*), 6) AS pct_mu, round(100.0 * count(*) FILTER (abs(nu - snu) <= 1e-9) / count(*), 6) AS pct_nu, round(100.0 * count(*) FILTER (abs(mu - smu) <= 1e-9 AND abs(nu - snu) <= 1e-9) / count(*), 6) AS pct_both, round(avg(abs(mu - smu)), 6) AS mean_abs_mu, round(avg(abs(nu - snu)), 6) AS mean_abs_nu, round(max(abs(mu - smu)), 6) AS max_abs_mu, round(max(abs(nu - snu)), 6) AS max_abs_nu, round(avg(abs(mu - smu) / (abs(smu) + 1e-12)), 6) AS mean_rel_mu, round(avg(abs(nu - snu) / (abs(snu) + 1e-12)), 6) AS mean_rel_nu FROM gd JOIN st USING (s)"),
     "q25_group_weights": _h("SELECT members, round(w, 6) AS w FROM gw"),
     "q26_objective_values": _h(", hit AS (SELECT s, count(*) FILTER (f IN (0, 2)) AS k, count(*) AS n FROM mem GROUP BY s), own AS (SELECT sum(mu) AS m FROM v WHERE f IN (0, 2)) SELECT 'binary' AS coverage, round(m + (SELECT sum(w * (k >= 1)::INT) FROM gw JOIN hit USING (s)), 6) AS value FROM own UNION ALL SELECT 'soft', round(m + (SELECT sum(w * (1 - pow(0.5, k))) FROM gw JOIN hit USING (s)), 6) FROM own UNION ALL SELECT 'fraction', round(m + (SELECT sum(w * least(1.0, k * 1.0 / n)) FROM gw JOIN hit USING (s)), 6) FROM own"),
     "q27_marginal_gains": _h(", hit AS (SELECT s, count(*) FILTER (f = 0) AS k FROM mem GROUP BY s) SELECT v.f AS feature_id, round(any_value(v.mu) + sum(w * (pow(0.5, k) - pow(0.5, k + 1))), 6) AS gain FROM v JOIN mem ON mem.f = v.f JOIN gw USING (s) JOIN hit USING (s) WHERE v.f <> 0 GROUP BY v.f"),
@@ -113,17 +141,24 @@ SQL: dict[str, str] = {
     "q41_holm": "SELECT * FROM (VALUES ('a', 0.01::DOUBLE, 0.03::DOUBLE), ('b', 0.04, 0.06), ('c', 0.03, 0.06), ('d', NULL, NULL), ('e', 0.005, 0.02)) t(method, p, p_holm)",
     "q42_recovery": _w(SEL, ", x AS (SELECT run, len(list_intersect(s, [0, 3, 7, 11, 15, 20])) AS i, len(s) AS k FROM se) SELECT run, round(i * 1.0 / k, 6) AS precision, round(i / 6.0, 6) AS recall, round(CASE WHEN i > 0 THEN 2.0 * i / (k + 6) ELSE 0 END, 6) AS f1, round(i * 1.0 / (k + 6 - i), 6) AS jaccard, i = 6 AS all_selected FROM x"),
     "q43_checks": _w(REP, "SELECT 'accuracy_in_range' AS name, bool_and(accuracy BETWEEN 0 AND 1) AS ok FROM rp UNION ALL SELECT 'cardinality_is_integer', bool_and(n_selected = round(n_selected)) FROM rp UNION ALL SELECT 'reduction_adds_up', bool_and(abs(1 - n_selected * 1.0 / d - feature_reduction) <= 1e-9) FROM rp"),
-    "q44_scenarios": _w(EV, "SELECT scenario, count(DISTINCT seed) AS n_seeds, round(avg(value), 6) AS value_mean FROM ev GROUP BY scenario"),
+    "q44_scenarios": _w(EV, "SELECT scenario, count(seed) AS n_seeds, round(avg(value), 6) AS value_mean FROM ev GROUP BY scenario"),
     "q45_reconciled": _w(EV, ", s AS (SELECT DISTINCT scenario, seed FROM ev WHERE value > 1), r AS (SELECT DISTINCT scenario, seed FROM ev WHERE scenario <> 'click') SELECT CASE WHEN s.scenario IS NULL THEN 'raw_only' WHEN r.scenario IS NULL THEN 'summary_only' ELSE 'both' END AS side, count(*) AS n FROM s FULL JOIN r ON s.scenario = r.scenario AND s.seed = r.seed GROUP BY 1"),
     "q46_append_new": "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY o_custkey",
     "q47_manifest_diff": "WITH d AS (SELECT doc_id, sha256(text) AS h, n_chars FROM documents), b AS (SELECT * FROM d WHERE n_chars < 20000), a AS (SELECT doc_id, CASE WHEN n_chars > 5000 THEN 'new' ELSE h END AS h FROM d WHERE n_chars > 300) SELECT CASE WHEN b.doc_id IS NULL THEN 'ADDED' WHEN a.doc_id IS NULL THEN 'MISSING' WHEN a.h = b.h THEN 'UNCHANGED' ELSE 'CHANGED' END AS status, count(*) AS n FROM b FULL JOIN a ON a.doc_id = b.doc_id GROUP BY 1",
     "q48_failure_status": "SELECT CASE WHEN o_orderstatus = 'F' OR o_orderpriority = '5-LOW' THEN 'resolved' ELSE 'active' END AS status, count(*) AS n FROM orders GROUP BY 1",
     "q49_text_scan": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) SELECT doc_id, 'license' AS pattern, CAST(line AS BIGINT) AS line FROM l WHERE regexp_matches(t, '(?i)licen[sc]ed? under') UNION ALL SELECT doc_id, 'mail', CAST(line AS BIGINT) FROM l WHERE regexp_matches(t, '[a-z0-9.]+@[a-z0-9]+[.][a-z]+') UNION ALL SELECT doc_id, 'insult', CAST(line AS BIGINT) FROM l WHERE regexp_matches(t, '(?i)(idiot|stupid)')",
-    "q50_nearest": _w(SPLIT, ", nn AS (SELECT t.row_id, t.y, n.y AS ny, row_number() OVER (PARTITION BY t.row_id ORDER BY round(list_sum(list_transform(list_zip(t.x[1:20], n.x[1:20]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9), n.row_id) AS r FROM sp t, sp n WHERE t.is_test AND NOT n.is_test), vo AS (SELECT row_id, y, ny, count(*) AS v FROM nn WHERE r <= 5 GROUP BY ALL), pd AS (SELECT row_id, y, ny AS pred FROM vo QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY v DESC, ny) = 1), tr AS (SELECT y AS k, count(*) AS t, count(*) FILTER (y = pred) AS hit FROM pd GROUP BY y), sd AS (SELECT pred AS k, count(*) AS p FROM pd GROUP BY pred), al AS (SELECT coalesce(tr.k, sd.k) AS k, coalesce(t, 0) AS t, coalesce(p, 0) AS p, coalesce(hit, 0) AS hit FROM tr FULL JOIN sd ON tr.k = sd.k) SELECT round(sum(hit) * 1.0 / sum(t), 6) AS accuracy, round(avg(CASE WHEN t > 0 THEN hit * 1.0 / t END), 6) AS balanced_accuracy, round(avg(2.0 * hit / (t + p)), 6) AS macro_f1 FROM al"),
+    "q50_nearest": _w(SPLIT, ", nn AS (SELECT t.row_id, t.y, n.y AS ny, row_number() OVER (PARTITION BY t.row_id ORDER BY round(list_sum(list_transform(list_zip(t.x, n.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9), n.row_id) AS r FROM sp t, sp n WHERE t.is_test AND NOT n.is_test), vo AS (SELECT row_id, y, ny, count(*) AS v FROM nn WHERE r <= 5 GROUP BY ALL), pd AS (SELECT row_id, y, ny AS pred FROM vo QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY v DESC, ny) = 1), tr AS (SELECT y AS k, count(*) AS t, count(*) FILTER (y = pred) AS hit FROM pd GROUP BY y), sd AS (SELECT pred AS k, count(*) AS p FROM pd GROUP BY pred), al AS (SELECT coalesce(tr.k, sd.k) AS k, coalesce(t, 0) AS t, coalesce(p, 0) AS p, coalesce(hit, 0) AS hit FROM tr FULL JOIN sd ON tr.k = sd.k) SELECT round(sum(hit) * 1.0 / sum(t), 6) AS accuracy, round(avg(CASE WHEN t > 0 THEN hit * 1.0 / t END), 6) AS balanced_accuracy, round(avg(2.0 * hit / (t + p)), 6) AS macro_f1 FROM al"),
     "q51_uncertainty": _h("SELECT CAST(members AS INTEGER) AS a, CAST(NULL AS INTEGER) AS b, round(2 * greatest(0, hx + hy - hxy) / (hx + hy), 6) AS su FROM h WHERE o = 1 UNION ALL SELECT a, b, round(2 * greatest(0, x.hf + z.hf - hab) / (x.hf + z.hf), 6) FROM pr JOIN m x ON x.f = a JOIN m z ON z.f = b"),
     "q53_rank_correlation": _w(SC, ", g AS (SELECT dataset, method, round(avg(score), 9) AS x, count(*) AS n FROM sc GROUP BY ALL), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS a, rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0 AS b FROM g) SELECT round(corr(a, b), 6) AS spearman, count(*) AS n FROM r"),
     "q54_selection_diff": _w(SEL, ", fu AS (SELECT s AS f FROM se ORDER BY run LIMIT 1) SELECT run, round(len(list_intersect(s, f)) * 1.0 / len(list_distinct(list_concat(s, f))), 6) AS jaccard, array_to_string(list_filter(f, lambda v: NOT list_contains(s, v)), ';') AS only_full, array_to_string(list_filter(s, lambda v: NOT list_contains(f, v)), ';') AS only_here FROM se, fu"),
+    "q52_ranked_selectors": _w(RANKED, " UNION ALL ".join(f"SELECT method, step, CAST(f AS INTEGER) AS feature_id FROM k{i}" for i in range(1, 5))),
+    "q57_paired_tests": _w(TESTS, "SELECT ds.method, n_pairs, paired_datasets, round(d, 6) AS mean_difference, round(md, 6) AS median_difference, round(least(rp, rm), 6) AS statistic, round((rp - rm) / (rp + rm), 6) AS rank_biserial, round(p, 6) AS p_raw, round(least(1.0, h), 6) AS p_holm, least(1.0, h) < 0.05 AS significant FROM ds JOIN pv USING (method) JOIN ho USING (method)"),
+    "q58_validations": _w(REP, "SELECT 'accuracy_in_range' AS \"check\", CASE WHEN bool_and(accuracy BETWEEN 0 AND 1) THEN 'PASS' ELSE 'FAIL' END AS status FROM rp UNION ALL SELECT 'has_values', CASE WHEN count(accuracy) > 0 THEN 'PASS' ELSE 'FAIL' END FROM rp UNION ALL SELECT 'cardinality_is_integer', CASE WHEN bool_and(n_selected = round(n_selected)) THEN 'PASS' ELSE 'FAIL' END FROM rp UNION ALL SELECT 'reduction_adds_up', CASE WHEN bool_and(abs(1 - n_selected * 1.0 / d - feature_reduction) <= 1e-9 + 1e-5 * abs(feature_reduction)) THEN 'PASS' ELSE 'FAIL' END FROM rp UNION ALL SELECT 'summary_recomputes', CASE WHEN count(*) > 0 THEN 'PASS' ELSE 'FAIL' END FROM rp UNION ALL SELECT 'summary_is_a_fraction', CASE WHEN max(accuracy) <= 1 THEN 'PASS' ELSE 'FAIL' END FROM rp"),
+    "q59_valid_degrees": _h(", al AS (SELECT mu, nu, pi FROM v UNION ALL SELECT mu, nu, pi FROM gd) SELECT bool_and(mu >= -1e-9) AS mu_ge_0, bool_and(nu >= -1e-9) AS nu_ge_0, bool_and(pi >= -1e-9) AS pi_ge_0, bool_and(mu + nu <= 1 + 1e-9) AS mu_nu_le_1, bool_and(abs(mu + nu + pi - 1) <= 1e-9) AS sum_eq_1 FROM al"),
+    "q60_relieff": _w(RELIEF, "SELECT CAST(f AS INTEGER) AS feature_id, round(sum(v), 6) AS score FROM sc GROUP BY f"),
+    "q61_seed_checks": _w(EV, ", o AS (SELECT scenario, seed, round(avg(value), 6) AS value FROM ev GROUP BY ALL), s AS (SELECT scenario, count(seed) AS n_seeds, avg(value) AS m FROM o GROUP BY scenario), r AS (SELECT scenario, count(DISTINCT seed) AS k, count(seed) AS c, avg(value) AS m2 FROM o GROUP BY scenario), j AS (SELECT * FROM s FULL JOIN r USING (scenario)) SELECT 'keys_unique' AS name, count(*) = count(DISTINCT scenario) AS ok FROM s UNION ALL SELECT 'keys_match', bool_and(n_seeds IS NOT NULL AND k IS NOT NULL) FROM j UNION ALL SELECT 'seeds_match', bool_and(n_seeds = k) FROM j UNION ALL SELECT 'rows_add_up', sum(n_seeds) = sum(c) FROM j UNION ALL SELECT 'value_reproduces', bool_and(abs(m - m2) <= 1e-12 + 1e-5 * abs(m2)) FROM j"),
+    "q62_marginal_association": _w(FIVE, "SELECT CAST(hx.f AS INTEGER) AS feature_id, round(CASE WHEN least(hx, hy) <= 1e-12 THEN 0 ELSE least(1, greatest(0, hx + hy - hxy) / least(hx, hy)) END, 6) AS nmi FROM hx JOIN hz USING (f), hy"),
     "q55_summary_recomputes": _w(SC, "SELECT count(*) AS n_matched, true AS ok FROM (SELECT DISTINCT dataset, method FROM sc)"),
 }
-for _n in ("q18_screen_anova", "q26_objective_values", "q27_marginal_gains", "q33_stability_summary", "q38_signed_ranks", "q39_friedman", "q42_recovery", "q45_reconciled", "q50_nearest", "q53_rank_correlation", "q54_selection_diff"):
+for _n in ("q18_screen_anova", "q26_objective_values", "q27_marginal_gains", "q33_stability_summary", "q38_signed_ranks", "q39_friedman", "q42_recovery", "q45_reconciled", "q50_nearest", "q53_rank_correlation", "q54_selection_diff", "q59_valid_degrees", "q61_seed_checks"):
     SQL[_n] = SQL[_n].replace(") , ", "), ", 1) if ") , " in SQL[_n] else SQL[_n]

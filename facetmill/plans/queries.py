@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions.expressions import hashed_seed, jaccard
 from ..operators import discretize, evaluation, groups, information, objective, reporting, screening, selectors, stability, statistics
-from ..sources import tables
+from ..sources import synthetic, tables
 from ..sources.tables import table
-from . import selector
+from . import selector, workflows
 
 SINGLES, PAIRS = information.singles(4), information.pairs(4)
 TRIPLES = [(0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3)]
@@ -135,8 +136,8 @@ def q11_pairwise_nmi(spark, sf):
 
 
 def q12_mean_correlation(spark, sf):
-    df = vectors(spark, sf).withColumn("x", F.slice("x", 1, 16))
-    return information.mean_correlation(discretize.encode(df, discretize.fit(df, 16)), 16).select("feature_id", r6("redundancy").alias("redundancy"))
+    df = vectors(spark, sf)
+    return information.mean_correlation(discretize.encode(df, discretize.fit(df, 64)), 64).select("feature_id", r6("redundancy").alias("redundancy"))
 
 
 def q13_group_nmi(spark, sf):
@@ -337,7 +338,7 @@ def q49_text_scan(spark, sf):
 
 def q50_nearest(spark, sf):
     v = tables.stratified(vectors(spark, sf), 42)
-    p = evaluation.nearest(v.filter("not is_test"), v.filter("is_test"), list(range(20)))
+    p = evaluation.nearest(v.filter("not is_test"), v.filter("is_test"), list(range(64)))
     return evaluation.metrics(p).select(*[r6(c).alias(c) for c in ("accuracy", "balanced_accuracy", "macro_f1")])
 
 
@@ -371,6 +372,58 @@ def q56_selection(spark, sf):
     return selection(vectors(spark, sf), 64)
 
 
+def q57_paired_tests(spark, sf):
+    t = statistics.paired_tests(_means(spark, sf), "1-URGENT", digits=9)
+    return t.select("method", "n_pairs", "paired_datasets", *[r6(c).alias(c) for c in ("mean_difference", "median_difference", "statistic", "rank_biserial", "p_raw", "p_holm")], "significant")
+
+
+def q58_validations(spark, sf):
+    t = _report(spark, sf)
+    return reporting.run_validations(t, reporting.summarize(t, ["dataset", "method"], ["accuracy"]))
+
+
+def q59_valid_degrees(spark, sf):
+    h = _entropies(spark, sf).cache()
+    own = _vertices(h).select("mu", "nu", "pi").unionByName(_groups(h).select("mu", "nu", "pi"))
+    return groups.valid_degrees(own)
+
+
+def q60_relieff(spark, sf):
+    return screening.relieff_scores(vectors(spark, sf), 64).select("feature_id", r6("score").alias("score"))
+
+
+def q61_seed_checks(spark, sf):
+    e = _events(spark, sf)
+    once = e.groupBy("scenario", "seed").agg(F.round(F.avg("value"), 6).alias("value"))
+    return reporting.check_seeds(once, reporting.scenario_summary(once, ["scenario"], "seed", ["value"]), ["scenario"], "seed", ["value"])
+
+
+def q62_marginal_association(spark, sf):
+    df = items(spark, sf)
+    return spark.createDataFrame([(j, information.marginal_association(df, j)) for j in range(4)], "feature_id int, nmi double").withColumn("nmi", r6("nmi"))
+
+
+def q63_interaction_example(spark, sf):
+    return synthetic.interaction_example(spark)
+
+
+def q64_synthetic_recovery(spark, sf):
+    study = workflows.Study(spark, _folder(spark), {}, Settings().but(screen={"keep": 8}))
+    return study.synthetic(scenarios=("xor2", "main_effect"), noises=(6,), seeds=1).select("scenario", "n", "noise", "method", "seed", "precision", "recall", "f1", "all_selected", "n_selected")
+
+
+def q65_equal_budget(spark, sf):
+    study = workflows.Study(spark, _folder(spark), {"embeddings": (vectors(spark, sf), 64)}, Settings().but(screen={"keep": 10}, groups={"largest": 2}), runs=1, classifier="nearest")
+    t = study.equal_budget(("canonical", "mrmr"))
+    return t.select("dataset", "run", "method", "budget", "n_selected", r6("accuracy").alias("accuracy"), r6("feature_reduction").alias("feature_reduction"), F.array_join(F.col("selected").cast("array<string>"), ";").alias("selected"))
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder for a study's tables, where driver and executors can reach it."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{where.rstrip('/')}/study-{uuid.uuid4().hex}"
+
+
 def selection(df: DataFrame, d: int, s: Settings = Settings()) -> DataFrame:
     """step, feature_id, gain, value of the whole selection."""
     r = selector.fit(df, d, s)

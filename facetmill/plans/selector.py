@@ -22,20 +22,23 @@ class Selection:
 
 def prepare(df: DataFrame, d: int, s: Settings = Settings()) -> tuple[DataFrame, list[int], int]:
     """Codes of the screened features (cached for the counts that follow), their ids, the number of codes."""
-    edges = discretize.fit(df, d, s.bins, s.discretizer)
+    edges = discretize.fit(df, d, s.coding.bins, s.coding.method)
     width = discretize.width(edges)
-    f = screening_size(d, s)
-    if s.screening == "none" or f >= d:
+    f = screening_size(d, s.screen)
+    relevance = lambda: screening.mi_scores(discretize.encode(df, edges), d, width)
+    if s.screen.by == "none" or f >= d:
         keep = list(range(d))
     else:
-        if s.screening == "mi":
-            scores = screening.mi_scores(discretize.encode(df, edges), d, width)
-        elif s.screening == "anova_f":
+        if s.screen.by == "mi":
+            scores = relevance()
+        elif s.screen.by == "anova_f":
             scores = screening.anova_scores(df, d)
-        elif s.screening == "mi_anova_union":
-            scores = screening.union(screening.mi_scores(discretize.encode(df, edges), d, width), screening.anova_scores(df, d), f, s.union_share)
+        elif s.screen.by == "relieff":
+            scores = screening.relieff_scores(df, d)
+        elif s.screen.by == "interaction_union":
+            scores = screening.union(relevance(), screening.relieff_scores(df, d), f, s.screen.share)
         else:
-            raise ValueError(f"unknown screening {s.screening!r}")
+            raise ValueError(f"unknown screening {s.screen.by!r}")
         keep = sorted(r["feature_id"] for r in screening.top(scores, f).collect())  # at most f rows
     return discretize.encode(df, edges, keep).select("codes", "y"), keep, width
 
@@ -45,23 +48,24 @@ def fit(df: DataFrame, d: int, s: Settings = Settings(), budget: int | None = No
     codes, keep, width = prepare(df, d, s)
     f = len(keep)
     codes = codes.cache()
-    sets = groups.groups(f, s.largest_group, s.max_groups, s.seed, s.only_largest)
+    sets = groups.groups(f, s.groups.largest, s.groups.most, s.groups.seed, s.groups.only_largest)
     every = information.singles(f) + sorted(set(information.pairs(f)) | set(sets), key=lambda g: (len(g), g))
-    h = information.joint_entropies(codes, every, width, s.estimator).cache()
+    h = information.joint_entropies(codes, every, width, s.coding.estimator).cache()
     relevance = information.with_nmi(h.filter("order = 1")).selectExpr("members[0] AS feature_id", "nmi AS relevance")
-    redundancy = information.pairwise_nmi_mean(h, f) if s.vertex_redundancy == "nmi_mean" else information.mean_correlation(codes, f)
+    redundancy = information.pairwise_nmi_mean(h, f) if s.maps.redundancy == "nmi_mean" else information.mean_correlation(codes, f)
     vertices = groups.vertex_degrees(relevance, redundancy, s).cache()
     mu = {r["feature_id"]: r["mu"] for r in vertices.collect()}
     wanted = set(sets)
-    if s.group_degrees == "strict_strong":
+    if s.groups.degrees == "strict_strong":
         degrees = h.filter("order > 1").select("subset_id", "members").join(groups.strong_degrees(h.filter("order > 1"), vertices), "subset_id")
     else:
         degrees = groups.independent_degrees(information.group_evidence(h), s)
     edge = [r.asDict() for r in groups.weights(degrees, s).select("members", "mu", "nu", "pi", "w").collect() if tuple(r["members"]) in wanted] if sets else []
     c = Coverage(mu, {tuple(r["members"]): r["w"] for r in edge}, s)
-    m = cardinality(d, f, s)
-    path = greedy(c, max(m, budget or 0) if s.cardinality != "efficiency" else f)
-    chosen = by_efficiency(path, m) if s.cardinality == "efficiency" else path.order[:m]
+    m = cardinality(d, f, s.goal)
+    best_value = s.goal.rule == "efficiency" and s.goal.select is None
+    path = greedy(c, f if best_value else max(m, budget or 0))
+    chosen = by_efficiency(path, m) if best_value else path.order[:m]
     out = Selection([keep[v] for v in chosen], path, keep, [r.asDict() for r in vertices.collect()], edge)
     codes.unpersist()
     h.unpersist()

@@ -22,12 +22,47 @@ def read_or_none(spark: SparkSession, path: str, kind: str = "csv", **options) -
         return None
 
 
-def matrix_csv(spark: SparkSession, stem: str, columns: int) -> DataFrame:
-    """<stem>_X.csv and <stem>_Y.csv without headers -> (row_id, x, label), rows matched by their line."""
-    lines = lambda p: spark.sparkContext.textFile(p).zipWithIndex()  # noqa: E731  the only order a text file has
-    x = lines(f"{stem}_X.csv").map(lambda r: (r[1], [float(v) for v in r[0].split(",")])).toDF("row_id long, x array<double>")
-    y = lines(f"{stem}_Y.csv").map(lambda r: (r[1], r[0].strip())).toDF("row_id long, label string")
-    return prepared(x.join(y, "row_id").filter(F.size("x") == columns))
+def _lines(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """row_id, <name>: the lines of a text file with their numbers, from counts of lines by partition."""
+    lines = spark.read.text(path).select(F.col("value").alias(name), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"), F.struct("_metadata.file_path", "_metadata.file_block_start").alias("at"))
+    counts = lines.groupBy("p").agg(F.min("at").alias("at"), F.min("i").alias("least"), F.count(F.lit(1)).alias("n"))
+    first = F.coalesce(F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    return lines.join(F.broadcast(counts.select("p", "least", first.alias("first"))), "p").select((F.col("first") + F.col("i") - F.col("least")).alias("row_id"), name)
+
+
+def matrix_csv(spark: SparkSession, stem: str, columns: int | None = None) -> DataFrame:
+    """<stem>_X.csv and <stem>_Y.csv without headers -> (row_id, x, label, y), rows matched by their line; classes of one row are left out.
+
+    A line of another length, a value that is no number and files of different lengths are errors.
+    """
+    x, y = _lines(spark, f"{stem}_X.csv", "line"), _lines(spark, f"{stem}_Y.csv", "label")
+    if columns is None:
+        columns = len(spark.read.text(f"{stem}_X.csv").first()["value"].split(","))
+    fail = lambda text: F.raise_error(F.lit(text))
+    cells = F.transform(F.split("line", ","), lambda v: F.trim(v).cast("double"))
+    both = x.join(y, "row_id", "full_outer")
+    row = F.when(F.col("line").isNull() | F.col("label").isNull(), fail(f"{stem}: X and Y have different numbers of lines").cast("array<double>")).when(F.size(F.split("line", ",")) != columns, fail(f"{stem}: a line of X does not have {columns} values").cast("array<double>")).otherwise(cells)
+    return prepared(both.select("row_id", row.alias("x"), F.trim("label").alias("label")))
+
+
+def dataset(spark: SparkSession, folder: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of a dataset and one row that describes them: counts of rows before and after, features, rows by label."""
+    df = matrix_csv(spark, f"{folder.rstrip('/')}/{name}")
+    before = spark.read.text(f"{folder.rstrip('/')}/{name}_Y.csv").groupBy(F.trim("value").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    old = before.agg(F.sum("n").alias("original_rows"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "n")))).alias("original_labels"))
+    new = df.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("x")).alias("d")).agg(F.sum("n").alias("rows"), F.max("d").alias("features"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("y", "n")))).alias("labels"))
+    return df, old.crossJoin(new).withColumn("dataset", F.lit(name)).withColumn("removed_rows", F.col("original_rows") - F.col("rows"))  # one row each
+
+
+def datasets(spark: SparkSession, folder: str, names: str | None = None) -> list[str]:
+    """The datasets of a folder: names that have both files. names: a list with commas that picks some; an unknown one is an error."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*_[XY].csv").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("f"))
+    pairs = files.select(F.expr("substring(f, 1, length(f) - 6)").alias("name")).groupBy("name").count().filter("count = 2")
+    found = sorted(r["name"] for r in pairs.collect())  # a row for each dataset
+    picked = [n.strip() for n in names.split(",") if n.strip()] if names else found
+    if set(picked) - set(found):
+        raise ValueError(f"no such dataset: {', '.join(sorted(set(picked) - set(found)))}")
+    return picked
 
 
 def prepared(df: DataFrame, label: str = "label", least: int = 2) -> DataFrame:
@@ -44,10 +79,32 @@ def no_nan(df: DataFrame, column: str = "x") -> DataFrame:
 
 
 def stratified(df: DataFrame, seed: int, test_size: float = 0.25, key: str = "row_id", label: str = "y") -> DataFrame:
-    """Adds is_test: in every class the first rows in order of a hash of seed and key."""
-    order = Window.partitionBy(label).orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))))
-    size = F.count(F.lit(1)).over(Window.partitionBy(label))
-    return df.withColumn("is_test", F.row_number().over(order) <= F.round(test_size * size))
+    """Adds is_test: in every class the first rows in order of a hash of seed and key.
+
+    The hash deals a class to 4096 stretches; counts say in which of them the last test row lies, and only rows of one
+    stretch are ranked together.
+    """
+    df = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))).withColumn("_b", F.substring("_h", 1, 3))
+    counts = df.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    of, upto = Window.partitionBy(label), Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col(label).alias("_l"), F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"), F.sum("_n").over(of).alias("_size"))
+    out = df.join(counts, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_c")))
+    rank = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h")) + F.col("_before")
+    return out.withColumn("is_test", rank <= F.round(test_size * F.col("_size"))).drop("_h", "_b", "_l", "_c", "_before", "_size")
+
+
+def split_record(rows: DataFrame, name: str, run: int, seed: int, key: str = "row_id") -> DataFrame:
+    """dataset, run, seed, train, test (sorted ids) of rows with is_test."""
+    ids = lambda test: F.sort_array(F.collect_list(F.when(F.col("is_test") == test, F.col(key))))
+    return rows.agg(F.lit(name).alias("dataset"), F.lit(run).alias("run"), F.lit(seed).cast("long").alias("seed"), ids(False).alias("train"), ids(True).alias("test"))
+
+
+def save_splits(records: DataFrame, path: str) -> None:
+    records.write.mode("overwrite").json(path)
+
+
+def load_splits(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("dataset string, run int, seed long, train array<long>, test array<long>").json(path)
 
 
 def append_new(stored: DataFrame, batch: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -62,6 +119,45 @@ def append_new(stored: DataFrame, batch: DataFrame, keys: list[str], order: Colu
     return first.join(known, cond, "left_anti")
 
 
+def append_rows(batch: DataFrame, path: str, keys: list[str], order: Column | None = None) -> int:
+    """Append to a table the rows of batch whose keys it does not have; returns how many."""
+    stored = read_or_none(batch.sparkSession, path, "parquet")
+    new = append_new(batch.limit(0) if stored is None else stored, batch, keys, F.lit(0) if order is None else order).cache()
+    n = new.count()
+    if n:
+        new.write.mode("append").parquet(path)
+    new.unpersist()
+    return n
+
+
+def existing_keys(spark: SparkSession, path: str, keys: list[str]) -> set[tuple[str, ...]]:
+    """The keys (as strings) of a table of results; empty if there is none. One for each finished unit of work."""
+    stored = read_or_none(spark, path, "parquet")
+    return set() if stored is None else {tuple(r) for r in stored.select(*[F.col(k).cast("string") for k in keys]).distinct().collect()}
+
+
+def log_failure(spark: SparkSession, path: str, section: str, where: str, message: str) -> None:
+    """Append one row to the failure log."""
+    row = spark.createDataFrame([(section, where, message)], "section string, where string, message string")
+    row.select(F.current_timestamp().alias("timestamp"), "*").write.mode("append").parquet(path)
+
+
+def create_freeze(spark: SparkSession, path: str, store: str) -> int:
+    """Store the manifest of all files below a path; returns how many."""
+    file_manifest(spark, path).write.mode("overwrite").parquet(store)
+    return spark.read.parquet(store).count()
+
+
+def verify_freeze(spark: SparkSession, path: str, store: str) -> DataFrame:
+    """status, n of the files below a path against the stored manifest; raises if any is not unchanged."""
+    diff = manifest_diff(spark.read.parquet(store), file_manifest(spark, path))
+    counts = diff.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    bad = {r["status"]: r["n"] for r in counts.collect() if r["status"] != "UNCHANGED"}  # four rows at most
+    if bad:
+        raise ValueError("frozen files differ: " + ", ".join(f"{n} {s}" for s, n in sorted(bad.items())))
+    return counts
+
+
 def manifest_diff(before: DataFrame, after: DataFrame, key: str = "path", digest: str = "sha256") -> DataFrame:
     """key, status: ADDED, MISSING, UNCHANGED or CHANGED."""
     b, a = before.select(F.col(key), F.col(digest).alias("_b")), after.select(F.col(key), F.col(digest).alias("_a"))

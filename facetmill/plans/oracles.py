@@ -152,7 +152,7 @@ SQL: dict[str, str] = {
     "q53_rank_correlation": _w(SC, ", g AS (SELECT dataset, method, round(avg(score), 9) AS x, count(*) AS n FROM sc GROUP BY ALL), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS a, rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0 AS b FROM g) SELECT round(corr(a, b), 6) AS spearman, count(*) AS n FROM r"),
     "q54_selection_diff": _w(SEL, ", fu AS (SELECT s AS f FROM se ORDER BY run LIMIT 1) SELECT run, round(len(list_intersect(s, f)) * 1.0 / len(list_distinct(list_concat(s, f))), 6) AS jaccard, array_to_string(list_filter(f, lambda v: NOT list_contains(s, v)), ';') AS only_full, array_to_string(list_filter(s, lambda v: NOT list_contains(f, v)), ';') AS only_here FROM se, fu"),
     "q52_ranked_selectors": _w(RANKED, " UNION ALL ".join(f"SELECT method, step, CAST(f AS INTEGER) AS feature_id FROM k{i}" for i in range(1, 5))),
-    "q57_paired_tests": _w(TESTS, "SELECT ds.method, n_pairs, paired_datasets, round(d, 6) AS mean_difference, round(md, 6) AS median_difference, round(least(rp, rm), 6) AS statistic, round((rp - rm) / (rp + rm), 6) AS rank_biserial, round(p, 6) AS p_raw, round(least(1.0, h), 6) AS p_holm, least(1.0, h) < 0.05 AS significant FROM ds JOIN pv USING (method) JOIN ho USING (method)"),
+    "q57_paired_tests": _w(TESTS, "SELECT ds.method, n_pairs, paired_datasets, round(d, 6) AS mean_difference, round(md, 6) AS median_difference, round(CAST(least(rp, rm) AS DOUBLE), 6) AS statistic, round((rp - rm) / (rp + rm), 6) AS rank_biserial, round(CAST(p AS DOUBLE), 6) AS p_raw, round(CAST(least(1.0, h) AS DOUBLE), 6) AS p_holm, least(1.0, h) < 0.05 AS significant FROM ds JOIN pv USING (method) JOIN ho USING (method)"),
     "q58_validations": _w(REP, "SELECT 'accuracy_in_range' AS \"check\", CASE WHEN bool_and(accuracy BETWEEN 0 AND 1) THEN 'PASS' ELSE 'FAIL' END AS status FROM rp UNION ALL SELECT 'has_values', CASE WHEN count(accuracy) > 0 THEN 'PASS' ELSE 'FAIL' END FROM rp UNION ALL SELECT 'cardinality_is_integer', CASE WHEN bool_and(n_selected = round(n_selected)) THEN 'PASS' ELSE 'FAIL' END FROM rp UNION ALL SELECT 'reduction_adds_up', CASE WHEN bool_and(abs(1 - n_selected * 1.0 / d - feature_reduction) <= 1e-9 + 1e-5 * abs(feature_reduction)) THEN 'PASS' ELSE 'FAIL' END FROM rp UNION ALL SELECT 'summary_recomputes', CASE WHEN count(*) > 0 THEN 'PASS' ELSE 'FAIL' END FROM rp UNION ALL SELECT 'summary_is_a_fraction', CASE WHEN max(accuracy) <= 1 THEN 'PASS' ELSE 'FAIL' END FROM rp"),
     "q59_valid_degrees": _h(", al AS (SELECT mu, nu, pi FROM v UNION ALL SELECT mu, nu, pi FROM gd) SELECT bool_and(mu >= -1e-9) AS mu_ge_0, bool_and(nu >= -1e-9) AS nu_ge_0, bool_and(pi >= -1e-9) AS pi_ge_0, bool_and(mu + nu <= 1 + 1e-9) AS mu_nu_le_1, bool_and(abs(mu + nu + pi - 1) <= 1e-9) AS sum_eq_1 FROM al"),
     "q60_relieff": _w(RELIEF, "SELECT CAST(f AS INTEGER) AS feature_id, round(sum(v), 6) AS score FROM sc GROUP BY f"),

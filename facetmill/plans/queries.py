@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -419,8 +420,10 @@ def q65_equal_budget(spark, sf):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder for a study's tables, where driver and executors can reach it."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder for a study's tables, where driver and executors can reach it; a temporary one where all is one machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = "file://" + tempfile.mkdtemp(prefix="study-") if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir")
     return f"{where.rstrip('/')}/study-{uuid.uuid4().hex}"
 
 

@@ -1,12 +1,12 @@
 """Media columns: payloads stored losslessly as images in archives, read back through a Spark data source.
 
-Writing: every task streams its rows into zip archives of bounded size (stored members; the image compresses itself),
-under a temporary name that is renamed when it is complete. Only archives that a successful task reports go into the
-manifest, so what a lost or repeated task left behind is never read.
+Writing: every task streams its rows into zip archives of bounded size and number of members (stored members; the image
+compresses itself), under a temporary name that is renamed when it is complete. The manifest is a table that Spark
+commits: only archives that a successful task reports are in it, so what a lost or repeated task left behind is never read.
 
 Reading: the data source plans partitions as byte ranges over the archives' directories, from the manifest alone. The
-reader of a range reads its stretch of the directory, then each member by its offset, checks its checksum, and repeats a
-failed member by itself on a newly opened file. Payloads stream as a column in Arrow batches of bounded bytes; digests and
+reader of a range reads its stretch of the directory, then each member by its offset, checks its checksum and decodes it,
+and repeats a member that fails in any of these by itself on a newly opened file. Payloads stream as a column in Arrow batches of bounded bytes; digests and
 the feature are computed from that column.
 
 The image is a PNG of 64 pixels of three 8-bit samples a row (192 bytes); the payload is padded with bytes 32 to full
@@ -30,9 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import new_folder, small_batches
+from .common import new_folder, saved, small_batches
 
 ROW = 192
+#: Members of an archive; the format without extensions counts up to 65,535.
+MEMBERS = 60_000
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -97,11 +99,11 @@ def open_fs(url: str):
     return fs.FileSystem.from_uri(url)
 
 
-def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 256_000_000, range_bytes: int = 16_000_000) -> list[tuple]:
-    """Store every text as an image; returns the manifest: (archive, start, end, directory start, directory end) of each range.
+def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 256_000_000, range_bytes: int = 16_000_000) -> DataFrame:
+    """Store every text as an image; returns the manifest, a written table: archive, start, end of each range, and first and
+    last, the bounds of its entries in the archive's directory.
 
-    docs: key (string) and text. A range holds whole members; its entries lie together in the archive's directory. The
-    manifest has as many rows as the job that reads it has tasks.
+    docs: key (string) and text. A range holds whole members; the job that reads the manifest has a task for each row.
     """
     small_batches(docs.sparkSession)
 
@@ -136,15 +138,14 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 256_000_00
                 data = (text or "").encode()
                 member = zipfile.ZipInfo(f"{len(data)}/{urllib.parse.quote(json.dumps(key), safe='')}.png")
                 archive.writestr(member, encode_image(padded(data)))
-                if stream.tell() >= archive_bytes:
+                if stream.tell() >= archive_bytes or len(archive.infolist()) >= MEMBERS:
                     finish()
                     archive = None
         if archive is not None:
             finish()
         yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], pa.int64() if i else pa.string()) for i in range(5)], ["archive", "start", "end", "first", "last"])
 
-    rows = docs.select("key", "text").mapInArrow(run, "archive string, start long, end long, first long, last long").collect()
-    return [tuple(r) for r in rows]
+    return saved(docs.select("key", "text").mapInArrow(run, "archive string, start long, end long, first long, last long"), "media-manifest")
 
 
 @dataclass
@@ -155,7 +156,7 @@ class Range(InputPartition):
 
 
 class MediaSource(DataSource):
-    """Payloads of archives. Options: path (folder), manifest (JSON list of write_archives in a file), batchBytes, retries."""
+    """Payloads of archives. Options: path (folder), manifest (folder of the table of write_archives), batchBytes, retries."""
 
     @classmethod
     def name(cls) -> str:
@@ -175,10 +176,11 @@ class MediaReader(DataSourceReader):
         self.most, self.retries = int(options.get("batchbytes", 4_000_000)), int(options.get("retries", 3))
 
     def partitions(self):
+        from pyarrow import dataset
+
         store, path = open_fs(self.manifest)
-        with store.open_input_stream(path) as f:
-            ranges = json.loads(f.read())
-        return [Range(name, first, last) for name, _, _, first, last in ranges] or [Range("", 0, 0)]
+        ranges = dataset.dataset(path, filesystem=store, format="parquet").to_table(["archive", "first", "last"])
+        return [Range(*r) for r in zip(*(c.to_pylist() for c in ranges.columns))] or [Range("", 0, 0)]
 
     def read(self, part: Range):
         import pyarrow as pa
@@ -193,9 +195,8 @@ class MediaReader(DataSourceReader):
         rows, held = [], 0
         with Members(store, path, self.retries) as source:
             for offset, name, size, crc in source.entries(part.first, part.last):
-                image = source.get(offset, size, crc)
+                image, payload = source.get(offset, size, crc)
                 n, key = name.removesuffix(".png").split("/", 1)
-                payload = decode_image(image)
                 rows.append((json.loads(urllib.parse.unquote(key)), int(n), payload, len(image), hashlib.sha256(image).hexdigest(), part.archive, offset))
                 held += len(payload)
                 if held >= self.most:
@@ -206,10 +207,10 @@ class MediaReader(DataSourceReader):
 
 
 class Members:
-    """Members of an archive by offset; each is repeated by itself when its read or checksum fails."""
+    """Members of an archive by offset; each is repeated by itself when its read, checksum or decoding fails."""
 
-    def __init__(self, store, path: str, retries: int):
-        self.store, self.path, self.retries, self.file = store, path, retries, None
+    def __init__(self, store, path: str, retries: int, decode=decode_image):
+        self.store, self.path, self.retries, self.decode, self.file = store, path, retries, decode, None
 
     def __enter__(self):
         return self
@@ -220,17 +221,22 @@ class Members:
 
     def entries(self, first: int, last: int) -> list[tuple[int, str, int, int]]:
         """(offset, name, size, checksum) of the members whose directory entries lie in this stretch of the archive."""
-        data, at, out = self._tried(lambda f: f.read_at(last - first, first)), 0, []
-        while at < len(data):
-            if data[at : at + 4] != b"PK\x01\x02":
-                raise ValueError("no directory entry here")
-            crc, _, size, name, extra, comment = struct.unpack_from("<IIIHHH", data, at + 16)
-            (offset,) = struct.unpack_from("<I", data, at + 42)
-            out.append((offset, data[at + 46 : at + 46 + name].decode(), size, crc))
-            at += 46 + name + extra + comment
-        return out
-
-    def get(self, offset: int, size: int, crc: int) -> bytes:
+        def read(f):
+            data, at, out = f.read_at(last - first, first), 0, []
+            while at < last - first:
+                if data[at : at + 4] != b"PK\x01\x02":
+                    raise OSError("no directory entry here")
+                crc, _, size, name, extra, comment = struct.unpack_from("<IIIHHH", data, at + 16)
+                (offset,) = struct.unpack_from("<I", data, at + 42)
+                out.append((offset, data[at + 46 : at + 46 + name].decode(), size, crc))
+                at += 46 + name + extra + comment
+            return out
+
+        return self._tried(read)
+
+    def get(self, offset: int, size: int, crc: int) -> tuple[bytes, bytes]:
+        """The member and what it decodes to."""
+
         def read(f):
             head = f.read_at(30, offset)
             if head[:4] != b"PK\x03\x04":
@@ -239,17 +245,17 @@ class Members:
             data = f.read_at(size, offset + 30 + name + extra)
             if len(data) != size or zlib.crc32(data) != crc:
                 raise OSError("damaged member")
-            return data
+            return data, self.decode(data)
 
         return self._tried(read)
 
-    def _tried(self, read) -> bytes:
+    def _tried(self, read):
         for attempt in range(self.retries + 1):
             try:
                 if self.file is None:
                     self.file = self.store.open_input_file(self.path)
                 return read(self.file)
-            except OSError:
+            except (OSError, ValueError, struct.error, zlib.error):
                 if self.file is not None:
                     self.file.close()
                     self.file = None
@@ -281,11 +287,7 @@ def media_columns(docs: DataFrame, folder: str | None = None, range_bytes: int =
     kind = docs.schema["doc_id"].dataType.simpleString()
     key = F.base64("doc_id") if kind == "binary" else F.col("doc_id").cast("string")
     manifest = write_archives(docs.select(key.alias("key"), "text"), folder, range_bytes=range_bytes)
-    store, root = open_fs(folder)
-    store.create_dir(root, recursive=True)
-    with store.open_output_stream(f"{root}/manifest.json") as f:
-        f.write(json.dumps(manifest).encode())
     spark.dataSource.register(MediaSource)
-    out = described(spark.read.format("media_archive").option("path", folder).option("manifest", f"{folder}/manifest.json").load())
+    out = described(spark.read.format("media_archive").option("path", folder).option("manifest", manifest._saved_at).load())
     own = F.unbase64("key") if kind == "binary" else F.col("key").cast(kind)
     return out.select(own.alias("doc_id"), *out.columns[1:])

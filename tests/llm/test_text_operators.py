@@ -252,10 +252,10 @@ def test_media_keys_of_any_type(spark, kind):
 
 def test_payloads_stream_in_small_batches(spark, tmp_path):
     docs = spark.createDataFrame([(str(i), "x" * 1000 * (i % 5)) for i in range(50)], "key string, text string").coalesce(1)
-    ranges = media.write_archives(docs, str(tmp_path), archive_bytes=6000, range_bytes=1000)
-    assert len({r[0] for r in ranges}) > 1 and len(ranges) > len({r[0] for r in ranges})
-    (tmp_path / "m.json").write_text(__import__("json").dumps(ranges))
-    reader = media.MediaReader({"path": str(tmp_path), "manifest": str(tmp_path / "m.json"), "batchBytes": "3000"})
+    manifest = media.write_archives(docs, str(tmp_path), archive_bytes=6000, range_bytes=1000)
+    archives = {r["archive"] for r in rows(manifest)}
+    assert 1 < len(archives) < manifest.count()
+    reader = media.MediaReader({"path": str(tmp_path), "manifest": manifest._saved_at, "batchBytes": "3000"})
     keys = []
     for part in reader.partitions():
         for b in reader.read(part):
@@ -292,10 +292,28 @@ def test_members_are_retried_one_by_one(tmp_path):
                 raise OSError("lost")
             return store.open_input_file(where)
 
-    with media.Members(Flaky(), p, 3) as m:
-        assert m.get(info.header_offset, info.file_size, info.CRC) == b"abc"
+    unsure = iter([False, True, True])
+
+    def decode(data):
+        if not next(unsure):
+            raise ValueError("not decoded")
+        return data * 2
+
+    with media.Members(Flaky(), p, 3, decode) as m:
+        assert m.get(info.header_offset, info.file_size, info.CRC) == (b"abc", b"abcabc")
         with pytest.raises(OSError):
             m.get(info.header_offset, info.file_size, info.CRC + 1)
+        with pytest.raises(OSError):
+            m.entries(info.header_offset, info.header_offset + 50)
+
+
+def test_more_members_than_an_archive_counts(spark):
+    texts = [f"text {i}" * (i % 3) for i in range(50)]
+    docs = spark.range(0, 130_000, 1, 1).select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, texts)), (F.col("id") % 50 + 1).cast("int")).alias("text"))
+    got = media.media_columns(docs)
+    want = {media_by_force(i, t)[1:] for i, t in enumerate(texts)}
+    assert {tuple(r[c] for c in MEDIA[1:]) for r in rows(got.select(*MEDIA[1:]).distinct())} == want
+    assert got.agg(F.count("*"), F.countDistinct("doc_id"), F.countDistinct("archive")).first() == (130_000, 130_000, 3)
 
 
 # ---- 5 language model

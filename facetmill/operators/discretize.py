@@ -108,7 +108,10 @@ def fit(df: DataFrame, d: int, bins: int = 10, method: str = "quantile", row: st
         raise ValueError("no rows to fit")
     if (one["least"], one["most"]) != (d, d):
         raise ValueError(f"rows have {one['least']} to {one['most']} features in place of {d}")
-    ends = {r["pos"]: (r["low"], r["high"]) for r in df.select(F.posexplode("x")).groupBy("pos").agg(F.min("col").alias("low"), F.max("col").alias("high")).collect()}  # a row for each feature
+    ends = {r["pos"]: (r["low"], r["high"], r["bad"]) for r in df.select(F.posexplode("x")).groupBy("pos").agg(F.min("col").alias("low"), F.max("col").alias("high"), F.count_if(F.col("col").isNull() | F.isnan("col")).alias("bad")).collect()}  # a row for each feature
+    missing = [j for j in sorted(ends) if ends[j][2]]
+    if missing:
+        raise ValueError(f"features must not be null or NaN: {len(missing)} are, of which the first is {missing[0]}")
     constant = [max(abs(ends[j][0] - a), abs(ends[j][1] - a)) <= 1e-8 + 1e-5 * abs(a) for j, a in enumerate(one["first"])]
     out = [[float(one["first"][j])] if constant[j] else sorted({ends[j][0] + q * (ends[j][1] - ends[j][0]) for q in inner}) for j in range(d)]
     vary = [j for j in range(d) if not constant[j]]

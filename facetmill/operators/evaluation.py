@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import no_nan
 from .information import matrix
 
 #: Fixed classifiers, by the names of evaluate.
@@ -112,6 +113,7 @@ def evaluate(train: DataFrame, test: DataFrame, features: list[int], kind: str =
     if not features:
         return out
     began = time.perf_counter()
+    train, test = no_nan(train), no_nan(test)
     try:
         if kind == "nearest":
             a, b = scaled(train, test)
@@ -119,7 +121,7 @@ def evaluate(train: DataFrame, test: DataFrame, features: list[int], kind: str =
         else:
             got = metrics(fitted(train, test, features, kind, seed)).first()
     except Exception as e:  # noqa: BLE001  the record says what happened
-        return out | {"accuracy": None, "balanced_accuracy": None, "macro_f1": None, "error": f"{type(e).__name__}: {e}"[:500]}
+        return out | {"accuracy": None, "balanced_accuracy": None, "macro_f1": None, "error": f"{type(e).__name__}: {e}"[:4000]}
     return out | got.asDict() | {"eval_seconds": time.perf_counter() - began}
 
 

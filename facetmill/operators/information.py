@@ -68,18 +68,23 @@ def joint_entropies(df: DataFrame, subsets: list[tuple[int, ...]], width: int, e
 
     One tree of aggregations carries counts and sums of c ln c from tuples with label to tuples to subsets.
     """
-    spark = df.sparkSession
-    c = joint_counts(df, subsets, width)
-    by_key = c.groupBy("s", "k").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.ln("c")).alias("t"), F.count(F.lit(1)).alias("q"))
-    per = by_key.groupBy("s").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.ln("c")).alias("a"), F.sum("t").alias("b"), F.count(F.lit(1)).alias("k_x"), F.sum("q").alias("k_xy"))
-    label = df.groupBy("y").agg(F.count(F.lit(1)).alias("c")).agg(F.sum("c").alias("ny"), F.sum(F.col("c") * F.ln("c")).alias("ty"), F.count(F.lit(1)).alias("k_y"))
+    return entropies(joint_counts(df, subsets, width), df.groupBy("y").agg(F.count(F.lit(1)).alias("c")), subsets, estimator)
+
+
+def entropies(cells: DataFrame, labels: DataFrame, subsets: list[tuple[int, ...]], estimator: str = "plugin", by: tuple[str, ...] = ()) -> DataFrame:
+    """The entropies of cells (s, k, y, c) and labels (y, c); by: columns of both that tell several such tables apart."""
+    spark = cells.sparkSession
+    by_key = cells.groupBy(*by, "s", "k").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.ln("c")).alias("t"), F.count(F.lit(1)).alias("q"))
+    per = by_key.groupBy(*by, "s").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.ln("c")).alias("a"), F.sum("t").alias("b"), F.count(F.lit(1)).alias("k_x"), F.sum("q").alias("k_xy"))
+    label = labels.groupBy(*by).agg(F.sum("c").alias("ny"), F.sum(F.col("c") * F.ln("c")).alias("ty"), F.count(F.lit(1)).alias("k_y"))
     more = lambda k: (F.col(k) - 1) / (2 * F.col("n")) if estimator == "miller_madow" else F.lit(0.0)
     if estimator not in ("plugin", "miller_madow"):
         raise ValueError(f"unknown estimator {estimator!r}")
     log = F.ln("n")
     names = spark.createDataFrame([(i, len(m), list(m)) for i, m in enumerate(subsets)], "s int, order int, members array<int>")
-    out = per.crossJoin(F.broadcast(label)).join(F.broadcast(names), "s")  # label is one row, names is the plan's own list
-    return out.select(F.col("s").alias("subset_id"), "order", "members", "n", (log - F.col("a") / F.col("n") + more("k_x")).alias("h_x"), (log - F.col("b") / F.col("n") + more("k_xy")).alias("h_xy"), (log - F.col("ty") / F.col("n") + more("k_y")).alias("h_y"), "k_x")
+    both = per.join(F.broadcast(label), list(by)) if by else per.crossJoin(F.broadcast(label))  # a row for each table of cells
+    out = both.join(F.broadcast(names), "s")  # the plan's own list
+    return out.select(*by, F.col("s").alias("subset_id"), "order", "members", "n", (log - F.col("a") / F.col("n") + more("k_x")).alias("h_x"), (log - F.col("b") / F.col("n") + more("k_xy")).alias("h_xy"), (log - F.col("ty") / F.col("n") + more("k_y")).alias("h_y"), "k_x")
 
 
 def with_nmi(h: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import no_nan
 from .evaluation import closest
 from .information import joint_entropies, matrix, singles, with_nmi
 
@@ -16,13 +17,40 @@ def mi_scores(codes: DataFrame, d: int, width: int) -> DataFrame:
 
 
 def anova_scores(df: DataFrame, d: int) -> DataFrame:
-    """feature_id, score: F statistic of the classes; 0 where it is not defined."""
-    x = [F.col("x")[j] for j in range(d)]
-    by = df.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(v) for v in x]).alias("s"), F.array(*[F.sum(v * v) for v in x]).alias("q"))
-    e = by.select("n", F.posexplode(F.arrays_zip("s", "q")).alias("feature_id", "z")).select("n", "feature_id", "z.s", "z.q")
-    g = e.groupBy("feature_id").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
-    between, within = (F.col("b") - F.col("s") * F.col("s") / F.col("n")) / (F.col("c") - 1), (F.col("q") - F.col("b")) / (F.col("n") - F.col("c"))
-    return g.select("feature_id", F.when((F.col("c") > 1) & (within > 0), F.greatest(F.lit(0.0), between / within)).otherwise(0.0).alias("score"))
+    """feature_id, score: F statistic of the classes; 0 where it is not defined (one class, or no variance inside classes).
+
+    Every task gives size, mean and squared deviations of each class in its rows; these are merged by their distances from
+    the means of classes and of all rows, so a large common offset of a feature costs no digits.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        state: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = matrix(b.column(0), np.float64), b.column(1).to_numpy()
+            for c in np.unique(y):
+                own = x[y == c]
+                n, mean = len(own), own.mean(axis=0)
+                spread = ((own - mean) ** 2).sum(axis=0)
+                if c in state:
+                    m, before, gone = state[c]
+                    gap = mean - before
+                    n, mean, spread = m + n, before + gap * (n / (m + n)), gone + spread + gap * gap * (m * n / (m + n))
+                state[c] = n, mean, spread
+        for c, (n, mean, spread) in state.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(d, c, np.int32)), pa.array(np.arange(d, dtype=np.int32)), pa.array(np.full(d, n, np.int64)), pa.array(mean), pa.array(spread)], ["y", "feature_id", "n", "mean", "spread"])
+
+    parts = no_nan(df).select("x", F.col("y").cast("int")).mapInArrow(run, "y int, feature_id int, n long, mean double, spread double")
+    own, every = Window.partitionBy("feature_id", "y"), Window.partitionBy("feature_id")  # a row for each task and class
+    mean_of = lambda w: F.sum(F.col("n") * F.col("mean")).over(w) / F.sum("n").over(w)
+    e = parts.select("*", mean_of(own).alias("m"), mean_of(every).alias("g"))
+    e = e.groupBy("feature_id", "y").agg(F.sum("n").alias("n"), F.sum(F.col("spread") + F.col("n") * (F.col("mean") - F.col("m")) ** 2).alias("w"), F.first("m").alias("m"), F.first("g").alias("g"))
+    f = e.groupBy("feature_id").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum(F.col("n") * (F.col("m") - F.col("g")) ** 2).alias("b"))
+    score = (F.col("b") / (F.col("c") - 1)) / (F.col("w") / (F.col("n") - F.col("c")))
+    return f.select("feature_id", F.when((F.col("c") > 1) & (F.col("n") > F.col("c")) & (F.col("w") > 0), score).otherwise(0.0).alias("score"))
 
 
 def relieff_scores(df: DataFrame, d: int, k: int | None = None) -> DataFrame:
@@ -31,6 +59,7 @@ def relieff_scores(df: DataFrame, d: int, k: int | None = None) -> DataFrame:
     A feature gains by its gaps to misses (each class by its share among the other classes) and loses by its gaps to hits,
     averaged over neighbours and rows; gaps are scaled by the feature's range. k: min(10, max(2, rows // 10)).
     """
+    df = no_nan(df)
     n = df.count()
     k = k or min(10, max(2, n // 10))
     ends = df.select(F.posexplode("x")).groupBy("pos").agg(F.min("col").alias("low"), F.max("col").alias("high")).orderBy("pos").collect()  # a row for each feature

@@ -154,7 +154,43 @@ def chi2_tail(x: float, df: int) -> float:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: rank correlation of two columns (null with fewer than three rows)."""
+    """One row: rank correlation of two columns (null with fewer than three rows, or where one is constant)."""
     one = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_g", F.lit(0))
     r = one.withColumn("_x", average_rank(F.col(x), ["_g"])).withColumn("_y", average_rank(F.col(y), ["_g"]))
-    return r.agg(F.when(F.count(F.lit(1)) >= 3, F.corr("_x", "_y")).alias("spearman"), F.count(F.lit(1)).alias("n"))
+    return r.agg(F.when((F.count(F.lit(1)) >= 3) & (F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y")), F.corr("_x", "_y")).alias("spearman"), F.count(F.lit(1)).alias("n"))
+
+
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """The regularized incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - incomplete_beta(b, a, 1 - x)
+    tiny = 1e-300
+    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), tiny)
+    value = d
+    for m in range(1, 10_000):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        for term in (even, odd):
+            d, c = 1 / ((1 + term * d) or tiny), (1 + term / c) or tiny
+            value *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return value * math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+
+
+def correlation_p(rho: float | None, n: int) -> float | None:
+    """Two-sided p of a correlation of n pairs by Student's t with n - 2 degrees of freedom; None below three pairs."""
+    if rho is None or math.isnan(rho) or n < 3:
+        return None
+    left = 1 - rho * rho
+    return 0.0 if left < 1e-15 else incomplete_beta((n - 2) / 2, 0.5, left)
+
+
+def rank_association(points: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: rho, n and p of the rank correlation of two columns (rho and p null where one column is constant)."""
+    one = spearman(points, x, y).first()  # one row
+    rho = one["spearman"]
+    rho = None if rho is None or math.isnan(rho) else rho
+    return points.sparkSession.createDataFrame([(rho, one["n"], correlation_p(rho, one["n"]))], "rho double, n long, p double")

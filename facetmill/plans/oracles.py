@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 QS = ", ".join(f"{i}/10.0" for i in range(1, 10))
 SUBSETS = [(0,), (1,), (2,), (3,), *itertools.combinations(range(4), 2), *itertools.combinations(range(4), 3)]
@@ -50,6 +51,24 @@ JK = SEL + ", jk AS (SELECT run_a, run_b, i * 1.0 / (k + l - i) AS j, (i - k * l
 REP = SC + ", rp AS (SELECT dataset, method, avg(score) AS accuracy, count(*) AS n_selected, 100000 AS d, 1 - count(*) / 100000.0 AS feature_reduction FROM sc GROUP BY ALL)"
 SPLIT = "vs AS (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS x, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS y FROM embeddings), sp AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('42|' || row_id)) <= round(0.25 * count(*) OVER (PARTITION BY y)) AS is_test FROM vs)"
 
+#: Poisson counts of mean 1 from 16 bits of a digest of seed, row and block of eight replicates; NMI of each replicate.
+STEPS = [math.floor(65536 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(8)]
+BOOT = ENMI + f""", bd AS (SELECT vec_id AS id, md5('42|' || vec_id || '|0') || md5('42|' || vec_id || '|1') || md5('42|' || vec_id || '|2') AS h FROM embeddings),
+bw AS (SELECT id, b, len(list_filter({STEPS}, lambda s: s <= CAST('0x' || substr(h, 4 * b + 1, 4) AS INTEGER))) AS w FROM bd, (SELECT unnest(range(20)) AS b)),
+bc AS (SELECT b, f, y, c, sum(w) AS n FROM (SELECT ev.id, ev.f, ev.y, len(list_filter(e, lambda v: v <= x)) AS c FROM ev JOIN ee USING (f)) q JOIN bw USING (id) WHERE w > 0 GROUP BY ALL),
+bx AS (SELECT b, f, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS hx FROM (SELECT b, f, c, sum(n) AS n FROM bc GROUP BY ALL) GROUP BY b, f),
+bxy AS (SELECT b, f, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS hxy FROM bc GROUP BY b, f),
+byy AS (SELECT b, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS hy FROM (SELECT b, y, sum(n) AS n FROM bc WHERE f = 0 GROUP BY ALL) GROUP BY b),
+bn AS (SELECT b, f, CASE WHEN least(hx, hy) <= 1e-12 THEN 0 ELSE least(1, greatest(0, hx + hy - hxy) / least(hx, hy)) END AS nmi FROM bx JOIN bxy USING (b, f) JOIN byy USING (b)),
+br AS (SELECT b, f, row_number() OVER (PARTITION BY b ORDER BY round(nmi, 9) DESC, f) AS r FROM bn)"""
+BSEL = BOOT + ", bs AS (SELECT b, list(f) AS s FROM br WHERE r <= 32 GROUP BY b), bp AS (SELECT len(list_intersect(p.s, q.s)) AS i FROM bs p JOIN bs q ON p.b < q.b), bj AS (SELECT i / (64.0 - i) AS j, (i - 16.0) / 16.0 AS k FROM bp), bf AS (SELECT count(*) / 20.0 AS p FROM br WHERE r <= 32 GROUP BY f)"
+#: F statistic of every feature, average ranks, and p by the finite series of Student's distribution with 62 degrees of freedom.
+ASSOC = ENMI + """, fc AS (SELECT f, y, count(*) AS n, avg(x) AS m FROM ev GROUP BY f, y), fg AS (SELECT f, avg(x) AS g FROM ev GROUP BY f),
+fw AS (SELECT ev.f, sum((x - m) * (x - m)) AS w, count(*) AS n FROM ev JOIN fc ON fc.f = ev.f AND fc.y = ev.y GROUP BY ev.f), fb AS (SELECT f, sum(n * (m - g) * (m - g)) AS b, count(*) AS c FROM fc JOIN fg USING (f) GROUP BY f),
+fp AS (SELECT f, round(nmi, 9) AS a, round((b / (c - 1)) / (w / (n - c)), 6) AS v FROM fw JOIN fb USING (f) JOIN en USING (f)),
+fr AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS a, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS v FROM fp),
+ft AS (SELECT corr(a, v) AS rho, count(*) AS n FROM fr), fs AS (SELECT j, exp(sum(ln((2.0 * j - 1) / (2.0 * j))) OVER (ORDER BY j)) AS k FROM (SELECT unnest(range(1, 31)) AS j))"""
+
 
 def _w(ctes: str, body: str) -> str:
     return f"WITH {ctes} {body}"
@@ -158,6 +177,10 @@ SQL: dict[str, str] = {
     "q60_relieff": _w(RELIEF, "SELECT CAST(f AS INTEGER) AS feature_id, round(sum(v), 6) AS score FROM sc GROUP BY f"),
     "q61_seed_checks": _w(EV, ", o AS (SELECT scenario, seed, round(avg(value), 6) AS value FROM ev GROUP BY ALL), s AS (SELECT scenario, count(seed) AS n_seeds, avg(value) AS m FROM o GROUP BY scenario), r AS (SELECT scenario, count(DISTINCT seed) AS k, count(seed) AS c, avg(value) AS m2 FROM o GROUP BY scenario), j AS (SELECT * FROM s FULL JOIN r USING (scenario)) SELECT 'keys_unique' AS name, count(*) = count(DISTINCT scenario) AS ok FROM s UNION ALL SELECT 'keys_match', bool_and(n_seeds IS NOT NULL AND k IS NOT NULL) FROM j UNION ALL SELECT 'seeds_match', bool_and(n_seeds = k) FROM j UNION ALL SELECT 'rows_add_up', sum(n_seeds) = sum(c) FROM j UNION ALL SELECT 'value_reproduces', bool_and(abs(m - m2) <= 1e-12 + 1e-5 * abs(m2)) FROM j"),
     "q62_marginal_association": _w(FIVE, "SELECT CAST(hx.f AS INTEGER) AS feature_id, round(CASE WHEN least(hx, hy) <= 1e-12 THEN 0 ELSE least(1, greatest(0, hx + hy - hxy) / least(hx, hy)) END, 6) AS nmi FROM hx JOIN hz USING (f), hy"),
+    "q66_bootstrap_nmi": _w(BOOT, "SELECT CAST(b AS INTEGER) AS replicate, CAST(f AS INTEGER) AS feature_id, round(nmi, 6) AS nmi FROM bn"),
+    "q67_bootstrap_consensus": _w(BOOT, "SELECT CAST(row_number() OVER (ORDER BY count(*) DESC, f) AS INTEGER) AS rank, CAST(f AS INTEGER) AS feature_id, round(count(*) / 20.0, 6) AS frequency FROM br WHERE r <= 10 GROUP BY f QUALIFY row_number() OVER (ORDER BY count(*) DESC, f) <= 10"),
+    "q68_screened_stability": _w(BSEL, "SELECT (SELECT count(*) FROM bj) AS n_pairs, round(avg(j), 6) AS jaccard_mean, round(stddev_samp(j), 6) AS jaccard_std, round(avg(k), 6) AS kuncheva_mean, round(1 - (SELECT sum(p * (1 - p)) FROM bf) / 64 / 0.25, 6) AS nogueira FROM bj"),
+    "q69_rank_association": _w(ASSOC, "SELECT round(rho, 6) AS rho, n, round(1 - abs(rho) * (1 + (SELECT sum(k * pow(1 - rho * rho, j)) FROM fs)), 6) AS p FROM ft"),
     "q55_summary_recomputes": _w(SC, "SELECT count(*) AS n_matched, true AS ok FROM (SELECT DISTINCT dataset, method FROM sc)"),
 }
 for _n in ("q18_screen_anova", "q26_objective_values", "q27_marginal_gains", "q33_stability_summary", "q38_signed_ranks", "q39_friedman", "q42_recovery", "q45_reconciled", "q50_nearest", "q53_rank_correlation", "q54_selection_diff", "q59_valid_degrees", "q61_seed_checks"):

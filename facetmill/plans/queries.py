@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.expressions import hashed_seed, jaccard
-from ..operators import discretize, evaluation, groups, information, objective, reporting, screening, selectors, stability, statistics
+from ..operators import bootstrap, discretize, evaluation, groups, information, objective, reporting, screening, selectors, stability, statistics
 from ..sources import synthetic, tables
 from ..sources.tables import table
 from . import selector, workflows
@@ -419,11 +419,46 @@ def q65_equal_budget(spark, sf):
     return t.select("dataset", "run", "method", "budget", "n_selected", r6("accuracy").alias("accuracy"), r6("feature_reduction").alias("feature_reduction"), F.array_join(F.col("selected").cast("array<string>"), ";").alias("selected"))
 
 
+def _replicates(spark: SparkSession, sf: str, n: int = 20) -> DataFrame:
+    """replicate, feature_id, nmi of embeddings in bootstrap replicates."""
+    df = vectors(spark, sf)
+    edges = discretize.fit(df, 64)
+    codes = discretize.encode(bootstrap.weighted(df, n, 42), edges)
+    h = bootstrap.joint_entropies(codes, information.singles(64), discretize.width(edges), n)
+    return information.with_nmi(h).select("replicate", F.col("members")[0].alias("feature_id"), "nmi")
+
+
+def q66_bootstrap_nmi(spark, sf):
+    return _replicates(spark, sf).select("replicate", "feature_id", r6("nmi").alias("nmi"))
+
+
+def q67_bootstrap_consensus(spark, sf):
+    best = Window.partitionBy("replicate").orderBy(F.round("nmi", 9).desc(), "feature_id")
+    top = _replicates(spark, sf).withColumn("r", F.row_number().over(best)).filter("r <= 10").groupBy(F.col("replicate").alias("run")).agg(F.array_sort(F.collect_list("feature_id")).alias("selected"))
+    return stability.consensus(top, 64, 10).select("rank", "feature_id", r6("frequency").alias("frequency"))
+
+
+def q68_screened_stability(spark, sf):
+    best = Window.partitionBy("replicate").orderBy(F.round("nmi", 9).desc(), "feature_id")
+    top = _replicates(spark, sf).withColumn("r", F.row_number().over(best)).filter("r <= 32").groupBy(F.col("replicate").alias("run")).agg(F.array_sort(F.collect_list("feature_id")).alias("selected"))
+    return stability.summary(top, 64).select("n_pairs", *[r6(c).alias(c) for c in ("jaccard_mean", "jaccard_std", "kuncheva_mean", "nogueira")])
+
+
+def q69_rank_association(spark, sf):
+    df = vectors(spark, sf)
+    edges = discretize.fit(df, 64)
+    nmi = screening.mi_scores(discretize.encode(df, edges), 64, discretize.width(edges)).select("feature_id", F.round("score", 9).alias("nmi"))
+    points = nmi.join(screening.anova_scores(df, 64).select("feature_id", F.round("score", 6).alias("f")), "feature_id")
+    return statistics.rank_association(points, "nmi", "f").select(r6("rho").alias("rho"), "n", r6("p").alias("p"))
+
+
 def _folder(spark: SparkSession) -> str:
     """A new folder for a study's tables, where driver and executors can reach it; a temporary one where all is one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="study-") if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="study-")
     return f"{where.rstrip('/')}/study-{uuid.uuid4().hex}"
 
 

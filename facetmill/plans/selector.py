@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..config import Settings, cardinality, screening_size
-from ..operators import discretize, groups, information, screening
+from ..operators import bootstrap, discretize, groups, information, screening
 from ..operators.objective import Coverage, Path, by_efficiency, greedy
 
 
@@ -46,11 +47,24 @@ def prepare(df: DataFrame, d: int, s: Settings = Settings()) -> tuple[DataFrame,
 def fit(df: DataFrame, d: int, s: Settings = Settings(), budget: int | None = None) -> Selection:
     """df: row_id, x (array of d doubles), y (0, 1, ...). Only tables of features and groups reach the driver."""
     codes, keep, width = prepare(df, d, s)
-    f = len(keep)
     codes = codes.cache()
-    sets = groups.groups(f, s.groups.largest, s.groups.most, s.groups.seed, s.groups.only_largest)
-    every = information.singles(f) + sorted(set(information.pairs(f)) | set(sets), key=lambda g: (len(g), g))
+    sets, every = subsets(len(keep), s)
     h = information.joint_entropies(codes, every, width, s.coding.estimator).cache()
+    out = chosen(h, keep, d, s, sets, budget, codes)
+    codes.unpersist()
+    h.unpersist()
+    return out
+
+
+def subsets(f: int, s: Settings) -> tuple[list[tuple[int, ...]], list[tuple[int, ...]]]:
+    """The groups of f features, and all subsets that are counted."""
+    sets = groups.groups(f, s.groups.largest, s.groups.most, s.groups.seed, s.groups.only_largest)
+    return sets, information.singles(f) + sorted(set(information.pairs(f)) | set(sets), key=lambda g: (len(g), g))
+
+
+def chosen(h: DataFrame, keep: list[int], d: int, s: Settings, sets: list[tuple[int, ...]], budget: int | None = None, codes: DataFrame | None = None) -> Selection:
+    """The selection that follows from the entropies of single features, pairs and groups (codes: for mean correlations)."""
+    f = len(keep)
     relevance = information.with_nmi(h.filter("order = 1")).selectExpr("members[0] AS feature_id", "nmi AS relevance")
     redundancy = information.pairwise_nmi_mean(h, f) if s.maps.redundancy == "nmi_mean" else information.mean_correlation(codes, f)
     vertices = groups.vertex_degrees(relevance, redundancy, s).cache()
@@ -65,9 +79,48 @@ def fit(df: DataFrame, d: int, s: Settings = Settings(), budget: int | None = No
     m = cardinality(d, f, s.goal)
     best_value = s.goal.rule == "efficiency" and s.goal.select is None
     path = greedy(c, f if best_value else max(m, budget or 0))
-    chosen = by_efficiency(path, m) if best_value else path.order[:m]
-    out = Selection([keep[v] for v in chosen], path, keep, [r.asDict() for r in vertices.collect()], edge)
-    codes.unpersist()
-    h.unpersist()
+    picked = by_efficiency(path, m) if best_value else path.order[:m]
+    out = Selection([keep[v] for v in picked], path, keep, [r.asDict() for r in vertices.collect()], edge)
     vertices.unpersist()
     return out
+
+
+def replicated(df: DataFrame, d: int, s: Settings = Settings(), replicates: int = 20, seed: int = 42, budget: int | None = None) -> dict[int, Selection]:
+    """The selection of every bootstrap replicate with two classes or more, by its number; df as for fit.
+
+    Codes are those of the rows as they are; screen, groups and weights are each replicate's own. All replicates share two
+    passes over the rows: one counts single features, the other the pairs and groups of the screened ones, each for the
+    replicates that look at it.
+    """
+    if s.screen.by not in ("mi", "none") or s.maps.redundancy != "nmi_mean":
+        raise ValueError("replicates are screened by mutual information and weighed by mean NMI")
+    edges = discretize.fit(df, d, s.coding.bins, s.coding.method)
+    width = discretize.width(edges)
+    rows = discretize.encode(bootstrap.weighted(df.select("row_id", "x", "y"), replicates, seed), edges).cache()
+    one = bootstrap.joint_entropies(rows, information.singles(d), width, replicates, s.coding.estimator).cache()
+    f = d if s.screen.by == "none" else screening_size(d, s.screen)
+    best = Window.partitionBy("replicate").orderBy(F.round("nmi", 9).desc(), "subset_id")
+    screened = information.with_nmi(one).withColumn("rank", F.row_number().over(best)).filter((F.col("rank") <= f) & (F.col("h_y") > 0))
+    kept: dict[int, list[int]] = {}
+    for r in screened.select("replicate", "subset_id").collect():  # f rows for each replicate
+        kept.setdefault(r["replicate"], []).append(r["subset_id"])
+    kept = {r: sorted(v) for r, v in sorted(kept.items())}
+    if not kept:
+        return {}
+    sets, every = subsets(f, s)
+    wanted: dict[tuple[int, ...], list[int]] = {}
+    for r, keep in kept.items():
+        for g in every[f:]:
+            wanted.setdefault(tuple(keep[v] for v in g), []).append(r)
+    more = bootstrap.joint_entropies(rows, list(wanted), width, replicates, s.coding.estimator, list(wanted.values())).cache()
+    both = one.unionByName(more)
+    out = {}
+    for r, keep in kept.items():
+        place = F.create_map(*[F.lit(x) for j, v in enumerate(keep) for x in (v, j)])
+        own = both.filter((F.col("replicate") == r) & F.forall("members", lambda v: v.isin(keep))).drop("replicate")
+        own = own.withColumn("members", F.transform("members", lambda v: place[v])).withColumn("subset_id", F.xxhash64("members")).cache()
+        out[r] = chosen(own, keep, d, s, sets, budget)
+        own.unpersist()
+    for t in (rows, one, more):
+        t.unpersist()
+    return out

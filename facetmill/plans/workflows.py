@@ -11,10 +11,12 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ABLATIONS, PROFILES, Settings, ablation, budgets, one_factor_grid, run_seed, sqrt_cardinality
+from ..config import ABLATIONS, PROFILES, Settings, ablation, budgets, cardinality, one_factor_grid, run_seed, screening_size, sqrt_cardinality
+from ..functions.expressions import jaccard
 from ..operators import discretize, evaluation, reporting, screening, selectors, stability, statistics
 from ..sources import synthetic, tables
 from . import selector
@@ -28,6 +30,9 @@ SECTIONS = {
     "sensitivity": ("dataset string, run int, variant string", _SCORES),
     "ablation": ("dataset string, run int, variant string", _SCORES),
     "stability": ("dataset string, kind string, run int", "selected array<int>, d int"),
+    "consensus": ("dataset string", "n_bootstrap int, m int, accuracy double, balanced_accuracy double, macro_f1 double, stability double, mean_frequency double, selected array<int>, error string"),
+    "association": ("dataset string, run int", "n_points int, rho_accuracy double, p_accuracy double, rho_random double, p_random double, rho_information double, p_information double"),
+    "association_points": ("dataset string, run int, budget int", "objective double, accuracy double, random_accuracy double, information double, selected array<int>, random array<int>"),
     "synthetic": ("scenario string, n int, noise int, method string, seed int", "precision double, recall double, f1 double, jaccard double, all_selected double, screening_recall double, n_selected int"),
     "runtime": ("d int, largest int, most int", "fs_seconds double, status string, n_selected int"),
 }
@@ -59,6 +64,11 @@ class Study:
     def table(self, section: str) -> DataFrame | None:
         return tables.read_or_none(self.spark, self.path(section), "parquet")
 
+    def result(self, section: str) -> DataFrame:
+        """The table of a section; without rows where every unit failed."""
+        t = self.table(section)
+        return self.spark.createDataFrame([], ", ".join(SECTIONS[section])) if t is None else t
+
     def keys(self, section: str) -> list[str]:
         return [c.split()[0] for c in SECTIONS[section][0].split(", ")]
 
@@ -76,7 +86,7 @@ class Study:
         try:
             rows = work()
         except Exception as e:  # noqa: BLE001  the log says what happened
-            tables.log_failure(self.spark, self.path("failures"), section, "/".join(map(str, where)), f"{type(e).__name__}: {e}"[:500])
+            tables.log_failure(self.spark, self.path("failures"), section, "/".join(map(str, where)), f"{type(e).__name__}: {e}"[:4000])
             return
         self.record(section, rows)
 
@@ -87,8 +97,9 @@ class Study:
         for name, (df, d) in self.data.items():
             for run in range(self.runs if self.runs is not None else PROFILES[self.profile]["runs"]):
                 seed = run_seed(self.seed, name, run)
-                rows = tables.stratified(df, seed, self.test_size)
+                rows = tables.stratified(df, seed, self.test_size).cache()
                 yield name, d, run, seed, rows.filter("not is_test").drop("is_test"), rows.filter("is_test").drop("is_test")
+                rows.unpersist()
 
     def order(self, method: str, train: DataFrame, d: int, budget: int, s: Settings | None = None) -> list[int]:
         """Features in the order in which a method takes them."""
@@ -131,7 +142,7 @@ class Study:
 
                 if todo:
                     self.attempt("equal_budget", (name, run, method), work)
-        return self.table("equal_budget")
+        return self.result("equal_budget")
 
     def native_cardinality(self, methods: tuple[str, ...] = ("fcbf",)) -> DataFrame:
         """Methods that choose how many features they take."""
@@ -168,7 +179,7 @@ class Study:
 
                 if (name, str(at), variant) not in done:
                     self.attempt(section, (name, at, variant), work)
-        return self.table(section)
+        return self.result(section)
 
     def classifier_generality(self, classifiers: tuple[str, ...] = evaluation.CLASSIFIERS) -> DataFrame:
         """One selection for each run, seen by every classifier."""
@@ -182,25 +193,99 @@ class Study:
 
             if todo:
                 self.attempt("classifier_generality", (name, run), work)
-        return self.table("classifier_generality")
+        return self.result("classifier_generality")
 
     def stability(self) -> DataFrame:
-        """Selections over other splits, other group samples, both, the same again, and resampled rows; see stability_summary."""
+        """Selections over other splits (and what they screened), other group samples, both, the same again, and of bootstrap
+        replicates of one split's training rows, which are counted together; see stability_summary and consensus."""
         p, done = PROFILES[self.profile], self.done("stability")
-        plan = [("splits", r, r, 0) for r in range(p["splits"])] + [("groups", r, 0, r) for r in range(p["group_seeds"])] + [("both", r, r, r) for r in range(p["splits"])] + [("same", r, 0, 0) for r in range(2)] + [("bootstrap", r, 0, 0) for r in range(p["bootstrap"])]
+        plan = [("splits", r, r, 0) for r in range(p["splits"])] + [("groups", r, 0, r) for r in range(p["group_seeds"])] + [("both", r, r, r) for r in range(p["splits"])] + [("same", r, 0, 0) for r in range(2)]
         for name, (df, d) in self.data.items():
             for kind, r, split, groups in plan:
 
                 def work(name=name, df=df, d=d, kind=kind, r=r, split=split, groups=groups):
-                    train = tables.stratified(df, run_seed(self.seed, name, split), self.test_size).filter("not is_test").drop("is_test")
-                    if kind == "bootstrap":
-                        train = train.sample(withReplacement=True, fraction=1.0, seed=run_seed(self.seed, f"{name}|bootstrap", r))
+                    train, _ = self.split(name, split)
                     s = self.settings.but(groups={"seed": self.settings.groups.seed + 1000 * groups})
-                    return [{"dataset": name, "kind": kind, "run": r, "selected": selector.fit(train, d, s).selected, "d": d}]
+                    got = selector.fit(train, d, s)
+                    out = [{"dataset": name, "kind": kind, "run": r, "selected": got.selected, "d": d}]
+                    return out if kind != "splits" else [*out, {"dataset": name, "kind": "screened", "run": r, "selected": got.screened, "d": d}]
 
                 if (name, kind, str(r)) not in done:
                     self.attempt("stability", (name, kind, r), work)
-        return self.table("stability")
+
+            def replicates(name=name, d=d, n=p["bootstrap"]):
+                train, _ = self.split(name, 0)
+                got = selector.replicated(train, d, self.settings, n, run_seed(self.seed, f"{name}|bootstrap", 0))
+                return [{"dataset": name, "kind": "bootstrap", "run": r, "selected": one.selected, "d": d} for r, one in got.items()]
+
+            if not any((name, "bootstrap", str(r)) in done for r in range(p["bootstrap"])):  # recorded together
+                self.attempt("stability", (name, "bootstrap"), replicates)
+        return self.result("stability")
+
+    def split(self, name: str, run: int) -> tuple[DataFrame, DataFrame]:
+        """Training and test rows of a run."""
+        rows = tables.stratified(self.data[name][0], run_seed(self.seed, name, run), self.test_size)
+        return rows.filter("not is_test").drop("is_test"), rows.filter("is_test").drop("is_test")
+
+    def consensus(self) -> DataFrame:
+        """The features that most bootstrap replicates select: how often, how like the selections over splits (mean Jaccard),
+        and what they score on test rows that no replicate has seen."""
+        done = self.done("consensus")
+        for name, (_, d) in self.data.items():
+
+            def work(name=name, d=d):
+                own = self.result("stability").filter((F.col("dataset") == name) & (F.size("selected") > 0))
+                replicates = own.filter("kind = 'bootstrap'").select("run", "selected")
+                m = cardinality(d, screening_size(d, self.settings.screen), self.settings.goal)
+                best = stability.consensus(replicates, d, m).collect()  # m rows
+                if not best:
+                    raise ValueError("no bootstrap selections; run stability first")
+                chosen = sorted(r["feature_id"] for r in best)
+                like = own.filter("kind = 'splits'").agg(F.avg(jaccard(F.col("selected"), F.array(*map(F.lit, chosen)))).alias("v")).first()["v"]  # one row
+                train, test = self.split(name, 0)
+                e = evaluation.evaluate(train, test, chosen, self.classifier, run_seed(self.seed, name, 0))
+                return [{"dataset": name, "n_bootstrap": replicates.count(), "m": m, **e, "stability": like, "mean_frequency": sum(r["frequency"] for r in best) / len(best), "selected": chosen}]
+
+            if (name,) not in done:
+                self.attempt("consensus", (name,), work)
+        return self.result("consensus")
+
+    def association(self, runs: int = 3) -> DataFrame:
+        """How far the objective's value of a path's prefixes goes with their accuracy, with that of random features as many,
+        and with the information they hold of the label. Accuracy is that of a split inside the training rows."""
+        done = self.done("association")
+        for name, d, run, seed, train, _ in self.splits():
+
+            def work(name=name, d=d, run=run, seed=seed, train=train):
+                f = screening_size(d, self.settings.screen)
+                sizes = [b for b in budgets(d) if b <= f]
+                inner = tables.stratified(train, run_seed(seed, "inner", 0), self.test_size).cache()
+                fitting, held = inner.filter("not is_test").drop("is_test"), inner.filter("is_test").drop("is_test")
+                got = selector.fit(train, d, self.settings, max(sizes, default=20))
+                order = [got.screened[v] for v in got.path.order]
+                edges = discretize.fit(train, d, self.settings.coding.bins, self.settings.coding.method)
+                scores = screening.mi_scores(discretize.encode(train, edges), d, discretize.width(edges))
+                nmi = {r["feature_id"]: r["score"] for r in scores.collect()}  # a row for each feature
+                points = []
+                for b in sizes:
+                    prefix = order[:b]
+                    if len(prefix) < 2:
+                        continue
+                    other = sorted(int(v) for v in np.random.default_rng([seed, b]).choice(d, size=min(b, d), replace=False))
+                    accuracy, random_accuracy = (evaluation.evaluate(fitting, held, v, self.classifier, seed)["accuracy"] for v in (prefix, other))
+                    points.append({"dataset": name, "run": run, "budget": b, "objective": got.path.values[len(prefix) - 1], "accuracy": accuracy, "random_accuracy": random_accuracy, "information": sum(nmi[v] for v in prefix) / len(prefix), "selected": prefix, "random": other})
+                inner.unpersist()
+                self.record("association_points", points)
+                if len(points) < 3:
+                    return []
+                names = ("objective", "accuracy", "random_accuracy", "information")
+                t = self.spark.createDataFrame([tuple(p[c] for c in names) for p in points], ", ".join(f"{c} double" for c in names))
+                r = [statistics.rank_association(t, "objective", c).first() for c in names[1:]]  # one row each
+                return [{"dataset": name, "run": run, "n_points": len(points), **{f"{k}_{c}": one[k] for c, one in zip(("accuracy", "random", "information"), r) for k in ("rho", "p")}}]
+
+            if run < runs and (name, str(run)) not in done:
+                self.attempt("association", (name, run), work)
+        return self.result("association")
 
     def stability_summary(self) -> DataFrame:
         """dataset, kind, and the stability of the kind's selections (two or more, none empty)."""
@@ -231,7 +316,7 @@ class Study:
 
                             if (scenario, str(n), str(noise), method, str(seed)) not in done:
                                 self.attempt("synthetic", (scenario, n, noise, method, seed), work)
-        return self.table("synthetic")
+        return self.result("synthetic")
 
     def synthetic_summary(self) -> tuple[DataFrame, DataFrame]:
         """Means by scenario, size, noise and method, and the checks that they are those of the rows."""
@@ -256,7 +341,7 @@ class Study:
 
                     if (str(d), str(k), str(m)) not in done:
                         self.attempt("runtime", (d, k, m), work)
-        return self.table("runtime")
+        return self.result("runtime")
 
     def budget_rows(self) -> DataFrame:
         """Rows of equal_budget at the square-root budget of each dataset, or at its largest where that was not run."""

@@ -120,9 +120,10 @@ def append_new(stored: DataFrame, batch: DataFrame, keys: list[str], order: Colu
 
 
 def append_rows(batch: DataFrame, path: str, keys: list[str], order: Column | None = None) -> int:
-    """Append to a table the rows of batch whose keys it does not have; returns how many."""
+    """Append to a table the rows of batch whose keys it does not have; returns how many. Of repeats the first stays, by `order` or as given."""
     stored = read_or_none(batch.sparkSession, path, "parquet")
-    new = append_new(batch.limit(0) if stored is None else stored, batch, keys, F.lit(0) if order is None else order).cache()
+    given = batch.withColumn("_o", F.monotonically_increasing_id())
+    new = append_new(batch.limit(0) if stored is None else stored, given, keys, F.col("_o") if order is None else order).drop("_o").cache()
     n = new.count()
     if n:
         new.write.mode("append").parquet(path)

@@ -157,7 +157,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: rank correlation of two columns (null with fewer than three rows, or where one is constant)."""
     one = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_g", F.lit(0))
     r = one.withColumn("_x", average_rank(F.col(x), ["_g"])).withColumn("_y", average_rank(F.col(y), ["_g"]))
-    return r.agg(F.when((F.count(F.lit(1)) >= 3) & (F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y")), F.corr("_x", "_y")).alias("spearman"), F.count(F.lit(1)).alias("n"))
+    rho = F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y"))
+    return r.agg(F.when((F.count(F.lit(1)) >= 3) & rho.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho))).alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:

@@ -69,6 +69,12 @@ fp AS (SELECT f, round(nmi, 9) AS a, round((b / (c - 1)) / (w / (n - c)), 6) AS
 fr AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS a, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS v FROM fp),
 ft AS (SELECT corr(a, v) AS rho, count(*) AS n FROM fr), fs AS (SELECT j, exp(sum(ln((2.0 * j - 1) / (2.0 * j))) OVER (ORDER BY j)) AS k FROM (SELECT unnest(range(1, 31)) AS j))"""
 
+#: Distance to the fifth nearest of the own class, counts within it, and harmonic numbers for the digamma function.
+KNN = EMB + """, kd AS (SELECT p.f, p.id, list_sort(list(abs(p.x - q.x)))[5] AS d FROM ev p JOIN ev q ON q.f = p.f AND q.y = p.y AND q.id <> p.id GROUP BY p.f, p.id),
+km AS (SELECT p.f, p.id, count(*) AS m FROM ev p JOIN kd ON kd.f = p.f AND kd.id = p.id JOIN ev q ON q.f = p.f AND q.id <> p.id AND abs(p.x - q.x) <= kd.d GROUP BY p.f, p.id),
+hn AS (SELECT i + 1 AS m, sum(1.0::DOUBLE / i) OVER (ORDER BY i) AS h FROM (SELECT unnest(range(1, (SELECT count(*) + 1 FROM embeddings))) AS i) UNION ALL SELECT 1, 0.0),
+kc AS (SELECT sum(n * h) / sum(n) AS own, sum(n) AS n FROM (SELECT count(*) AS n FROM embeddings GROUP BY label) JOIN hn ON hn.m = n)"""
+
 
 def _w(ctes: str, body: str) -> str:
     return f"WITH {ctes} {body}"
@@ -181,6 +187,7 @@ SQL: dict[str, str] = {
     "q67_bootstrap_consensus": _w(BOOT, "SELECT CAST(row_number() OVER (ORDER BY count(*) DESC, f) AS INTEGER) AS rank, CAST(f AS INTEGER) AS feature_id, round(count(*) / 20.0, 6) AS frequency FROM br WHERE r <= 10 GROUP BY f QUALIFY row_number() OVER (ORDER BY count(*) DESC, f) <= 10"),
     "q68_screened_stability": _w(BSEL, "SELECT (SELECT count(*) FROM bj) AS n_pairs, round(avg(j), 6) AS jaccard_mean, round(stddev_samp(j), 6) AS jaccard_std, round(avg(k), 6) AS kuncheva_mean, round(1 - (SELECT sum(p * (1 - p)) FROM bf) / 64 / 0.25, 6) AS nogueira FROM bj"),
     "q69_rank_association": _w(ASSOC, "SELECT round(rho, 6) AS rho, n, round(1 - abs(rho) * (1 + (SELECT sum(k * pow(1 - rho * rho, j)) FROM fs)), 6) AS p FROM ft"),
+    "q70_neighbour_information": _w(KNN, "SELECT CAST(f AS INTEGER) AS feature_id, round((SELECT h FROM hn WHERE m = (SELECT n FROM kc)) - (SELECT own FROM kc) + (SELECT h FROM hn WHERE m = 5) - avg(h), 6) AS mi FROM km JOIN hn USING (m) GROUP BY f"),
     "q55_summary_recomputes": _w(SC, "SELECT count(*) AS n_matched, true AS ok FROM (SELECT DISTINCT dataset, method FROM sc)"),
 }
 for _n in ("q18_screen_anova", "q26_objective_values", "q27_marginal_gains", "q33_stability_summary", "q38_signed_ranks", "q39_friedman", "q42_recovery", "q45_reconciled", "q50_nearest", "q53_rank_correlation", "q54_selection_diff", "q59_valid_degrees", "q61_seed_checks"):

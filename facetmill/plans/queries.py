@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.expressions import hashed_seed, jaccard
-from ..operators import bootstrap, discretize, evaluation, groups, information, objective, reporting, screening, selectors, stability, statistics
+from ..operators import bootstrap, discretize, evaluation, groups, information, neighbours, objective, reporting, screening, selectors, stability, statistics
 from ..sources import synthetic, tables
 from ..sources.tables import table
 from . import selector, workflows
@@ -452,6 +452,10 @@ def q69_rank_association(spark, sf):
     return statistics.rank_association(points, "nmi", "f").select(r6("rho").alias("rho"), "n", r6("p").alias("p"))
 
 
+def q70_neighbour_information(spark, sf):
+    return neighbours.information(vectors(spark, sf), list(range(64)), 5).select("feature_id", r6("mi").alias("mi"))
+
+
 def _folder(spark: SparkSession) -> str:
     """A new folder for a study's tables, where driver and executors can reach it; a temporary one where all is one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)

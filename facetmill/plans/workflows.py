@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import ABLATIONS, PROFILES, Settings, ablation, budgets, cardinality, one_factor_grid, run_seed, screening_size, sqrt_cardinality
 from ..functions.expressions import jaccard
-from ..operators import discretize, evaluation, reporting, screening, selectors, stability, statistics
+from ..operators import discretize, evaluation, neighbours, reporting, screening, selectors, stability, statistics
 from ..sources import synthetic, tables
 from . import selector
 
@@ -114,10 +114,15 @@ class Study:
         keep = list(range(d))
         if d > self.pool:
             keep = sorted(r["feature_id"] for r in screening.top(screening.mi_scores(discretize.encode(train, edges), d, width), self.pool).collect())  # pool rows
-        out = selectors.run(method, selectors.pair_table(discretize.encode(train, edges, keep), len(keep), width), budget)
-        if out.status != "OK":
-            raise RuntimeError(f"{out.status}: {out.message}")
-        return [keep[v] for v in out.selected]
+        if method == "jmim":
+            lead = neighbours.by_joint_information(train, keep, budget)
+        else:
+            out = selectors.run(method, selectors.pair_table(discretize.encode(train, edges, keep), len(keep), width), budget)
+            if out.status != "OK":
+                raise RuntimeError(f"{out.status}: {out.message}")
+            lead = [keep[v] for v in out.selected]
+        tail = [] if method == "fcbf" else [j for j in range(d) if j not in set(lead)]  # a ranking goes on with the other ids
+        return [*lead, *tail][: max(budget, len(lead))]
 
     def scored(self, train: DataFrame, test: DataFrame, d: int, chosen: list[int], seconds: float, seed: int, classifier: str | None = None) -> dict:
         e = evaluation.evaluate(train, test, chosen, classifier or self.classifier, seed)

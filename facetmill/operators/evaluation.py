@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..sources.tables import no_nan
 from .information import matrix
 
-#: Fixed classifiers, by the names of evaluate.
-CLASSIFIERS = ("forest", "linear_svm", "nearest", "logistic")
+#: Fixed classifiers, by the names of evaluate; linear_svm is there beside them.
+CLASSIFIERS = ("forest", "svm", "nearest", "logistic")
 
 
 def confusion(predicted: DataFrame) -> DataFrame:
@@ -118,6 +118,11 @@ def evaluate(train: DataFrame, test: DataFrame, features: list[int], kind: str =
         if kind == "nearest":
             a, b = scaled(train, test)
             got = metrics(nearest(a, b, features)).first()
+        elif kind == "svm":
+            from . import kernel
+
+            a, b = scaled(train, test)
+            got = metrics(kernel.predict(a, b, features)).first()
         else:
             got = metrics(fitted(train, test, features, kind, seed)).first()
     except Exception as e:  # noqa: BLE001  the record says what happened

@@ -8,7 +8,7 @@ from __future__ import annotations
 import itertools
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -81,6 +81,32 @@ def greedy(c: Coverage, budget: int, stop: bool = True, digits: int = 12) -> Pat
     return path
 
 
+def sampled_checks(spark: SparkSession, c: Coverage, trials: int = 1000, seed: int = 42, tolerance: float = 1e-9) -> DataFrame:
+    """One row: trials, and of random nested sets A in B and a feature v outside B how often the gain of v is negative
+    (not_monotone), or larger for B than for A (not_submodular); with the largest such excess.
+
+    For any number of features: a feature is in B, and then in A, by hashes of seed, trial and feature; v is the feature with
+    the smallest hash of those outside. One aggregation over trials and groups counts how far sets cover each group.
+    """
+    goal, features = c.settings.goal, sorted(c.mu)
+    draw = lambda what: F.pmod(F.xxhash64(F.lit(f"{seed}|{what}"), "trial", "f"), F.lit(1 << 20)) / float(1 << 20)
+    vertices = spark.createDataFrame([(v, float(c.mu[v])) for v in features], "f long, mu double")
+    rows = spark.range(trials).withColumnRenamed("id", "trial").crossJoin(F.broadcast(vertices))  # features of the screen
+    share = F.pmod(F.xxhash64(F.lit(f"{seed}|share"), "trial"), F.lit(100)) / 100.0  # sets of all sizes
+    rows = rows.withColumn("in_b", draw("b") < share).withColumn("in_a", F.col("in_b") & (draw("a") < 0.5))
+    outside = rows.filter("not in_b").groupBy("trial").agg(F.min_by("f", draw("v")).alias("v"), F.min_by("mu", draw("v")).alias("v_mu"))
+    rows = rows.join(outside, "trial")
+    members = spark.createDataFrame([(g, float(w), len(e), v) for g, (e, w) in enumerate(c.groups.items()) for v in e] or [(None, 0.0, 1, None)], "g int, w double, size int, f long")
+    count = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
+    met = rows.join(members, "f").groupBy("trial", "g", "w", "size").agg(count(F.col("in_a")).alias("a"), count(F.col("in_b")).alias("b"), count(F.col("f") == F.col("v")).alias("hit")).filter("hit > 0")
+    step = lambda k: F.col("w") * (coverage(F.col(k) + 1, F.col("size"), goal.coverage, goal.rho) - coverage(F.col(k), F.col("size"), goal.coverage, goal.rho))
+    add = met.groupBy("trial").agg(F.sum(step("a")).alias("ga"), F.sum(step("b")).alias("gb"))
+    gain = lambda k: goal.features * F.col("v_mu") + goal.groups * F.coalesce(F.col(k), F.lit(0.0))
+    g = outside.join(add, "trial", "left").select(gain("ga").alias("a"), gain("gb").alias("b"))
+    low, high = -F.least("a", "b"), F.col("b") - F.col("a")
+    return g.agg(F.count(F.lit(1)).alias("trials"), F.count_if(low > tolerance).alias("not_monotone"), F.count_if(high > tolerance).alias("not_submodular"), F.greatest(F.lit(0.0), F.max(low), F.max(high)).alias("excess"))
+
+
 def by_efficiency(path: Path, least: int) -> list[int]:
     """The prefix (of `least` or more) with the largest value for each feature; the first of equals."""
     e = path.efficiency

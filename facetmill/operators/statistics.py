@@ -123,6 +123,16 @@ def complete(means: DataFrame) -> DataFrame:
     return means.join(full, "method", "left_semi")
 
 
+def wide(means: DataFrame) -> DataFrame:
+    """dataset and a column for each method, on complete cases: first methods without any score go, then datasets where one
+    of the others has none. One aggregation counts what is missing; the columns are in order of the methods' names."""
+    scores = means.withColumn("score", finite(F.col("score")))
+    names = sorted(r["method"] for r in scores.groupBy("method").agg(F.count("score").alias("n")).filter("n > 0").collect())  # a row for each method
+    if not names:
+        return means.select("dataset").limit(0)
+    return scores.groupBy("dataset").pivot("method", names).agg(F.avg("score")).dropna(subset=[f"`{n}`" for n in names])
+
+
 def average_ranks(means: DataFrame, digits: int = 12) -> DataFrame:
     """method, average_rank (1 is best) over the complete cases."""
     r = complete(means).withColumn("_s", -F.round("score", digits)).withColumn("r", average_rank(F.col("_s"), ["dataset"]))

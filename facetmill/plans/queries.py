@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.expressions import hashed_seed, jaccard
-from ..operators import bootstrap, discretize, evaluation, groups, information, neighbours, objective, reporting, screening, selectors, stability, statistics
+from ..operators import bootstrap, discretize, evaluation, groups, information, kernel, neighbours, objective, reporting, screening, selectors, stability, statistics
 from ..sources import synthetic, tables
 from ..sources.tables import table
 from . import selector, workflows
@@ -456,6 +456,19 @@ def q70_neighbour_information(spark, sf):
     return neighbours.information(vectors(spark, sf), list(range(64)), 5).select("feature_id", r6("mi").alias("mi"))
 
 
+def q71_kernel_machine(spark, sf):
+    v = tables.stratified(vectors(spark, sf), 42)
+    train, test = evaluation.scaled(v.filter("not is_test").drop("is_test"), v.filter("is_test").drop("is_test"))
+    return evaluation.metrics(kernel.predict(train, test, list(range(64)))).select(*[r6(c).alias(c) for c in ("accuracy", "balanced_accuracy", "macro_f1")])
+
+
+def q72_complete_cases(spark, sf):
+    """Mean scores of recent years only, so that some pairs are missing; the urgent method has none at all."""
+    m = statistics.mean_scores(scores(spark, sf).withColumn("score", F.when((F.col("method") != "1-URGENT") & ~((F.col("method") == "2-HIGH") & (F.col("dataset") == "BUILDING")), F.col("score"))))
+    w = statistics.wide(m)
+    return w.select("dataset", *[r6(F.col(f"`{n}`")).alias(n) for n in w.columns[1:]])
+
+
 def _folder(spark: SparkSession) -> str:
     """A new folder for a study's tables, where driver and executors can reach it; a temporary one where all is one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)

@@ -166,9 +166,36 @@ def manifest_diff(before: DataFrame, after: DataFrame, key: str = "path", digest
     return b.join(a, key, "full_outer").select(key, status.alias("status"))
 
 
-def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
+def file_manifest(spark: SparkSession, path: str, chunk: int = 8_000_000) -> DataFrame:
+    """path, sha256, size of every file below a path. Spark lists the files; tasks stream each through the digest, so a file
+    of any size takes `chunk` bytes of memory."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).inputFiles()  # names only, empty files too
+
+    def run(batches):
+        import hashlib
+        import urllib.parse
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for b in batches:
+            digests, sizes = [], []
+            for where in b.column(0).to_pylist():
+                if where.startswith("file:"):
+                    store, name = fs.LocalFileSystem(), urllib.parse.unquote(urllib.parse.urlparse(where).path)
+                else:
+                    store, name = fs.FileSystem.from_uri(where)
+                digest, size = hashlib.sha256(), 0
+                with store.open_input_stream(name) as f:
+                    while data := f.read(chunk):
+                        digest.update(data)
+                        size += len(data)
+                digests.append(digest.hexdigest())
+                sizes.append(size)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.string()), pa.array(sizes, pa.int64())], ["path", "sha256", "size"])
+
+    dealt = spark.createDataFrame([(n,) for n in names], "path string").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    return dealt.mapInArrow(run, "path string, sha256 string, size long")
 
 
 def scan_text(df: DataFrame, key: str, text: str, patterns: dict[str, str], snippet: int = 200) -> DataFrame:

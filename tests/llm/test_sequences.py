@@ -33,17 +33,28 @@ def library():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from(" \t\n\r\x0b\x0c\x1c\x85\xa0'sdtlve0123²½aAéÀßΣσİı́—“…€|%$<>&!."), st.characters(codec="utf-8")), max_size=60))
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \t\n\r\x0b\x0c\x1c\x85\xa0'sdtlve0123²½aAéÀßΣσİı́—“…€|%$<>&!."), st.characters(min_codepoint=0x80, max_codepoint=0x24F), st.characters(codec="utf-8")), max_size=60))
 def test_ids_are_those_of_the_library(text):
     words = word_ids.load(word_ids.default_path())
-    for t in (text, f"{text} <|endoftext|> {text}<|startoftext|>"):
+    latin = "".join(c for c in text if not word_ids._OTHER.match(c))
+    for t in (text, latin, latin.upper(), f"{text} <|endoftext|> {text}<|startoftext|>"):
         assert np.frombuffer(words.ids(t), "<u4").tolist() == words.library.encode(t, add_special_tokens=False).ids
 
 
 def test_words_are_forgotten(library):
     words = word_ids.WordIds(word_ids.default_path(), limit=3)
     text = "one two three four five one two " + "x" * 100
-    assert np.frombuffer(words.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids and len(words) <= 3
+    assert np.frombuffer(words.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids and len(words.parts) <= 3
+
+
+def test_every_vocabulary_string(library):
+    """Merging by rank gives the library's ids for every string of the vocabulary, alone, in upper case and beside others."""
+    words = word_ids.load(word_ids.default_path())
+    for token in library.get_vocab():
+        text = token.removesuffix("</w>")
+        if text.isascii() and text not in words.added:
+            for t in (text, f"{text.upper()}{text}", f"x{text}'s7"):
+                assert np.frombuffer(words.ids(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 def check_sequences(found, cfg):

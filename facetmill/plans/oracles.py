@@ -189,6 +189,7 @@ SQL: dict[str, str] = {
     "q69_rank_association": _w(ASSOC, "SELECT round(rho, 6) AS rho, n, round(1 - abs(rho) * (1 + (SELECT sum(k * pow(1 - rho * rho, j)) FROM fs)), 6) AS p FROM ft"),
     "q70_neighbour_information": _w(KNN, "SELECT CAST(f AS INTEGER) AS feature_id, round((SELECT h FROM hn WHERE m = (SELECT n FROM kc)) - (SELECT own FROM kc) + (SELECT h FROM hn WHERE m = 5) - avg(h), 6) AS mi FROM km JOIN hn USING (m) GROUP BY f"),
     "q72_complete_cases": _w(SC, ", w AS (SELECT dataset, " + ", ".join(f"round(avg(CASE WHEN method = '{m}'{x} THEN score END), 6) AS \"{m}\"" for m, x in (("2-HIGH", " AND dataset <> 'BUILDING'"), ("3-MEDIUM", ""), ("4-NOT SPECIFIED", ""), ("5-LOW", ""))) + " FROM sc GROUP BY dataset) SELECT * FROM w WHERE \"2-HIGH\" IS NOT NULL AND \"3-MEDIUM\" IS NOT NULL AND \"4-NOT SPECIFIED\" IS NOT NULL AND \"5-LOW\" IS NOT NULL"),
+    "q73_fuzzy_dependency": _w(EMB, ", sd AS (SELECT f, stddev_pop(x) AS s FROM ev GROUP BY f), ps AS (SELECT p.f, p.id, max(greatest(0, 1 - abs(p.x / s - q.x / s))) AS near FROM ev p JOIN sd USING (f) JOIN ev q ON q.f = p.f AND q.y <> p.y GROUP BY p.f, p.id) SELECT CAST(f AS INTEGER) AS feature_id, round(avg(1 - near), 6) AS dependency FROM ps GROUP BY f"),
     "q55_summary_recomputes": _w(SC, "SELECT count(*) AS n_matched, true AS ok FROM (SELECT DISTINCT dataset, method FROM sc)"),
 }
 for _n in ("q18_screen_anova", "q26_objective_values", "q27_marginal_gains", "q33_stability_summary", "q38_signed_ranks", "q39_friedman", "q42_recovery", "q45_reconciled", "q50_nearest", "q53_rank_correlation", "q54_selection_diff", "q59_valid_degrees", "q61_seed_checks"):

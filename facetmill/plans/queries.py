@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.expressions import hashed_seed, jaccard
-from ..operators import bootstrap, discretize, evaluation, groups, information, kernel, neighbours, objective, reporting, screening, selectors, stability, statistics
+from ..operators import bootstrap, discretize, evaluation, groups, information, kernel, neighbours, objective, reporting, rough, screening, selectors, stability, statistics
 from ..sources import synthetic, tables
 from ..sources.tables import table
 from . import selector, workflows
@@ -469,6 +469,12 @@ def q72_complete_cases(spark, sf):
     return w.select("dataset", *[r6(F.col(f"`{n}`")).alias(n) for n in w.columns[1:]])
 
 
+def q73_fuzzy_dependency(spark, sf):
+    df = vectors(spark, sf)
+    found = rough.dependencies(rough.unit(df, list(range(64))), [], list(range(64)), df.count())
+    return spark.createDataFrame(sorted(found.items()), "feature_id int, dependency double").withColumn("dependency", r6("dependency"))
+
+
 def _folder(spark: SparkSession) -> str:
     """A new folder for a study's tables, where driver and executors can reach it; a temporary one where all is one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Settings, cardinality, screening_size
 from ..operators import bootstrap, discretize, groups, information, screening
 from ..operators.objective import Coverage, Path, by_efficiency, greedy
+from .audit import Audit
 
 
 @dataclass
@@ -44,13 +46,25 @@ def prepare(df: DataFrame, d: int, s: Settings = Settings()) -> tuple[DataFrame,
     return discretize.encode(df, edges, keep).select("codes", "y"), keep, width
 
 
-def fit(df: DataFrame, d: int, s: Settings = Settings(), budget: int | None = None) -> Selection:
-    """df: row_id, x (array of d doubles), y (0, 1, ...). Only tables of features and groups reach the driver."""
-    codes, keep, width = prepare(df, d, s)
-    codes = codes.cache()
+def fit(df: DataFrame, d: int, s: Settings = Settings(), budget: int | None = None, audit: Audit | None = None) -> Selection:
+    """df: row_id, x (array of d doubles), y (0, 1, ...). Only tables of features and groups reach the driver.
+
+    audit: collects what the stages cost; they are then run one after the other.
+    """
+    stage = audit.stage if audit else lambda name: contextlib.nullcontext()
+    with stage("screen"):
+        codes, keep, width = prepare(df, d, s)
     sets, every = subsets(len(keep), s)
-    h = information.joint_entropies(codes, every, width, s.coding.estimator).cache()
-    out = chosen(h, keep, d, s, sets, budget, codes)
+    with stage("code"):
+        codes = codes.cache()
+        if audit:
+            audit.observed(codes, "code").write.format("noop").mode("overwrite").save()
+    with stage("count"):
+        h = information.joint_entropies(codes, every, width, s.coding.estimator).cache()
+        if audit:
+            audit.observed(h, "count").write.format("noop").mode("overwrite").save()
+    with stage("select"):
+        out = chosen(h, keep, d, s, sets, budget, codes)
     codes.unpersist()
     h.unpersist()
     return out

@@ -7,6 +7,7 @@ the driver.
 
 from __future__ import annotations
 
+import itertools
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -17,9 +18,9 @@ from pyspark.sql import functions as F
 
 from ..config import ABLATIONS, PROFILES, Settings, ablation, budgets, cardinality, one_factor_grid, run_seed, screening_size, sqrt_cardinality
 from ..functions.expressions import jaccard
-from ..operators import discretize, evaluation, neighbours, reporting, screening, selectors, stability, statistics
+from ..operators import discretize, evaluation, groups, neighbours, reporting, rough, screening, selectors, stability, statistics
 from ..sources import synthetic, tables
-from . import selector
+from . import audit, selector
 
 _SCORES = "n_selected int, d int, feature_reduction double, accuracy double, balanced_accuracy double, macro_f1 double, fs_seconds double, selected array<int>, error string"
 #: Section -> (key columns with types, further columns).
@@ -34,7 +35,8 @@ SECTIONS = {
     "association": ("dataset string, run int", "n_points int, rho_accuracy double, p_accuracy double, rho_random double, p_random double, rho_information double, p_information double"),
     "association_points": ("dataset string, run int, budget int", "objective double, accuracy double, random_accuracy double, information double, selected array<int>, random array<int>"),
     "synthetic": ("scenario string, n int, noise int, method string, seed int", "precision double, recall double, f1 double, jaccard double, all_selected double, screening_recall double, n_selected int"),
-    "runtime": ("d int, largest int, most int", "fs_seconds double, status string, n_selected int"),
+    "runtime": ("d int, keep int, largest int, most int", "fs_seconds double, status string, n_selected int, n_groups int, all_groups long, peak_worker_mb double"),
+    "stages": ("run string, stage string", audit.COLUMNS.split(", ", 2)[2]),
 }
 #: Without a screen all pairs of features are counted: beyond so many features that is recorded as infeasible.
 PAIRS_UP_TO = 1200
@@ -107,6 +109,8 @@ class Study:
         if method in ("canonical", *ABLATIONS):
             r = selector.fit(train, d, ablation(method, s, d) if method != "canonical" else s, budget)
             return [r.screened[v] for v in r.path.order] if method == "canonical" or len(r.path.order) >= budget else r.selected
+        if method == "fuzzy_rough":
+            return rough.select(train, list(range(d)))
         if method == "relieff":
             return [r["feature_id"] for r in screening.top(screening.relieff_scores(train, d), budget).orderBy("rank").collect()]  # budget rows
         edges = discretize.fit(train, d, s.coding.bins, s.coding.method)
@@ -330,22 +334,24 @@ class Study:
         summary = reporting.scenario_summary(raw, keys, "seed", values)
         return summary, reporting.check_seeds(raw, summary, keys, "seed", values)
 
-    def runtime(self, sizes: tuple[int, ...] | None = None, largest: tuple[int, ...] = (2, 3), most: tuple[int, ...] = (5000,), n: int = 200) -> DataFrame:
-        """Seconds of the selection by number of features, order and number of groups; beyond 600 s it is labelled."""
+    def runtime(self, sizes: tuple[int, ...] | None = None, largest: tuple[int, ...] = (2, 3), most: tuple[int, ...] = (5000,), n: int = 200, keeps: tuple[int | None, ...] = (None,)) -> DataFrame:
+        """Seconds and memory of the selection by number of features, of screened ones (keeps; none: by rule), order and
+        number of groups, beside the number of groups there are; beyond 600 s it is labelled. Stages: see table("stages")."""
         done = self.done("runtime")
         for d in sizes or PROFILES[self.profile]["scaling"]:
-            for k in largest:
-                for m in most:
-
-                    def work(d=d, k=k, m=m):
-                        data = synthetic.generate(self.spark, "main_effect", n, self.seed, noise=d - 4)
-                        began = time.perf_counter()
-                        r = selector.fit(data.rows, data.d, self.settings.but(groups={"largest": k, "most": m}))
-                        seconds = time.perf_counter() - began
-                        return [{"d": d, "largest": k, "most": m, "fs_seconds": seconds, "status": "TIMEOUT" if seconds > TIMEOUT else "OK", "n_selected": len(r.selected)}]
-
-                    if (str(d), str(k), str(m)) not in done:
-                        self.attempt("runtime", (d, k, m), work)
+            for f, k, m in itertools.product([screening_size(d, self.settings.screen) if f is None else min(f, d) for f in keeps], largest, most):
+
+                def work(d=d, f=f, k=k, m=m):
+                    data = synthetic.generate(self.spark, "main_effect", n, self.seed, noise=d - 4)
+                    cost = audit.Audit(self.spark, f"runtime/{d}/{f}/{k}/{m}")
+                    r = selector.fit(data.rows, data.d, self.settings.but(screen={"keep": f}, groups={"largest": k, "most": m}), audit=cost)
+                    self.record("stages", [x.asDict() for x in cost.table().collect()])  # four rows
+                    seconds = sum(x[2] for x in cost.found)
+                    counts = {"n_groups": len(r.groups), "all_groups": sum(groups.group_counts(f, k).values()), "peak_worker_mb": max(x[-1] for x in cost.found)}
+                    return [{"d": d, "keep": f, "largest": k, "most": m, "fs_seconds": seconds, "status": "TIMEOUT" if seconds > TIMEOUT else "OK", "n_selected": len(r.selected), **counts}]
+
+                if (str(d), str(f), str(k), str(m)) not in done:
+                    self.attempt("runtime", (d, f, k, m), work)
         return self.result("runtime")
 
     def budget_rows(self) -> DataFrame:

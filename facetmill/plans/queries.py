@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.expressions import hashed_seed, jaccard
-from ..operators import bootstrap, discretize, evaluation, groups, information, kernel, neighbours, objective, reporting, rough, screening, selectors, stability, statistics
+from ..operators import blanket, bootstrap, discretize, evaluation, groups, information, kernel, neighbours, objective, reporting, rough, screening, selectors, stability, statistics
 from ..sources import synthetic, tables
 from ..sources.tables import table
 from . import selector, workflows
@@ -475,6 +475,16 @@ def q73_fuzzy_dependency(spark, sf):
     return spark.createDataFrame(sorted(found.items()), "feature_id int, dependency double").withColumn("dependency", r6("dependency"))
 
 
+def q74_permutation_blanket(spark, sf):
+    """Each feature's excess alone and its p, and whether it is among those that the label depends on."""
+    df, cfg = vectors(spark, sf), blanket.BlanketConfig()
+    edges = discretize.fit(df, 64, cfg.bins)
+    codes = discretize.encode(df.select("row_id", "x", "y"), edges)
+    alone, chosen = blanket.tested(codes, [], list(range(64)), discretize.width(edges), df.count(), cfg), set(blanket.select(df, 64, cfg))
+    rows = [(j, z, p, j in chosen) for j, (z, p) in sorted(alone.items())]
+    return spark.createDataFrame(rows, "feature_id int, excess double, p double, selected boolean").withColumn("excess", r6("excess"))
+
+
 def _folder(spark: SparkSession) -> str:
     """A new folder for a study's tables, where driver and executors can reach it; a temporary one where all is one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)

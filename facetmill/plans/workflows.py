@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import ABLATIONS, PROFILES, Settings, ablation, budgets, cardinality, one_factor_grid, run_seed, screening_size, sqrt_cardinality
 from ..functions.expressions import jaccard
-from ..operators import discretize, evaluation, groups, neighbours, reporting, rough, screening, selectors, stability, statistics
+from ..operators import blanket, discretize, evaluation, groups, neighbours, reporting, rough, screening, selectors, stability, statistics
 from ..sources import synthetic, tables
 from . import audit, selector
 
@@ -111,6 +111,8 @@ class Study:
             return [r.screened[v] for v in r.path.order] if method == "canonical" or len(r.path.order) >= budget else r.selected
         if method == "fuzzy_rough":
             return rough.select(train, list(range(d)))
+        if method == "blanket":
+            return blanket.select(train, d)
         if method == "relieff":
             return [r["feature_id"] for r in screening.top(screening.relieff_scores(train, d), budget).orderBy("rank").collect()]  # budget rows
         edges = discretize.fit(train, d, s.coding.bins, s.coding.method)

@@ -142,7 +142,7 @@ SQL: dict[str, str] = {
     "q17_screen_mi": _w(ENMI, "SELECT CAST(f AS INTEGER) AS feature_id, row_number() OVER (ORDER BY round(nmi, 9) DESC, f) AS rank FROM en QUALIFY rank <= 20"),
     "q18_screen_anova": _w(EMB, ", cl AS (SELECT f, y, count(*) AS n, avg(x) AS m, sum(x) AS s, sum(x * x) AS q FROM ev GROUP BY ALL), fs AS (SELECT f, ((sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (count(*) - 1)) / ((sum(q) - sum(s * s / n)) / (sum(n) - count(*))) AS sc FROM cl GROUP BY f) SELECT CAST(f AS INTEGER) AS feature_id, row_number() OVER (ORDER BY round(sc, 6) DESC, f) AS rank, round(sc, 4) AS score FROM fs QUALIFY rank <= 20"),
     "q19_vertex_degrees": _h("SELECT f AS feature_id, round(rel, 6) AS relevance, round(red, 6) AS redundancy, round(mu, 6) AS mu, round(nu, 6) AS nu, round(pi, 6) AS pi FROM v"),
-    "q20_exhaustive_groups": "WITH i AS (SELECT CAST(i AS INTEGER) AS i FROM range(10) t(i)) SELECT 2 AS \"order\", a.i || ';' || b.i AS members FROM i a, i b WHERE a.i < b.i UNION ALL SELECT 3, a.i || ';' || b.i || ';' || c.i FROM i a, i b, i c WHERE a.i < b.i AND b.i < c.i",
+    "q20_exhaustive_groups": "WITH i AS (SELECT CAST(unnest(range((SELECT count(DISTINCT o_orderpriority) FROM orders) + (SELECT count(DISTINCT c_mktsegment) FROM customer))) AS INTEGER) AS i) SELECT 2 AS \"order\", a.i || ';' || b.i AS members FROM i a, i b WHERE a.i < b.i UNION ALL SELECT 3, a.i || ';' || b.i || ';' || c.i FROM i a, i b, i c WHERE a.i < b.i AND b.i < c.i",
     "q21_group_degrees": _h("SELECT members, round(mu, 6) AS mu, round(nu, 6) AS nu, round(pi, 6) AS pi FROM gd"),
     "q22_strong_degrees": _h("SELECT members, round(smu, 6) AS mu, round(CASE WHEN smu + snu > 1 THEN greatest(0, 1 - smu) ELSE snu END, 6) AS nu, round(1 - smu - CASE WHEN smu + snu > 1 THEN greatest(0, 1 - smu) ELSE snu END, 6) AS pi FROM st JOIN g USING (s)"),
     "q23_strong_audit": _h("SELECT members, round(abs(mu - smu), 6) AS abs_mu, round(abs(nu - snu), 6) AS abs_nu, round(abs(mu - smu) / (abs(smu) + 1e-12), 6) AS rel_mu, round(abs(nu - snu) / (abs(snu) + 1e-12), 6) AS rel_nu, abs(mu - smu) <= 1e-9 AS ok_mu, abs(nu - snu) <= 1e-9 AS ok_nu, abs(mu - smu) <= 1e-9 AND abs(nu - snu) <= 1e-9 AS ok FROM gd JOIN st USING (s)"),
@@ -163,7 +163,7 @@ SQL: dict[str, str] = {
     "q38_signed_ranks": _w(ME, ", ab AS (SELECT method, diff, round(abs(diff), 9) AS m FROM pa), ra AS (SELECT *, rank() OVER (PARTITION BY method ORDER BY m) + (count(*) OVER (PARTITION BY method, m) - 1) / 2.0 AS r FROM ab WHERE m > 0), su AS (SELECT method, count(*) AS n, sum(CASE WHEN diff > 0 THEN r ELSE 0 END) AS rp, sum(CASE WHEN diff < 0 THEN r ELSE 0 END) AS rm FROM ra GROUP BY method) SELECT method, n, round(rp, 6) AS r_plus, round(rm, 6) AS r_minus, round(least(rp, rm), 6) AS statistic, round((rp - rm) / (rp + rm), 6) AS rank_biserial FROM su"),
     "q39_friedman": _w(RK, ", s AS (SELECT method, sum(r) AS s, count(*) AS n FROM rk GROUP BY method), t AS (SELECT sum(t * t * t - t) AS ties FROM (SELECT count(*) AS t FROM rk GROUP BY dataset, score)) SELECT round((12.0 / (max(n) * count(*) * (count(*) + 1)) * sum(s * s) - 3 * max(n) * (count(*) + 1)) / (1 - any_value(ties) * 1.0 / (max(n) * count(*) * (count(*) * count(*) - 1))), 6) AS chi2, count(*) - 1 AS df, max(n) AS n_datasets, count(*) AS n_methods FROM s, t"),
     "q40_average_ranks": _w(RK, "SELECT method, round(avg(r), 6) AS average_rank, count(*) AS n_datasets FROM rk GROUP BY method"),
-    "q41_holm": "SELECT * FROM (VALUES ('a', 0.01::DOUBLE, 0.03::DOUBLE), ('b', 0.04, 0.06), ('c', 0.03, 0.06), ('d', NULL, NULL), ('e', 0.005, 0.02)) t(method, p, p_holm)",
+    "q41_holm": "WITH p AS (SELECT n_name AS method, round(pow(avg(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0::DOUBLE WHEN o_orderkey IS NOT NULL THEN 0.0 END), 3), 9) AS p FROM nation LEFT JOIN (customer JOIN orders ON o_custkey = c_custkey) ON c_nationkey = n_nationkey GROUP BY n_name), k AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p, method) + 1) * p AS a FROM p WHERE p IS NOT NULL) SELECT method, p, round(least(1.0::DOUBLE, max(a) OVER (ORDER BY p, method ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM k UNION ALL SELECT method, NULL, NULL FROM p WHERE p IS NULL",
     "q42_recovery": _w(SEL, ", x AS (SELECT run, len(list_intersect(s, [0, 3, 7, 11, 15, 20])) AS i, len(s) AS k FROM se) SELECT run, round(i * 1.0 / k, 6) AS precision, round(i / 6.0, 6) AS recall, round(CASE WHEN i > 0 THEN 2.0 * i / (k + 6) ELSE 0 END, 6) AS f1, round(i * 1.0 / (k + 6 - i), 6) AS jaccard, i = 6 AS all_selected FROM x"),
     "q43_checks": _w(REP, "SELECT 'accuracy_in_range' AS name, bool_and(accuracy BETWEEN 0 AND 1) AS ok FROM rp UNION ALL SELECT 'cardinality_is_integer', bool_and(n_selected = round(n_selected)) FROM rp UNION ALL SELECT 'reduction_adds_up', bool_and(abs(1 - n_selected * 1.0 / d - feature_reduction) <= 1e-9) FROM rp"),
     "q44_scenarios": _w(EV, "SELECT scenario, count(seed) AS n_seeds, round(avg(value), 6) AS value_mean FROM ev GROUP BY scenario"),

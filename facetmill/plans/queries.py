@@ -172,7 +172,9 @@ def q19_vertex_degrees(spark, sf):
 
 
 def q20_exhaustive_groups(spark, sf):
-    g = groups.groups(10, 3, 5000)
+    """Groups of the indicators of order priorities and market segments."""
+    f = table(spark, sf, "orders").select("o_orderpriority").distinct().count() + table(spark, sf, "customer").select("c_mktsegment").distinct().count()
+    g = groups.groups(f, 3, 5000)
     return spark.createDataFrame([(len(m), ";".join(map(str, m))) for m in g], "order int, members string")
 
 
@@ -286,7 +288,9 @@ def q40_average_ranks(spark, sf):
 
 
 def q41_holm(spark, sf):
-    p = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", None), ("e", 0.005)], "method string, p double")
+    """A value in place of p for each nation: the cube of its share of urgent orders, none without orders."""
+    o = table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", (F.col("o_orderpriority") == "1-URGENT").cast("double").alias("u"))
+    p = table(spark, sf, "nation").join(o, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_name").alias("method")).agg(F.round(F.pow(F.avg("u"), 3), 9).alias("p"))
     return statistics.holm(p).select("method", "p", r6("p_holm").alias("p_holm"))
 
 

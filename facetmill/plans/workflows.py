@@ -372,6 +372,23 @@ class Study:
         s = reporting.summarize(self.table("equal_budget"), ["dataset", "method", "budget"], ["accuracy", "n_selected", "fs_seconds"])
         return reporting.pareto(s, "dataset", "n_selected_mean", "accuracy_mean")
 
+    def export(self, folder: str) -> DataFrame:
+        """Every table of results as CSV (lists joined by ";") and JSON below a folder; returns the manifest, which is written
+        there too: section, rows, columns."""
+        found = []
+        for section in sorted(SECTIONS):
+            t = self.table(section)
+            if t is None:
+                continue
+            order = self.keys(section)
+            flat = [F.array_join(F.col(f.name).cast("array<string>"), ";").alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name) for f in t.schema.fields]
+            t.select(*flat).orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder.rstrip('/')}/csv/{section}")  # results of units of work
+            t.orderBy(*order).coalesce(1).write.mode("overwrite").json(f"{folder.rstrip('/')}/json/{section}")
+            found.append((section, t.count(), t.columns))
+        manifest = self.spark.createDataFrame(found, "section string, rows long, columns array<string>")
+        manifest.coalesce(1).write.mode("overwrite").json(f"{folder.rstrip('/')}/manifest")
+        return manifest
+
     def validate(self) -> dict[str, DataFrame]:
         """The checks of every table of results that there is; raises if any fails."""
         out = {}

@@ -78,4 +78,9 @@ def test_runtime_sweep(spark, tmp_path):
     rows = study.runtime((8,), (2,), (10, 100), n=60, keeps=(5, None)).collect()
     assert {(r["keep"], r["most"], r["n_groups"], r["all_groups"]) for r in rows} == {(5, 10, 10, 10), (5, 100, 10, 10), (8, 10, 10, 28), (8, 100, 28, 28)}
     assert all(r["status"] == "OK" and r["peak_worker_mb"] > 10 for r in rows)
+    manifest = {r["section"]: r["rows"] for r in study.export(str(tmp_path / "out")).collect()}
+    assert manifest == {"runtime": 4, "stages": 16}
+    back = spark.read.option("header", True).csv(str(tmp_path / "out/csv/runtime"))
+    assert {int(r["keep"]) for r in back.collect()} == {5, 8} and spark.read.json(str(tmp_path / "out/json/stages")).count() == 16
+    assert spark.read.json(str(tmp_path / "out/manifest")).count() == 2
     assert study.table("stages").count() == 16 and study.runtime((8,), (2,), (10, 100), n=60, keeps=(5, None)).count() == 4

@@ -66,9 +66,23 @@ def strong_audit(own: DataFrame, vertices: DataFrame, tolerance: float = 1e-9) -
     return a.withColumn("ok_mu", F.col("abs_mu") <= tolerance).withColumn("ok_nu", F.col("abs_nu") <= tolerance).withColumn("ok", F.col("ok_mu") & F.col("ok_nu"))
 
 
-def audit_summary(audit: DataFrame) -> DataFrame:
+def audit_by_largest(audit: DataFrame, largest: list[int]) -> DataFrame:
+    """The rows of an audit for each bound on the size of groups: adds largest; a group counts for every bound that it keeps."""
+    bounds = F.array(*[F.lit(k) for k in largest])
+    return audit.withColumn("largest", F.explode(F.filter(bounds, lambda k: F.col("order") <= k)))
+
+
+def assert_strong(audit: DataFrame) -> int:
+    """How many groups were audited; raises if any does not have the degrees that its members give."""
+    r = audit.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce("ok", F.lit(False))).alias("bad"), F.min(F.when(~F.coalesce("ok", F.lit(False)), F.col("members"))).alias("one")).first()
+    if r["bad"]:
+        raise ValueError(f"{r['bad']} of {r['n']} groups do not satisfy the strong relation, {list(r['one'])} among them")
+    return r["n"]
+
+
+def audit_summary(audit: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     share = lambda c: (100.0 * F.sum(F.col(c).cast("int")) / F.count(F.lit(1)))
-    return audit.agg(F.count(F.lit(1)).alias("n_groups"), share("ok_mu").alias("pct_mu"), share("ok_nu").alias("pct_nu"), share("ok").alias("pct_both"), *[f(c).alias(f"{n}_{c}") for n, f in (("mean", F.avg), ("max", F.max)) for c in ("abs_mu", "abs_nu")], *[F.avg(c).alias(f"mean_{c}") for c in ("rel_mu", "rel_nu")])
+    return audit.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_groups"), share("ok_mu").alias("pct_mu"), share("ok_nu").alias("pct_nu"), share("ok").alias("pct_both"), *[f(c).alias(f"{n}_{c}") for n, f in (("mean", F.avg), ("max", F.max)) for c in ("abs_mu", "abs_nu")], *[F.avg(c).alias(f"mean_{c}") for c in ("rel_mu", "rel_nu")])
 
 
 def weights(degrees: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -84,6 +84,14 @@ def _h(body: str) -> str:
     return _w(H, body)
 
 
+def _strong(status: str, k: int) -> str:
+    """The audit of groups of at most k features over the line items of one status."""
+    gaps = [f"round({f}({v}), 6) AS {n}_{c}" for n, f in (("mean", "avg"), ("max", "max")) for c, v in (("abs_mu", "abs(mu - smu)"), ("abs_nu", "abs(nu - snu)"))]
+    gaps += [f"round(avg({v}), 6) AS mean_{c}" for c, v in (("rel_mu", "abs(mu - smu) / (abs(smu) + 1e-12)"), ("rel_nu", "abs(nu - snu) / (abs(snu) + 1e-12)"))]
+    near = [f"round(100.0 * count(*) FILTER ({v}) / count(*), 6) AS pct_{n}" for n, v in (("mu", "abs(mu - smu) <= 1e-9"), ("nu", "abs(nu - snu) <= 1e-9"), ("both", "abs(mu - smu) <= 1e-9 AND abs(nu - snu) <= 1e-9"))]
+    return "SELECT * FROM (" + _h(f"SELECT '{status}' AS dataset, {k} AS largest, count(*) AS n_groups, {', '.join([*near, *gaps])} FROM gd JOIN st USING (s) WHERE len(string_split(members, ';')) <= {k}").replace("FROM lineitem)", f"FROM lineitem WHERE l_linestatus = '{status}')") + ")"
+
+
 #: Greedy over all subsets of four features: each step takes the best gain, ties by id.
 GREEDY = H + ", p0 AS (SELECT 0 AS step, 0 AS mask, -1 AS f, CAST(0 AS DOUBLE) AS val, CAST(0 AS DOUBLE) AS gain)" + "".join(
     f", p{i} AS (SELECT {i} AS step, p.mask | (1 << t.f) AS mask, t.f, x.val, x.val - p.val AS gain FROM p{i - 1} p, (SELECT unnest(range(4)) AS f) t, sets x WHERE (p.mask >> t.f) & 1 = 0 AND x.mask = p.mask | (1 << t.f) ORDER BY round(x.val - p.val, 12) DESC, t.f LIMIT 1)" for i in range(1, 5)
@@ -191,6 +199,10 @@ SQL: dict[str, str] = {
     "q72_complete_cases": _w(SC, ", w AS (SELECT dataset, " + ", ".join(f"round(avg(CASE WHEN method = '{m}'{x} THEN score END), 6) AS \"{m}\"" for m, x in (("2-HIGH", " AND dataset <> 'BUILDING'"), ("3-MEDIUM", ""), ("4-NOT SPECIFIED", ""), ("5-LOW", ""))) + " FROM sc GROUP BY dataset) SELECT * FROM w WHERE \"2-HIGH\" IS NOT NULL AND \"3-MEDIUM\" IS NOT NULL AND \"4-NOT SPECIFIED\" IS NOT NULL AND \"5-LOW\" IS NOT NULL"),
     "q73_fuzzy_dependency": _w(EMB, ", sd AS (SELECT f, stddev_pop(x) AS s FROM ev GROUP BY f), ps AS (SELECT p.f, p.id, max(greatest(0, 1 - abs(p.x / s - q.x / s))) AS near FROM ev p JOIN sd USING (f) JOIN ev q ON q.f = p.f AND q.y <> p.y GROUP BY p.f, p.id) SELECT CAST(f AS INTEGER) AS feature_id, round(avg(1 - near), 6) AS dependency FROM ps GROUP BY f"),
     "q55_summary_recomputes": _w(SC, "SELECT count(*) AS n_matched, true AS ok FROM (SELECT DISTINCT dataset, method FROM sc)"),
+    "q63_interaction_example": "SELECT row, x1_binary, x2_binary, CAST(xor(x1_binary, x2_binary) AS INTEGER) AS y_xor, CAST((x1_binary + x2_binary + e) % 2 AS INTEGER) AS x3_noisy_sum FROM (SELECT row, d & 1 AS x1_binary, (d >> 1) & 1 AS x2_binary, (d >> 2) & 1 AS e FROM (SELECT event_id AS row, CAST('0x' || substr(md5('0|' || event_id), 1, 1) AS INTEGER) AS d FROM events))",
+    "q75_strong_relation": " UNION ALL ".join(_strong(status, k) for status in "FO" for k in (2, 3)),
+    "q76_framed_scan": "WITH l AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS t, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS BIGINT) AS line FROM documents) SELECT doc_id, 'license' AS pattern, line FROM l WHERE regexp_matches(t, '(?i)licen[sc]ed? under') AND NOT regexp_matches(t, '[0-9][.][0-9]') UNION ALL SELECT doc_id, 'mail', line FROM l WHERE regexp_matches(t, '[a-z0-9.]+@[a-z0-9]+[.][a-z]+') AND coalesce(lang, '') <> 'es'",
+    "q77_lineage": "SELECT page_id, CASE WHEN contains(b, '/') THEN split_part(b, '/', 1) ELSE '' END AS artifact_group, CASE WHEN regexp_matches(b, '[0-5]$') THEN 'early' WHEN regexp_matches(b, '[6-9]$') THEN 'late' ELSE 'unknown' END AS authenticity, CASE WHEN regexp_matches(b, '[.]html?$') THEN 'page' WHEN regexp_matches(b, '[6-9]$') THEN 'numbered' WHEN contains(b, '/') THEN 'nested' ELSE 'unknown' END AS kind FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS b FROM pages)",
 }
 for _n in ("q18_screen_anova", "q26_objective_values", "q27_marginal_gains", "q33_stability_summary", "q38_signed_ranks", "q39_friedman", "q42_recovery", "q45_reconciled", "q50_nearest", "q53_rank_correlation", "q54_selection_diff", "q59_valid_degrees", "q61_seed_checks"):
     SQL[_n] = SQL[_n].replace(") , ", "), ", 1) if ") , " in SQL[_n] else SQL[_n]

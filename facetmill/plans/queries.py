@@ -25,10 +25,12 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-def items(spark: SparkSession, sf: str) -> DataFrame:
-    """Four numeric features of line items, the return flag as label."""
+def items(spark: SparkSession, sf: str, status: str | None = None) -> DataFrame:
+    """Four numeric features of line items (of one line status), the return flag as label."""
     x = F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    return tables.prepared(table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), x.alias("x"), F.col("l_returnflag").alias("label")))
+    lines = table(spark, sf, "lineitem")
+    lines = lines if status is None else lines.filter(F.col("l_linestatus") == status)
+    return tables.prepared(lines.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), x.alias("x"), F.col("l_returnflag").alias("label")))
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -409,12 +411,13 @@ def q62_marginal_association(spark, sf):
 
 
 def q63_interaction_example(spark, sf):
-    return synthetic.interaction_example(spark)
+    return synthetic.interaction_example(table(spark, sf, "events").select(F.col("event_id").alias("row_id")))
 
 
 def q64_synthetic_recovery(spark, sf):
     study = workflows.Study(spark, _folder(spark), {}, Settings().but(screen={"keep": 8}))
-    return study.synthetic(scenarios=("xor2", "main_effect"), noises=(6,), seeds=1).select("scenario", "n", "noise", "method", "seed", "precision", "recall", "f1", "all_selected", "n_selected")
+    ids = table(spark, sf, "embeddings").select(F.col("vec_id").cast("long").alias("row_id"))
+    return study.synthetic(scenarios=("xor2", "main_effect"), noises=(6,), seeds=1, ids=ids).select("scenario", "n", "noise", "method", "seed", "precision", "recall", "f1", "all_selected", "n_selected")
 
 
 def q65_equal_budget(spark, sf):
@@ -489,6 +492,33 @@ def q74_permutation_blanket(spark, sf):
     return spark.createDataFrame(rows, "feature_id int, excess double, p double, selected boolean").withColumn("excess", r6("excess"))
 
 
+def q75_strong_relation(spark, sf):
+    """The audit of groups for line items of each status, and for groups of two, of up to three features."""
+    found = None
+    for status in ("F", "O"):
+        df = items(spark, sf, status)
+        edges = discretize.fit(df, 4)
+        h = information.joint_entropies(discretize.encode(df, edges).select("codes", "y"), SUBSETS, discretize.width(edges)).cache()
+        own = groups.strong_audit(_groups(h), _vertices(h)).withColumn("dataset", F.lit(status))
+        found = own if found is None else found.unionByName(own)
+    s = groups.audit_summary(groups.audit_by_largest(found, [2, 3]), ("dataset", "largest"))
+    return s.select("dataset", "largest", "n_groups", *[r6(c).alias(c) for c in s.columns[3:]])
+
+
+def q76_framed_scan(spark, sf):
+    """Phrases of documents, but for licenses that a line names by version and for mail of documents in Spanish."""
+    docs = table(spark, sf, "documents")
+    patterns = {"license": "(?i)licen[sc]ed? under", "mail": "[a-z0-9.]+@[a-z0-9]+[.][a-z]+"}
+    return tables.scan_text(docs, "doc_id", "text", patterns, unless={"license": "[0-9][.][0-9]"}, history={"mail": F.col("lang") == "es"}).select("doc_id", "pattern", "line")
+
+
+def q77_lineage(spark, sf):
+    """Classes of pages by the path of their address."""
+    rules = [("[0-5]$", {"authenticity": "early"}), ("[.]html?$", {"kind": "page"}), ("[6-9]$", {"authenticity": "late", "kind": "numbered"}), ("/", {"kind": "nested"})]
+    t = tables.lineage(table(spark, sf, "pages").select("page_id", "url"), rules, ("authenticity", "kind"), "url", "https?://")
+    return t.select("page_id", "artifact_group", "authenticity", "kind")
+
+
 def _folder(spark: SparkSession) -> str:
     """A new folder for a study's tables, where driver and executors can reach it; a temporary one where all is one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)

@@ -35,6 +35,8 @@ SECTIONS = {
     "association": ("dataset string, run int", "n_points int, rho_accuracy double, p_accuracy double, rho_random double, p_random double, rho_information double, p_information double"),
     "association_points": ("dataset string, run int, budget int", "objective double, accuracy double, random_accuracy double, information double, selected array<int>, random array<int>"),
     "synthetic": ("scenario string, n int, noise int, method string, seed int", "precision double, recall double, f1 double, jaccard double, all_selected double, screening_recall double, n_selected int"),
+    "strong_relation": ("dataset string, largest int", "n_groups long, n_screened int, sampled boolean, pct_mu double, pct_nu double, pct_both double, mean_abs_mu double, mean_abs_nu double, max_abs_mu double, max_abs_nu double, mean_rel_mu double, mean_rel_nu double"),
+    "strong_groups": ("dataset string, largest int, members string", "mu_own double, nu_own double, pi_own double, mu_strong double, nu_strong double, pi_strong double, abs_mu double, abs_nu double, rel_mu double, rel_nu double, ok_mu boolean, ok_nu boolean, ok boolean"),
     "runtime": ("d int, keep int, largest int, most int", "fs_seconds double, status string, n_selected int, n_groups int, all_groups long, peak_worker_mb double"),
     "stages": ("run string, stage string", audit.COLUMNS.split(", ", 2)[2]),
 }
@@ -307,8 +309,40 @@ class Study:
             out = s if out is None else out.unionByName(s)
         return out
 
-    def synthetic(self, scenarios: tuple[str, ...] = synthetic.NAMES, sizes: tuple[int, ...] = (300,), noises: tuple[int, ...] = (20, 100), methods: tuple[str, ...] = ("canonical", "vertex_only"), seeds: int | None = None) -> DataFrame:
-        """What methods recover of known features."""
+    def strong_relation(self, largest: tuple[int, ...] = (2, 3), most: int = 5000) -> DataFrame:
+        """How far groups estimated on their own are from the degrees of their members, for each dataset and size of groups
+        (training rows of the first run). Rows of single groups: table("strong_groups"). Strictly strong degrees must agree, or it raises."""
+        done = self.done("strong_relation")
+        for name, (_, d) in self.data.items():
+            for k in largest:
+
+                def work(name=name, d=d, k=k):
+                    s = self.settings.but(groups={"largest": k, "most": most})
+                    r = selector.fit(self.split(name, 0)[0], d, s)
+                    # Tables of at most `most` groups, features by their place in the screen.
+                    own = self.spark.createDataFrame([(i, g["members"], len(g["members"]), g["mu"], g["nu"], g["pi"]) for i, g in enumerate(r.groups)], "subset_id long, members array<int>, order int, mu double, nu double, pi double")
+                    vertices = self.spark.createDataFrame([(v["feature_id"], v["mu"], v["nu"]) for v in r.vertices], "feature_id int, mu double, nu double")
+                    if s.groups.degrees == "strict_strong":
+                        groups.assert_strong(groups.strong_audit(own, vertices))
+                    else:
+                        induced = groups.strong_degrees(own.select("subset_id", "members"), vertices).join(own.select("subset_id", "members", "order"), "subset_id")
+                        groups.assert_strong(groups.strong_audit(induced, vertices))
+                    found = groups.strong_audit(own, vertices).cache()
+                    rows = [{**x.asDict(), "dataset": name, "largest": k, "members": ";".join(str(r.screened[v]) for v in x["members"])} for x in found.collect()]
+                    summary = groups.audit_summary(found).first().asDict()
+                    found.unpersist()
+                    self.record("strong_groups", rows)
+                    sampled = len(r.groups) < sum(groups.group_counts(len(r.screened), k).values())
+                    return [{**summary, "dataset": name, "largest": k, "n_screened": len(r.screened), "sampled": sampled}]
+
+                if (name, str(k)) not in done:
+                    self.attempt("strong_relation", (name, k), work)
+        return self.result("strong_relation")
+
+    def synthetic(self, scenarios: tuple[str, ...] = synthetic.NAMES, sizes: tuple[int, ...] = (300,), noises: tuple[int, ...] = (20, 100), methods: tuple[str, ...] = ("canonical", "vertex_only"), seeds: int | None = None, ids: DataFrame | None = None) -> DataFrame:
+        """What methods recover of known features; ids: rows (row_id) to make data for in place of numbers up to each size."""
+        if ids is not None:
+            sizes = (ids.count(),)
         done = self.done("synthetic")
         for scenario in scenarios:
             for n in sizes:
@@ -317,7 +351,7 @@ class Study:
                         for method in methods:
 
                             def work(scenario=scenario, n=n, noise=noise, seed=seed, method=method):
-                                data = synthetic.generate(self.spark, scenario, n, seed, noise=noise)
+                                data = synthetic.generate(self.spark, scenario, n, seed, noise=noise, ids=ids)
                                 s = (self.settings if method == "canonical" else ablation(method, self.settings, data.d)).but(goal={"select": max(2, len(data.support))})
                                 r = selector.fit(data.rows, data.d, s)
                                 one = self.spark.createDataFrame([(r.selected, list(data.support))], "selected array<int>, truth array<int>")

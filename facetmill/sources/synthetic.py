@@ -50,8 +50,8 @@ def _sign(signal: list[Column], slope: float, noise: Column) -> Column:
     return (slope / math.sqrt(max(1, len(signal))) * functools.reduce(operator.add, signal) + 0.5 * noise > 0).cast("int")
 
 
-def generate(spark: SparkSession, name: str, n: int, seed: int, signal: int = 4, noise: int = 20, copies: int = 4, rho: float = 0.8) -> Synthetic:
-    """One of NAMES with n rows. signal: features of main effects; bits of an interaction are given as bit + 0.05 of noise.
+def generate(spark: SparkSession, name: str, n: int, seed: int, signal: int = 4, noise: int = 20, copies: int = 4, rho: float = 0.8, ids: DataFrame | None = None) -> Synthetic:
+    """One of NAMES with n rows, or with a row for each row_id (long, no repeats) of ids. signal: features of main effects; bits of an interaction are given as bit + 0.05 of noise.
 
     main_effect, redundant_copy (noisy copies follow the signal), xor2, parity3, mixed (main effects and two bits whose
     exclusive or flips the label), interaction_noise (the same with two main effects), correlated_noise (each noise feature
@@ -61,7 +61,7 @@ def generate(spark: SparkSession, name: str, n: int, seed: int, signal: int = 4,
         raise ValueError(f"unknown dataset {name!r}")
     draw = _Draws(seed)
     blurred = lambda bits: [b + 0.05 * draw.normal() for b in bits]
-    base = spark.range(n).withColumnRenamed("id", "row_id")
+    base = spark.range(n).withColumnRenamed("id", "row_id") if ids is None else ids.select("row_id")
     interaction: tuple[int, ...] = ()
     if name in ("xor2", "parity3"):
         names = [f"_b{i}" for i in range(2 if name == "xor2" else 3)]
@@ -94,8 +94,13 @@ def generate(spark: SparkSession, name: str, n: int, seed: int, signal: int = 4,
 NAMES = ("main_effect", "redundant_copy", "xor2", "parity3", "mixed", "interaction_noise", "correlated_noise")
 
 
-def interaction_example(spark: SparkSession, seed: int = 0, n: int = 40) -> DataFrame:
-    """row, x1_binary, x2_binary, y_xor, x3_noisy_sum: a small table in which neither bit tells the label alone."""
-    draw = _Draws(seed)
-    t = spark.range(n).withColumnRenamed("id", "row_id").select("row_id", draw.bit().alias("x1_binary"), draw.bit().alias("x2_binary"), draw.bit().alias("_e"))
-    return t.select(F.col("row_id").alias("row"), "x1_binary", "x2_binary", _xor([F.col("x1_binary"), F.col("x2_binary")]).alias("y_xor"), ((F.col("x1_binary") + F.col("x2_binary") + F.col("_e")) % 2).alias("x3_noisy_sum"))
+def interaction_example(ids: DataFrame, seed: int = 0) -> DataFrame:
+    """row, x1_binary, x2_binary, y_xor, x3_noisy_sum for each row_id of ids: a table in which neither bit tells the label alone.
+
+    The bits are those of the first hexadecimal digit of the MD5 of "seed|row_id".
+    """
+    digit = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("row_id").cast("string"))), 1, 1), 16, 10).cast("int")
+    bit = lambda k: F.shiftright("_d", k).bitwiseAND(F.lit(1))
+    x1, x2 = F.col("x1_binary"), F.col("x2_binary")
+    t = ids.select(F.col("row_id").alias("row"), digit.alias("_d")).withColumns({"x1_binary": bit(0), "x2_binary": bit(1), "_e": bit(2)})
+    return t.select("row", "x1_binary", "x2_binary", _xor([x1, x2]).alias("y_xor"), ((x1 + x2 + F.col("_e")) % 2).alias("x3_noisy_sum"))

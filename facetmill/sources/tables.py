@@ -93,10 +93,14 @@ def stratified(df: DataFrame, seed: int, test_size: float = 0.25, key: str = "ro
     return out.withColumn("is_test", rank <= F.round(test_size * F.col("_size"))).drop("_h", "_b", "_l", "_c", "_before", "_size")
 
 
-def split_record(rows: DataFrame, name: str, run: int, seed: int, key: str = "row_id") -> DataFrame:
-    """dataset, run, seed, train, test (sorted ids) of rows with is_test."""
+def split_record(rows: DataFrame, name: str, run: int, seed: int, key: str = "row_id", per_row: int = 100_000) -> DataFrame:
+    """dataset, run, seed, part, train, test (sorted ids) of rows with is_test. Ids are dealt by hash to as many parts as give
+    about `per_row` ids each, so that no row of the record grows with the data; a table without rows has none."""
+    parts = -(-rows.count() // per_row)
+    part = F.pmod(F.xxhash64(key), F.lit(max(1, parts))).cast("int").alias("part")
     ids = lambda test: F.sort_array(F.collect_list(F.when(F.col("is_test") == test, F.col(key))))
-    return rows.agg(F.lit(name).alias("dataset"), F.lit(run).alias("run"), F.lit(seed).cast("long").alias("seed"), ids(False).alias("train"), ids(True).alias("test"))
+    of = rows.groupBy(part).agg(ids(False).alias("train"), ids(True).alias("test"))
+    return of.select(F.lit(name).alias("dataset"), F.lit(run).alias("run"), F.lit(seed).cast("long").alias("seed"), "part", "train", "test")
 
 
 def save_splits(records: DataFrame, path: str) -> None:
@@ -104,7 +108,14 @@ def save_splits(records: DataFrame, path: str) -> None:
 
 
 def load_splits(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("dataset string, run int, seed long, train array<long>, test array<long>").json(path)
+    return spark.read.schema("dataset string, run int, seed long, part int, train array<long>, test array<long>").json(path)
+
+
+def apply_split(rows: DataFrame, records: DataFrame, name: str, run: int, key: str = "row_id") -> DataFrame:
+    """rows with is_test as a record of one run says; rows that the record does not name go."""
+    own = records.filter((F.col("dataset") == name) & (F.col("run") == run))
+    of = lambda c, test: own.select(F.explode(c).alias("_k"), F.lit(test).alias("is_test"))
+    return rows.join(of("train", False).unionByName(of("test", True)), F.col(key) == F.col("_k")).drop("_k")
 
 
 def append_new(stored: DataFrame, batch: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -198,13 +209,39 @@ def file_manifest(spark: SparkSession, path: str, chunk: int = 8_000_000) -> Dat
     return dealt.mapInArrow(run, "path string, sha256 string, size long")
 
 
-def scan_text(df: DataFrame, key: str, text: str, patterns: dict[str, str], snippet: int = 200) -> DataFrame:
-    """A row for each line and pattern that matches: key, pattern, line (from 1), snippet."""
-    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("i", "t"))
-    hits = F.filter(F.array(*[F.when(F.col("t").rlike(p), F.lit(n)) for n, p in patterns.items()]), lambda x: x.isNotNull())
+def scan_text(df: DataFrame, key: str, text: str, patterns: dict[str, str], snippet: int = 200, unless: dict[str, str] | None = None, history: dict[str, Column] | None = None) -> DataFrame:
+    """A row for each line and pattern that matches: key, pattern, line (from 1), snippet.
+
+    Provenance: a line that matches the pattern's entry of `unless` names the phrase without using it (as superseded, removed)
+    and is no hit; nor is any line of a row for which the pattern's entry of `history` is true (a log of what was).
+    """
+    unless, history = unless or {}, history or {}
+    past = {n: f"_past{i}" for i, n in enumerate(history)}
+    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("i", "t"), *[F.coalesce(history[n], F.lit(False)).alias(c) for n, c in past.items()])
+
+    def hit(name: str, pattern: str) -> Column:
+        found = F.col("t").rlike(pattern)
+        if name in unless:
+            found &= ~F.col("t").rlike(unless[name])
+        return found & ~F.col(past[name]) if name in past else found
+
+    hits = F.filter(F.array(*[F.when(hit(n, p), F.lit(n)) for n, p in patterns.items()]), lambda x: x.isNotNull())
     return lines.select(key, F.explode(hits).alias("pattern"), (F.col("i") + 1).cast("long").alias("line"), F.substring(F.trim("t"), 1, snippet).alias("snippet"))
 
 
+def lineage(manifest: DataFrame, rules: list[tuple[str, dict[str, str]]], columns: tuple[str, ...], path: str = "path", root: str = "") -> DataFrame:
+    """Adds artifact_group (the first folder below root; empty for files in root) and the given columns, which the first rule whose pattern is found in the path
+    below root (a pattern) sets; a rule leaves what it does not name to later rules, and what none sets is "unknown"."""
+    below = F.regexp_replace(path, "^" + root, "")
+    group = F.when(F.instr(below, "/") > 0, F.substring_index(below, "/", 1)).otherwise("")
+
+    def value(column: str) -> Column:
+        found = [F.when(below.rlike(p), F.lit(says[column])) for p, says in rules if column in says]
+        return F.coalesce(*found, F.lit("unknown")).alias(column)
+
+    return manifest.select("*", group.alias("artifact_group"), *[value(c) for c in columns])
+
+
 def write_record(path: str, record: dict) -> None:
     with open(path, "w", encoding="utf-8") as f:
         json.dump(record, f, indent=2, sort_keys=True, default=str)

@@ -251,7 +251,7 @@ def test_synthetic_data(spark):
             assert np.corrcoef(x[:, 4], x[:, 5])[0, 1] == pytest.approx(0.8, abs=0.05)
         elif name == "main_effect":
             assert all(np.corrcoef(x[:, j], y)[0, 1] > 0.2 for j in s.support) and abs(np.corrcoef(x[:, 6], y)[0, 1]) < 0.1
-    t = rows(synthetic.interaction_example(spark))
+    t = rows(synthetic.interaction_example(spark.range(40).withColumnRenamed("id", "row_id")))
     assert len(t) == 40 and all(r["y_xor"] == r["x1_binary"] ^ r["x2_binary"] and r["x3_noisy_sum"] in (0, 1) for r in t)
     with pytest.raises(ValueError):
         synthetic.generate(spark, "other", 10, 0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
@@ -32,8 +33,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Folders that a run of `scope` has written, innermost last.
-_SCOPES: list[list[str]] = []
+#: Where the innermost `scope` collects the folders written inside it; threads and contexts have their own.
+_SCOPE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
 
 
 def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
@@ -44,8 +45,9 @@ def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     out = df.write.option("compression", "zstd")
     (out.partitionBy(by) if by else out).parquet(path)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    folders = _SCOPE.get()
+    if folders is not None:
+        folders.append(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._saved_at = path
     return back
@@ -82,11 +84,11 @@ def scope(before: list[str], docs: DataFrame):
                 before.append(path)
             else:
                 _delete(spark, path)
-    _SCOPES.append(before)
+    outer = _SCOPE.set(before)
     try:
         yield
     finally:
-        _SCOPES.pop()
+        _SCOPE.reset(outer)
 
 
 def release(spark: SparkSession) -> None:

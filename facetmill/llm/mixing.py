@@ -8,7 +8,7 @@ passes of the source until its target is met, and each copy gets the time at whi
 middle in the source's cumulative words. The plan is sorted by this position over ranges.
 
 Cumulative words are summed in two levels (hash buckets, then bucket totals), so a source with a third of all rows is
-spread over all tasks. Null text has size 0; documents of size 0 take nothing. Equal rows are told apart by a number,
+spread over all tasks; sums over sources are in two levels too. Null text has size 0; documents of size 0 take nothing. Equal rows are told apart by a number,
 so the same input gives the same mix. Rows equal in id, source and text are documents of their own, whose further columns
 are carried along, each with its copies.
 """
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, word_count
+from .common import partitions, saved, word_count
 
 
 @dataclass(frozen=True)
@@ -34,22 +34,38 @@ class MixConfig:
     least_buckets: int = 1024
 
 
+def _running(df: DataFrame, order: list[Column], name: str, **sums: Column) -> DataFrame:
+    """Adds for each of `sums` its sum over the rows before this one in an order without ties.
+
+    In two levels: rows are dealt to ranges of the order and written with the number of their range; the sums of whole ranges
+    are one row for each range, and only rows of one range are in a window together.
+    """
+    dealt = saved(df.repartitionByRange(partitions(df.sparkSession), *order).withColumn("_range", F.spark_partition_id()), name)
+    # One row for each range: as many as there are shuffle partitions.
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_range").agg(*[F.sum(v).alias(f"_{c}") for c, v in sums.items()])
+    starts = starts.select("_range", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums])
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = dealt.select("*", *[F.coalesce(F.sum(v).over(within), F.lit(0)).alias(c) for c, v in sums.items()])
+    whole = dealt.join(F.broadcast(starts), "_range")
+    return whole.withColumns({c: F.col(c) + F.col(f"_{c}") for c in sums}).drop("_range", *[f"_{c}" for c in sums])
+
+
 def targets(sources: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     """source, source_size (long) -> also rank, target (double): the fill level is found from sorted ratios in closed form.
 
     A source is at its limit if the level exceeds limit * size / weight. Sources are sorted by this ratio; with the
     first j at their limits, the level is (total - their limits) / weight of the others, and j is the first for which
-    that level is within the next ratio. One window over one row for each source.
+    that level is within the next ratio. Sources may be as many as web hosts: ranks and sums before a source are running
+    sums in two levels, and the totals and the level are one row.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sources.withColumn("rank", F.row_number().over(by_name) - 1)
-    weight = F.get(F.array(*[F.lit(float(w)) for w in cfg.weights]), F.col("rank") % len(cfg.weights))
-    ranked = ranked.withColumn("weight", weight).withColumn("most", cfg.limit * F.col("source_size")).withColumn("ratio", F.col("most") / F.col("weight"))
-    before = Window.orderBy("ratio", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).orderBy("ratio", "rank")
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    level = ranked.withColumn("level", level).withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "rank", "level"))).over(everything)["level"])
-    return level.select("source", "source_size", "rank", F.least(F.col("most"), F.col("weight") * F.col("level")).alias("target"))
+    ranked = _running(sources, [F.col("source").asc_nulls_last()], "mix-names", rank=F.lit(1)).withColumn("rank", F.col("rank").cast("int"))
+    ranked = ranked.withColumn("weight", _pick(cfg.weights, F.col("rank"))).withColumn("most", cfg.limit * F.col("source_size")).withColumn("ratio", F.col("most") / F.col("weight"))
+    filled = _running(ranked, [F.col("ratio"), F.col("rank")], "mix-ratios", most_before=F.col("most"), weight_before=F.col("weight"))
+    total = filled.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(total["size"]) - F.col("most_before")) / (F.lit(total["weight"]) - F.col("weight_before"))
+    first = filled.withColumn("level", level).agg(F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "rank", "level")))["level"].alias("level")).first()["level"]
+    return filled.select("source", "source_size", "rank", F.least(F.col("most"), F.col("weight") * F.lit(first).cast("double")).alias("target"))
 
 
 def _pick(values: tuple[float, ...], rank: Column) -> Column:
@@ -107,7 +123,7 @@ def mix_documents(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     names = docs.columns
     own = F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("_i")
     plan = mix_plan(docs, cfg).filter(F.size("positions") > 0).groupBy(own, "_h").agg(F.array_sort(F.collect_list("positions")).alias("_at"))
-    texts = docs.select(own, _order_key().alias("_h"), F.struct(*names).alias("_doc"), F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith("map")]).alias("_all"))
+    texts = docs.select(own, _order_key().alias("_h"), F.struct(*names).alias("_doc"), F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t]).alias("_all"))
     equal = Window.partitionBy("_i", "_h").orderBy("_all")  # a group is dealt like the join before it
     taken = texts.join(saved(plan, "mix-plan"), ["_i", "_h"]).withColumn("_k", F.row_number().over(equal) - 1)
     taken = taken.withColumn("_at", F.explode(F.get("_at", F.col("_k"))))

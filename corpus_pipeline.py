@@ -7,6 +7,7 @@ an empty table gives an empty result. Without labels only the base rule rejects.
 
 from __future__ import annotations
 
+import contextvars
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,38 +16,45 @@ from facetmill.llm import mixing, near, packing, quality, suffixes
 from facetmill.llm.common import saved, scope, table
 
 
-#: Folders that the stage before wrote for itself; they go when the next stage gets that stage's written result.
-_FOLDERS: list[str] = []
+#: Folders that the stage before wrote for itself; they go when the next stage gets that stage's written result. Every call of
+#: run() has a list of its own, and so has every thread that calls stages one by one.
+_FOLDERS: contextvars.ContextVar[list[str]] = contextvars.ContextVar("folders")
+
+
+def _folders() -> list[str]:
+    if _FOLDERS.get(None) is None:
+        _FOLDERS.set([])
+    return _FOLDERS.get()
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or a cutoff rejects go."""
-    _FOLDERS.clear()  # a new chain: results of an earlier one may still be read
-    with scope(_FOLDERS, docs):
+    _folders().clear()  # a new chain: results of an earlier one may still be read
+    with scope(_folders(), docs):
         return quality.quality_filter(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    with scope(_FOLDERS, docs):
+    with scope(_folders(), docs):
         return near.keep_one(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated strings go; so do documents of which nothing remains."""
-    with scope(_FOLDERS, docs):
+    with scope(_folders(), docs):
         return suffixes.strip_repeats(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy of a document that the mix takes, in training order."""
-    with scope(_FOLDERS, docs):
+    with scope(_folders(), docs):
         return mixing.mix_documents(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences with their place in packed sequences."""
-    with scope(_FOLDERS, docs):
+    with scope(_folders(), docs):
         return packing.pack(docs)
 
 
@@ -63,6 +71,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contextvars.copy_context().run(_run, spark, sf_dir)
+
+
+def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _FOLDERS.set([])
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")

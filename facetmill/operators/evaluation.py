@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import no_nan
@@ -29,47 +29,157 @@ def metrics(predicted: DataFrame) -> DataFrame:
     return each.agg((F.sum("hit") / F.sum("t")).alias("accuracy"), F.avg(F.when(F.col("t") > 0, F.col("hit") / F.col("t"))).alias("balanced_accuracy"), F.avg(f1).alias("macro_f1"))
 
 
-def closest(train: DataFrame, test: DataFrame, features: list[int], k: int, by_class: bool = False, metric: str = "square", block: int = 1024) -> DataFrame:
-    """row_id, y, n_id, n_y, far: the k nearest training rows of each test row (ties by id); by_class: k of each class, itself left out.
+#: Values of a block of rows that a task holds at a time (32 MB), and tiles that keep a cluster busy.
+VALUES, _TILES = 1 << 22, 24
+
+
+def blocks_of(n_test: int, n_train: int, f: int, block: int = 1024) -> tuple[int, int]:
+    """Blocks of test rows and of training rows. Few of the second, as what a row finds in each of them is exchanged."""
+    train = max(1, -(-n_train * f // VALUES))
+    return max(1, -(-n_test * f // VALUES), min(-(-n_test // block), -(-_TILES // train))), train
+
+
+def place(key: str, blocks: int):
+    return F.pmod(F.xxhash64(key), F.lit(blocks))
+
+
+def every(blocks: int):
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+
+
+def _gaps(v: np.ndarray, w: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of rows of v from rows of w at the same places, to 9 digits."""
+    far = np.zeros(len(v))
+    for j in range(v.shape[1]):
+        gap = v[:, j] - w[:, j]
+        far += gap * gap if metric == "square" else np.abs(gap)
+    return np.round(far, 9)
+
+
+def best(v: np.ndarray, ids: np.ndarray, w: np.ndarray, n_ids: np.ndarray, k: int, metric: str, itself: bool = True, rows: int = 256, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in v, place in w, distance) of the k nearest w (ties by n_ids) of each v, by place and distance.
 
-    Blocks of test rows meet blocks of training rows as two matrices in one task, which keeps the k best of each row; the
-    best of all blocks are the nearest. Distances are rounded to 9 digits.
+    Chunk by chunk a matrix product, or a sum of gaps in single precision, tells which pairs may be among the nearest; its
+    error is bounded, and the distances of these few pairs are computed in full.
     """
-    sides = []
-    sizes = [max(1, -(-df.count() // block)) for df in (test, train)]
-    for side, df in enumerate((test, train)):
-        own, other = F.pmod(F.xxhash64("row_id"), F.lit(sizes[side])), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sizes[1 - side] - 1).cast("long")))
-        row = df.select(own.alias("a"), F.col("row_id").cast("long").alias("row_id"), F.col("y").cast("int").alias("y"), F.array(*[F.col("x")[j] for j in features]).alias("v"))
-        row = row.select("*", other.alias("b"))
-        sides.append((row if not side else row.select(F.col("b").alias("a"), "row_id", "y", "v", F.col("a").alias("b"))).groupBy("a", "b"))
+    f, found = v.shape[1], []
+    middle = w.mean(axis=0)
+    a, b = v - middle, w - middle
+    size = max(float(np.abs(a).max(initial=0.0)), float(np.abs(b).max(initial=0.0)))
+    if metric == "square":
+        slack = 1e-9 + 1e-14 * (f + 4) * 4 * f * size * size
+        aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    else:
+        slack = 1e-9 + 1.2e-7 * (f + 2) * 2 * f * size
+        a, b = a.T.astype(np.float32), b.T.astype(np.float32)
+    for at in range(0, len(v), rows):
+        stop = min(at + rows, len(v))
+        limit = np.full(stop - at, np.inf)
+        i, j, far = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for start in range(0, len(w), chunk):
+            end = min(start + chunk, len(w))
+            if metric == "square":
+                rough = (aa[at:stop, None] + bb[start:end]) - 2 * (a[at:stop] @ b[start:end].T)
+            else:
+                rough, gap = np.zeros((stop - at, end - start), np.float32), np.empty((stop - at, end - start), np.float32)
+                for c in range(f):
+                    np.subtract(a[c, at:stop, None], b[c, start:end], out=gap)
+                    np.abs(gap, out=gap)
+                    rough += gap
+            first = min(k + (not itself), end - start) - 1
+            upto = limit
+            if first + 1 >= k + (not itself) and np.isinf(limit).any():
+                upto = np.minimum(limit, np.partition(rough, first, axis=1)[:, first].astype(np.float64) + slack)
+            p, q = np.nonzero(rough <= (upto + slack)[:, None])
+            p, q = p + at, q + start
+            if not itself:
+                other = ids[p] != n_ids[q]
+                p, q = p[other], q[other]
+            if not len(p):
+                continue
+            i, j, far = np.concatenate([i, p]), np.concatenate([j, q]), np.concatenate([far, _gaps(v[p], w[q], metric)])
+            order = np.lexsort((n_ids[j], far, i))
+            i, j, far = i[order], j[order], far[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            i, j, far, rank = i[rank < k], j[rank < k], far[rank < k], rank[rank < k]
+            last = rank == k - 1
+            limit[i[last] - at] = far[last]
+        found.append((i, j, far))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+
+def near_lists(train: DataFrame, test: DataFrame, features: list[int], k: int, sizes: tuple[int, int], by_class: bool = False, metric: str = "square") -> DataFrame:
+    """row_id, y, b, n_id, n_y, far, many (arrays): of the k nearest of each test row those that lie in block b of the training
+    rows, with how many nearest of that class (by_class; else of all) the row has.
+
+    Blocks of test rows meet blocks of training rows in one task, which keeps the k best of each row; the best of all
+    blocks are the nearest. sizes: blocks of both.
+    """
+    import pyarrow as pa
+
+    f, row = len(features), lambda df: df.select(F.col("row_id").cast("long").alias("row_id"), F.col("y").cast("int").alias("y"), F.array(*[F.col("x")[j] for j in features]).alias("v"))
+    left = row(test).select(place("row_id", sizes[0]).alias("a"), every(sizes[1]).alias("b"), "row_id", "y", "v").groupBy("a", "b")
+    right = row(train).select(every(sizes[0]).alias("a"), place("row_id", sizes[1]).alias("b"), "row_id", "y", "v").groupBy("a", "b")
+    kinds = (pa.int64(), pa.int32(), pa.float64())
+
+    def lists(rows: int, i: np.ndarray, *columns):
+        """Columns as lists by the places i (sorted) of their rows."""
+        ends = pa.array(np.searchsorted(i, np.arange(rows + 1)).astype(np.int32))
+        return [pa.ListArray.from_arrays(ends, pa.array(c, kind)) for c, kind in columns]
 
     def run(t, n):
-        import pyarrow as pa
-
-        ids, y, v = t.column("row_id").to_numpy(), t.column("y").to_numpy(), matrix(t.column("v").combine_chunks(), np.float64) if len(t) else None
-        order = np.argsort(n.column("row_id").to_numpy(), kind="stable")
-        n_ids, n_y, w = n.column("row_id").to_numpy()[order], n.column("y").to_numpy()[order], matrix(n.column("v").combine_chunks(), np.float64)[order] if len(n) else None
-        out = []
-        if v is not None and w is not None:
-            far = np.zeros((len(v), len(w)))
-            for j in range(v.shape[1]):
-                gap = v[:, j, None] - w[None, :, j]
-                far += gap * gap if metric == "square" else np.abs(gap)
-            far = np.round(far, 9)
-            if by_class:
-                far[ids[:, None] == n_ids[None, :]] = np.inf
+        n_part = n.column("b")[0].as_py() if len(n) else 0
+        if len(t):
+            ids, v = t.column("row_id").to_numpy(), matrix(t.column("v").combine_chunks(), np.float64)
+        else:
+            ids, v = np.empty(0, np.int64), np.zeros((0, f))
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        n_ids, n_y = n.column("row_id").to_numpy(), n.column("y").to_numpy()
+        if len(t) and len(n):
+            w = matrix(n.column("v").combine_chunks(), np.float64)
             for c in np.unique(n_y) if by_class else [None]:
-                pick = np.flatnonzero(n_y == c) if by_class else np.arange(len(w))
-                best = np.argsort(far[:, pick], axis=1, kind="stable")[:, :k]
-                i, j = np.repeat(np.arange(len(v)), best.shape[1]), pick[best.ravel()]
-                real = np.isfinite(far[i, j])
-                out.append((ids[i][real], y[i][real], n_ids[j][real], n_y[j][real], far[i, j][real]))
-        cols = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 5
-        return pa.table([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64()))], names=["row_id", "y", "n_id", "n_y", "far"])
-
-    near = sides[0].cogroup(sides[1]).applyInArrow(run, "row_id long, y int, n_id long, n_y int, far double")
-    best = Window.partitionBy("row_id", *(["n_y"] if by_class else [])).orderBy("far", "n_id")
-    return near.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r")
+                pick = np.flatnonzero(n_y == c) if by_class else np.arange(len(n_y))
+                i, j, far = best(v, ids, w[pick], n_ids[pick], k, metric, itself=not by_class)
+                out.append((i, pick[j], far))
+        i, j, far = (np.concatenate(x) for x in zip(*out))
+        order = np.argsort(i, kind="stable")
+        i, j, far = i[order], j[order], far[order]
+        return pa.table([pa.array(ids), t.column("y"), pa.array(np.full(len(ids), n_part), pa.int64()), *lists(len(ids), i, (n_ids[j], kinds[0]), (n_y[j], kinds[1]), (far, kinds[2]))], names=["row_id", "y", "b", "n_id", "n_y", "far"])
+
+    found = left.cogroup(right).applyInArrow(run, "row_id long, y int, b long, n_id array<long>, n_y array<int>, far array<double>")
+
+    def merge(t):
+        """Of some test rows the k best of all blocks; a line for each row and block that has some of them."""
+        t = t.combine_chunks()
+        flat = lambda name: t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        sizes_of = np.diff(t.column("n_id").combine_chunks().offsets.to_numpy())
+        many = lambda name: np.repeat(t.column(name).to_numpy(), sizes_of)
+        ids, y, b, n_ids, n_y, far = many("row_id"), many("y"), many("b"), flat("n_id"), flat("n_y"), flat("far")
+        group = n_y if by_class else np.zeros(len(ids), np.int32)
+        order = np.lexsort((n_ids, far, group, ids))
+        ids, y, b, n_ids, n_y, far, group = (c[order] for c in (ids, y, b, n_ids, n_y, far, group))
+        first = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (group[1:] != group[:-1]))) if len(ids) else np.empty(0, np.int64)
+        size = np.diff(np.append(first, len(ids)))
+        kept = np.flatnonzero(np.arange(len(ids)) - np.repeat(first, size) < k)
+        held = np.repeat(np.minimum(size, k), size)
+        kept = kept[np.lexsort((b[kept], ids[kept]))]
+        ids, y, b, n_ids, n_y, far, held = (c[kept] for c in (ids, y, b, n_ids, n_y, far, held))
+        new = np.append(True, (ids[1:] != ids[:-1]) | (b[1:] != b[:-1])) if len(ids) else np.empty(0, bool)
+        line = np.cumsum(new) - 1
+        return pa.table([pa.array(ids[new]), pa.array(y[new], pa.int32()), pa.array(b[new]), *lists(int(new.sum()), line, (n_ids, kinds[0]), (n_y, kinds[1]), (far, kinds[2]), (held.astype(np.int32), kinds[1]))], names=["row_id", "y", "b", "n_id", "n_y", "far", "many"])
+
+    # A group of rows for merging: few enough that their candidates of all blocks are some ten megabytes.
+    groups = sizes[0] * 16
+    return found.groupBy(F.pmod(F.xxhash64("row_id", F.lit(1)), F.lit(groups))).applyInArrow(merge, "row_id long, y int, b long, n_id array<long>, n_y array<int>, far array<double>, many array<int>")
+
+
+def closest(train: DataFrame, test: DataFrame, features: list[int], k: int, by_class: bool = False, metric: str = "square", block: int = 1024) -> DataFrame:
+    """row_id, y, n_id, n_y, far: the k nearest training rows of each test row (ties by id); by_class: k of each class, itself left out.
+
+    Distances are rounded to 9 digits.
+    """
+    lists = near_lists(train, test, features, k, blocks_of(test.count(), train.count(), len(features), block), by_class, metric)
+    return lists.select("row_id", "y", F.explode(F.arrays_zip("n_id", "n_y", "far")).alias("e")).select("row_id", "y", "e.n_id", "e.n_y", "e.far")
 
 
 def nearest(train: DataFrame, test: DataFrame, features: list[int], k: int = 5) -> DataFrame:

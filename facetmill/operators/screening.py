@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import no_nan
-from .evaluation import closest
+from .evaluation import VALUES, blocks_of, every, near_lists, place
 from .information import joint_entropies, matrix, singles, with_nmi
 
 
@@ -65,23 +65,32 @@ def relieff_scores(df: DataFrame, d: int, k: int | None = None) -> DataFrame:
     ends = df.select(F.posexplode("x")).groupBy("pos").agg(F.min("col").alias("low"), F.max("col").alias("high")).orderBy("pos").collect()  # a row for each feature
     unit = F.array(*[(F.col("x")[r["pos"]] - F.lit(r["low"])) / F.lit((r["high"] - r["low"]) or 1.0) for r in ends])
     scaled = df.select("row_id", "y", unit.alias("x"))
-    share = df.groupBy("y").agg((F.count(F.lit(1)) / n).alias("p"))
-    near = closest(scaled, scaled, list(range(d)), k, by_class=True, metric="gap").drop("far")
-    weight = F.when(F.col("n_y") == F.col("y"), F.lit(-1.0)).otherwise(F.col("np") / (1 - F.col("p")))
-    near = near.join(F.broadcast(share), "y").join(F.broadcast(share.select(F.col("y").alias("n_y"), F.col("p").alias("np"))), "n_y")  # a row for each class
-    near = near.withColumn("w", weight / F.count(F.lit(1)).over(Window.partitionBy("row_id", "n_y")) / n)
-    both = near.join(scaled.select("row_id", F.col("x").alias("a")), "row_id").join(scaled.select(F.col("row_id").alias("n_id"), F.col("x").alias("b")), "n_id")
-
-    def run(batches):
+    share = {r["y"]: r["c"] / n for r in df.groupBy("y").agg(F.count(F.lit(1)).alias("c")).collect()}  # a row for each class
+    sizes = blocks_of(n, n, d)
+    near = near_lists(scaled, scaled, list(range(d)), k, sizes, by_class=True, metric="gap").drop("y", "far")
+    parts = max(-(-n * d // VALUES), min(sizes[0], -(-12 // sizes[1])))  # tiles of far less work: fewer copies of rows
+    left = near.join(scaled, "row_id").select(place("row_id", parts).alias("a"), "b", "y", "x", "n_id", "n_y", "many").groupBy("a", "b")
+    right = scaled.select(every(parts).alias("a"), place("row_id", sizes[1]).alias("b"), F.col("row_id").cast("long").alias("n_id"), "x").groupBy("a", "b")
+
+    def run(t, o):
+        """The weighted gaps of rows of a block to those of their nearest that lie in another."""
         import pyarrow as pa
 
         total = np.zeros(d)
-        for b in batches:
-            if b.num_rows:
-                total += b.column(0).to_numpy() @ np.abs(matrix(b.column(1), np.float64) - matrix(b.column(2), np.float64))
-        yield pa.RecordBatch.from_arrays([pa.array(range(d), pa.int32()), pa.array(total)], ["feature_id", "s"])
-
-    return both.select("w", "a", "b").mapInArrow(run, "feature_id int, s double").groupBy("feature_id").agg(F.sum("s").alias("score"))
+        if len(t) and len(o):
+            x, w, ids = matrix(t.column("x").combine_chunks(), np.float64), matrix(o.column("x").combine_chunks(), np.float64), o.column("n_id").to_numpy()
+            flat = lambda name: t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            i = np.repeat(np.arange(len(t)), np.diff(t.column("n_id").combine_chunks().offsets.to_numpy()))
+            order = np.argsort(ids)
+            j = order[np.searchsorted(ids[order], flat("n_id"))]
+            y, n_y = t.column("y").to_numpy()[i], flat("n_y")
+            part = lambda classes: np.array([share[c] for c in np.unique(classes)])[np.unique(classes, return_inverse=True)[1]]
+            weight = np.where(n_y == y, -1.0, part(n_y) / np.maximum(1 - part(y), 1e-300)) / flat("many") / n
+            for at in range(0, len(i), 16_384):
+                total += weight[at : at + 16_384] @ np.abs(x[i[at : at + 16_384]] - w[j[at : at + 16_384]])
+        return pa.table([pa.array(range(d), pa.int32()), pa.array(total)], names=["feature_id", "s"])
+
+    return left.cogroup(right).applyInArrow(run, "feature_id int, s double").groupBy("feature_id").agg(F.sum("s").alias("score"))
 
 
 def top(scores: DataFrame, f: int, digits: int = 9) -> DataFrame:

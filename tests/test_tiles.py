@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from facetmill.operators import evaluation
+from facetmill.operators import evaluation, screening
 
 
 def frame(spark, x, y, start=0):
@@ -51,3 +51,20 @@ def test_closest_over_many_tiles(spark, monkeypatch, by_class):
             rows = [i for i in range(150) if not by_class or (y[i] == c and i != r)]
             want = sorted(rows, key=lambda i: (full[r, i], i))[:3]
             assert {n for n, _, _ in got[r, c]} == set(want)
+
+
+def test_relieff_over_many_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(120, 3)), rng.integers(0, 3, 120)
+    one = {r["feature_id"]: r["score"] for r in screening.relieff_scores(frame(spark, x, y), 3).collect()}
+    monkeypatch.setattr(evaluation, "VALUES", 90)
+    monkeypatch.setattr(screening, "VALUES", 90)
+    many = {r["feature_id"]: r["score"] for r in screening.relieff_scores(frame(spark, x, y), 3).collect()}
+    u = (x - x.min(axis=0)) / (x.max(axis=0) - x.min(axis=0))
+    share, want = np.bincount(y) / 120, np.zeros(3)
+    for i in range(120):
+        for c in range(3):
+            own = [j for j in range(120) if y[j] == c and j != i]
+            near = sorted(own, key=lambda j: (round(np.abs(u[i] - u[j]).sum(), 9), j))[:10]
+            want += (-1 if c == y[i] else share[c] / (1 - share[y[i]])) * np.abs(u[i] - u[near]).mean(axis=0) / 120
+    assert one == {j: pytest.approx(want[j]) for j in range(3)} and many == {j: pytest.approx(want[j]) for j in range(3)}

@@ -5,7 +5,8 @@ places among rows that agree in these. One permutation serves all candidates, an
 the label, with the features taken as it is, so the sum of c ln c over the cells of feature, taken ones and label ranks as
 the information does. Rows are dealt to blocks by a hash of their id, and labels change places within a block, in the order
 of a hash of seed, permutation and id: the same on any partitioning and for a repeated task, and no class or stratum is
-held in one task. A feature counts if its excess over the permutations, in deviations, is larger than the largest of any
+held in one task: rows of strata that fit a task are dealt by stratum, so that their cells are counted to the end there and
+only how often each count occurs is exchanged; cells of larger strata, few for their rows, are added up over blocks. A feature counts if its excess over the permutations, in deviations, is larger than the largest of any
 candidate in all but a share `alpha` of them, which bounds false features whatever the number of candidates.
 
 Features that matter in company only (parity) show nothing alone, so growth from nothing does not find them.
@@ -47,36 +48,57 @@ def excesses(codes: DataFrame, given: list[int], candidates: list[int], width: i
     """b (-1: as it is, else the permutation), j, t: the sum of c ln c over cells of candidate, given features and label."""
     if width ** (len(given) + 1) >= 1 << 62:
         raise ValueError(f"tuples of {len(given) + 1} codes below {width} have more values than 62 bits")
-    blocks = max(1, -(-n // cfg.block))
+    import pyarrow as pa
 
-    def run(t):
-        import pyarrow as pa
+    blocks = max(1, -(-n // cfg.block))
 
+    def run(t, whole):
+        """Cells of a task's rows; whole: its strata are nowhere else, so how often a count occurs says all."""
         t = t.combine_chunks().sort_by("row_id").combine_chunks()
         ids, y, x = t.column("row_id").to_numpy(), t.column("y").to_numpy(), matrix(t.column("codes").combine_chunks(), np.int64)
-        stratum = np.zeros(len(ids), np.int64)
-        for j in given:
-            stratum = stratum * width + x[:, j]
+        stratum, home_block = t.column("stratum").to_numpy(), t.column("block").to_numpy()
         labels, y = np.unique(y, return_inverse=True)
-        seen, place = np.unique(np.stack([stratum * width + x[:, j] for j in candidates], axis=1), return_inverse=True)
-        place = place.reshape(len(ids), len(candidates))
-        home = np.argsort(stratum, kind="stable")
-        out = []
+        seen, place = zip(*(np.unique(stratum * width + x[:, j], return_inverse=True) for j in candidates))
+        home = np.lexsort((home_block, stratum))
         for b in range(-1, cfg.permutations):
             own = y
             if b >= 0:
                 own = np.empty_like(y)
-                own[home] = y[np.lexsort((mixed(ids, (cfg.seed << 20) + b), stratum))]
+                own[home] = y[np.lexsort((mixed(ids, (cfg.seed << 20) + b), home_block, stratum))]
+            out = []
             for i, j in enumerate(candidates):
-                c = np.bincount(place[:, i] * len(labels) + own, minlength=0)
-                at = np.flatnonzero(c)
-                out.append((np.full(len(at), b, np.int32), np.full(len(at), j, np.int32), seen[at // len(labels)], labels[at % len(labels)].astype(np.int32), c[at]))
-        cols = [np.concatenate(a) for a in zip(*out)]
-        return pa.table([pa.array(a, k) for a, k in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64()))], names=["b", "j", "k", "y", "c"])
-
-    dealt = codes.select(F.col("row_id").cast("long").alias("row_id"), F.col("y").cast("int").alias("y"), "codes", F.pmod(F.xxhash64("row_id"), F.lit(blocks)).alias("block"))
-    cells = dealt.groupBy("block").applyInArrow(run, "b int, j int, k long, y int, c long").groupBy("b", "j", "k", "y").agg(F.sum("c").alias("c"))
-    return cells.groupBy("b", "j").agg(F.sum(F.col("c") * F.ln("c")).alias("t"))
+                c = np.bincount(place[i] * len(labels) + own)
+                if whole:
+                    many = np.bincount(c)
+                    at = np.flatnonzero(many[1:]) + 1
+                    out.append((np.full(len(at), b, np.int32), np.full(len(at), j, np.int32), at, many[at]))
+                else:
+                    at = np.flatnonzero(c)
+                    out.append((np.full(len(at), b, np.int32), np.full(len(at), j, np.int32), seen[i][at // len(labels)], labels[at % len(labels)].astype(np.int32), c[at]))
+            yield [np.concatenate(a) for a in zip(*out)]
+
+    def table(kinds, names, whole):
+        def build(t):
+            cols = [np.concatenate(a) for a in zip(*run(t, whole))]
+            return pa.table([pa.array(a, k) for a, k in zip(cols, kinds)], names=names)
+
+        return build
+
+    number = F.lit(0).cast("long")
+    for j in given:
+        number = number * width + F.col("codes")[j]
+    dealt = codes.select(F.col("row_id").cast("long").alias("row_id"), F.col("y").cast("int").alias("y"), "codes", F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("long").alias("block"), number.alias("stratum"))
+    # Strata that more rows share than a task takes: at most n / block, each of few cells.
+    large = [r["stratum"] for r in dealt.groupBy("stratum").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > cfg.block).collect()] if given and n > cfg.block else []
+    split = F.lit(n > cfg.block) if not given else F.col("stratum").isin(large) if large else F.lit(False)
+    parts = max(min(32, -(-n // 500)), -(-n // cfg.block))
+    full = table((pa.int32(), pa.int32(), pa.int64(), pa.int64()), ["b", "j", "c", "times"], True)
+    counts = dealt.filter(~split).groupBy(F.pmod(F.xxhash64("stratum"), F.lit(parts))).applyInArrow(full, "b int, j int, c long, times long")
+    if large or (not given and n > cfg.block):
+        some = table((pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64()), ["b", "j", "k", "y", "c"], False)
+        cells = dealt.filter(split).groupBy("block").applyInArrow(some, "b int, j int, k long, y int, c long").groupBy("b", "j", "k", "y").agg(F.sum("c").alias("c"))
+        counts = counts.unionByName(cells.select("b", "j", "c", F.lit(1).cast("long").alias("times")))
+    return counts.groupBy("b", "j").agg(F.sum(F.col("times") * F.col("c") * F.ln("c")).alias("t"))
 
 
 def tested(codes: DataFrame, given: list[int], candidates: list[int], width: int, n: int, cfg: BlanketConfig = BlanketConfig()) -> dict[int, tuple[float, float]]:

@@ -54,6 +54,31 @@ def test_sums_and_margins(spark, data):
     assert len({round(v, 6) for (b, j), v in got.items() if j == 3}) == 6
 
 
+def test_strata_in_one_task_or_in_blocks(spark, data):
+    """Sums of every permutation by plain counting, with strata that fit a task, that do not, and both; what is exchanged stays small."""
+    df = frame(spark, *data)
+    codes = discretize.encode(df, discretize.fit(df, 7, 4)).cache()
+    rows = sorted(codes.selectExpr("row_id", "y", "codes", "xxhash64(row_id) AS h").collect(), key=lambda r: r["row_id"])
+    for block, given in ((30, [0, 2]), (100, [0]), (124, [0]), (600, [0, 2, 4]), (100, [])):
+        cfg = blanket.BlanketConfig(permutations=2, block=block)
+        got = {(r["b"], r["j"]): r["t"] for r in blanket.excesses(codes, given, [1, 3], 4, 500, cfg).collect()}
+        blocks = -(-500 // block)
+        for b in range(-1, 2):
+            homes = collections.defaultdict(list)
+            for r in rows:
+                homes[tuple(r["codes"][j] for j in given), r["h"] % blocks].append(r)
+            label = {}
+            for own in homes.values():
+                ids = np.array([r["row_id"] for r in own])
+                order = np.argsort(blanket.mixed(ids, (cfg.seed << 20) + b)) if b >= 0 else np.arange(len(own))
+                label |= {r["row_id"]: own[o]["y"] for r, o in zip(own, order)}
+            for j in (1, 3):
+                cells = collections.Counter((*(r["codes"][g] for g in given), r["codes"][j], label[r["row_id"]]) for r in rows)
+                assert got[b, j] == pytest.approx(sum(c * math.log(c) for c in cells.values())), (block, given, b, j)
+    plan = blanket.excesses(codes, [0, 2, 4], [1, 3], 4, 500, blanket.BlanketConfig(permutations=2))._jdf.queryExecution().optimizedPlan().toString()
+    assert " k#" not in plan and " times#" in plan  # no cell leaves a task
+
+
 def test_in_a_study(spark, data, tmp_path):
     study = workflows.Study(spark, str(tmp_path), {"d": (frame(spark, *data), 7)}, runs=1, classifier="nearest")
     r = study.native_cardinality(("blanket",)).collect()

@@ -145,6 +145,15 @@ def marginal_association(df: DataFrame, feature: int, bins: int = 5) -> float:
     return with_nmi(joint_entropies(discretize.encode(one, edges), [(0,)], discretize.width(edges))).first()["nmi"]  # one row
 
 
+def marginal_associations(df: DataFrame, d: int, bins: int = 5) -> dict[int, float]:
+    """feature -> marginal_association of each of d features, by one fit and one count of all."""
+    from . import discretize
+
+    edges = discretize.fit(df, d, bins)
+    h = with_nmi(joint_entropies(discretize.encode(df, edges).select("codes", "y"), singles(d), discretize.width(edges)))
+    return {r["subset_id"]: r["nmi"] for r in h.select("subset_id", "nmi").collect()}  # a row for each feature
+
+
 def group_evidence(h: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """Of subsets of two and more: nmi, tc (total correlation), redundancy (tc over its largest possible value), legacy.
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from facetmill.operators import evaluation, screening
+from facetmill.operators import discretize, evaluation, information, screening
 
 
 def frame(spark, x, y, start=0):
@@ -68,3 +68,12 @@ def test_relieff_over_many_tiles(spark, monkeypatch):
             near = sorted(own, key=lambda j: (round(np.abs(u[i] - u[j]).sum(), 9), j))[:10]
             want += (-1 if c == y[i] else share[c] / (1 - share[y[i]])) * np.abs(u[i] - u[near]).mean(axis=0) / 120
     assert one == {j: pytest.approx(want[j]) for j in range(3)} and many == {j: pytest.approx(want[j]) for j in range(3)}
+
+
+def test_marginal_associations_fit_once(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    y = rng.integers(0, 3, 200)
+    df, calls, fit = frame(spark, np.stack([y + rng.normal(size=200), rng.normal(size=200), np.ones(200)], axis=1), y), [], discretize.fit
+    want = {j: pytest.approx(information.marginal_association(df, j)) for j in range(3)}
+    monkeypatch.setattr(discretize, "fit", lambda *a, **k: calls.append(a) or fit(*a, **k))
+    assert information.marginal_associations(df, 3) == want and len(calls) == 1

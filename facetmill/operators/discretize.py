@@ -11,8 +11,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .information import matrix
 
-#: Bits of a value that one pass over the data decides.
+#: Bits of a value that one pass over the data decides at most, and cells that a task counts, about.
 STEP = 12
+CELLS = 1 << 21
 
 
 def _keys(x: np.ndarray) -> np.ndarray:
@@ -25,76 +26,131 @@ def _values(keys: np.ndarray) -> np.ndarray:
     return (keys ^ np.where(keys >> np.uint64(63), np.uint64(1 << 63), np.uint64(0xFFFFFFFFFFFFFFFF))).view(np.float64)
 
 
-def order_statistics(df: DataFrame, features: list[int], ranks: list[int], few: int = 200_000) -> np.ndarray:
+def order_statistics(df: DataFrame, features: list[int], ranks: list[int], few: int = 200_000, ends: list[tuple[float, float]] | None = None) -> np.ndarray:
     """[feature, rank]: the values at these ranks (from 0) of each feature of x, exactly.
 
-    A pass counts how many values fall into each interval of the next 12 bits of their keys, below the prefixes that hold
-    wanted ranks, and keeps the intervals that hold them. Once these hold `few` values together, they are fetched; at the
-    latest all bits are known after six passes. What reaches the driver is bounded by features, ranks and intervals.
+    A pass splits the intervals of keys that hold wanted ranks into cells and tells how many values fall into each cell, and
+    the least and the greatest of them; what is wanted of a cell is then looked for between these two. A cell of one value is
+    known, so that few different values of many rows need no further pass. Once the others hold `few` values together, they are
+    fetched. What reaches the driver is bounded by features, ranks and cells. ends: least and greatest value of each feature.
     """
-    d, done = len(features), 0
-    prefix = np.zeros((d, len(ranks)), np.uint64)
-    left = np.tile(np.array(ranks, np.int64), (d, 1))  # ranks within their prefix's interval
-    while done < 64:
-        bits = min(STEP, 64 - done)
-        slots = [np.unique(row) for row in prefix]
-
-        def inside(batches, slots=slots, done=done):
-            """(feature, slot, key) of all values below a prefix that is looked at."""
-            for b in batches:
-                x = _keys(matrix(b.column(0), np.float64)[:, features].T.copy()) if b.num_rows else np.zeros((d, 0), np.uint64)
-                for i in range(d):
-                    head = x[i] >> np.uint64(64 - done) if done else np.zeros(len(x[i]), np.uint64)
-                    at = np.minimum(np.searchsorted(slots[i], head), len(slots[i]) - 1)
-                    hit = slots[i][at] == head
-                    yield i, at[hit], x[i][hit]
-
-        def run(batches, slots=slots, done=done, bits=bits, inside=inside):
+    d = len(features)
+    low, high = (np.repeat(_keys(np.array(e, float))[:, None], len(ranks), axis=1) for e in zip(*ends)) if ends else (np.zeros((d, len(ranks)), np.uint64), np.full((d, len(ranks)), 0xFFFFFFFFFFFFFFFF, np.uint64))
+    left = np.tile(np.array(ranks, np.int64), (d, 1))  # ranks within their interval
+    held = few + 1
+    while (low < high).any():
+        wanted = [np.unique(np.stack((a[a < b], b[a < b]), axis=1), axis=0) for a, b in zip(low, high)]  # disjoint intervals, in order
+        if held <= few:
+            for i, j, key in _fetched(df, features, wanted):
+                for r in np.flatnonzero((low[i] == wanted[i][j, 0]) & (low[i] < high[i])):
+                    low[i, r] = high[i, r] = key[left[i, r]]
+            break
+        bits = min(STEP, max(4, CELLS.bit_length() - 1 - sum(map(len, wanted)).bit_length()))
+        shift = [np.array([max(0, int(b - a).bit_length() - bits) for a, b in w], np.uint64) for w in wanted]
+
+        def run(batches, wanted=wanted, shift=shift, bits=bits):
             import pyarrow as pa
 
-            counts = [np.zeros(len(s) << bits, np.int64) for s in slots]
-            for i, slot, key in inside(batches):
-                place = key >> np.uint64(64 - done - bits) & np.uint64((1 << bits) - 1)
-                counts[i] += np.bincount((slot << bits) + place.astype(np.int64), minlength=len(counts[i]))
-            for i, c in enumerate(counts):
+            count = [np.zeros(len(w) << bits, np.int64) for w in wanted]
+            least = [np.full(len(w) << bits, 0xFFFFFFFFFFFFFFFF, np.uint64) for w in wanted]
+            most = [np.zeros(len(w) << bits, np.uint64) for w in wanted]
+            for i, slot, key in _inside(batches, features, wanted):
+                at = (slot << bits) + (key - wanted[i][slot, 0] >> shift[i][slot]).astype(np.int64)
+                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))  # keys are in order
+                last = np.append(first[1:], len(at))
+                at = at[first]
+                count[i][at] += last - first
+                least[i][at] = np.minimum(least[i][at], key[first])
+                most[i][at] = np.maximum(most[i][at], key[last - 1])
+            for i, c in enumerate(count):
                 at = np.flatnonzero(c)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at), pa.array(c[at])], ["i", "at", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at), pa.array(c[at]), pa.array(_signed(least[i][at])), pa.array(_signed(most[i][at]))], ["i", "at", "c", "low", "high"])
 
-        got = df.select("x").mapInArrow(run, "i int, at long, c long").groupBy("i", "at").agg(F.sum("c").alias("c")).toPandas()
-        held = 0
+        cells = df.select("x").mapInArrow(run, "i int, at long, c long, low long, high long").groupBy("i", "at")
+        got = cells.agg(F.sum("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high")).toPandas()
+        held, found = 0, set()
         for i, rows in got.sort_values(["i", "at"]).groupby("i"):
-            at, c = rows["at"].to_numpy(), rows["c"].to_numpy()
-            for r in range(len(ranks)):
-                slot = int(np.searchsorted(slots[i], prefix[i, r]))
-                own = (at >> bits) == slot
+            at, c, a, b = (rows[n].to_numpy() for n in ("at", "c", "low", "high"))
+            for r in np.flatnonzero(low[i] < high[i]):
+                own = np.flatnonzero(at >> bits == np.searchsorted(wanted[i][:, 0], low[i, r]))
                 below = np.cumsum(c[own])
-                k = int(np.searchsorted(below, left[i, r], side="right"))
-                left[i, r] -= below[k] - c[own][k]
-                prefix[i, r] = prefix[i, r] << np.uint64(bits) | np.uint64(int(at[own][k]) & ((1 << bits) - 1))
-                held += int(c[own][k])
-        done += bits
-        if done < 64 and held <= few:
-            slots = [np.unique(row) for row in prefix]
-
-            def fetch(batches, slots=slots, done=done):
-                import pyarrow as pa
-
-                for b in batches:
-                    x = _keys(matrix(b.column(0), np.float64)[:, features].T.copy()) if b.num_rows else np.zeros((d, 0), np.uint64)
-                    for i in range(d):
-                        key = x[i][np.isin(x[i] >> np.uint64(64 - done), slots[i])]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), i, np.int32)), pa.array(key.view(np.int64))], ["i", "key"])
-
-            rows = df.select("x").mapInArrow(fetch, "i int, key long").toArrow()
-            feature, key = rows.column("i").to_numpy(), rows.column("key").to_numpy().view(np.uint64)
-            out = np.zeros((d, len(ranks)))
-            for i in range(d):
-                mine = np.sort(key[feature == i])
-                for r in range(len(ranks)):
-                    low = np.searchsorted(mine, prefix[i, r] << np.uint64(64 - done))
-                    out[i, r] = _values(mine[low + left[i, r] : low + left[i, r] + 1])[0]
-            return out
-    return _values(prefix)
+                k = own[np.searchsorted(below, left[i, r], side="right")]
+                left[i, r] -= below[k - own[0]] - c[k]
+                low[i, r], high[i, r] = _unsigned(a[k]), _unsigned(b[k])
+                if a[k] < b[k] and (i, k) not in found:
+                    found.add((i, k))
+                    held += int(c[k])
+    return _values(low)
+
+
+def _signed(key: np.ndarray) -> np.ndarray:
+    """Keys as signed integers of the same order."""
+    return (key ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def _unsigned(key: np.int64) -> np.uint64:
+    return np.uint64(int(key) + (1 << 63))
+
+
+def _blocks(batches, rows: int = 20_000):
+    """The x of some `rows` rows at a time, one array for each feature."""
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(matrix(b.column(0), np.float64))
+            n += b.num_rows
+        if n >= rows:
+            yield np.concatenate(held).T.copy()
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held).T.copy()
+
+
+def _inside(batches, features: list[int], wanted: list[np.ndarray]):
+    """(feature, interval, key) of all values in an interval that is looked at; keys in order."""
+    for x in _blocks(batches):
+        for i, w in enumerate(wanted):
+            if len(w):
+                key = np.sort(_keys(x[features[i]]))
+                slot = np.searchsorted(w[:, 0], key, side="right") - 1
+                hit = (slot >= 0) & (key <= w[slot, 1])
+                if hit.any():
+                    yield i, slot[hit], key[hit]
+
+
+def _fetched(df: DataFrame, features: list[int], wanted: list[np.ndarray]):
+    """(feature, interval, its values' keys in order), for intervals that hold few values."""
+
+    def fetch(batches):
+        import pyarrow as pa
+
+        for i, slot, key in _inside(batches, features, wanted):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), i, np.int32)), pa.array(slot), pa.array(_signed(key))], ["i", "slot", "key"])
+
+    rows = df.select("x").mapInArrow(fetch, "i int, slot long, key long").toArrow()
+    i, slot, key = (rows.column(n).to_numpy() for n in ("i", "slot", "key"))
+    order = np.lexsort((key, slot, i))
+    i, slot, key = i[order], slot[order], key[order].view(np.uint64) ^ np.uint64(1 << 63)
+    first = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (slot[1:] != slot[:-1]))) if len(i) else []
+    for a, z in zip(first, np.append(first[1:], len(i))):
+        yield int(i[a]), int(slot[a]), key[a:z]
+
+
+def ends(df: DataFrame, d: int) -> list[tuple[float, float, int]]:
+    """Least and greatest value of each of d features of x, and how many are null or NaN."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        low, high, bad = np.full(d, np.inf), np.full(d, -np.inf), np.zeros(d, np.int64)
+        for x in _blocks(batches):
+            missing = np.isnan(x)
+            bad += missing.sum(axis=1)
+            low, high = np.minimum(low, np.where(missing, np.inf, x).min(axis=1)), np.maximum(high, np.where(missing, -np.inf, x).max(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d)), pa.array(low), pa.array(high), pa.array(bad)], ["pos", "low", "high", "bad"])
+
+    got = df.select("x").mapInArrow(run, "pos long, low double, high double, bad long").groupBy("pos").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("bad").alias("bad"))
+    return [(r["low"], r["high"], r["bad"]) for r in sorted(got.collect(), key=lambda r: r["pos"])]  # a row for each feature
 
 
 def fit(df: DataFrame, d: int, bins: int = 10, method: str = "quantile", row: str = "row_id", chunk: int = 256) -> list[list[float]]:
@@ -108,18 +164,18 @@ def fit(df: DataFrame, d: int, bins: int = 10, method: str = "quantile", row: st
         raise ValueError("no rows to fit")
     if (one["least"], one["most"]) != (d, d):
         raise ValueError(f"rows have {one['least']} to {one['most']} features in place of {d}")
-    ends = {r["pos"]: (r["low"], r["high"], r["bad"]) for r in df.select(F.posexplode("x")).groupBy("pos").agg(F.min("col").alias("low"), F.max("col").alias("high"), F.count_if(F.col("col").isNull() | F.isnan("col")).alias("bad")).collect()}  # a row for each feature
-    missing = [j for j in sorted(ends) if ends[j][2]]
+    span = ends(df, d)
+    missing = [j for j in range(d) if span[j][2]]
     if missing:
         raise ValueError(f"features must not be null or NaN: {len(missing)} are, of which the first is {missing[0]}")
-    constant = [max(abs(ends[j][0] - a), abs(ends[j][1] - a)) <= 1e-8 + 1e-5 * abs(a) for j, a in enumerate(one["first"])]
-    out = [[float(one["first"][j])] if constant[j] else sorted({ends[j][0] + q * (ends[j][1] - ends[j][0]) for q in inner}) for j in range(d)]
+    constant = [max(abs(span[j][0] - a), abs(span[j][1] - a)) <= 1e-8 + 1e-5 * abs(a) for j, a in enumerate(one["first"])]
+    out = [[float(one["first"][j])] if constant[j] else sorted({span[j][0] + q * (span[j][1] - span[j][0]) for q in inner}) for j in range(d)]
     vary = [j for j in range(d) if not constant[j]]
     if method == "quantile" and vary:
         spots = [(one["n"] - 1) * q for q in inner]
         ranks = sorted({r for s in spots for r in (math.floor(s), math.ceil(s))})
         for a in range(0, len(vary), chunk):
-            for j, values in zip(vary[a : a + chunk], order_statistics(df, vary[a : a + chunk], ranks)):
+            for j, values in zip(vary[a : a + chunk], order_statistics(df, vary[a : a + chunk], ranks, ends=[span[j][:2] for j in vary[a : a + chunk]])):
                 v = dict(zip(ranks, values.tolist()))
                 out[j] = sorted({v[math.floor(s)] if v[math.floor(s)] == v[math.ceil(s)] else (math.ceil(s) - s) * v[math.floor(s)] + (s - math.floor(s)) * v[math.ceil(s)] for s in spots})
     return out
@@ -138,13 +194,18 @@ def encode(df: DataFrame, edges: list[list[float]], keep: list[int] | None = Non
             x = matrix(b.column(len(others)), np.float64) if b.num_rows else np.zeros((0, d))
             if x.shape[1] != d:
                 raise ValueError(f"rows have {x.shape[1]} features in place of {d}")
-            codes = np.stack([searchsorted(x[:, j], edges[j]) for j in keep], axis=1).astype(np.int32) if keep else np.zeros((len(x), 0), np.int32)
+            codes = coded(x, edges, keep)
             lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * len(keep), pa.array(codes.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], lists], [*[f.name for f in others], "codes"])
 
     return df.select(*[f.name for f in others], "x").mapInArrow(run, StructType([*others, StructField("codes", ArrayType(IntegerType()))]))
 
 
+def coded(x: np.ndarray, edges: list[list[float]], keep: list[int]) -> np.ndarray:
+    """The codes of rows x, one column for each kept feature."""
+    return np.stack([searchsorted(x[:, j], edges[j]) for j in keep], axis=1).astype(np.int32) if keep else np.zeros((len(x), 0), np.int32)
+
+
 def width(edges: list[list[float]]) -> int:
     """One more than the largest code."""
     return 1 + max((len(e) for e in edges), default=0)

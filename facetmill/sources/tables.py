@@ -69,7 +69,10 @@ def prepared(df: DataFrame, label: str = "label", least: int = 2) -> DataFrame:
     """Drop classes with fewer than `least` rows and add y, the dense code of the label."""
     classes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
     codes = classes.select(label, (F.dense_rank().over(Window.orderBy(label)) - 1).cast("int").alias("y"))  # one row a class
-    return df.join(F.broadcast(codes) if codes.count() <= 10_000 else codes, label)
+    few = codes.limit(10_001).collect()  # at most this many rows
+    if len(few) > 10_000:
+        return df.join(codes, label)
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(few, codes.schema)), label)  # counted once, not again by every plan
 
 
 def no_nan(df: DataFrame, column: str = "x") -> DataFrame:

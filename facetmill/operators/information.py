@@ -10,15 +10,21 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import EPS, normalized
 
-def joint_counts(df: DataFrame, subsets: list[tuple[int, ...]], width: int, rows: int = 200_000) -> DataFrame:
+def joint_counts(df: DataFrame, subsets: list[tuple[int, ...]], width: int, rows: int = 200_000, edges: list[list[float]] | None = None) -> DataFrame:
     """s, k, y, c: how often each tuple of codes (packed to k) of each subset s meets each label.
 
+    df: codes and y, or x and y with the edges of x, which the same worker then codes: one Python worker for a task, not two.
     Every task keeps the codes of some `rows` rows as one matrix and counts them subset by subset with a histogram; only
     cells that occur leave the task, and equal cells of several tasks are added up.
     """
     if subsets and max(width, 1) ** max(map(len, subsets)) >= 1 << 62:
         raise ValueError(f"tuples of {max(map(len, subsets))} codes below {width} have more values than 62 bits")
 
+    def coded(column):
+        from . import discretize
+
+        return matrix(column, np.int32) if edges is None else discretize.coded(matrix(column, np.float64), edges, list(range(len(edges))))
+
     def run(batches):
         import pyarrow as pa
 
@@ -46,7 +52,7 @@ def joint_counts(df: DataFrame, subsets: list[tuple[int, ...]], width: int, rows
         n = 0
         for b in batches:
             if b.num_rows:
-                held.append((matrix(b.column(0), np.int32), b.column(1).to_numpy()))
+                held.append((coded(b.column(0)), b.column(1).to_numpy()))
                 n += b.num_rows
             if n >= rows:
                 yield from told()
@@ -54,7 +60,7 @@ def joint_counts(df: DataFrame, subsets: list[tuple[int, ...]], width: int, rows
         if n:
             yield from told()
 
-    cells = df.select("codes", F.col("y").cast("int")).mapInArrow(run, "s int, k long, y int, c long")
+    cells = df.select("codes" if edges is None else "x", F.col("y").cast("int")).mapInArrow(run, "s int, k long, y int, c long")
     return cells.groupBy("s", "k", "y").agg(F.sum("c").alias("c"))
 
 
@@ -63,12 +69,12 @@ def matrix(column, kind) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1)
 
 
-def joint_entropies(df: DataFrame, subsets: list[tuple[int, ...]], width: int, estimator: str = "plugin") -> DataFrame:
-    """subset_id, order, members, n, h_x, h_xy, h_y, k_x of every subset of codes and the label y.
+def joint_entropies(df: DataFrame, subsets: list[tuple[int, ...]], width: int, estimator: str = "plugin", edges: list[list[float]] | None = None) -> DataFrame:
+    """subset_id, order, members, n, h_x, h_xy, h_y, k_x of every subset of codes and the label y; edges: as for joint_counts.
 
     One tree of aggregations carries counts and sums of c ln c from tuples with label to tuples to subsets.
     """
-    return entropies(joint_counts(df, subsets, width), df.groupBy("y").agg(F.count(F.lit(1)).alias("c")), subsets, estimator)
+    return entropies(joint_counts(df, subsets, width, edges=edges), df.groupBy("y").agg(F.count(F.lit(1)).alias("c")), subsets, estimator)
 
 
 def entropies(cells: DataFrame, labels: DataFrame, subsets: list[tuple[int, ...]], estimator: str = "plugin", by: tuple[str, ...] = ()) -> DataFrame:
@@ -150,7 +156,7 @@ def marginal_associations(df: DataFrame, d: int, bins: int = 5) -> dict[int, flo
     from . import discretize
 
     edges = discretize.fit(df, d, bins)
-    h = with_nmi(joint_entropies(discretize.encode(df, edges).select("codes", "y"), singles(d), discretize.width(edges)))
+    h = with_nmi(joint_entropies(df, singles(d), discretize.width(edges), edges=edges))
     return {r["subset_id"]: r["nmi"] for r in h.select("subset_id", "nmi").collect()}  # a row for each feature
 
 

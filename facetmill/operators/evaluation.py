@@ -47,65 +47,111 @@ def every(blocks: int):
     return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
 
 
-def _gaps(v: np.ndarray, w: np.ndarray, metric: str) -> np.ndarray:
-    """Distances of rows of v from rows of w at the same places, to 9 digits."""
-    far = np.zeros(len(v))
-    for j in range(v.shape[1]):
-        gap = v[:, j] - w[:, j]
-        far += gap * gap if metric == "square" else np.abs(gap)
+def dealt(df: DataFrame, sizes: tuple[int, int]):
+    """Rows with a and b grouped by tiles, of which hardly any two share a task."""
+    return df.repartition(4 * sizes[0] * sizes[1], "a", "b").groupBy("a", "b")
+
+
+def _gaps(v: np.ndarray, p: np.ndarray, w: np.ndarray, q: np.ndarray, metric: str, piece: int = 1024) -> np.ndarray:
+    """Distances of the rows p of v from the rows q of w, summed feature by feature, to 9 digits."""
+    far = np.zeros(len(p))
+    for at in range(0, len(p), piece):
+        gap = np.ascontiguousarray((v[p[at : at + piece]] - w[q[at : at + piece]]).T)
+        np.multiply(gap, gap, out=gap) if metric == "square" else np.abs(gap, out=gap)
+        for g in gap:
+            far[at : at + piece] += g
     return np.round(far, 9)
 
 
-def best(v: np.ndarray, ids: np.ndarray, w: np.ndarray, n_ids: np.ndarray, k: int, metric: str, itself: bool = True, rows: int = 256, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Levels of a value where gaps are summed roughly: four gaps fit a byte.
+_LEVELS = 63
+
+
+def _levels(v: np.ndarray, low: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """Levels of the values of each feature in bytes (a row for each feature), and how far each row's are from its values in sum."""
+    q = np.rint((v - low) / step)
+    return np.ascontiguousarray(q.astype(np.int8).T), np.abs((v - low) - q * step).sum(axis=1)
+
+
+def _rough_gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of gaps of levels of all pairs, in bytes as far as they fit."""
+    f, shape = len(a), (a.shape[1], b.shape[1])
+    total = np.zeros(shape, np.uint16 if f * _LEVELS < 1 << 16 else np.uint32)
+    gap, four = np.empty(shape, np.int8), np.empty(shape, np.uint8)
+    for start in range(0, f, 4):
+        for c in range(start, min(start + 4, f)):
+            np.subtract(a[c, :, None], b[c], out=gap)
+            np.abs(gap, out=four.view(np.int8) if c == start else gap)
+            if c > start:
+                np.add(four, gap.view(np.uint8), out=four)
+        np.add(total, four, out=total)
+    return total
+
+
+def best(v: np.ndarray, ids: np.ndarray, w: np.ndarray, n_ids: np.ndarray, k: int, metric: str, itself: bool = True, rows: int | None = None, chunk: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place in v, place in w, distance) of the k nearest w (ties by n_ids) of each v, by place and distance.
 
-    Chunk by chunk a matrix product, or a sum of gaps in single precision, tells which pairs may be among the nearest; its
+    Chunk by chunk a matrix product, or a sum of gaps of 64 levels, tells which pairs may be among the nearest; its
     error is bounded, and the distances of these few pairs are computed in full.
     """
     f, found = v.shape[1], []
-    middle = w.mean(axis=0)
-    a, b = v - middle, w - middle
-    size = max(float(np.abs(a).max(initial=0.0)), float(np.abs(b).max(initial=0.0)))
+    if not len(v) or not len(w):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    rows, chunk = rows or (256 if metric == "square" else 64), chunk or (1024 if metric == "square" else 4096)
     if metric == "square":
-        slack = 1e-9 + 1e-14 * (f + 4) * 4 * f * size * size
+        middle = w.mean(axis=0)
+        a, b = v - middle, w - middle
+        size = max(float(np.abs(a).max(initial=0.0)), float(np.abs(b).max(initial=0.0)))
+        slack, unit = np.full(len(v), 1e-9 + 1e-14 * (f + 4) * 4 * f * size * size), 1.0
         aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
     else:
-        slack = 1e-9 + 1.2e-7 * (f + 2) * 2 * f * size
-        a, b = a.T.astype(np.float32), b.T.astype(np.float32)
+        low, high = np.minimum(v.min(axis=0), w.min(axis=0)), np.maximum(v.max(axis=0), w.max(axis=0))
+        unit = float((high - low).max(initial=0.0)) / _LEVELS or 1.0
+        (a, a_off), (b, b_off) = _levels(v, low, unit), _levels(w, low, unit)
+        off = 1e-9 + 1e-12 * f * (_LEVELS * unit + float(np.abs([low, high]).max())) + a_off
+        slack = off + b_off.max()
     for at in range(0, len(v), rows):
         stop = min(at + rows, len(v))
-        limit = np.full(stop - at, np.inf)
+        limit, near = np.full(stop - at, np.inf), slack[at:stop]
         i, j, far = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         for start in range(0, len(w), chunk):
             end = min(start + chunk, len(w))
             if metric == "square":
                 rough = (aa[at:stop, None] + bb[start:end]) - 2 * (a[at:stop] @ b[start:end].T)
             else:
-                rough, gap = np.zeros((stop - at, end - start), np.float32), np.empty((stop - at, end - start), np.float32)
-                for c in range(f):
-                    np.subtract(a[c, at:stop, None], b[c, start:end], out=gap)
-                    np.abs(gap, out=gap)
-                    rough += gap
-            first = min(k + (not itself), end - start) - 1
-            upto = limit
+                rough = _rough_gaps(a[:, at:stop], b[:, start:end])
+            first, taken = min(k + (not itself), end - start) - 1, None
             if first + 1 >= k + (not itself) and np.isinf(limit).any():
-                upto = np.minimum(limit, np.partition(rough, first, axis=1)[:, first].astype(np.float64) + slack)
-            p, q = np.nonzero(rough <= (upto + slack)[:, None])
-            p, q = p + at, q + start
-            if not itself:
-                other = ids[p] != n_ids[q]
-                p, q = p[other], q[other]
-            if not len(p):
-                continue
-            i, j, far = np.concatenate([i, p]), np.concatenate([j, q]), np.concatenate([far, _gaps(v[p], w[q], metric)])
-            order = np.lexsort((n_ids[j], far, i))
-            i, j, far = i[order], j[order], far[order]
-            rank = np.arange(len(i)) - np.searchsorted(i, i)
-            i, j, far, rank = i[rank < k], j[rank < k], far[rank < k], rank[rank < k]
-            last = rank == k - 1
-            limit[i[last] - at] = far[last]
+                taken = np.partition(rough, first, axis=1)[:, first]  # these first, so that few others may be nearer
+            for most in (None,) if taken is None else (taken, None):
+                if most is None:
+                    most = (limit + near) / unit
+                    if metric != "square":
+                        most = np.minimum(np.floor(most), np.iinfo(rough.dtype).max).astype(rough.dtype)
+                    maybe = rough <= most[:, None]
+                    if taken is not None:
+                        maybe &= rough > taken[:, None]
+                else:
+                    maybe = rough <= most[:, None]
+                p, q = np.divmod(np.flatnonzero(maybe), end - start)
+                if metric != "square":
+                    sure = rough[p, q] * unit <= limit[p] + off[at + p] + b_off[start + q]
+                    p, q = p[sure], q[sure]
+                p, q = p + at, q + start
+                if not itself:
+                    other = ids[p] != n_ids[q]
+                    p, q = p[other], q[other]
+                if not len(p):
+                    continue
+                i, j, far = np.concatenate([i, p]), np.concatenate([j, q]), np.concatenate([far, _gaps(v, p, w, q, metric)])
+                order = np.lexsort((n_ids[j], far, i))
+                i, j, far = i[order], j[order], far[order]
+                rank = np.arange(len(i)) - np.searchsorted(i, i)
+                i, j, far, rank = i[rank < k], j[rank < k], far[rank < k], rank[rank < k]
+                last = rank == k - 1
+                limit[i[last] - at] = far[last]
         found.append((i, j, far))
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def near_lists(train: DataFrame, test: DataFrame, features: list[int], k: int, sizes: tuple[int, int], by_class: bool = False, metric: str = "square") -> DataFrame:
@@ -118,8 +164,8 @@ def near_lists(train: DataFrame, test: DataFrame, features: list[int], k: int, s
     import pyarrow as pa
 
     f, row = len(features), lambda df: df.select(F.col("row_id").cast("long").alias("row_id"), F.col("y").cast("int").alias("y"), F.array(*[F.col("x")[j] for j in features]).alias("v"))
-    left = row(test).select(place("row_id", sizes[0]).alias("a"), every(sizes[1]).alias("b"), "row_id", "y", "v").groupBy("a", "b")
-    right = row(train).select(every(sizes[0]).alias("a"), place("row_id", sizes[1]).alias("b"), "row_id", "y", "v").groupBy("a", "b")
+    left = dealt(row(test).select(place("row_id", sizes[0]).alias("a"), every(sizes[1]).alias("b"), "row_id", "y", "v"), sizes)
+    right = dealt(row(train).select(every(sizes[0]).alias("a"), place("row_id", sizes[1]).alias("b"), "row_id", "y", "v"), sizes)
     kinds = (pa.int64(), pa.int32(), pa.float64())
 
     def lists(rows: int, i: np.ndarray, *columns):

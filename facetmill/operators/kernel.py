@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .evaluation import VALUES, blocks_of, every, place
+from .evaluation import VALUES, blocks_of, dealt, every, place
 from .information import matrix
 from .neighbours import settled
 
@@ -133,8 +133,8 @@ def _sums(rows: DataFrame, support: DataFrame, sizes: tuple[int, int], f: int, p
     Blocks of rows meet blocks of support in one task; a kernel serves all pairs.
     """
     n = len(pairs)
-    left = rows.select(place("row_id", sizes[0]).alias("a"), every(sizes[1]).alias("b"), "row_id", "v").groupBy("a", "b")
-    right = support.select(every(sizes[0]).alias("a"), place("row_id", sizes[1]).alias("b"), F.col("row_id").alias("n_id"), F.col("y").alias("n_y"), F.col("v").alias("w"), F.col("alpha").alias("n_alpha")).groupBy("a", "b")
+    left = dealt(rows.select(place("row_id", sizes[0]).alias("a"), every(sizes[1]).alias("b"), "row_id", "v"), sizes)
+    right = dealt(support.select(every(sizes[0]).alias("a"), place("row_id", sizes[1]).alias("b"), F.col("row_id").alias("n_id"), F.col("y").alias("n_y"), F.col("v").alias("w"), F.col("alpha").alias("n_alpha")), sizes)
 
     def run(t, o):
         import pyarrow as pa
